@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import html_text, jpeg, mixing, packing, pii, quality, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {f.__name__: f for f in (
+    token_files.op1_separator_scan,
+    jpeg.op2_baseline_jpeg,
+    html_text.op3_html_extraction,
+    quality.op4_repetition_rules,
+    toxicity.op5_gru_toxicity,
+    suffix_dedup.op6_suffix_dedup,
+    mixing.op7_entropy_mixing,
     packing.op8_best_fit_packing,
     simhash.op9_simhash_near_dedup,
+    pii.op10_personal_data,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_repetition_rules": quality.ORACLE}
