@@ -39,9 +39,6 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
         .withColumn("among", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("full", F.col("cap") * F.col("among") <= F.col("weight") * F.col("left"))
     )
-    share = F.min(F.when(~F.col("full"), F.struct("cap", "weight", "left", "among"))).over(whole)
-    first = F.min(F.when(~F.col("full"), F.col("cap") / F.col("weight"))).over(whole)
-    shared = shared.withColumn("first", first).withColumn("share", share)
     open_left = F.max(F.when(~F.col("full"), F.col("left"))).over(whole)
     open_among = F.max(F.when(~F.col("full"), F.col("among"))).over(whole)
     target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("weight") * open_left / open_among)
@@ -89,50 +86,44 @@ def tilts(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
     return state.select("source", "source_size", "weight", "target", "scale", F.round("tilt", 10).alias("tilt"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
-    """How often each row of docs (doc_id, text, source) is taken so that sources come to their token targets.
+def _rated(rows: DataFrame, state: DataFrame, most: int, seed: int) -> DataFrame:
+    """rows (doc_id, source, size) with state's columns, rate, whole (its whole part) and key; a null key marks rows at the full rate."""
+    full = F.lit(float(most))
+    rate = F.when(F.col("tilt").isNull(), full).otherwise(F.least(full, F.exp(F.least(F.lit(700.0), F.col("tilt") * F.col("size") / F.col("scale")))))
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1 << 40)) / float(1 << 40)
+    own = state.withColumnRenamed("source", "__of")
+    return (
+        rows.join(own, rows.source.eqNullSafe(own["__of"]))
+        .drop("__of")
+        .withColumn("rate", rate)
+        .withColumn("whole", F.floor("rate"))
+        .withColumn("key", F.when(F.col("rate") < most, u - (F.col("rate") - F.col("whole"))))
+    )
 
-    Columns: doc_id, source, size (words of the text), source_size, target (its
-    source's tokens), rate, copies (0 to `most`) and taken (copies * size).
 
-    Rates become whole copies by a hash of doc_id: a row gets one more copy
-    where hash - fraction is below its source's threshold, and the threshold is
-    placed, by counting ever finer buckets, where the source's tokens come
-    nearest to its target. Nothing depends on partitioning, so reruns agree.
+def _copies():
+    return F.when(F.col("key").isNull(), F.col("whole")).otherwise(F.col("whole") + (F.col("key") < F.col("edge")).cast("long")).cast("int")
 
-    Null text has size 0. Null source is a source of its own, the last. Null
-    doc_ids hash alike; repeated rows get equal copies. Rows of size 0 take no
-    tokens. An empty table, or one without words, gives targets of 0.
-    """
-    size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")), "sizes")
-    counts = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
-    params = cut(tilts(counts, cut(source_targets(counts, weights, most), "targets"), most), "solved")
 
-    def rated(state: DataFrame) -> DataFrame:
-        full = F.lit(float(most))
-        rate = F.when(F.col("tilt").isNull(), full).otherwise(F.least(full, F.exp(F.least(F.lit(700.0), F.col("tilt") * F.col("size") / F.col("scale")))))
-        u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
-        return (
-            sized.join(state, sized.source.eqNullSafe(state.source))
-            .drop(state.source)
-            .withColumn("rate", rate)
-            .withColumn("whole", F.floor("rate"))
-            .withColumn("key", F.when(F.col("rate") < most, u - (F.col("rate") - F.col("whole"))))
-        )
+def _size():
+    return F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
+
 
-    base = rated(params).groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))
-    b = base.withColumnRenamed("source", "of")
-    state = cut(params.join(b, params.source.eqNullSafe(b.of)).drop("of").withColumn("need", F.col("target") - F.col("sure")).drop("sure").withColumn("edge", F.lit(-1.0)), "thresholds")
+def solve(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
+    """One row for each source of sized (doc_id, source, size): source_size, target, scale, tilt and edge, the threshold for one more copy."""
+    counts = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
+    params = cut(tilts(counts, cut(source_targets(counts, weights, most), "targets"), most), "solved")
+    base = _rated(sized, params, most, seed).groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure")).withColumnRenamed("source", "of")
+    state = cut(params.join(base, params.source.eqNullSafe(base.of)).drop("of").withColumn("need", F.col("target") - F.col("sure")).drop("sure").withColumn("edge", F.lit(-1.0)), "thresholds")
     width = 2.0
     for _ in range(DEPTH):
         width /= BUCKETS
         bucket = F.floor((F.col("key") - F.col("edge")) / width)
-        within = rated(state).where((F.col("key") >= F.col("edge")) & (bucket < BUCKETS))
+        within = _rated(sized, state, most, seed).where((F.col("key") >= F.col("edge")) & (bucket < BUCKETS))
         filled = within.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("tokens"))
         upto = filled.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket"))).withColumnRenamed("source", "of")
         step = state.join(upto, state.source.eqNullSafe(upto.of), "left")
-        # the last bucket edge before the need is passed; what lies below it is taken
+        # what lies below the bucket in which the need is passed is taken
         below = F.col("upto") <= F.col("need")
         after = step.groupBy(*state.columns).agg(
             F.coalesce(F.max(F.when(below, F.col("upto"))), F.lit(0)).alias("taken"),
@@ -141,14 +132,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
         )
         edge = F.col("edge") + width * F.coalesce("crossed", F.col("last") + 1, F.lit(0))
         state = cut(after.select(*[c for c in state.columns if c not in ("need", "edge")], (F.col("need") - F.col("taken")).alias("need"), edge.alias("edge")), "thresholds")
-    # what is left in the last bucket is taken as well if that comes nearer
-    rest = rated(state).where((F.col("key") >= F.col("edge")) & (F.col("key") < F.col("edge") + width)).groupBy("source").agg(F.sum("size").alias("rest")).withColumnRenamed("source", "of")
-    final = state.join(rest, state.source.eqNullSafe(rest.of), "left").drop("of")
-    final = cut(final.withColumn("edge", F.when((F.col("need") > 0) & (F.abs(F.col("rest") - F.col("need")) < F.col("need")), F.col("edge") + width).otherwise(F.col("edge"))).drop("rest"), "thresholds")
-    copies = F.when(F.col("key").isNull(), F.col("whole")).otherwise(F.col("whole") + (F.col("key") < F.col("edge")).cast("long"))
-    return rated(final).withColumn("copies", copies.cast("int")).select(
-        "doc_id", "source", "size", "source_size", "target", F.round("rate", 6).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    # the last bucket is taken as well if that comes nearer
+    last = _rated(sized, state, most, seed).where((F.col("key") >= F.col("edge")) & (F.col("key") < F.col("edge") + width))
+    rest = last.groupBy("source").agg(F.sum("size").alias("rest")).withColumnRenamed("source", "of")
+    final = state.join(rest, state.source.eqNullSafe(rest.of), "left")
+    nearer = (F.col("need") > 0) & (F.abs(F.col("rest") - F.col("need")) < F.col("need"))
+    return cut(final.withColumn("edge", F.when(nearer, F.col("edge") + width).otherwise(F.col("edge"))).drop("of", "rest", "need"), "thresholds")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
+    """How often each row of docs (doc_id, text, source) is taken so that sources come to their token targets.
+
+    Columns: doc_id, source, size (words of the text), source_size, target (its
+    source's tokens), rate, copies (0 to `most`) and taken (copies * size).
+
+    Rates become whole copies by a hash of doc_id: a row gets one more copy
+    where hash - fraction is below its source's threshold, and the threshold is
+    placed, by counting ever finer buckets, where the source's tokens come
+    nearest to its target. Nothing depends on partitioning, so reruns agree.
+
+    Null text has size 0. Null source is a source of its own, the last. Null
+    doc_ids hash alike; repeated rows get equal copies. Rows of size 0 take no
+    tokens. An empty table, or one without words, gives targets of 0.
+    """
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size().alias("size")), "sizes")
+    rated = _rated(sized, solve(sized, weights, most, seed), most, seed).withColumn("copies", _copies())
+    return rated.select("doc_id", "source", "size", "source_size", "target", F.round("rate", 6).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as mix() takes it."""
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size().alias("size")), "sizes")
+    own = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("doc_id"), "source", _size().alias("size"))
+    rated = _rated(own, solve(sized, weights, most, seed), most, seed).withColumn("copies", _copies()).where("copies > 0")
+    return rated.select("__row", F.explode(F.sequence(F.lit(1), "copies"))).select("__row.*")
 
 
 def op7_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,14 +42,16 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row; null text counts as empty."""
+    """doc_id, key (equal for equal doc_id and text) and fp (the fingerprint's 64 bits as a signed long) of every row; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=U).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(x.as_py()) for x in batch.column(2)], dtype=U).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text_or_empty()).alias("key"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -231,6 +233,17 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
 
 
+def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, key (equal for rows of equal doc_id and text), fp, root (one for each group) and component_id of every row of docs (doc_id, text)."""
+    prints = cut(fingerprints(docs), "fingerprints")
+    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    linked = components(near_edges(groups.select("fp"), radius))
+    rooted_groups = groups.join(linked, groups.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted_groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = cut(rooted_groups.join(smallest, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(by_fp, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row for every row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -240,13 +253,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     have fingerprint 0 and link like others. Null doc_ids stay, and count for a
     component_id only where a component has no other. Repeated rows stay.
     """
-    prints = cut(fingerprints(docs), "fingerprints")
-    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    linked = components(near_edges(groups.select("fp"), radius))
-    rooted_groups = groups.join(linked, groups.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted_groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = cut(rooted_groups.join(smallest, "root").select("fp", "component_id"), "components")
-    return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The row with the smallest doc_id of each group of near duplicates, with all its columns; of equal rows, one."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first")
+    chosen = cut(grouped(docs, radius).groupBy("root").agg(first).select(F.col("first.key").alias("__key")).distinct(), "chosen")
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()))
+    return keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

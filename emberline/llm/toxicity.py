@@ -15,13 +15,17 @@ from .common import byte_words, pieces_of, table, text_or_empty
 #: Words of a window, and from one window's start to the next: each word is in two windows.
 WINDOW, STRIDE = 32, 16
 #: The classifier is fitted on so many labelled rows of each label at most.
-TRAIN_ROWS = 2500
+TRAIN_ROWS = 1500
 #: Rows whose crc32(doc_id) has remainder 0 are held out of training.
 FOLDS = 5
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 6, 6, 4096
 VOCABULARY = 60_000
-EPOCHS, BATCH, RATE = 8, 128, 0.02
+#: A word is in the vocabulary if it is in more than one of so many training texts.
+RARE = 400
+EPOCHS, BATCH, RATE = 6, 128, 0.02
 SEED = 17
+#: One training row in so many teaches no weights but where 0.5 lies.
+CALIBRATE = 4
 #: Input projections of so many different words are kept by a worker.
 KEPT_WORDS = 200_000
 
@@ -176,8 +180,36 @@ def train(texts: list[str], toxic: list[int], seed: int = SEED, epochs: int = EP
     A text is as toxic as its most toxic window. Each epoch scores all windows,
     then learns from each text's highest window and, of texts that aren't toxic,
     a second one by chance. The word table starts with the log odds of the
-    words in the training texts.
+    words in the training texts. One text in CALIBRATE is left out of all that;
+    these place the score of 0.5 where it parts them best.
     """
+    kept = [i for i in range(len(texts)) if i % CALIBRATE]
+    model = _learnt([texts[i] for i in kept], [toxic[i] for i in kept], seed, epochs)
+    rest = [i for i in range(len(texts)) if not i % CALIBRATE]
+    if rest:
+        scorer = Scorer(model)
+        logit = np.concatenate([scorer.logits([texts[i] for i in rest[k : k + 64]]) for k in range(0, len(rest), 64)])
+        model.p["bo"] = (model.p["bo"] - _border(logit, np.array([toxic[i] for i in rest]))).astype(np.float32)
+    return model
+
+
+def _border(logit: np.ndarray, toxic: np.ndarray) -> float:
+    """The middle of the widest range of borders that part two labels with the fewest errors; 0 where one label is missing."""
+    if toxic.all() or not toxic.any():
+        return 0.0
+    order = np.argsort(logit, kind="stable")
+    x, y = logit[order].astype(np.float64), toxic[order]
+    # a border after the first k: toxic ones below it and clean ones above it are errors
+    errors = np.r_[0, np.cumsum(y)] + np.r_[np.cumsum((1 - y)[::-1])[::-1], 0]
+    errors = errors[1:-1]
+    gap = np.diff(x)
+    best = np.flatnonzero(errors == errors.min())
+    k = best[np.argmax(gap[best])] if len(best) else 0
+    return float((x[k] + x[k + 1]) / 2) if len(x) > 1 else 0.0
+
+
+def _learnt(texts: list[str], toxic: list[int], seed: int, epochs: int) -> Model:
+    """The network's weights after `epochs` rounds over the texts."""
     rng = np.random.default_rng(seed)
     label = np.array(toxic, dtype=np.float32)
     split = [[normal(w) for w in byte_words(t)] for t in texts]
@@ -185,7 +217,8 @@ def train(texts: list[str], toxic: list[int], seed: int = SEED, epochs: int = EP
     for words, y in zip(split, toxic, strict=True):
         for w in set(words):
             with_word.setdefault(w, [0, 0])[int(y)] += 1
-    rank = sorted((w for w, c in with_word.items() if sum(c) > 1), key=lambda w: (-sum(with_word[w]), w))[:VOCABULARY]
+    # rarer words stay unknown, as those of new texts will be
+    rank = sorted((w for w, c in with_word.items() if sum(c) > 1 + len(texts) // RARE), key=lambda w: (-sum(with_word[w]), w))[:VOCABULARY]
     number = {w: i + 1 for i, w in enumerate(rank)}
     clean_n, toxic_n = max(1, len(toxic) - sum(toxic)), max(1, sum(toxic))
     odds = np.zeros(len(rank) + 1, dtype=np.float32)
@@ -197,7 +230,7 @@ def train(texts: list[str], toxic: list[int], seed: int = SEED, epochs: int = EP
     def table_of(*shape: int, size: float) -> np.ndarray:
         return rng.normal(0, size, shape).astype(np.float32)
 
-    p = {"words": table_of(len(rank) + 1, WORD_DIM, size=0.05), "chars": table_of(CHAR_ROWS, CHAR_DIM, size=0.1), "bo": np.array([-2.0], np.float32)}
+    p = {"words": table_of(len(rank) + 1, WORD_DIM, size=0.05), "chars": table_of(CHAR_ROWS, CHAR_DIM, size=0.03), "bo": np.array([-2.0], np.float32)}
     p["words"][:, 0] = np.clip(odds, -4, 4) / 2
     for way in "fb":
         p["W" + way], p["U" + way], p["b" + way] = table_of(dims, 3 * HIDDEN, size=0.4), table_of(HIDDEN, 3 * HIDDEN, size=0.3), np.zeros(3 * HIDDEN, np.float32)
@@ -227,8 +260,8 @@ def train(texts: list[str], toxic: list[int], seed: int = SEED, epochs: int = EP
             score = np.concatenate([forward(model, _places(start[i : i + 8192], length[i : i + 8192], ids), length[i : i + 8192], projected) for i in range(0, len(doc), 8192)])
         order = np.lexsort((score, doc))
         top = order[np.r_[begins[1:], len(doc)] - 1]
-        chance = begins + (rng.random(len(begins)) * np.diff(np.r_[begins, len(doc)])).astype(np.int64)
-        pick = np.concatenate([top, chance[label == 0]])
+        chance, other = (begins + (rng.random(len(begins)) * np.diff(np.r_[begins, len(doc)])).astype(np.int64) for _ in range(2))
+        pick = np.concatenate([top, chance[label == 0], other[label == 0]])
         rng.shuffle(pick)
         rate = RATE * (1 - epoch / epochs) ** 0.5
         for i in range(0, len(pick), BATCH):
@@ -285,6 +318,9 @@ class Scorer:
         return np.array([row[w] for w in words], dtype=np.int64)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.logits(texts).astype(np.float64)))
+
+    def logits(self, texts: list[str]) -> np.ndarray:
         if len(self.row) > KEPT_WORDS:
             self._clear()
         split = [byte_words(t) for t in texts]
@@ -307,8 +343,7 @@ class Scorer:
             for i in range(0, len(own), 4096):
                 w = own[i : i + 4096]
                 logit[w] = forward(self.model, _places(start[w], length[w], ids), length[w], self.table)
-        top = np.maximum.reduceat(logit, np.cumsum([0, *counts[:-1]]))
-        return 1 / (1 + np.exp(-top.astype(np.float64)))
+        return np.maximum.reduceat(logit, np.cumsum([0, *counts[:-1]]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -329,8 +364,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return train(data["text"].tolist(), data["toxic"].tolist())
 
 
-def score(docs: DataFrame, model: Model, kept: list[str] | None = None) -> DataFrame:
-    """kept (doc_id unless given) and `score`, from 0 to 1, of every row of docs, in one pass without a shuffle.
+def score(docs: DataFrame, model: Model, kept: list[str] | None = None, into: str = "score") -> DataFrame:
+    """kept (doc_id unless given) and the score (column `into`), from 0 to 1, of every row of docs, in one pass without a shuffle.
 
     All overlapping windows of the whole text are scored; the text's score is
     that of its most toxic window. Null and empty texts have one empty window
@@ -339,16 +374,19 @@ def score(docs: DataFrame, model: Model, kept: list[str] | None = None) -> DataF
     kept = kept or ["doc_id"]
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: VOCABULARY and CHAR_ROWS rows
 
+    at = kept.index("text") if "text" in kept else len(kept)
+    name = f"__{at}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
-        for batch in (b for whole in batches for b in pieces_of(whole, "__text")):
-            texts = [x.as_py() for x in batch.column(0)]
-            yield pa.record_batch([*batch.columns[1:], pa.array(scorer(texts))], names=[*batch.schema.names[1:], "__score"])
+        for batch in (b for whole in batches for b in pieces_of(whole, name)):
+            texts = [x.as_py() or "" for x in batch.column(at)]
+            yield pa.record_batch([*batch.columns[: len(kept)], pa.array(scorer(texts))], names=[*batch.schema.names[: len(kept)], "__score"])
 
-    rows = docs.select(text_or_empty().alias("__text"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(kept)])
+    rows = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(kept)], *([] if at < len(kept) else [text_or_empty().alias(name)]))
     schema = ", ".join(f"__{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)) + ", __score double"
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(kept)], F.col("__score").alias("score"))
+    return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(kept)], F.col("__score").alias(into))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -362,5 +400,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, that score under 0.5."""
+    return score(docs, fit(docs, labels, rows), kept=docs.columns, into="__toxic").where("__toxic < 0.5").select(docs.columns)
+
+
 def op5_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
