@@ -73,9 +73,9 @@ def blocks(pixels: DataFrame, g: DataFrame, years: float, size: int = BLOCK_PX)
     return own.where(whole).groupBy("layer", F.floor(F.col("row") / size).cast("int").alias("block_row"), F.floor(F.col("col") / size).cast("int").alias("block_col")).agg((F.sum("n") / years).alias("per_year"))
 
 
-def hotspots(rows: DataFrame, cell_deg: float, top: int, days: float) -> DataFrame:
-    """The busiest cells: rank, place, count, rate, commonest borough (ties to the first in order), median attendance."""
+def hotspots(rows: DataFrame, cell_deg: float, top: int, days: float, of: str = "borough") -> DataFrame:
+    """The busiest cells: rank, place, count, rate, commonest value of a column (ties to the first in order), median attendance."""
     cells = rows.withColumn("gx", F.floor(F.col("dest_lon") / cell_deg)).withColumn("gy", F.floor(F.col("dest_lat") / cell_deg))
-    best = cells.groupBy("gx", "gy").agg(F.count("*").alias("n"), F.percentile("travel_seconds", F.lit(0.5)).alias("median_attend_s"), F.mode("borough", True).alias("borough"))
+    best = cells.groupBy("gx", "gy").agg(F.count("*").alias("n"), F.percentile("travel_seconds", F.lit(0.5)).alias("median_attend_s"), F.mode(of, True).alias("common"))
     lead = best.orderBy(F.col("n").desc(), "gx", "gy").limit(top)
-    return lead.select(F.row_number().over(Window.orderBy(F.col("n").desc(), "gx", "gy")).alias("rank"), "gx", "gy", "n", (F.col("n") / days).alias("per_day"), "borough", "median_attend_s")
+    return lead.select(F.row_number().over(Window.orderBy(F.col("n").desc(), "gx", "gy")).alias("rank"), "gx", "gy", "n", (F.col("n") / days).alias("per_day"), "common", "median_attend_s")
