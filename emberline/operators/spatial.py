@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberline.functions import geo, times
 
 #: Up to so many sites are sent to every task; beyond, sites and points meet by grid cell.
-SMALL = 4000
+SMALL = 500
 
 
 def demand_weight(rows: DataFrame, weight: str | None = None, severity: str | None = None) -> DataFrame:
