@@ -16,6 +16,8 @@ from .common import cut, table, text_or_empty
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Groups of more distinct fingerprints than this are dealt out again by half of the bits that they vary in.
+WIDE = 1 << 16
 #: Children of a node of the hierarchical index.
 FAN = 4
 #: Node pairs that are looked at in one step; bounds memory.
@@ -162,24 +164,41 @@ def rooted(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return label
 
 
-def _masks(radius: int) -> list[int]:
-    """Masks of `radius` of 2 * radius blocks of the 64 bits: two words that differ in at most `radius` bits agree under one at least."""
-    n = max(2 * radius, 1)
-    cuts = [64 * i // n for i in range(n + 1)]
-    block = [((1 << (b - a)) - 1) << a for a, b in itertools.pairwise(cuts)]
-    return [sum(x) for x in itertools.combinations(block, n - radius)] if radius else [(1 << 64) - 1]
+def _masks(radius: int, fixed: int = 0) -> list[int]:
+    """Masks of `radius` of 2 * radius blocks of the bits outside `fixed`: two words that agree in `fixed` and differ in at most `radius` bits agree under one at least."""
+    free = [i for i in range(64) if not fixed >> i & 1]
+    n = max(min(2 * radius, len(free)), 1)
+    cuts = [len(free) * i // n for i in range(n + 1)]
+    block = [sum(1 << i for i in free[a:b]) for a, b in itertools.pairwise(cuts)]
+    return [fixed | sum(x) for x in itertools.combinations(block, n - radius)]
 
 
-def near_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _signed(masks: list[int]) -> list[int]:
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _groups(fps: DataFrame, radius: int, wide: int) -> DataFrame:
+    """mask, bits and fp: each fingerprint in every group of those that agree with it under a mask; groups of more than `wide` are dealt out by finer masks."""
+    masks = _masks(radius)
+    spread = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _signed(masks)])).alias("mask", "bits"))
+    large = cut(spread.groupBy("mask", "bits").agg(F.count("*").alias("n")).where(F.col("n") > wide).select("mask", "bits"), "large-groups")
+    small = spread.join(large, ["mask", "bits"], "left_anti").select("mask", "bits", "fp")
+    finer = F.array(*[F.array(*map(F.lit, _signed(_masks(radius, m)))) for m in masks])
+    again = spread.join(large, ["mask", "bits"]).select("fp", "mask", F.posexplode(F.element_at(finer, F.col("mask") + 1)).alias("part", "by"))
+    number = len(masks) + F.col("mask") * (1 << 10) + F.col("part")
+    return small.union(again.select(number.alias("mask"), F.col("fp").bitwiseAND(F.col("by")).alias("bits"), "fp"))
+
+
+def near_edges(fps: DataFrame, radius: int = RADIUS, wide: int = WIDE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose components are those of all pairs within `radius`.
 
     Each fingerprint goes to the groups of the masks that it agrees with
     others under; each group is searched by a GrayIndex and gives a star for
-    each of its components, fewer edges than members.
+    each of its components, fewer edges than members. Groups of more than
+    `wide` are dealt out by masks of half the bits that are left: at a radius of
+    3 such a part varies in 18 bits at most, so its size is bounded for good.
     """
-    masks = [m - (1 << 64) if m >> 63 else m for m in _masks(radius)]
-    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "bits")
-    spread = fps.select("fp", keys).repartition("mask", "bits").sortWithinPartitions("mask", "bits")
+    spread = _groups(fps, radius, wide).repartition("mask", "bits").sortWithinPartitions("mask", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((3, 0), dtype=np.int64)
@@ -259,9 +278,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The row with the smallest doc_id of each group of near duplicates, with all its columns; of equal rows, one."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first")
-    chosen = cut(grouped(docs, radius).groupBy("root").agg(first).select(F.col("first.key").alias("__key")).distinct(), "chosen")
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()))
-    return keyed.join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+    chosen = cut(grouped(docs, radius).groupBy("root").agg(first).select(F.col("first.key").alias("key"), F.col("first.doc_id").alias("id")).distinct(), "chosen")
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.withColumn("__id", doc_id).withColumn("__key", F.xxhash64(doc_id, text_or_empty()))
+    same = (keyed["__key"] == chosen.key) & keyed["__id"].eqNullSafe(chosen.id)
+    return keyed.join(chosen, same, "left_semi").dropDuplicates(["__id", "__key"]).select(docs.columns)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -44,7 +45,8 @@ def test_against_brute_force(spark, sf):
     assert got == {d: (f"{prints[d]:016x}", want[d]) for d in prints}
 
 
-def test_clusters_chains_and_bits(spark):
+@pytest.mark.parametrize("wide", [simhash.WIDE, 20])
+def test_clusters_chains_and_bits(spark, wide):
     rng = random.Random(9)
     values = set()
     for _ in range(12):
@@ -58,7 +60,7 @@ def test_clusters_chains_and_bits(spark):
     want = plain_components({i: v for i, v in enumerate(sorted(values))})
     signed = [v - (1 << 64) if v >> 63 else v for v in sorted(values)]
     fps = spark.createDataFrame([(v,) for v in signed], "fp long")
-    linked = simhash.components(simhash.near_edges(fps))
+    linked = simhash.components(simhash.near_edges(fps, wide=wide))
     rows = {r.node: r.root for r in linked.collect()}
     classes = {}
     for i, v in enumerate(signed):
@@ -69,6 +71,12 @@ def test_clusters_chains_and_bits(spark):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_parts_of_large_groups_are_bounded():
+    for m in simhash._masks(3):
+        assert {64 - x.bit_count() for x in simhash._masks(3, m)} <= {15, 16, 17, 18}
+        assert all(x & m == m for x in simhash._masks(3, m))
+
+
 def test_index_prunes_but_loses_nothing():
     rng = np.random.default_rng(1)
     values = np.unique(rng.integers(0, 1 << 14, 700, dtype=np.uint64) << np.uint64(20))
