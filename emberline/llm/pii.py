@@ -39,7 +39,7 @@ def luhn(digits: str) -> bool:
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
-        own = text[done:at]
+        own = text[max(done, text.rfind("@", done, at) + 1) : at]
         start = at - (len(own) - len(own.rstrip(_LOCAL)))
         m = _DOMAIN.match(text, at + 1) if start < at else None
         if m:
@@ -137,7 +137,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 seen.append([dict(zip(("start", "kind", "end", "instance", "patterns"), m, strict=True)) for m in mentions(text, spans)])
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(base, schema.field(2).type), pa.array(seen, schema.field(3).type)], names=schema.names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text_or_empty()).alias("key"), text_or_empty().alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text_or_empty()).alias("key"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, SCAN)
 
 

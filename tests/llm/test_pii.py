@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from emberline.llm import pii
 from tests.llm.helpers import corpus, docs
 
@@ -84,3 +86,13 @@ def test_odd_rows(spark):
     rows = pii.personal_data(df).collect()
     assert sorted(len(r.base) for r in rows) == [0, 0, 0, 1, 1]
     assert pii.personal_data(docs(spark, [])).count() == 0
+
+
+def test_many_signs_without_addresses_take_linear_time():
+    text = "word @ " * 200_000 + "a.b@c.de"
+    assert pii.base_spans(text) == [(len(text) - 8, 0, len(text))]
+
+
+def test_narrow_doc_ids_are_masked(spark):
+    df = docs(spark, [(1, "mail x@y.zz now"), (2, "none")]).withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert {r.text for r in pii.masked(df).collect()} == {"mail <email> now", "none"}
