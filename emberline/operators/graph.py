@@ -18,7 +18,15 @@ CONTRAFLOW_MOST_M, CONTRAFLOW_S, BLOCKED = 80.0, 12.0, 1e12
 SLOW_FACTOR, FAST_FACTOR, DEADEND_FACTOR = 1.12, 0.94, 1.35
 SLOW_ROADS = ("residential", "living_street", "service", "unclassified")
 FAST_ROADS = ("trunk", "trunk_link", "primary", "primary_link")
-NOT_DRIVABLE = {"access": "private|no", "motor_vehicle": "no", "motorcar": "no", "service": "alley|driveway|parking_aisle|private"}
+# Patterns of the tags that keep cars out, found anywhere in the tag.
+NOT_DRIVABLE = {
+    "area": "yes",
+    "access": "private",
+    "highway": "abandoned|bridleway|bus_guideway|construction|corridor|cycleway|elevator|escalator|footway|no|path|pedestrian|planned|platform|proposed|raceway|razed|rest_area|service|services|steps|track",
+    "motor_vehicle": "no",
+    "motorcar": "no",
+    "service": "alley|driveway|emergency_access|parking|parking_aisle|private",
+}
 SPEED_KPH = (5.0, 120.0)
 POINT_KINDS = ("signals", "calming", "crossing", "give_way")
 #: Graphs of so many edges are sent to every task for per-origin searches.
