@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import cut, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern is trusted from so many distinct known instances on, and this share of all its instances.
+#: A pattern is trusted from so many distinct known instances on, and this share of those that count.
 MIN_KNOWN, MIN_PRECISION = 3, 0.8
 #: An unseen identifier becomes known from this score on.
 MIN_SCORE = 0.8
@@ -142,32 +142,63 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, SCAN)
 
 
+def _like(kind: int):
+    """Whether an unknown instance has the shape of a kind, so that a pattern's unknown instances may be unseen ones of it."""
+    digits = F.length(F.regexp_replace("instance", "[^0-9]", ""))
+    bare = ~F.col("instance").rlike("[a-z%_@]")
+    return (
+        F.col("instance").rlike(r"@|[\[(]at[\])]"),
+        F.col("instance").rlike(r"^[0-9]{1,3}([ ./()-]+[0-9]{1,3}){3}$"),
+        bare & digits.between(12, 19),
+        bare & digits.between(7, 15),
+    )[kind]
+
+
+def judged(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """pattern, kind, f (distinct instances known as that kind) and errors.
+
+    Errors are instances of other kinds, unknown ones without the kind's shape,
+    and those with it beyond f: as many unseen identifiers as known ones don't
+    tell against a pattern, but three telephones among a thousand dates do.
+    """
+    kinds = range(len(KINDS))
+    rows = edges.join(known, "instance", "left")
+    n = [F.count("*").alias("n")]
+    n += [F.count(F.when(F.col("kind") == k, 1)).alias(f"f{k}") for k in kinds]
+    n += [F.count(F.when(F.col("kind").isNull() & _like(k), 1)).alias(f"u{k}") for k in kinds]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"f{k}").alias("f"), (F.col("n") - F.col(f"f{k}") - F.least(f"f{k}", f"u{k}")).alias("errors")) for k in kinds])).alias("j")
+    return rows.groupBy("pattern").agg(*n).where(f"n >= {MIN_KNOWN}").select("pattern", each).select("pattern", "j.*")
+
+
 def bootstrap(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """instance, kind and score of identifiers that contexts reveal.
 
     seen: instance, kind (-1: unknown) and pattern of each mention. In the
-    graph of patterns and instances, a pattern's precision for a kind is the
-    share of its distinct instances that are known as that kind; it is trusted
-    from MIN_KNOWN known instances and MIN_PRECISION on. An unknown instance
-    scores 1 - product(1 - precision) over the trusted patterns it is in, times
-    the share of its patterns that are trusted; from MIN_SCORE on it is known in
-    the next round. Ties between kinds go to the lower number.
+    graph of patterns and instances, a pattern's precision for a kind is
+    f / (f + errors) as judged() counts them; it is trusted from MIN_KNOWN
+    known instances and MIN_PRECISION on, and tells against the kind if it
+    isn't and has MIN_KNOWN errors. An unknown instance scores 1 - product(1 -
+    precision) over the trusted patterns it is in, times their share of those
+    that tell for or against; patterns too rare for either, as with a next word
+    that varies, are left out. From MIN_SCORE on it is known in the next round.
+    Ties between kinds go to the lower number.
     """
     edges = cut(seen.select("pattern", "instance").distinct(), "edges")
     known = cut(seen.where("kind >= 0").groupBy("instance").agg(F.min("kind").alias("kind")), "seeds")
     seeds = known
-    total = cut(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pattern-sizes")
-    degree = edges.groupBy("instance").agg(F.count("*").alias("degree"))
     fresh = None
     for _ in range(rounds):
-        hits = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("f")).where(F.col("f") >= MIN_KNOWN)
-        trusted = cut(hits.join(total, "pattern").withColumn("precision", F.col("f") / F.col("n")).where(F.col("precision") >= MIN_PRECISION).select("pattern", "kind", "precision"), "patterns")
+        precision = F.col("f") / (F.col("f") + F.col("errors"))
+        told = cut(judged(edges, known).withColumn("precision", F.when((F.col("f") >= MIN_KNOWN) & (precision >= MIN_PRECISION), precision)).where(f"precision IS NOT NULL OR errors >= {MIN_KNOWN}").select("pattern", "kind", "precision"), "patterns")
+        trusted = told.where("precision IS NOT NULL")
         if trusted.isEmpty():
             break
         open_edges = edges.join(seeds.select("instance"), "instance", "left_anti")
         miss = F.exp(F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-6)))))
         voted = open_edges.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - miss).alias("belief"), F.count("*").alias("votes"))
-        scored = voted.join(degree, "instance").withColumn("score", F.col("belief") * F.col("votes") / F.col("degree")).where(F.col("score") >= MIN_SCORE)
+        against = open_edges.join(voted.select("instance").distinct(), "instance").join(told.where("precision IS NULL"), "pattern").groupBy("instance", "kind").agg(F.count("*").alias("against"))
+        degree = F.col("votes") + F.coalesce("against", F.lit(0))
+        scored = voted.join(against, ["instance", "kind"], "left").withColumn("score", F.col("belief") * F.col("votes") / degree).where(F.col("score") >= MIN_SCORE)
         best = scored.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("rank"))).alias("b"))
         fresh = cut(best.select("instance", (-F.col("b.rank")).alias("kind"), F.col("b.score").alias("score")), "found")
         known = seeds.union(fresh.select("instance", "kind"))

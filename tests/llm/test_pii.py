@@ -74,6 +74,31 @@ def test_contexts_reveal_unseen_identifiers(spark):
     assert extra == {50: [("email", "user [at] host.example")], 51: [("phone", "555-0102-77")]}
 
 
+def revealed(spark, rows):
+    texts = dict(rows)
+    return {r.doc_id: [(pii.KINDS[x["kind"]], texts[r.doc_id][x["start"] : x["end"]]) for x in r.extra] for r in pii.personal_data(docs(spark, rows)).collect() if r.extra}
+
+
+def test_next_words_may_vary(spark):
+    """One left cue, and next words that are all different or come from few."""
+    for words in (1000, 40, 5):
+        rows = [(i, f"then call us on +1 (555) 010-{1000 + i} w{i % words} please") for i in range(60)]
+        rows += [(1000 + i, f"then call us on 555-0102-{10 + i} w{(500 + i) % words} please") for i in range(6)]
+        rows += [(2000 + i, f"the order number {1_000_000 + 37 * i} w{i % words} was sent") for i in range(12)]
+        assert revealed(spark, rows) == {1000 + i: [("phone", f"555-0102-{10 + i}")] for i in range(6)}
+
+
+def test_many_unseen_do_not_hide_each_other(spark):
+    """Four unseen among ten known are found; as dates outnumber the known, or with another shape, they tell against the cue."""
+    known = [(i, f"then call us on +1 (555) 010-{1000 + i}") for i in range(10)]
+    four = [(100 + i, f"then call us on 555-0102-{10 + i}") for i in range(4)]
+    assert revealed(spark, known + four) == {100 + i: [("phone", f"555-0102-{10 + i}")] for i in range(4)}
+    dates = [(200 + i, f"then call us on 2024-{10 + i // 28}-{1 + i % 28:02}") for i in range(60)]
+    assert revealed(spark, known + dates) == {}
+    codes = [(300 + i, f"then call us on ab{10_000 + i}") for i in range(4)]
+    assert revealed(spark, known + codes) == {}
+
+
 def test_masking(spark):
     df = docs(spark, [(1, "mail a.b@c.example now, 10.0.0.1"), (2, "né +1 (212) 555-0100 ñ"), (3, None), (None, "clean text"), (1, "mail a.b@c.example now, 10.0.0.1")])
     got = sorted((r.doc_id or 0, r.text, r.n_chars) for r in pii.masked(df).where("text IS NOT NULL").collect())
