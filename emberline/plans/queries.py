@@ -107,6 +107,19 @@ def _times(spark, d):
     return m.select("site_id", "cell_id", "w", (F.col("drive_s") + 60.0).alias("t")).persist()
 
 
+#: The same over all stations, candidates and cells; without SQL where a join of swaps, sites and cells is too slow in it.
+WHOLE = CAND + f""", tm AS (SELECT candidate_id AS site_id, layer, cell_id, weight AS w, greatest({fx.curve_sql(HAV('s.lon', 's.lat', 'c.lon', 'c.lat'))}, CAST(15 AS DOUBLE)) + 60 AS t FROM cand s CROSS JOIN cells c)"""
+
+
+def _all_times(spark, d):
+    """Times from every candidate to every cell, held in memory, and the existing sites."""
+    cells = _cells(spark, d)
+    sites = spatial.candidates(fx.stations(spark, d), cells, 20).persist()
+    m = spatial.travel_matrix(sites, cells)
+    existing = [r.candidate_id for r in sites.where("is_existing").orderBy("candidate_id").collect()]
+    return m.select("site_id", "cell_id", "w", (F.col("drive_s") + 60.0).alias("t")).persist(), existing
+
+
 def _existing(t: DataFrame) -> list[int]:
     return sorted(r.site_id for r in t.select("site_id").distinct().collect())[:8]
 
@@ -485,6 +498,51 @@ def random_baseline(spark, d):
     return facility.at_random(_times(spark, d).select("site_id").distinct(), 4)
 
 
+# ---- the same on all stations, candidates and cells ----
+@query("step:i site_id:i", WHOLE + _G3, _G3_BODY)
+def greedy_k3_all(spark, d):
+    return _steps(spark, facility.greedy(_all_times(spark, d)[0], 3))
+
+
+@query("step:i site_id:i", WHOLE + _C2, _C2_BODY)
+def coverage_greedy_k2_all(spark, d):
+    return _steps(spark, facility.greedy(_all_times(spark, d)[0], 2, facility.COVERAGE))
+
+
+@query("out_site:i in_site:i value:d")
+def best_swap_all(spark, d):
+    return facility.swap_values(*_all_times(spark, d))
+
+
+@query("out_site:i in_site:i value:d")
+def replace_r1_all(spark, d):
+    c = facility.replace(*_all_times(spark, d), 1)
+    return spark.createDataFrame([(o, i, c.value) for o, i in c.swaps], "out_site long, in_site long, value double")
+
+
+@query("value:d")
+def expand_m2_all(spark, d):
+    c = facility.expand(*_all_times(spark, d), 2)
+    return spark.createDataFrame([(c.value,)], "value double")
+
+
+@query("site_id:i assigned_demand:d assigned_share:d", WHOLE, "SELECT s.site_id, coalesce(sum(w), 0) AS assigned_demand, coalesce(sum(w), 0) / (SELECT sum(weight) FROM cells) AS assigned_share FROM (SELECT DISTINCT site_id FROM tm WHERE layer = 'existing_firehouse') s LEFT JOIN (SELECT cell_id, w, site_id FROM tm WHERE layer = 'existing_firehouse' QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY t, site_id) = 1) c ON c.site_id = s.site_id GROUP BY 1")
+def assigned_demand_all(spark, d):
+    return facility.assigned(*_all_times(spark, d))
+
+
+@query("site_id:i", CAND, "SELECT candidate_id AS site_id FROM cand ORDER BY md5(concat('0:', CAST(candidate_id AS VARCHAR))) LIMIT 4")
+def random_baseline_all(spark, d):
+    return facility.at_random(_all_times(spark, d)[0].select("site_id").distinct(), 4)
+
+
+@query("cell_id:i response_s:d", WHOLE, """SELECT cell_id, max(CASE WHEN r = 1 THEN (1 - p) * t END) + max(CASE WHEN r = 2 THEN t END) * max(CASE WHEN r = 1 THEN p END) AS response_s FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY t, site_id) AS r, CAST(site_id % 5 AS DOUBLE) / 10 AS p FROM tm WHERE layer = 'existing_firehouse') GROUP BY 1""")
+def busy_blend_response_all(spark, d):
+    t, sites = _all_times(spark, d)
+    p = spark.range(len(sites)).select(F.col("id").alias("site_id"), ((F.col("id") % 5).cast("double") / 10).alias("busy_prob"))
+    return facility.responses(t, sites, p)
+
+
 @query("label:s mode:s value:d n_swaps:i expected_response_s:d median_response_s:d p90_response_s:d coverage_share:d mean_s:d p90_s:d")
 def plan_summary(spark, d):
     st, inc = _parts(spark, d)
