@@ -381,6 +381,15 @@ def travel_matrix(spark, d):
     return spatial.travel_matrix(sites, some).join(crow, ["site_id", "cell_id"])
 
 
+@query("site_id:i cell_id:i drive_s:d crow_s:d", CAND, f"SELECT candidate_id AS site_id, cell_id, greatest({fx.curve_sql(HAV('c.lon', 'c.lat', 'x.lon', 'x.lat'))}, CAST(15 AS DOUBLE)) AS drive_s, 15 + {HAV('c.lon', 'c.lat', 'x.lon', 'x.lat')} * CAST(1.3 AS DOUBLE) / 28 * 3600 AS crow_s FROM cand c CROSS JOIN cells x")
+def travel_matrix_all(spark, d):
+    """travel_matrix() to all cells, not the heaviest fifty alone."""
+    cells = _cells(spark, d)
+    sites = spatial.candidates(fx.stations(spark, d), cells, 20)
+    crow = spatial.travel_matrix(sites, cells, "crow").withColumnRenamed("drive_s", "crow_s").drop("w")
+    return spatial.travel_matrix(sites, cells).join(crow, ["site_id", "cell_id"])
+
+
 @query("incident_id:i km:d", GRID + ", l0 AS (SELECT avg(lat) AS lat0 FROM cells)", "SELECT incident_id, min(sqrt(pow((c.lon - dest_lon) * 111.32 * cos(radians(lat0)), 2) + pow((c.lat - dest_lat) * 110.574, 2))) AS km FROM inc CROSS JOIN cells c CROSS JOIN l0 WHERE dest_lat IS NOT NULL GROUP BY 1")
 def snap_to_cells(spark, d):
     return spatial.snap_to_cells(fx.incidents(spark, d), _cells(spark, d))
@@ -546,13 +555,13 @@ def busy_blend_response_all(spark, d):
 @query("label:s mode:s value:d n_swaps:i expected_response_s:d median_response_s:d p90_response_s:d coverage_share:d mean_s:d p90_s:d")
 def plan_summary(spark, d):
     st, inc = _parts(spark, d)
-    return planner.plan(inc, st.where("station_id < 20"), "expand", 2, demand_years=TRAIN, eval_years=TEST).summary
+    return planner.plan(inc, st, "expand", 2, demand_years=TRAIN, eval_years=TEST).summary
 
 
 @query("plan_rank:i site_name:s assigned_share:d")
 def redesign(spark, d):
     st, inc = _parts(spark, d)
-    return planner.plan(inc, st.where("station_id < 12"), "redesign", 3, cell_km=4.0, top_cells=10).selected
+    return planner.plan(inc, st, "redesign", 3).selected
 
 
 # ---- scenarios ----

@@ -71,3 +71,18 @@ def test_parity(spark, sf, con, name):
     df, want = plans.QUERIES[name](spark, sf), con.sql(plans.ORACLES[name])
     assert df.columns == want.columns
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_plans_take_all_stations(spark, monkeypatch):
+    sf, seen = "/root/testdata/sf0.01", []
+
+    def plan(inc, st, *args, **kw):
+        seen.append((st.count(), args, set(kw) - {"demand_years", "eval_years"}))
+        raise StopIteration
+
+    monkeypatch.setattr(plans.planner, "plan", plan)
+    for name in ("plan_summary", "redesign"):
+        with pytest.raises(StopIteration):
+            plans.QUERIES[name](spark, sf)
+    n = plans.fx.table(spark, sf, "supplier").count()
+    assert seen == [(n, ("expand", 2), set()), (n, ("redesign", 3), set())]
