@@ -45,8 +45,14 @@ def _shaped_sql(ctes: str, body: str, columns: str) -> str:
     return (f"WITH {ctes} " if ctes else "") + f"SELECT {', '.join(out)} FROM ({body}) AS q"
 
 
-def query(columns: str, ctes: str = "", body: str | None = None):
+def query(columns: str, ctes: str = "", body: str | None = None, whole: str | None = None):
+    """Registers a query and its SQL; with whole, also NAME_all, which takes no side of the street grid, and whole as its SQL if it isn't empty."""
+
     def add(f: Callable[[SparkSession, str], DataFrame]):
+        if whole is not None:
+            QUERIES[f"{f.__name__}_all"] = lambda spark, sf_dir: _shaped(f(spark, sf_dir, None), columns)
+        if whole:
+            ORACLES[f"{f.__name__}_all"] = _shaped_sql(ctes.replace(ED, fx.ALL_EDGES_SQL), whole, columns)
         QUERIES[f.__name__] = lambda spark, sf_dir: _shaped(f(spark, sf_dir), columns)
         if body is not None:
             ORACLES[f.__name__] = _shaped_sql(ctes, body, columns)
@@ -657,52 +663,66 @@ def bootstrap_ci(spark, d):
 
 
 # ---- streets ----
-def _streets(spark, d):
+def _streets(spark, d, side=12):
     """The street grid with the attributes that features and costs read."""
-    e = fx.edges(spark, d)
+    e = fx.edges(spark, d, side)
+    side = side or fx.grid_side(spark, d)[0]
     kinds = F.array(*[F.lit(x) for x in ("primary", "residential", "trunk", "tertiary", "service", "secondary_link")])
     highway = F.element_at(kinds, (F.col("u") % 6 + 1).cast("int"))
-    xy = lambda n: F.struct((F.lit(-0.1) + (F.col(n) % 12) * 0.001).alias("x"), (F.lit(51.5) + F.floor(F.col(n) / 12) * 0.001).alias("y"))
+    xy = lambda n: F.struct((F.lit(-0.1) + (F.col(n) % side) * 0.001).alias("x"), (F.lit(51.5) + F.floor(F.col(n) / side) * 0.001).alias("y"))
     return e.select("u", "v", F.lit(0).alias("key"), "length", highway.alias("hw"), F.array(highway).alias("highway"), "oneway", F.when(F.col("u") % 4 > 0, F.concat(F.col("maxspeed").cast("string"), F.lit(" mph"))).alias("maxspeed"), F.when(F.col("v") % 3 == 0, "2;3").alias("lanes"),
         F.when(F.col("u") % 11 == 0, "no").alias("bridge"), F.lit(None).cast("string").alias("tunnel"), F.when(F.col("v") % 13 == 0, "roundabout").alias("junction"), F.array(F.col("u") * 1000 + F.col("v")).alias("osmid"), F.array(xy("u"), xy("v")).alias("geometry"),
         (F.col("u") % 7 == 3).alias("contraflow"), (F.col("u") % 17 == 5).alias("busway"), (F.col("v") % 19 == 4).alias("noexit"))
 
 
-def _points(spark, d):
-    n = spark.range(144).select(F.col("id").alias("n"))
-    return n.select((F.lit(-0.1) + (F.col("n") % 12) * 0.001).alias("lon"), (F.lit(51.5) + F.floor(F.col("n") / 12) * 0.001).alias("lat"), F.when(F.col("n") % 5 == 0, "traffic_signals").when(F.col("n") % 5 == 1, "crossing").when(F.col("n") % 5 == 2, "stop").alias("highway"), F.lit(None).cast("string").alias("crossing"), F.when(F.col("n") % 5 == 3, "hump").when(F.col("n") % 5 == 4, "no").alias("traffic_calming"))
+def _points(spark, d, side=12):
+    side, size = fx.grid_side(spark, d) if side is None else (side, side * side)
+    n = spark.range(size).select(F.col("id").alias("n"))
+    return n.select((F.lit(-0.1) + (F.col("n") % side) * 0.001).alias("lon"), (F.lit(51.5) + F.floor(F.col("n") / side) * 0.001).alias("lat"), F.when(F.col("n") % 5 == 0, "traffic_signals").when(F.col("n") % 5 == 1, "crossing").when(F.col("n") % 5 == 2, "stop").alias("highway"), F.lit(None).cast("string").alias("crossing"), F.when(F.col("n") % 5 == 3, "hump").when(F.col("n") % 5 == 4, "no").alias("traffic_calming"))
 
 
 _SE = ED + """, se AS (SELECT u, v, length, oneway, (['primary', 'residential', 'trunk', 'tertiary', 'service', 'secondary_link'])[CAST(u % 6 + 1 AS INT)] AS hw, CASE WHEN u % 4 > 0 THEN maxspeed END AS mph FROM ed),
 sf AS (SELECT *, CASE hw WHEN 'trunk' THEN 'major' WHEN 'primary' THEN 'primary' WHEN 'secondary_link' THEN 'secondary' WHEN 'tertiary' THEN 'tertiary' WHEN 'residential' THEN 'residential' ELSE 'minor' END AS road_class, CASE WHEN v % 3 = 0 THEN 2.5 END AS lanes, u % 11 = 0 AS bt, v % 13 = 0 AS rb, (u * 1000 + v) % 2 = 0 AS bl FROM se)"""
 
 
-def _features(spark, d):
-    bus = spark.range(144 * 1000 + 200).where("id % 2 = 0").select(F.col("id").alias("osmid"))
-    return graph.edge_features(_streets(spark, d), _points(spark, d), bus)
+def _features(spark, d, side=12):
+    streets = _streets(spark, d, side)
+    bus = streets.select(F.explode("osmid").alias("osmid")).where("osmid % 2 = 0").distinct()
+    return graph.edge_features(streets, _points(spark, d, side), bus)
+
+
+_EF_BODY = """SELECT u, v, length, road_class, mph AS maxspeed_mph, lanes, bt AS bridge_tunnel, rb AS roundabout, bl AS bus_lane, CAST(v % 5 = 0 AS INT) AS signals, CAST(v % 5 = 3 AS INT) AS calming, CAST(v % 5 = 1 AS INT) AS crossing, CAST(v % 5 = 2 AS INT) AS give_way, CASE v - u WHEN 1 THEN 90 WHEN 12 THEN 0 WHEN -1 THEN 270 ELSE 180 END AS bearing_start FROM sf"""
 
 
-@query("u:i v:i length:d road_class:s maxspeed_mph:d lanes:d bridge_tunnel:s roundabout:s bus_lane:s signals:i calming:i crossing:i give_way:i bearing_start:d", _SE, """SELECT u, v, length, road_class, mph AS maxspeed_mph, lanes, bt AS bridge_tunnel, rb AS roundabout, bl AS bus_lane, CAST(v % 5 = 0 AS INT) AS signals, CAST(v % 5 = 3 AS INT) AS calming, CAST(v % 5 = 1 AS INT) AS crossing, CAST(v % 5 = 2 AS INT) AS give_way, CASE v - u WHEN 1 THEN 90 WHEN 12 THEN 0 WHEN -1 THEN 270 ELSE 180 END AS bearing_start FROM sf""")
-def edge_features(spark, d):
-    return _features(spark, d).withColumn("bearing_start", F.pmod(F.round("bearing_start", 3), F.lit(360.0)))
+@query("u:i v:i length:d road_class:s maxspeed_mph:d lanes:d bridge_tunnel:s roundabout:s bus_lane:s signals:i calming:i crossing:i give_way:i bearing_start:d", _SE, _EF_BODY, whole=_EF_BODY.replace("WHEN 12 THEN", "WHEN (SELECT side FROM gr) THEN"))
+def edge_features(spark, d, side=12):
+    return _features(spark, d, side).withColumn("bearing_start", F.pmod(F.round("bearing_start", 3), F.lit(360.0)))
 
 
 _COST = """CASE WHEN u % 7 = 3 AND length > 80 THEN CAST(1e12 AS DOUBLE) WHEN u % 7 = 3 THEN length / 1000 / k * 3600 + 12 ELSE length / 1000 / k * 3600 END
   * CASE WHEN hw IN ('residential', 'service') THEN CAST(1.12 AS DOUBLE) WHEN hw IN ('trunk', 'primary') OR u % 17 = 5 THEN CAST(0.94 AS DOUBLE) ELSE 1 END * CASE WHEN v % 19 = 4 THEN CAST(1.35 AS DOUBLE) ELSE 1 END"""
 
 
-@query("u:i v:i cost_s:d", _SE, f"SELECT u, v, {_COST} AS cost_s FROM (SELECT *, CAST(coalesce(least(greatest(mph, 15), 70), 35) AS DOUBLE) AS k FROM se)")
-def edge_cost_policy(spark, d):
-    return graph.engine_cost(_streets(spark, d).drop("highway").withColumnRenamed("hw", "highway"))
+_EC_BODY = f"SELECT u, v, {_COST} AS cost_s FROM (SELECT *, CAST(coalesce(least(greatest(mph, 15), 70), 35) AS DOUBLE) AS k FROM se)"
+
+
+@query("u:i v:i cost_s:d", _SE, _EC_BODY, whole=_EC_BODY)
+def edge_cost_policy(spark, d, side=12):
+    return graph.engine_cost(_streets(spark, d, side).drop("highway").withColumnRenamed("hw", "highway"))
 
 
-@query("u:i v:i slowness:d", _SE, "SELECT u, v, least(greatest(CAST(1.4 AS DOUBLE) * 3600 / CASE WHEN mph IS NOT NULL THEN mph * CAST(1.609344 AS DOUBLE) WHEN hw = 'trunk' THEN 96 WHEN hw IN ('primary', 'tertiary', 'secondary_link') THEN 48 ELSE 32 END, CAST(30 AS DOUBLE)), CAST(720 AS DOUBLE)) AS slowness FROM se")
-def segment_slowness(spark, d):
-    rows, cols, _ = graph.segment_features(_streets(spark, d).drop("highway").withColumnRenamed("hw", "highway").withColumn("width", F.lit(None).cast("string")), F.lit(8))
+_SS_BODY = "SELECT u, v, least(greatest(CAST(1.4 AS DOUBLE) * 3600 / CASE WHEN mph IS NOT NULL THEN mph * CAST(1.609344 AS DOUBLE) WHEN hw = 'trunk' THEN 96 WHEN hw IN ('primary', 'tertiary', 'secondary_link') THEN 48 ELSE 32 END, CAST(30 AS DOUBLE)), CAST(720 AS DOUBLE)) AS slowness FROM se"
+
+
+@query("u:i v:i slowness:d", _SE, _SS_BODY, whole=_SS_BODY)
+def segment_slowness(spark, d, side=12):
+    rows, cols, _ = graph.segment_features(_streets(spark, d, side).drop("highway").withColumnRenamed("hw", "highway").withColumn("width", F.lit(None).cast("string")), F.lit(8))
     return rows.withColumn("slowness", graph.slowness(cols, graph.prior_weights()))
 
 
-def _origins(spark):
+def _origins(spark, d, side=12):
+    if side is None:
+        return fx.table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").cast("long").alias("origin"))
     return spark.createDataFrame([(0,), (77,), (143,)], "origin long")
 
 
@@ -711,34 +731,37 @@ _SP_BODY = """WITH RECURSIVE sp(origin, node, dist, hop) AS (SELECT o, o, CAST(0
   UNION ALL SELECT origin, node, dist, hop FROM (SELECT origin, e.v AS node, min(dist + length) AS dist, max(hop) + 1 AS hop FROM sp JOIN se2 e ON e.u = sp.node WHERE hop < 60 GROUP BY 1, 2)) SELECT origin, node, min(dist) AS dist FROM sp GROUP BY 1, 2"""
 
 
-@query("origin:i node:i dist:d", _SP, _SP_BODY)
-def shortest_paths(spark, d):
-    return graph.shortest_paths(fx.edges(spark, d), _origins(spark))
+@query("origin:i node:i dist:d", _SP, _SP_BODY, whole="")
+def shortest_paths(spark, d, side=12):
+    return graph.shortest_paths(fx.edges(spark, d, side), _origins(spark, d, side))
 
 
-@query("origin:i node:i dist:d", _SP, _SP_BODY)
-def paths_by_origin(spark, d):
-    return graph.search_by_origin(fx.edges(spark, d), _origins(spark))
+@query("origin:i node:i dist:d", _SP, _SP_BODY, whole="")
+def paths_by_origin(spark, d, side=12):
+    return graph.search_by_origin(fx.edges(spark, d, side), _origins(spark, d, side))
 
 
-@query("origin:i node:i length:d", _SP, _SP_BODY.replace("min(dist) AS dist FROM sp", "min(dist) AS length FROM sp"))
-def tree_sums(spark, d):
-    e = fx.edges(spark, d)
-    return graph.tree_sums(graph.shortest_paths(e, _origins(spark)), e, ["length"])
+@query("origin:i node:i length:d", _SP, _SP_BODY.replace("min(dist) AS dist FROM sp", "min(dist) AS length FROM sp"), whole="")
+def tree_sums(spark, d, side=12):
+    e = fx.edges(spark, d, side)
+    return graph.tree_sums(graph.shortest_paths(e, _origins(spark, d, side)), e, ["length"])
 
 
 _RATIOS = "share_major:d share_residential:d share_oneway:d share_20mph:d share_bus_lane:d share_bridge_tunnel:d mean_lanes:d junctions_per_km:d roundabouts_per_km:d signals_per_km:d"
 
 
-@query("origin:i node:i " + _RATIOS, _SE, """SELECT u AS origin, v AS node, CAST(road_class = 'major' AS INT) AS share_major, CAST(road_class = 'residential' AS INT) AS share_residential, CAST(oneway AS INT) AS share_oneway, CAST(coalesce(mph <= 20, false) AS INT) AS share_20mph, CAST(bl AS INT) AS share_bus_lane, CAST(bt AS INT) AS share_bridge_tunnel, lanes AS mean_lanes, 1000 / length AS junctions_per_km, CAST(rb AS INT) * 1000 / length AS roundabouts_per_km, CAST(v % 5 = 0 AS INT) * 1000 / length AS signals_per_km FROM sf""")
-def edge_ratios(spark, d):
-    return graph.route_ratios(graph.route_values(_features(spark, d)).withColumnRenamed("u", "origin").withColumnRenamed("v", "node"))
+_ER_BODY = """SELECT u AS origin, v AS node, CAST(road_class = 'major' AS INT) AS share_major, CAST(road_class = 'residential' AS INT) AS share_residential, CAST(oneway AS INT) AS share_oneway, CAST(coalesce(mph <= 20, false) AS INT) AS share_20mph, CAST(bl AS INT) AS share_bus_lane, CAST(bt AS INT) AS share_bridge_tunnel, lanes AS mean_lanes, 1000 / length AS junctions_per_km, CAST(rb AS INT) * 1000 / length AS roundabouts_per_km, CAST(v % 5 = 0 AS INT) * 1000 / length AS signals_per_km FROM sf"""
+
+
+@query("origin:i node:i " + _RATIOS, _SE, _ER_BODY, whole=_ER_BODY)
+def edge_ratios(spark, d, side=12):
+    return graph.route_ratios(graph.route_values(_features(spark, d, side)).withColumnRenamed("u", "origin").withColumnRenamed("v", "node"))
 
 
 @query("origin:i node:i " + _RATIOS + " n_turns:i")
 def route_ratios(spark, d):
-    e = graph.route_values(_features(spark, d))
-    paths = graph.shortest_paths(e, _origins(spark))
+    e = graph.route_values(_features(spark, d, None))
+    paths = graph.search_by_origin(e, _origins(spark, d, None)).persist()
     bends = graph.turns(paths, e)
     with_turns = e.withColumn("n_turns", F.lit(0.0))
     sums = graph.tree_sums(paths, with_turns, graph.ROUTE_VALUES)
@@ -747,13 +770,13 @@ def route_ratios(spark, d):
 
 @query("node:i")
 def largest_scc(spark, d):
-    return graph.largest_component(fx.edges(spark, d))
+    return graph.largest_component(fx.edges(spark, d, None))
 
 
 @query("name:s weight:d")
 def segment_fit(spark, d):
     """The speed model fitted to single edges whose times are the prior's with a tenth more."""
-    rows, cols, names = graph.segment_features(_streets(spark, d).drop("highway").withColumnRenamed("hw", "highway").withColumn("width", F.lit(None).cast("string")), F.lit(8))
+    rows, cols, names = graph.segment_features(_streets(spark, d, None).drop("highway").withColumnRenamed("hw", "highway").withColumn("width", F.lit(None).cast("string")), F.lit(8))
     km = F.col("length") / 1000
     w = fitting.ridge_to_prior(rows, [c * km for c in cols], km * graph.slowness(cols, graph.prior_weights()) * 1.1, graph.prior_weights())
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, w, strict=True)], "name string, weight double")

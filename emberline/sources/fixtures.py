@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,13 +72,20 @@ def mobilisations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str, side: int = 12) -> DataFrame:
-    """A grid of streets, some one-way."""
-    part = table(spark, sf_dir, "part").where(F.col("p_partkey") < side * side)
+def grid_side(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """The side of the least square grid that holds all of part, and its nodes."""
+    n = table(spark, sf_dir, "part").count()
+    return math.isqrt(max(n, 1) - 1) + 1, n
+
+
+def edges(spark: SparkSession, sf_dir: str, side: int | None = 12) -> DataFrame:
+    """A grid of streets, some one-way; over all of part without a side."""
+    side, n = grid_side(spark, sf_dir) if side is None else (side, side * side)
+    part = table(spark, sf_dir, "part").where(F.col("p_partkey") < n)
     u = F.col("p_partkey")
     step = F.explode(F.array(F.lit(1), F.lit(side))).alias("step")
     out = part.select(u.cast("long").alias("u"), "p_type", "p_size", step)
-    out = out.where(((F.col("step") == 1) & (F.col("u") % side < side - 1)) | ((F.col("step") == side) & (F.col("u") < side * (side - 1))))
+    out = out.where(((F.col("step") == 1) & (F.col("u") % side < side - 1) | (F.col("step") == side)) & (F.col("u") + F.col("step") < n))
     one = out.select("u", (F.col("u") + F.col("step")).alias("v"), _d(80 + (F.col("u") * 37 + F.col("step") * 11) % 120).alias("length"), (F.col("u") % 5 == 0).alias("oneway"), F.col("p_type").alias("road_class"), F.col("p_size").cast("int").alias("maxspeed"))
     back = one.where("NOT oneway").select(F.col("v").alias("u"), F.col("u").alias("v"), "length", "oneway", "road_class", "maxspeed")
     return one.unionByName(back)
@@ -109,6 +118,13 @@ EDGES_SQL = """one AS (SELECT CAST(p_partkey AS BIGINT) AS u, CAST(p_partkey + s
   FROM part CROSS JOIN (VALUES (1), (12)) s(step) WHERE p_partkey < 144 AND ((step = 1 AND p_partkey % 12 < 11) OR (step = 12 AND p_partkey < 132))),
 ed AS (SELECT * FROM one UNION ALL SELECT v, u, length, oneway, road_class, maxspeed FROM one WHERE NOT oneway)"""
 
+#: The grid over all of part.
+ALL_EDGES_SQL = """gr AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS side FROM part),
+one AS (SELECT CAST(p_partkey AS BIGINT) AS u, CAST(p_partkey + step AS BIGINT) AS v, CAST(80 + (p_partkey * 37 + step * 11) % 120 AS DOUBLE) AS length,
+  p_partkey % 5 = 0 AS oneway, p_type AS road_class, CAST(p_size AS INT) AS maxspeed
+  FROM part CROSS JOIN gr CROSS JOIN LATERAL (SELECT unnest([1, side]) AS step) s WHERE p_partkey + step < n AND (step <> 1 OR p_partkey % side < side - 1)),
+ed AS (SELECT * FROM one UNION ALL SELECT v, u, length, oneway, road_class, maxspeed FROM one WHERE NOT oneway)"""
+
 
 # greatest() and least() skip nulls in SQL; adding 0 times the value brings the null back.
 def haversine_sql(lon1: str, lat1: str, lon2: str, lat2: str, radius: float = 6371.0) -> str:

@@ -86,3 +86,31 @@ def test_plans_take_all_stations(spark, monkeypatch):
             plans.QUERIES[name](spark, sf)
     n = plans.fx.table(spark, sf, "supplier").count()
     assert seen == [(n, ("expand", 2), set()), (n, ("redesign", 3), set())]
+
+
+def test_streets_cover_part(spark, sf):
+    """All of part is in the graph, paths from all origins are the shortest, and the small grid is as it was."""
+    import heapq
+
+    fx = plans.fx
+    n = fx.table(spark, sf, "part").count()
+    rows = [tuple(r) for r in fx.edges(spark, sf, None).select("u", "v", "length").collect()]
+    side = next(x for x in range(n + 1) if x * x >= n)
+    assert n > 144 and {x for r in rows for x in r[:2]} == set(range(n))
+    assert {abs(v - u) for u, v, _ in rows} == {1, side} and fx.edges(spark, sf).count() == 474
+    out = {}
+    for u, v, c in rows:
+        out.setdefault(u, []).append((v, c))
+    want = {}
+    for origin in range(0, n, 20):
+        heap, done = [(0.0, origin)], {}
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u not in done:
+                done[u] = d
+                for v, c in out.get(u, ()):
+                    heapq.heappush(heap, (d + c, v))
+        want |= {(origin, v): d for v, d in done.items()}
+    for name in ("paths_by_origin_all", "tree_sums_all"):
+        assert {r[:2]: r[2] for r in run(spark, sf, name)} == want
+    assert {r[0] for r in run(spark, sf, "route_ratios")} == set(range(0, n, 20))
