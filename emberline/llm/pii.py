@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -16,7 +17,6 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_KNOWN, MIN_PRECISION = 3, 0.8
 #: An unseen identifier becomes known from this score on.
 MIN_SCORE = 0.8
-ROUNDS = 3
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -25,7 +25,11 @@ _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 #: What may be an identifier that the base patterns don't take: groups of digits, spelt-out addresses, words with several digits.
-_CANDIDATE = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9._-]{1,200}|[+(]?[0-9][0-9().\x20/-]{4,30}[0-9]|\b[A-Za-z-]{0,12}[0-9][A-Za-z0-9-]{4,40}")
+#: Each is a whole run, however long; runs begin where none goes on, so that a search is linear.
+_AT = r"[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9._-]+"
+_ADDRESS = re.compile(_AT)
+_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9._%+-]){_AT}|[+(]?[0-9][0-9().\x20/-]{{4,}}[0-9]|(?<![A-Za-z-])-*+([A-Za-z-]*+[0-9][A-Za-z0-9-]{{4,}})")
+_LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]*")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Code points before and after a candidate in which its context is read.
 REACH = 48
@@ -99,21 +103,35 @@ def _context(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def _candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Candidates in the gaps between base spans, from the left."""
+    at = 0
+    for lo, hi in [(a, b) for a, _, b in base] + [(len(text), len(text))]:
+        dead = -1  # the end of a run after which no address goes on
+        while at < lo:
+            m = _ADDRESS.match(text, at, lo) if at >= dead else None
+            if not m:
+                dead = max(dead, _LOCAL_RUN.match(text, at, lo).end())
+                m = _CANDIDATE.search(text, at, lo)
+            if not m:
+                break
+            yield m.span(m.lastindex or 0)
+            at = m.end()
+        at = max(at, hi)
+
+
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
     """(start, kind or -1, end, instance, patterns) of the base spans and of other strings that may be identifiers."""
     found = [(a, k, b, text[a:b].lower(), _context(text, a, b)) for a, k, b in base]
     if "@" not in text and "at)" not in text and "at]" not in text and not _DIGIT.search(text):
         return found
-    edges = [(a, b) for a, _, b in base]
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        if sum("0" <= c <= "9" for c in m[0]) < 5 and "@" not in m[0] and "at" not in m[0]:
-            continue
-        if any(x < b and a < y for x, y in edges):
+    for a, b in _candidates(text, base):
+        own = text[a:b]
+        if sum("0" <= c <= "9" for c in own) < 5 and "@" not in own and "at" not in own:
             continue
         patterns = _context(text, a, b)
         if patterns:
-            found.append((a, -1, b, m[0].lower(), patterns))
+            found.append((a, -1, b, own.lower(), patterns))
     return found
 
 
@@ -155,45 +173,46 @@ def _like(kind: int):
 
 
 def judged(edges: DataFrame, known: DataFrame) -> DataFrame:
-    """pattern, kind, f (distinct instances known as that kind) and errors.
+    """pattern, kind, f (distinct instances known as that kind), errors and wrong.
 
     Errors are instances of other kinds, unknown ones without the kind's shape,
     and those with it beyond f: as many unseen identifiers as known ones don't
     tell against a pattern, but three telephones among a thousand dates do.
+    wrong are the errors without those of the kind's shape.
     """
     kinds = range(len(KINDS))
     rows = edges.join(known, "instance", "left")
     n = [F.count("*").alias("n")]
     n += [F.count(F.when(F.col("kind") == k, 1)).alias(f"f{k}") for k in kinds]
     n += [F.count(F.when(F.col("kind").isNull() & _like(k), 1)).alias(f"u{k}") for k in kinds]
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"f{k}").alias("f"), (F.col("n") - F.col(f"f{k}") - F.least(f"f{k}", f"u{k}")).alias("errors")) for k in kinds])).alias("j")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"f{k}").alias("f"), (F.col("n") - F.col(f"f{k}") - F.least(f"f{k}", f"u{k}")).alias("errors"), (F.col("n") - F.col(f"f{k}") - F.col(f"u{k}")).alias("wrong")) for k in kinds])).alias("j")
     return rows.groupBy("pattern").agg(*n).where(f"n >= {MIN_KNOWN}").select("pattern", each).select("pattern", "j.*")
 
 
-def bootstrap(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(seen: DataFrame, rounds: int | None = None) -> DataFrame:
     """instance, kind and score of identifiers that contexts reveal.
 
     seen: instance, kind (-1: unknown) and pattern of each mention. In the
     graph of patterns and instances, a pattern's precision for a kind is
     f / (f + errors) as judged() counts them; it is trusted from MIN_KNOWN
     known instances and MIN_PRECISION on, and tells against the kind if it
-    isn't and has MIN_KNOWN errors. An unknown instance scores 1 - product(1 -
+    isn't and has MIN_KNOWN wrong ones. An unknown instance scores 1 - product(1 -
     precision) over the trusted patterns it is in, times their share of those
-    that tell for or against; patterns too rare for either, as with a next word
-    that varies, are left out. From MIN_SCORE on it is known in the next round.
-    Ties between kinds go to the lower number.
+    that tell for or against; others, as with a next word that varies or
+    with unseen identifiers alone, are left out. From MIN_SCORE on it is known from the next round
+    on. Rounds end when none is new, or after so many. Ties between kinds go to
+    the lower number.
     """
     edges = cut(seen.select("pattern", "instance").distinct(), "edges")
     known = cut(seen.where("kind >= 0").groupBy("instance").agg(F.min("kind").alias("kind")), "seeds")
-    seeds = known
-    fresh = None
-    for _ in range(rounds):
+    found = None
+    for _ in itertools.count() if rounds is None else range(rounds):
         precision = F.col("f") / (F.col("f") + F.col("errors"))
-        told = cut(judged(edges, known).withColumn("precision", F.when((F.col("f") >= MIN_KNOWN) & (precision >= MIN_PRECISION), precision)).where(f"precision IS NOT NULL OR errors >= {MIN_KNOWN}").select("pattern", "kind", "precision"), "patterns")
+        told = cut(judged(edges, known).withColumn("precision", F.when((F.col("f") >= MIN_KNOWN) & (precision >= MIN_PRECISION), precision)).where(f"precision IS NOT NULL OR wrong >= {MIN_KNOWN}").select("pattern", "kind", "precision"), "patterns")
         trusted = told.where("precision IS NOT NULL")
         if trusted.isEmpty():
             break
-        open_edges = edges.join(seeds.select("instance"), "instance", "left_anti")
+        open_edges = edges.join(known.select("instance"), "instance", "left_anti")
         miss = F.exp(F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(1e-6)))))
         voted = open_edges.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - miss).alias("belief"), F.count("*").alias("votes"))
         against = open_edges.join(voted.select("instance").distinct(), "instance").join(told.where("precision IS NULL"), "pattern").groupBy("instance", "kind").agg(F.count("*").alias("against"))
@@ -201,11 +220,14 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         scored = voted.join(against, ["instance", "kind"], "left").withColumn("score", F.col("belief") * F.col("votes") / degree).where(F.col("score") >= MIN_SCORE)
         best = scored.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("rank"))).alias("b"))
         fresh = cut(best.select("instance", (-F.col("b.rank")).alias("kind"), F.col("b.score").alias("score")), "found")
-        known = seeds.union(fresh.select("instance", "kind"))
-    return fresh if fresh is not None else known.select("instance", "kind", F.lit(0.0).alias("score")).where("false")
+        if fresh.isEmpty():
+            break
+        found = fresh if found is None else cut(found.union(fresh), "all-found")
+        known = cut(known.union(fresh.select("instance", "kind")), "known")
+    return found if found is not None else known.select("instance", "kind", F.lit(0.0).alias("score")).where("false")
 
 
-def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def personal_data(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """Spans of personal data in every row of docs (doc_id, text): doc_id, base, extra (arrays of start, kind, end).
 
     base are the spans of the four patterns, leftmost and non-overlapping by

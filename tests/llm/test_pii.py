@@ -99,6 +99,26 @@ def test_many_unseen_do_not_hide_each_other(spark):
     assert revealed(spark, known + codes) == {}
 
 
+def test_long_candidates_are_whole():
+    for own in ("a" * 100 + " [at] " + "b.c" * 100, "55 " * 20 + "55", "x" * 30 + "1" * 60, "ab-" * 9 + "12345"):
+        text = f"then call us on {own}, please"
+        assert [text[a:b] for a, _, b, _, _ in pii.mentions(text, [])] == [own]
+    text = "ring 10.0.0.1 555-0102-77 now"
+    assert [text[a:b] for a, k, b, _, _ in pii.mentions(text, pii.base_spans(text)) if k < 0] == ["555-0102-77"]
+    for part in ("a", "--a", "a-", "+123456", "1.", "%a@", "a (at) "):
+        assert len(pii.mentions(part * 50_000 + " 12345 ", [])) < 60_000
+
+
+def test_rounds_go_on_until_none_is_new(spark):
+    """Cue i reveals what cue i + 1 needs: six rounds."""
+    rows = [(i, f"zero call on +1 (555) 010-{1000 + i}") for i in range(6)]
+    for step in range(6):
+        for n in range(3):
+            own = f"555-{step}{n}02-77"
+            rows += [(100 + 10 * step + n, f"cue{step - 1} on {own}" if step else f"zero call on {own}"), (200 + 10 * step + n, f"cue{step} on {own}")]
+    assert len(revealed(spark, rows)) == 36  # two mentions of three a step
+
+
 def test_masking(spark):
     df = docs(spark, [(1, "mail a.b@c.example now, 10.0.0.1"), (2, "né +1 (212) 555-0100 ñ"), (3, None), (None, "clean text"), (1, "mail a.b@c.example now, 10.0.0.1")])
     got = sorted((r.doc_id or 0, r.text, r.n_chars) for r in pii.masked(df).where("text IS NOT NULL").collect())
