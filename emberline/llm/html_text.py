@@ -54,6 +54,7 @@ class Line:
     out: bool = False
     heading: bool = False
     paragraph: bool = False
+    listed: bool = False
     text: str = ""
 
 
@@ -73,15 +74,20 @@ def _marked(name: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
 
 
 class Lines(HTMLParser):
-    """Takes parser events and closes a line at every block boundary."""
+    """Takes parser events and closes a line at every block boundary.
 
-    def __init__(self) -> None:
+    With cancel, an article or main element undoes the marks that words of
+    class or id gave to the elements around it.
+    """
+
+    def __init__(self, cancel: bool = False) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.kinds: list[str] = []  # of containers, by number
         self.open: list[tuple[str, bool, int]] = []  # name, marked, container's number or -1
         self.marked = self.anchors = self.articles = 0
         self.now = Line()
+        self.cancel, self.by_words = cancel, {}  # by depth
 
     def _close_line(self) -> None:
         now = self.now
@@ -104,6 +110,12 @@ class Lines(HTMLParser):
         if tag == "p":
             self._pop_p()
         marked = _marked(tag, attrs, self.articles > 0)
+        self.by_words[len(self.open)] = marked and not _marked(tag, [x for x in attrs if x[0] not in ("class", "id")], self.articles > 0)
+        if self.cancel and tag in ("article", "main") and not self.articles:
+            for i, (name, m, n) in enumerate(self.open):
+                if m and self.by_words[i]:
+                    self.open[i] = (name, False, n)
+                    self.marked -= 1
         number = -1
         if tag in CONTAINERS:
             number = len(self.kinds)
@@ -153,6 +165,7 @@ class Lines(HTMLParser):
             self.now.inside = tuple(n for _, _, n in self.open if n >= 0)
             self.now.out = self.marked > 0
             self.now.heading = any(name in HEADINGS for name, *_ in self.open[-3:])
+            self.now.listed = any(name in ("li", "ul", "ol", "dl") for name, *_ in self.open)
             self.now.paragraph = any(name == "p" for name, *_ in self.open[-3:])
         elif data.strip() and not self.marked and self.now.out:
             self._close_line()  # text after a marked inline element
@@ -201,6 +214,12 @@ def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     lines = parser.finish()
+    named = {k for k, kind in enumerate(parser.kinds) if kind in ("article", "main")}
+    if named and not any(not x.out and named.intersection(x.inside) for x in lines):
+        # the articles are all marked: by a word of what is around them, perhaps
+        parser = Lines(cancel=True)
+        parser.feed(html)
+        lines = parser.finish()
     if not lines:
         return ""
     size = np.array([len(x.text) for x in lines], dtype=float)
@@ -230,7 +249,8 @@ def main_text(html: str) -> str:
     else:
         region = None
     if region is not None:
-        taken = [not o and not li and region in x.inside for x, o, li in zip(lines, out, links, strict=True)]
+        # a linked block of an article is part of it, unless it is in a list
+        taken = [not o and not (li and (x.listed or not named)) and region in x.inside for x, o, li in zip(lines, out, links, strict=True)]
     else:
         # no container: from the first content line, with the headings before it, to the last, with the paragraphs that go on from it
         at = np.flatnonzero(content)

@@ -58,3 +58,16 @@ def test_odd_rows(spark):
     rows = sorted((r.page_id or 0, r.url or "", r.n_chars) for r in html_text.extract(df).collect())
     assert rows == [(0, "u", len((LONG * 4000).strip())), (1, "", 0), (1, "", 0), (3, "v", 17)]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_linked_paragraphs_of_an_article_stay():
+    body = "<article><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in PARTS) + "<p><a href=1>A whole linked sentence.</a></p><ul><li><a href=2>More of it</a></ul></article>"
+    assert html_text.main_text(page(body)) == "\n".join(["Title", *(x.strip() for x in PARTS), "A whole linked sentence."])
+
+
+def test_wrappers_marked_by_a_word_keep_their_article():
+    inner = "<article><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in PARTS) + f"<div class=comments><p>{LONG}</p></div></article>"
+    want = "\n".join(["Title", *(x.strip() for x in PARTS)])
+    assert html_text.main_text(page(f"<div class='content with-sidebar'>{inner}</div><p>Other</p>")) == want
+    assert html_text.main_text(page(f"<div hidden class=sidebar>{inner}</div>")) == ""
+    assert html_text.main_text(page(f"<main>{inner}</main><div class=sidebar><article><p>{LONG}</p></article></div>")) == want
