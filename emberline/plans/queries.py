@@ -609,6 +609,13 @@ def closed_name_match(spark, d):
     return scenario.closed_matches(names, scenario.closed_sites(spark))
 
 
+@query("name:s closed:s tier:i")
+def closed_name_match_all(spark, d):
+    """The names of a table, stations and parts, not a few literal ones."""
+    names = fx.stations(spark, d).select(F.col("facilityname").alias("name")).unionByName(fx.table(spark, d, "part").select(F.col("p_name").alias("name")))
+    return scenario.closed_matches(names, scenario.closed_sites(spark))
+
+
 # ---- fitting ----
 @query("intercept:d slope:d", TRIPS, "SELECT regr_intercept(drive_s, road_km) AS intercept, regr_slope(drive_s, road_km) AS slope FROM trips")
 def ols_line(spark, d):
@@ -659,7 +666,7 @@ def pace_regression(spark, d):
 
 @query("name:s low:d high:d")
 def bootstrap_ci(spark, d):
-    return fitting.bootstrap(_trips(spark, d), 50)
+    return fitting.bootstrap(_trips(spark, d))
 
 
 # ---- streets ----
@@ -834,19 +841,19 @@ def _model_rows(spark, d):
 @query("model:s mae:d")
 def gbt_bag(spark, d):
     train, test = _model_rows(spark, d)
-    models = ml.fit_bag(train, seeds=(42, 43), trees=8, depth=3)
+    models = ml.fit_bag(train)
     return spark.createDataFrame([("trees", ml.mean_error(ml.predict_bag(models, test)))], "model string, mae double")
 
 
 @query("dropped:s mae:d change:d")
 def ablation(spark, d):
     train, test = _model_rows(spark, d)
-    return ml.ablation(train, test, {"distance": ["road_km", "crow_km"], "time": ["hour_of_call", "dow", "month", "rush", "night"]}, seeds=(42,), trees=4, depth=3)
+    return ml.ablation(train, test, {"distance": ["road_km", "crow_km"], "time": ["hour_of_call", "dow", "month", "rush", "night"], "busy": ["busy_flag"], "borough": ["borough_code"]})
 
 
 @query("feature:s rise:d")
 def importance(spark, d):
     train, test = _model_rows(spark, d)
-    models = ml.fit_bag(train, seeds=(42,), trees=4, depth=3)
+    models = ml.fit_bag(train)
     keyed = test.withColumn("key", F.col("incident_id") * 100 + F.col("pump_order"))
-    return ml.permutation_importance(models, keyed, "key", ["road_km", "hour_of_call"])
+    return ml.permutation_importance(models, keyed, "key")

@@ -114,3 +114,24 @@ def test_streets_cover_part(spark, sf):
     for name in ("paths_by_origin_all", "tree_sums_all"):
         assert {r[:2]: r[2] for r in run(spark, sf, name)} == want
     assert {r[0] for r in run(spark, sf, "route_ratios")} == set(range(0, n, 20))
+
+
+def test_models_have_their_operators_defaults(spark, sf, monkeypatch):
+    seen = []
+
+    def note(name):
+        def f(*args, **kw):
+            seen.append((name, args[1:], kw))
+            if name != "fit_bag":
+                raise StopIteration
+
+        return f
+
+    for module, name in ((plans.ml, "fit_bag"), (plans.ml, "ablation"), (plans.ml, "permutation_importance"), (plans.ml, "predict_bag"), (plans.fitting, "bootstrap"), (plans.scenario, "closed_matches")):
+        monkeypatch.setattr(module, name, note(name))
+    for name in ("gbt_bag", "importance", "ablation", "bootstrap_ci", "closed_name_match_all"):
+        with pytest.raises(StopIteration):
+            plans.QUERIES[name](spark, sf)
+    by = {name: (args, kw) for name, args, kw in seen}
+    assert by["fit_bag"] == ((), {}) and by["bootstrap"] == ((), {}) and by["permutation_importance"][0][1:] == ("key",)
+    assert {c for g in by["ablation"][0][1].values() for c in g} == set(plans.ml.FEATURES) and not by["ablation"][1]
