@@ -113,6 +113,70 @@ def test_collisions_remove_nothing(monkeypatch):
     assert seg.tolist() == [2] and nth.tolist() == [0]
 
 
+@pytest.mark.parametrize("hot", [sd.HOT, 2])
+@pytest.mark.parametrize("batch", [sd.BATCH, 3000])
+def test_common_anchors_and_short_slices(spark, monkeypatch, hot, batch):
+    """Anchors of all texts are common, and texts are cut into slices of 300 bytes."""
+    for name, value in (("HOT", hot), ("BATCH", batch), ("SLICE", 300), ("SAMPLED", 1), ("LEAST_COMMON", 3)):
+        monkeypatch.setattr(sd, name, value)
+    texts = made(7 + hot + batch)
+    df = docs(spark, list(texts.items())).repartition(3)
+    assert len(sd.common_anchors(sd._keyed(df))) > 20
+    assert got(df) == plain(texts)
+
+
+def by_text(df):
+    return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in sd.dedup(df).collect())
+
+
+def test_texts_without_ids_are_told_apart(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    texts = list({" ".join(rng.choices(words, k=rng.randrange(20, 40))) for _ in range(5000)})
+    for _ in range(300):  # some begin or end as others do
+        a, b = rng.randrange(len(texts)), rng.randrange(len(texts))
+        texts[a] = texts[a][:130] + texts[b][-130:]
+    texts = list(dict.fromkeys(texts))
+    df = docs(spark, [(None, t) for t in texts])
+    order = {r.text: i for i, r in enumerate(sd._keyed(df).selectExpr("string(raw) AS text", "tag", "sub").orderBy("tag", "sub").collect())}
+    want = plain({order[t]: t for t in texts})
+    rows = [(r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in sd.dedup(df).collect()]
+    assert sum(x[1] > 0 for x in rows) > 200 and sorted(rows) == sorted(want.values())
+
+
+def test_alike_hashes_remove_nothing_of_other_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    one, other = ("".join(rng.choices("abcdefgh ", k=n)) for n in (209, 240))
+    keyed = sd._keyed
+    monkeypatch.setattr(sd, "_keyed", lambda d: keyed(d).withColumn("tag", F.lit(5).cast("long")).withColumn("sub", F.lit(3)))
+    rows = [(1, one), (2, "ab " + one), (2, other), (None, one[:150]), (None, other[:120])]
+    kept = sorted((r.doc_id or 0, r.kept.decode()) for r in sd.dedup(docs(spark, rows)).collect())
+    # of two texts taken for one, repeats may stay; nothing that isn't one goes
+    allowed = [{one[:150]}, {other[:120]}, {one, one[150:]}, {"ab " + one, "ab "}, {other, other[120:]}]
+    assert len(kept) == 5 and all(any(k in a for _, k in kept) for a in allowed) and all(any(k in a for a in allowed) for _, k in kept)
+
+
+def test_copies_are_compared(spark, monkeypatch):
+    """All segments of an anchor seem to have one content: only what is equal goes."""
+    whole = sd.segments
+    monkeypatch.setattr(sd, "segments", lambda *a: whole(*a) | {"content": np.zeros(len(whole(*a)["content"]), dtype=np.uint64)})
+    rng = random.Random(13)
+    line, rest = ("".join(rng.choices("abcdefgh ", k=n)) for n in (90, 4000))
+    df = docs(spark, [(d, rest[100 * d : 100 * d + 80] + line + rest[100 * d + 2000 : 100 * d + 2080]) for d in range(20)])
+    assert all(r.n_removed == 0 for r in sd.dedup(df).collect())
+
+
+def test_a_long_text_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BATCH", 1 << 16)
+    rng = random.Random(14)
+    text = "".join(rng.choices("abcdefgh ", k=1_000_000))
+    rows = [(1, text + "Z" + text[500:200_000]), (2, text[:900_000]), (3, "zz" + text[300_000:300_400])]
+    out = sorted(tuple(r)[:4] for r in sd.dedup(docs(spark, rows)).collect())
+    assert out == [(1, 1_199_501, 199_500, 1), (2, 900_000, 900_000, 1), (3, 402, 400, 1)]
+
+
 def test_odd_rows(spark):
     long = "".join(random.Random(5).choices("abcdefgh ", k=400_000))
     rows = [(1, None), (2, ""), (5, long), (5, long), (None, long[:500]), (7, long[1000:1300] + "zz"), (8, "x" * 99), (9, "x" * 99)]
