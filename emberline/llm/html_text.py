@@ -31,51 +31,100 @@ NEVER = frozenset("head title script style noscript template nav footer aside fo
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td body html".split())
+LISTS = frozenset("ul ol dl menu dir".split())
+#: Elements before which an open paragraph ends, and those in which list items and cells of their own begin.
+ENDS_P = BLOCK - frozenset("body br caption dd dialog dt head html li option select summary tbody td tfoot th thead title tr".split())
+SCOPES = BLOCK - frozenset("address br dd div dt hr li option p tbody td tfoot th thead tr".split())
+#: By element: the open ones of its scope that it ends.
+IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "tbody": ("td", "th", "tr", "tbody", "thead"), "tfoot": ("td", "th", "tr", "tbody", "thead"), "thead": ("td", "th", "tr", "tbody", "thead")}
+_IN_SCOPE = frozenset(x for names in IMPLIED.values() for x in names)
+
 #: Words of class and id values that mark what isn't the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion "
-    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar skip "
-    "header masthead footer sidebar aside rail widget widgets related recommended trending popular "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall "
-    "comment comments commentlist respond replies disqus discussion share sharing social follow "
-    "form search legal copyright hidden".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar "
+    "header masthead footer sidebar aside rail widget widgets related recommended "
+    "cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login paywall "
+    "comment comments commentlist respond replies disqus share sharing social hidden".split()
+)
+#: Words that mark it only where the clusters agree.
+DOUBTFUL = frozenset("discussion follow form legal copyright overlay popular search skip trending".split())
+#: Words that say nothing beside a mark: a name made of marks and of these marks what isn't the article, whatever the clusters say.
+NEUTRAL = frozenset(
+    "a area bar block body bottom box buttons center col column container desktop global group holder inner item items js left line link links list "
+    "main mobile mod module outer page pane panel posts primary right row secondary section site slot stories sub sticky text thread title top unit wrap wrapper".split()
 )
-_MARK = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Words of names that belong to an article's own parts.
+OWN = frozenset("article content entry post story".split())
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+#: What a name or an element says about its text: nothing, not the article if the clusters agree, not the article.
+PLAIN, DOUBT, OUT = 0, 1, 2
 
 
 @dataclass
 class Line:
-    """One block of a page: its text, the tags in it, its link characters, and the containers around it."""
+    """One block of a page: its text, the tags in it, its link characters, and the innermost container around it."""
 
     parts: list[str] = field(default_factory=list)
     tags: int = 0
     linked: int = 0
-    inside: tuple[int, ...] = ()
+    inside: int = -1
     out: bool = False
+    doubt: int = -1  # containers that had opened before the innermost doubtful element
     heading: bool = False
     paragraph: bool = False
     listed: bool = False
     text: str = ""
 
 
-def _marked(name: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+def _named(value: str, in_article: bool) -> int:
+    """What a class or id value says, by the words of its names."""
+    worst = PLAIN
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        marks = [w in MARKS and not (w == "header" and (in_article or OWN.intersection(words))) for w in words]
+        if any(marks):
+            if all(m or w in NEUTRAL or w in DOUBTFUL for m, w in zip(marks, words, strict=True)):
+                return OUT
+            # one mark among other words may be the article's own matter ("share-prices"): the clusters say
+            worst = DOUBT
+        elif DOUBTFUL.intersection(words):
+            worst = DOUBT
+    return worst
+
+
+def _said(name: str, attrs: list[tuple[str, str | None]], in_article: bool) -> tuple[int, bool]:
+    """What an element says about its text, and whether by the words of its class or id alone."""
     if name in NEVER or (name == "header" and not in_article):
-        return True
-    if name in ("html", "body", "main", "article"):
-        return False
+        return OUT, False
+    words = PLAIN
     for key, value in attrs:
-        if key in ("class", "id") and value and any(w.lower() in MARKS for w in _MARK.findall(value)):
-            return not (in_article and "header" in value.lower() and name == "header")
-        if key == "role" and value and value.lower() in ROLES:
-            return True
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-    return False
+        if (key == "role" and value and value.lower() in ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true"):
+            return OUT, False
+        if key in ("class", "id") and value and name not in ("html", "body", "main", "article"):
+            words = max(words, _named(value, in_article))
+    return (words if words == OUT or name in BLOCK else PLAIN), True
+
+
+@dataclass
+class Open:
+    """An open element."""
+
+    name: str
+    said: int
+    words: bool
+    container: int
 
 
 class Lines(HTMLParser):
     """Takes parser events and closes a line at every block boundary.
 
+    Elements that html lets open end where their successors begin: paragraphs
+    before blocks, items, terms, rows and cells before the next of their list or
+    table. All searches among open elements go by index, so that time is linear in
+    the page however deep it nests.
+
     With cancel, an article or main element undoes the marks that words of
     class or id gave to the elements around it.
     """
@@ -84,10 +133,20 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.kinds: list[str] = []  # of containers, by number
-        self.open: list[tuple[str, bool, int]] = []  # name, marked, container's number or -1
-        self.marked = self.anchors = self.articles = 0
+        self.parent: list[int] = []  # container around a container, or -1
+        self.open: list[Open] = []
+        self.places: dict[str, list[int]] = {}  # of open elements, by name
+        self.blocks: list[int] = []  # places of open block elements
+        self.holders: list[int] = []  # numbers of open containers
+        self.scopes: list[dict[str, int]] = [{}]  # places of open items and cells, by scope
+        self.by_words: list[int] = []  # places of elements that words marked
+        self.doubts: list[tuple[int, int]] = []  # places of doubtful elements, and containers that had opened before
+        self.said = [0, 0, 0]
         self.now = Line()
-        self.cancel, self.by_words = cancel, {}  # by depth
+        self.cancel = cancel
+
+    def _count(self, *names: str) -> int:
+        return sum(len(self.places.get(n, ())) for n in names)
 
     def _close_line(self) -> None:
         now = self.now
@@ -99,84 +158,122 @@ class Lines(HTMLParser):
             tags = now.tags
         self.now = Line(tags=tags)
 
+    def _imply(self, tag: str) -> None:
+        """Ends what the start of `tag` ends."""
+        if tag == "body":  # ends an unclosed head
+            self._end("head")
+        if tag in ENDS_P and self.blocks and self.open[self.blocks[-1]].name == "p":
+            self._pop_from(self.blocks[-1])
+        if tag in HEADINGS and self.blocks and self.open[self.blocks[-1]].name in HEADINGS:
+            self._pop_from(self.blocks[-1])
+        at = min((self.scopes[-1][x] for x in IMPLIED.get(tag, ()) if x in self.scopes[-1]), default=-1)
+        if at >= 0:
+            self._pop_from(at)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self._close_line()
         self.now.tags += 1
+        self._imply(tag)
         if tag in VOID:
             return
-        if tag == "body":  # ends an unclosed head
-            self._pop_to("head")
-        if tag == "p":
-            self._pop_p()
-        marked = _marked(tag, attrs, self.articles > 0)
-        self.by_words[len(self.open)] = marked and not _marked(tag, [x for x in attrs if x[0] not in ("class", "id")], self.articles > 0)
-        if self.cancel and tag in ("article", "main") and not self.articles:
-            for i, (name, m, n) in enumerate(self.open):
-                if m and self.by_words[i]:
-                    self.open[i] = (name, False, n)
-                    self.marked -= 1
-        number = -1
+        in_article = self._count("article", "main") > 0
+        said, words = _said(tag, attrs, in_article)
+        if self.cancel and tag in ("article", "main") and not in_article:
+            for i in self.by_words:
+                self.said[self.open[i].said] -= 1
+                self.open[i].said = PLAIN
+                self.said[PLAIN] += 1
+            self.by_words.clear()
+            self.doubts.clear()
+        at, number = len(self.open), -1
+        if said == DOUBT:
+            self.doubts.append((at, len(self.kinds)))
         if tag in CONTAINERS:
             number = len(self.kinds)
             self.kinds.append(tag)
-        self.open.append((tag, marked, number))
-        self.marked += marked
-        self.anchors += tag == "a"
-        self.articles += tag in ("article", "main")
+            self.parent.append(self.holders[-1] if self.holders else -1)
+            self.holders.append(number)
+        self.open.append(Open(tag, said, words, number))
+        self.places.setdefault(tag, []).append(at)
+        self.said[said] += 1
+        if tag in BLOCK:
+            self.blocks.append(at)
+        if tag in SCOPES:
+            self.scopes.append({})
+        if tag in _IN_SCOPE:
+            self.scopes[-1][tag] = at
+        if said and words:
+            self.by_words.append(at)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _pop(self) -> None:
-        name, marked, _ = self.open.pop()
-        self.marked -= marked
-        self.anchors -= name == "a"
-        self.articles -= name in ("article", "main")
-
-    def _pop_to(self, tag: str) -> None:
-        if any(x[0] == tag for x in self.open):
-            while self.open[-1][0] != tag:
-                self._pop()
-            self._pop()
-
-    def _pop_p(self) -> None:
-        """A paragraph ends where the next begins in the same container."""
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == "p":
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if name in BLOCK or name in NEVER:
-                return
+    def _gone(self, x: Open, at: int) -> None:
+        self.places[x.name].pop()
+        self.said[x.said] -= 1
+        if self.by_words and self.by_words[-1] == at:
+            self.by_words.pop()
+        if self.doubts and self.doubts[-1][0] == at:
+            self.doubts.pop()
+
+    def _pop_from(self, at: int) -> None:
+        """Ends the element at this place and all that are in it."""
+        while len(self.open) > at:
+            x = self.open.pop()
+            if not x.name:
+                continue
+            self._gone(x, len(self.open))
+            if x.container >= 0:
+                self.holders.pop()
+            if x.name in BLOCK:
+                self.blocks.pop()
+            if x.name in SCOPES:
+                self.scopes.pop()
+            if self.scopes[-1].get(x.name) == len(self.open):
+                del self.scopes[-1][x.name]
+
+    def _end(self, tag: str) -> None:
+        own = self.places.get(tag)
+        if not own:
+            return
+        at = own[-1]
+        if tag not in BLOCK and tag not in NEVER and self.blocks and self.blocks[-1] > at:
+            # an inline element that began outside the block ends without it
+            x = self.open[at]
+            self._gone(x, at)
+            self.open[at] = Open("", PLAIN, False, -1)
+            return
+        self._pop_from(at)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self._close_line()
         self.now.tags += 1
         if tag not in VOID:
-            self._pop_to(tag)
+            self._end(tag)
 
     def handle_data(self, data: str) -> None:
+        out = self.said[OUT] > 0
         if not self.now.parts:
-            self.now.inside = tuple(n for _, _, n in self.open if n >= 0)
-            self.now.out = self.marked > 0
-            self.now.heading = any(name in HEADINGS for name, *_ in self.open[-3:])
-            self.now.listed = any(name in ("li", "ul", "ol", "dl") for name, *_ in self.open)
-            self.now.paragraph = any(name == "p" for name, *_ in self.open[-3:])
-        elif data.strip() and not self.marked and self.now.out:
+            near = [x.name for x in self.open[-3:]]
+            self.now.inside = self.holders[-1] if self.holders else -1
+            self.now.out, self.now.doubt = out, self.doubts[-1][1] if self.doubts else -1
+            self.now.heading = any(x in HEADINGS for x in near)
+            self.now.listed = self._count("li", *LISTS) > 0
+            self.now.paragraph = "p" in near
+        elif data.strip() and not out and self.now.out:
             self._close_line()  # text after a marked inline element
             self.handle_data(data)
             return
-        elif data.strip() and self.marked and not self.now.out:
+        elif data.strip() and out and not self.now.out:
             if "".join(self.now.parts).strip():
                 return  # a marked inline element within a line
             self.now.out = True
         self.now.parts.append(data)
-        if self.anchors:
+        if self.places.get("a"):
             self.now.linked += len(data.strip())
 
     def finish(self) -> list[Line]:
@@ -207,60 +304,86 @@ def threshold(x: np.ndarray) -> float:
     return t
 
 
-def main_text(html: str) -> str:
-    """The article of a page: its blocks joined by a newline."""
-    if not html:
-        return ""
+def _parsed(html: str) -> tuple[Lines, list[Line]]:
     parser = Lines()
     parser.feed(html)
     lines = parser.finish()
-    named = {k for k, kind in enumerate(parser.kinds) if kind in ("article", "main")}
-    if named and not any(not x.out and named.intersection(x.inside) for x in lines):
-        # the articles are all marked: by a word of what is around them, perhaps
-        parser = Lines(cancel=True)
-        parser.feed(html)
-        lines = parser.finish()
+    if "article" in parser.kinds or "main" in parser.kinds:
+        held = _within(parser, {k for k, kind in enumerate(parser.kinds) if kind in ("article", "main")})
+        if not any(not x.out and x.inside >= 0 and held[x.inside] for x in lines):
+            # the articles are all marked: by a word of what is around them, perhaps
+            parser = Lines(cancel=True)
+            parser.feed(html)
+            lines = parser.finish()
+    return parser, lines
+
+
+def _within(parser: Lines, regions: set[int]) -> list[bool]:
+    """By container: whether it is one of the regions or in one."""
+    out: list[bool] = []
+    for k, above in enumerate(parser.parent):  # containers are numbered as they open
+        out.append(k in regions or (above >= 0 and out[above]))
+    return out
+
+
+def main_text(html: str) -> str:
+    """The article of a page: its blocks joined by a newline.
+
+    The clusters of smoothed text-to-tag ratios give the content lines; the
+    innermost container that holds them is the region, or without one the lines
+    from the first to the last of them. Of the region all blocks are taken but
+    for those that an element, a role or an unmistakable class or id marks. Blocks with
+    a doubtful name, and lists of links outside an article element, are left out only if
+    they aren't content lines either.
+    """
+    if not html:
+        return ""
+    parser, lines = _parsed(html)
     if not lines:
         return ""
     size = np.array([len(x.text) for x in lines], dtype=float)
     out = np.array([x.out for x in lines])
-    links = np.array([x.linked for x in lines]) > LINKED * size
+    linked = np.array([x.linked for x in lines]) > LINKED * size
     ratio = size / np.array([max(1, x.tags) for x in lines])
-    ratio[out | links] = 0.0
+    ratio[out | linked] = 0.0
     if not ratio.any():
-        return ""
+        ratio = np.where(out, 0.0, size)  # links are all there is
+        if not ratio.any() or not any(kind in ("article", "main") for kind in parser.kinds):
+            return ""
     smooth = smoothed(ratio)
-    content = (smooth > min(threshold(smooth), float(smooth.mean()))) & ~out & ~links
+    high = smooth > min(threshold(smooth), float(smooth.mean()))
+    content = high & ~out & ~linked
     if not content.any():
-        content = ~out & ~links
+        content = ~out & ~linked if (~out & ~linked).any() else ~out
     # the smallest container that holds the content lines; an article or main element before others
-    weight: dict[int, float] = {}
+    weight = [0.0] * len(parser.kinds)
     for line, c, n in zip(lines, content, size, strict=True):
-        if c:
-            for k in line.inside:
-                weight[k] = weight.get(k, 0.0) + n
+        if c and line.inside >= 0:
+            weight[line.inside] += n
+    for k in range(len(weight) - 1, -1, -1):
+        if parser.parent[k] >= 0:
+            weight[parser.parent[k]] += weight[k]
     total = float(size[content].sum())
-    named = [k for k, w in weight.items() if parser.kinds[k] in ("article", "main") and w >= 0.5 * total]
-    held = [k for k, w in weight.items() if w >= HOLDS * total and parser.kinds[k] not in ("body", "html")]
-    if named:
-        region = max(named)  # the innermost: containers are numbered as they open
-    elif held:
-        region = max(held)
-    else:
-        region = None
-    if region is not None:
-        # a linked block of an article is part of it, unless it is in a list
-        taken = [not o and not (li and (x.listed or not named)) and region in x.inside for x, o, li in zip(lines, out, links, strict=True)]
+    named = [k for k, w in enumerate(weight) if w and parser.kinds[k] in ("article", "main") and w >= 0.5 * total]
+    held = [k for k, w in enumerate(weight) if w >= HOLDS * total and parser.kinds[k] not in ("body", "html")]
+    doubt = np.array([x.doubt for x in lines])
+    menu = linked & np.array([x.listed or not x.paragraph for x in lines]) & ~high
+    if named or held:
+        at = max(named or held)  # the innermost
+        region = _within(parser, {at})
+        inside = np.array([x.inside >= 0 and region[x.inside] for x in lines])
+        taken = inside & ~out & ~((doubt > at) & ~high) & ~(menu & (not named))
     else:
         # no container: from the first content line, with the headings before it, to the last, with the paragraphs that go on from it
         at = np.flatnonzero(content)
         first, last = int(at[0]), int(at[-1])
         while first and lines[first - 1].heading and not out[first - 1]:
             first -= 1
-        while last + 1 < len(lines) and lines[last].paragraph and lines[last + 1].paragraph and not out[last + 1] and not links[last + 1]:
+        while last + 1 < len(lines) and lines[last].paragraph and lines[last + 1].paragraph and not out[last + 1]:
             last += 1
-        taken = [first <= i <= last and not o and not li for i, (o, li) in enumerate(zip(out, links, strict=True))]
-    return "\n".join(x.text for x, t in zip(lines, taken, strict=True) if t)
+        place = np.arange(len(lines))
+        taken = (first <= place) & (place <= last) & ~out & ~((doubt >= 0) & ~high) & ~menu
+    return "\n".join(x.text for x, t in zip(lines, taken.tolist(), strict=True) if t)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -268,8 +391,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     text is the main text, whole: blocks in page order joined by a newline,
     white space within a block as one space, character references decoded.
-    Null and empty html, and pages without an article, have empty text. Null
-    ids and urls, and repeated rows, stay; other columns are ignored.
+    Null and empty html, and pages without an article, have empty text; an
+    empty table gives no rows. Very long pages take time and memory in proportion
+    to their length. Null ids and urls, and repeated rows, stay; other columns are
+    ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,7 +62,7 @@ def test_odd_rows(spark):
 
 def test_linked_paragraphs_of_an_article_stay():
     body = "<article><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in PARTS) + "<p><a href=1>A whole linked sentence.</a></p><ul><li><a href=2>More of it</a></ul></article>"
-    assert html_text.main_text(page(body)) == "\n".join(["Title", *(x.strip() for x in PARTS), "A whole linked sentence."])
+    assert html_text.main_text(page(body)) == "\n".join(["Title", *(x.strip() for x in PARTS), "A whole linked sentence.", "More of it"])
 
 
 def test_wrappers_marked_by_a_word_keep_their_article():
@@ -71,3 +71,38 @@ def test_wrappers_marked_by_a_word_keep_their_article():
     assert html_text.main_text(page(f"<div class='content with-sidebar'>{inner}</div><p>Other</p>")) == want
     assert html_text.main_text(page(f"<div hidden class=sidebar>{inner}</div>")) == ""
     assert html_text.main_text(page(f"<main>{inner}</main><div class=sidebar><article><p>{LONG}</p></article></div>")) == want
+
+
+BODY = "".join(f"<p>{x}</p>" for x in PARTS)
+TEXTS = [x.strip() for x in PARTS]
+
+
+@pytest.mark.parametrize(("inner", "want"), [
+    ("<div class='post-header'><h1>Title</h1></div>{p}", ["Title", *TEXTS]),
+    ("{p}<ul><li class=promo>Buy now<li>Plain one<li>Plain two</ul>", [*TEXTS, "Plain one", "Plain two"]),
+    ("{p}<p class=notice>We use cookies<h2>More</h2><p>And text.", [*TEXTS, "More", "And text."]),
+    ("{p}<p><a href=x>This whole sentence is a link.</a></p><p>End.</p>", [*TEXTS, "This whole sentence is a link.", "End."]),
+    ("{p}<p id=share-prices>Share prices fell.</p><p>End.</p>", [*TEXTS, "Share prices fell.", "End."]),
+    ("{p}<section class=discussion><h2>Discussion</h2><p>{l}</p></section>", [*TEXTS, "Discussion", LONG.strip()]),
+    ("{p}<dl><dt>Term<dd class=ad>Buy<dt>Other<dd>Its meaning</dl>", [*TEXTS, "Term", "Other", "Its meaning"]),
+    ("{p}<table><tr><td class=ad>Buy<td>Cell one<tr><td>Cell two</table><p>End.</p>", [*TEXTS, "Cell one", "Cell two", "End."]),
+    ("<b>{p}</b><p>End <i>of <b>it</i> all</b>.</p>", [*TEXTS, "End of it all."]),
+    ("{p}<ul class=social-share><li>Tweet<li>Post</ul><div id=comments><p>{l}</p></div><p class=ad-slot>{l}</p>", TEXTS),
+    ("<header><h1>Title</h1></header>{p}<footer>{l}</footer><form><p>{l}</p></form>", ["Title", *TEXTS]),
+])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div class=story>{}</div>"])
+def test_nothing_of_the_article_is_lost(inner, want, wrap):
+    if "<header>" in inner and "div" in wrap:
+        want = want[1:]  # without an article element, a header is the page's
+    body = inner.replace("{p}", BODY).replace("{l}", LONG)
+    text = html_text.main_text(page("<nav><a href=/>Home</a></nav>" + wrap.replace("{}", body) + "<div class=sidebar><p>" + LONG + "</p></div>"))
+    assert text.split("\n") == want
+
+
+@pytest.mark.parametrize("open_tag", ["<div>", "<b>", "<li>", "<p>x<b>", "<ul><li>", "<table><tr><td>", "<div class=ad>", "<article>", "<span><article></span>", "<div><li></li>", "<dd>a</b>", "<a href=x>"])
+def test_unclosed_tags_take_linear_time(open_tag):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text(page(open_tag * 80_000 + "word " * 10))
+    assert time.perf_counter() - began < 8
