@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,7 @@ class OpenBins:
     At most `most` bins are open. A bitset has bit f set if some open bin has
     free space f; the lowest set bit from `length` on is the best fit. Where
     none fits and `most` bins are open, the fullest, the lowest set bit of all,
-    closes for good.
+    closes for good; a piece that fills a bin alone needs no open one.
     """
 
     def __init__(self, capacity: int, most: int):
@@ -52,7 +51,7 @@ class OpenBins:
             free = length + (fits & -fits).bit_length() - 1
             b = self._take(free)
         else:
-            if self.held >= self.most:
+            if self.held >= self.most and length < self.capacity:
                 self._take((self.bits & -self.bits).bit_length() - 1)
             b, free = self.made, self.capacity
             self.made += 1
@@ -69,14 +68,15 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, ope
 
     A document is its word-BPE ids and then `end_id`. Documents longer than a
     sequence are cut into whole sequences and a rest; no other is cut. Each
-    input partition packs its rows in one pass with bounded memory (`open_bins`
-    bins, one Arrow batch) and no shuffle; the pieces of an Arrow batch arrive
-    longest first. A lost task is redone alone, with the same result as its
-    rows and their order are those of the input files.
-
-    Null text counts as empty (one piece of length 1); null doc_id stays null;
-    repeated rows are packed once each; an empty table gives no rows; other
-    columns are ignored.
+    input partition packs its rows in one pass, in their order, with bounded
+    memory (`open_bins` bins and one document's ids) and no shuffle; the size of Arrow
+    batches changes nothing. A lost task is redone alone, with the same result
+    as its rows and their order are those of the input files. Open bins of
+    different partitions aren't merged.
+
+    Null text counts as empty (one piece of length 1); very long texts are
+    encoded in slices; null doc_id stays null; repeated rows are packed once
+    each; an empty table gives no rows; other columns are ignored.
     """
     path = path or word_bpe.default_path()
 
@@ -84,22 +84,14 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, ope
         bpe, bins = word_bpe.loaded(path), OpenBins(sequence, open_bins)
         first = TaskContext.get().partitionId() << 32
         for batch in batches:
-            doc, piece, start, length, crc = [], [], [], [], []
+            out: list[list] = [[] for _ in range(7)]
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = bpe.encode(text.as_py())
-                ids.append(end_id)
-                raw = np.array(ids, dtype="<u4")
-                for p, s in enumerate(range(0, len(raw), sequence)):
-                    part = raw[s : s + sequence]
-                    doc.append(d)
-                    piece.append(p)
-                    start.append(s)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part))
-            places = np.empty((2, len(doc)), dtype=np.int64)
-            for i in np.argsort(-np.array(length, dtype=np.int64), kind="stable").tolist():
-                places[:, i] = bins.place(length[i])
-            out = [doc, piece, start, length, crc, first + places[0], places[1]]
+                ids = bpe.ids(text.as_py(), end_id)
+                for p, s in enumerate(range(0, len(ids), sequence)):
+                    part = ids[s : s + sequence]
+                    b, offset = bins.place(len(part))
+                    for column, x in zip(out, (d, p, s, len(part), zlib.crc32(part), first + b, offset), strict=True):
+                        column.append(x)
             yield pa.record_batch([pa.array(v, pa.int32() if i == 1 else pa.int64()) for i, v in enumerate(out)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, SCHEMA)

@@ -27,12 +27,13 @@ def write_stream(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     kind=0 rows are the blocks (the last of a file may be shorter). They say
     nothing about documents: each document's ids are followed by `end_id` and
-    run across block edges. kind=1 rows keep the order in which doc_ids went in.
+    run across block edges. A separator that is spelt out in a text is encoded
+    like other text. kind=1 rows keep the order in which doc_ids went in.
     """
     tokenizer = tokenizer or word_bpe.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, file = word_bpe.loaded(tokenizer), TaskContext.get().partitionId()
+        bpe, file = word_bpe.loaded(tokenizer, literal=True), TaskContext.get().partitionId()
         schema = pa.schema([("kind", pa.int32()), ("file", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("ordinal", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
         number = ordinal = 0
         held = bytearray()
@@ -46,9 +47,7 @@ def write_stream(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for x in part.column(1):
-                    ids = bpe.encode(x.as_py())
-                    ids.append(end_id)
-                    held += np.array(ids, dtype="<u2").tobytes()
+                    held += bpe.ids(x.as_py(), end_id).astype("<u2").tobytes()
                 full = len(held) // size
                 parts = [bytes(held[i * size : (i + 1) * size]) for i in range(full)]
                 del held[: full * size]

@@ -6,6 +6,9 @@ ids rise in merge order, ids and ranks are the same numbers. Texts with
 characters outside a plain Latin repertoire go through the file's own
 tokenizer, whose normaliser and pre-tokeniser treat them by tables of their
 own. Tests hold both ways against the tokenizer on whole texts.
+
+The contents of special tokens in a text get their ids, as with the tokenizer's
+own settings; or, with literal=True, are encoded like other text.
 """
 
 from __future__ import annotations
@@ -14,10 +17,14 @@ import functools
 import json
 import re
 
+import numpy as np
+
 #: Characters that the fast way covers: printable ASCII, its white space, Latin letters and common signs without U+0130 (its lower case has two characters), and typographic dashes and quotes.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r -~¡-¬®-įı-ſ‐-―‘-„…]*")
 #: In lower-cased plain text: the contractions of the vocabulary's pre-tokeniser, single digits, runs of neither letters nor digits.
 _BREAKS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼-¾]|[^\\sa-z0-9ª²³µ¹º¼-¾À-ÖØ-öø-ſ]+")
+#: Code points of a long text that are encoded together; a word isn't cut.
+SLICE = 1 << 20
 _BLANKS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 
@@ -35,15 +42,16 @@ def _byte_letters() -> dict[str, int]:
 
 
 class WordBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = literal
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.apart = re.compile("|".join(map(re.escape, special))) if special and not literal else None
         byte_of = _byte_letters()
         ranks = {}
         for token, i in spec["model"]["vocab"].items():
@@ -56,11 +64,22 @@ class WordBpe:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        if _PLAIN.fullmatch(text):
+        if _PLAIN.fullmatch(text) and not (self.apart and self.apart.search(text)):
             spaced = _BREAKS.sub(r" \g<0> ", text.lower().translate(_BLANKS) if not text.isascii() else _ascii_blanks(text.lower()))
             return self.fast.encode_ordinary(spaced + " ")
         return self.whole.encode(text, add_special_tokens=False).ids
 
+    def ids(self, text: str, end_id: int) -> np.ndarray:
+        """The text's ids and then end_id. Long texts are encoded in slices that end before a space or newline, which is never part of a token."""
+        parts, at = [], 0
+        while len(text) - at > SLICE:
+            stop = max(text.rfind(" ", at, at + SLICE), text.rfind("\n", at, at + SLICE))
+            if stop <= at:
+                stop = min((i for i in (text.find(" ", at + 1), text.find("\n", at + 1)) if i > 0), default=len(text))
+            parts.append(np.array(self.encode(text[at:stop]), dtype="<u4"))
+            at = stop
+        return np.concatenate([*parts, np.array([*self.encode(text[at:]), end_id], dtype="<u4")])
+
 
 def _ascii_blanks(text: str) -> str:
     for c in "\n\t\r\x0b\x0c":
@@ -69,6 +88,6 @@ def _ascii_blanks(text: str) -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def loaded(path: str) -> WordBpe:
-    """One encoder a process and path."""
-    return WordBpe(path)
+def loaded(path: str, literal: bool = False) -> WordBpe:
+    """One encoder a process, path and way with special tokens."""
+    return WordBpe(path, literal)

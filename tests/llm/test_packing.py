@@ -8,13 +8,12 @@ from tokenizers import Tokenizer
 from emberline.llm import packing, word_bpe
 from tests.llm.helpers import corpus, docs
 
-ODD = ["", " ", "Σας ΟΔΟΣ İstanbul", "don't WE'RE 'tis ''s it's", "naïve café — “quoted” … €5", "１２ ³ ½ x²", "áb é", "東京 タワー", "\x1c\x85\xa0x​y", "<|endoftext|> a", "tab\tnew\nline\x0b\x0c\r\n", "ǅ ŉ ß ſ ı ﬁ", "x" * 5000, "🙂🙂 ok", "a_b-c+d=e"]
+ODD = ["", " ", "Σας ΟΔΟΣ İstanbul", "don't WE'RE 'tis ''s it's", "naïve café — “quoted” … €5", "１２ ³ ½ x²", "áb é", "東京 タワー", "\x1c\x85\xa0x​y", "<|endoftext|> a", "hi <|endoftext|> there", "<|ENDOFTEXT|>", "x<|startoftext|>y<|endoftext|>", "<|endoftext |>", "é<|endoftext|>東", "tab\tnew\nline\x0b\x0c\r\n", "ǅ ŉ ß ſ ı ﬁ", "x" * 5000, "🙂🙂 ok", "a_b-c+d=e"]
 
 
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(word_bpe.default_path())
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
@@ -27,6 +26,18 @@ def test_ids_equal_the_tokenizers(reference, sf):
         assert bpe.encode(text) == reference(text), repr(text)
 
 
+def test_literal_specials_and_slices(monkeypatch, reference, sf):
+    t = Tokenizer.from_file(word_bpe.default_path())
+    t.encode_special_tokens = True
+    bpe = word_bpe.loaded(word_bpe.default_path(), literal=True)
+    for text in ODD:
+        assert bpe.encode(text) == t.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(word_bpe, "SLICE", 40)
+    bpe = word_bpe.loaded(word_bpe.default_path())
+    for text in [*ODD, " ".join(ODD) * 3, "a" * 90 + " b" * 90, *list(corpus(sf).values())[:60]]:
+        assert bpe.ids(text, 0).tolist() == [*reference(text), 0], repr(text)
+
+
 def brute_best_fit(lengths, capacity, most):
     bins, out = [], []  # open bins as [number, free]
     made = 0
@@ -36,7 +47,7 @@ def brute_best_fit(lengths, capacity, most):
             least = min(b[1] for b in fit)
             b = [x for x in bins if x[1] == least][-1]
         else:
-            if len(bins) >= most:
+            if len(bins) >= most and n < capacity:
                 bins.remove(min(bins, key=lambda x: x[1]))
             b = [made, capacity]
             made += 1
@@ -81,6 +92,22 @@ def test_pieces_are_whole_and_gapless(spark, sf, reference):
         assert at <= 2048
 
 
+def test_arrow_batches_change_nothing(spark, sf):
+    want = sorted(packing.op8_best_fit_packing(spark, sf).collect())
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        assert sorted(packing.op8_best_fit_packing(spark, sf).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_few_sequences(spark, sf):
+    """At most two hundredths more than the tokens need, but for what a partition leaves open."""
+    rows = packing.pack(spark.read.parquet(f"{sf.rpartition('/')[0]}/sf0.01/documents.parquet").coalesce(1)).collect()
+    bound = -(-sum(r.length for r in rows) // 2048)
+    assert len({r.sequence_id for r in rows}) <= 1.02 * bound + 2
+
+
 def test_odd_rows(spark):
     df = docs(spark, [(1, None), (1, None), (None, "a b"), (3, ""), (4, "word " * 3000)]).withColumnsRenamed({"lang": "piece"})
     rows = packing.pack(df).collect()
