@@ -13,7 +13,10 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Newton stops where every source's expected tokens are this near its target, relatively.
 TOLERANCE = 1e-9
-ROUNDS = 60
+#: Newton steps of a job, and of all jobs; bisection alone needs fewer than these.
+STEPS, ROUNDS = 3, 150
+#: Equal rows are numbered in so many parts, so that no task numbers all of a large group.
+PARTS = 64
 #: The rounding threshold is sought in so many buckets at a time, so many times over.
 BUCKETS, DEPTH = 1024, 3
 
@@ -64,33 +67,38 @@ def tilts(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
         .withColumn("high", F.when(F.col("solid"), F.lit(1.2) * F.col("scale") + 1)),
         "tilts",
     )
-    for _ in range(ROUNDS):
-        power = F.exp(F.least(F.lit(700.0), F.col("tilt") * F.col("size") / F.col("scale")))
-        mass = F.col("n") * F.col("size")
-        at = (
-            sizes.join(state.where("solid"), sizes.source.eqNullSafe(state.source))
-            .select(state["*"], mass.cast("double").alias("mass"), (F.col("size") / F.col("scale")).alias("x"), power.alias("power"))
-            .groupBy(*state.columns)
-            .agg(F.sum(F.col("mass") * F.least(F.lit(float(most)), F.col("power"))).alias("value"), F.sum(F.when(F.col("power") < most, F.col("mass") * F.col("x") * F.col("power")).otherwise(0.0)).alias("slope"))
-            .withColumn("gap", F.col("value") - F.col("target"))
-            .withColumn("low", F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("low")))
-            .withColumn("high", F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("high")))
-            .withColumn("newton", F.col("tilt") - F.col("gap") / F.nullif(F.col("slope"), F.lit(0.0)))
-            .withColumn("done", F.abs("gap") <= TOLERANCE * F.col("target"))
-            .withColumn("tilt", F.when(F.col("done"), F.col("tilt")).when((F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")), F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2))
-        )
-        moved = cut(at.select(*state.columns, "done").union(state.where("NOT solid").select("*", F.lit(True))), "tilts")
-        state = moved.drop("done")
-        if moved.where("NOT done").isEmpty():
+    for _ in range(0, ROUNDS, STEPS):
+        for _ in range(STEPS):
+            power = F.exp(F.least(F.lit(700.0), F.col("tilt") * F.col("size") / F.col("scale")))
+            mass = F.col("n") * F.col("size")
+            columns = [c for c in state.columns if c != "done"]
+            at = (
+                sizes.join(state.where("solid").drop("done"), sizes.source.eqNullSafe(state.source))
+                .select(*[state[c] for c in columns], mass.cast("double").alias("mass"), (F.col("size") / F.col("scale")).alias("x"), power.alias("power"))
+                .groupBy(*columns)
+                .agg(F.sum(F.col("mass") * F.least(F.lit(float(most)), F.col("power"))).alias("value"), F.sum(F.when(F.col("power") < most, F.col("mass") * F.col("x") * F.col("power")).otherwise(0.0)).alias("slope"))
+                .withColumn("gap", F.col("value") - F.col("target"))
+                .withColumn("low", F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("low")))
+                .withColumn("high", F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("high")))
+                .withColumn("newton", F.col("tilt") - F.col("gap") / F.nullif(F.col("slope"), F.lit(0.0)))
+                .withColumn("done", F.abs("gap") <= TOLERANCE * F.col("target"))
+                .withColumn("tilt", F.when(F.col("done"), F.col("tilt")).when((F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")), F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2))
+            )
+            state = at.select(*columns, "done").union(state.where("NOT solid").select(*columns, F.lit(True).alias("done")))
+        state = cut(state, "tilts")
+        open_ = state.where("NOT done")
+        if open_.isEmpty():
             break
+    else:
+        raise RuntimeError(f"no rates meet the targets after {ROUNDS} steps: {open_.select('source', 'target', 'tilt').limit(5).collect()}")
     return state.select("source", "source_size", "weight", "target", "scale", F.round("tilt", 10).alias("tilt"))
 
 
 def _rated(rows: DataFrame, state: DataFrame, most: int, seed: int) -> DataFrame:
-    """rows (doc_id, source, size) with state's columns, rate, whole (its whole part) and key; a null key marks rows at the full rate."""
+    """rows (source, size, same, nth) with state's columns, rate, whole (its whole part) and key; a null key marks rows at the full rate."""
     full = F.lit(float(most))
     rate = F.when(F.col("tilt").isNull(), full).otherwise(F.least(full, F.exp(F.least(F.lit(700.0), F.col("tilt") * F.col("size") / F.col("scale")))))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1 << 40)) / float(1 << 40)
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("same"), F.col("nth")), F.lit(1 << 40)) / float(1 << 40)
     own = state.withColumnRenamed("source", "__of")
     return (
         rows.join(own, rows.source.eqNullSafe(own["__of"]))
@@ -109,8 +117,34 @@ def _size():
     return F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
 
 
+def _same():
+    """Equal for rows with equal doc_id, text and source."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text_or_empty(), F.col("source"))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The values of `same` that several rows have."""
+    return cut(rows.groupBy("same").agg(F.count("*").alias("n")).where("n > 1").select("same"), "repeated")
+
+
+def _numbered(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """rows with nth, from 0 on among rows with one value of `same`.
+
+    Only rows that repeat are numbered, in PARTS parts whose counts add up. Which
+    of equal rows has which number is arbitrary; how many have each isn't.
+    """
+    alone = rows.join(repeated, "same", "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    several = rows.join(repeated, "same", "left_semi").withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    own = several.withColumn("nth", F.row_number().over(Window.partitionBy("same", "__part").orderBy("same")) - 1)
+    counts = own.groupBy("same", "__part").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("same").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("same", "__part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    numbered = own.join(before, ["same", "__part"]).withColumn("nth", (F.col("nth") + F.col("before")).cast("long"))
+    return alone.unionByName(numbered.select(alone.columns))
+
+
 def solve(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
-    """One row for each source of sized (doc_id, source, size): source_size, target, scale, tilt and edge, the threshold for one more copy."""
+    """One row for each source of sized (source, size, same, nth): source_size, target, scale, tilt and edge, the threshold for one more copy."""
     counts = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
     params = cut(tilts(counts, cut(source_targets(counts, weights, most), "targets"), most), "solved")
     base = _rated(sized, params, most, seed).groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure")).withColumnRenamed("source", "of")
@@ -146,25 +180,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     Columns: doc_id, source, size (words of the text), source_size, target (its
     source's tokens), rate, copies (0 to `most`) and taken (copies * size).
 
-    Rates become whole copies by a hash of doc_id: a row gets one more copy
-    where hash - fraction is below its source's threshold, and the threshold is
-    placed, by counting ever finer buckets, where the source's tokens come
-    nearest to its target. Nothing depends on partitioning, so reruns agree.
+    Rates become whole copies by a hash of doc_id, text, source and a number
+    among rows equal in these: a row gets one more copy where hash - fraction
+    is below its source's threshold, and the threshold is placed, by counting
+    ever finer buckets, where the source's tokens come nearest to its target.
+    Nothing depends on partitioning, so reruns agree.
 
     Null text has size 0. Null source is a source of its own, the last. Null
-    doc_ids hash alike; repeated rows get equal copies. Rows of size 0 take no
-    tokens. An empty table, or one without words, gives targets of 0.
+    doc_ids are as good as others; of repeated rows each is rounded on its own.
+    Rows of size 0 take no tokens. Very long texts are counted whole, where they lie. An
+    empty table, or one without words, gives targets of 0. Other columns are ignored.
+    Raises RuntimeError if the dual can't be solved.
     """
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size().alias("size")), "sizes")
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size().alias("size"), _same().alias("same")), "rows")
+    sized = cut(_numbered(rows, _repeated(rows)), "sizes")
     rated = _rated(sized, solve(sized, weights, most, seed), most, seed).withColumn("copies", _copies())
     return rated.select("doc_id", "source", "size", "source_size", "target", F.round("rate", 6).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as mix() takes it."""
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size().alias("size")), "sizes")
-    own = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("doc_id"), "source", _size().alias("size"))
-    rated = _rated(own, solve(sized, weights, most, seed), most, seed).withColumn("copies", _copies()).where("copies > 0")
+    """The rows of docs, with all their columns, each as often as mix() takes it.
+
+    Texts of rows that repeat are shuffled to be numbered, no others. Of rows equal
+    in doc_id, text and source but not in other columns, any may be the one that is taken.
+    """
+    rows = cut(docs.select("source", _size().alias("size"), _same().alias("same")), "rows")
+    repeated = _repeated(rows)
+    state = solve(cut(_numbered(rows, repeated), "sizes"), weights, most, seed)
+    own = _numbered(docs.select(F.struct(*docs.columns).alias("__row"), "source", "text", _same().alias("same")), repeated).withColumn("size", _size()).drop("text")
+    rated = _rated(own, state, most, seed).withColumn("copies", _copies()).where("copies > 0")
     return rated.select("__row", F.explode(F.sequence(F.lit(1), "copies"))).select("__row.*")
 
 

