@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import cut, pieces_of, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern is trusted from so many distinct known instances on, and this share of those that count.
@@ -135,28 +135,33 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     return found
 
 
-SCAN = "doc_id long, key long, base array<struct<start:int,kind:int,end:int>>, mentions array<struct<start:int,kind:int,end:int,instance:string,patterns:array<string>>>"
+SCAN = "doc_id long, key long, alt long, base array<struct<start:int,kind:int,end:int>>, mentions array<struct<start:int,kind:int,end:int,instance:string,patterns:array<string>>>"
+
+
+def _keys():
+    """Two hashes of doc_id and text, which together tell rows apart at any size of a corpus."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()).alias("key"), F.xxhash64(F.lit(7), text_or_empty()).alias("alt")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Each row's base spans and mentions. key tells rows apart (equal for equal doc_id and text)."""
+    """Each row's base spans and mentions. key and alt tell rows apart (equal for equal doc_id and text)."""
     import pyspark.sql.pandas.types as conv
     from pyspark.sql.types import _parse_datatype_string
 
     schema = conv.to_arrow_schema(_parse_datatype_string(SCAN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for whole in batches for b in pieces_of(whole)):
             base, seen = [], []
-            for x in batch.column(2):
+            for x in batch.column(3):
                 text = x.as_py()
                 spans = base_spans(text)
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
                 seen.append([dict(zip(("start", "kind", "end", "instance", "patterns"), m, strict=True)) for m in mentions(text, spans)])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(base, schema.field(2).type), pa.array(seen, schema.field(3).type)], names=schema.names)
+            yield pa.record_batch([*batch.columns[:3], pa.array(base, schema.field(3).type), pa.array(seen, schema.field(4).type)], names=schema.names)
 
     doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text_or_empty()).alias("key"), text_or_empty().alias("text"))
+    rows = docs.select(doc_id.alias("doc_id"), *_keys(), text_or_empty().alias("text"))
     return rows.mapInArrow(run, SCAN)
 
 
@@ -236,17 +241,18 @@ def personal_data(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     kind an index of KINDS.
 
     Null and empty texts have no spans. Null doc_ids stay; repeated rows stay
-    and have equal spans. Other columns are ignored.
+    and have equal spans; an empty table gives no rows. Texts of any length are
+    searched whole, in time in proportion to it. Other columns are ignored.
     """
     rows = cut(scan(docs), "spans")
-    flat = rows.select("key", F.explode("mentions").alias("m")).select("key", "m.*")
+    flat = rows.select("key", "alt", F.explode("mentions").alias("m")).select("key", "alt", "m.*")
     found = bootstrap(flat.select("instance", "kind", F.explode("patterns").alias("pattern")), rounds)
     extra = (
         flat.where("kind < 0").drop("kind").join(found, "instance")
-        .groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("extra"))
+        .groupBy("key", "alt").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("extra"))
     )
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return rows.join(extra, "key", "left").select("doc_id", "base", F.coalesce("extra", none).alias("extra"), "key")
+    return rows.join(extra, ["key", "alt"], "left").select("doc_id", "base", F.coalesce("extra", none).alias("extra"), "key", "alt")
 
 
 def _listed(spans):
@@ -269,22 +275,32 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def replaced(text: str, spans: list[int]) -> str:
+    """text with each span (start, kind, end, one after the other by start) as its kind in angle brackets, in one sweep; spans that begin within another are part of it."""
+    out, at, end = [], 0, 0
+    for start, kind, stop in zip(spans[::3], spans[1::3], spans[2::3], strict=True):
+        if start >= end:
+            out += [text[at:start], f"<{KINDS[kind]}>"]
+        at = end = max(end, stop)
+    return "".join([*out, text[at:]])
+
+
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with each span of personal data replaced by its kind in angle brackets, n_chars counted anew; all columns and rows kept."""
-    spans = personal_data(docs).select("key", F.array_sort(F.concat("base", "extra")).alias("spans")).dropDuplicates(["key"])
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()))
-    joined = keyed.join(spans.withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans"), "__key", "left")
-    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    # (text so far, end of the last span): spans that begin within the last one are part of it
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc, x):
-        tail = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1))
-        return F.when(x["start"] >= acc["at"], F.struct(tail.alias("out"), x["end"].alias("at"))).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at")))
-
-    def finish(acc):
-        return F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1)))
-
-    text = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, finish)).otherwise(F.col("text"))
-    out = joined.withColumn("__text", text)
+    """docs with each span of personal data replaced by its kind in angle brackets, n_chars counted anew; all columns and rows kept.
+
+    Rows that personal_data() finds nothing in stay as they are, null texts
+    too. An empty table stays empty.
+    """
+
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if not x.is_valid else replaced(x.as_py(), y) for x, y in zip(texts, spans.to_pylist(), strict=True)], pa.string())
+
+    spans = F.array_sort(F.concat("base", "extra"))
+    flat = F.flatten(F.transform(spans, lambda x: F.array(x["start"], x["kind"], x["end"])))
+    found = personal_data(docs).select(F.col("key").alias("__key"), F.col("alt").alias("__alt"), flat.alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__key", "__alt"])
+    key, alt = _keys()
+    joined = docs.withColumn("__key", key).withColumn("__alt", alt).join(found, ["__key", "__alt"], "left")
+    hit = F.col("__spans").isNotNull()
+    out = joined.withColumn("__new", without(F.when(hit, F.col("text")), "__spans")).withColumn("__text", F.when(hit, F.col("__new")).otherwise(F.col("text")))
     return out.select(*[F.col("__text").alias("text") if c == "text" else F.length("__text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])

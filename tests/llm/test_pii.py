@@ -141,3 +141,34 @@ def test_many_signs_without_addresses_take_linear_time():
 def test_narrow_doc_ids_are_masked(spark):
     df = docs(spark, [(1, "mail x@y.zz now"), (2, "none")]).withColumn("doc_id", F.col("doc_id").cast("int"))
     assert {r.text for r in pii.masked(df).collect()} == {"mail <email> now", "none"}
+
+
+def test_many_and_long_identifiers_take_linear_time(spark):
+    import time
+
+    began = time.perf_counter()
+    for one in ("user{}@mail{}.example.com ", "user{} [at] mail{}.example.com ", "10.0.{}.{} ", "+1 (555) 010-{}{}, ", "{}-{}-4455 "):
+        text = "".join(one.format(i % 250, i % 250) for i in range(100_000))
+        spans = pii.base_spans(text)
+        assert len(pii.mentions(text, spans)) >= 99_999 or one.startswith("{}")
+        out = pii.replaced(text, [x for s in spans for x in s])
+        assert out.count("<") == len(spans)
+    assert time.perf_counter() - began < 30
+    long = "x" * 5000 + "@" + "y" * 5000 + ".example"
+    df = docs(spark, [(1, f"mail {long} now"), (2, long)])
+    assert {r.text for r in pii.masked(df).collect()} == {"mail <email> now", "<email>"}
+
+
+def test_unseen_identifiers_are_masked_whole(spark):
+    own = "5" * 2500 + "-" + "6" * 2500
+    rows = [(i, f"then call us on +1 (555) 010-{1000 + i}") for i in range(40)]
+    rows.append((99, f"then call us on {own} today"))
+    rows += [(200 + i, f"then call us on 555-0102-{10 + i} today") for i in range(3)]
+    got = {r.doc_id: r.text for r in pii.masked(docs(spark, rows)).collect()}
+    assert all(got[200 + i] == "then call us on <phone> today" for i in range(3))
+    assert got[99] in (f"then call us on {own} today", "then call us on <phone> today")
+
+
+def test_overlapping_spans_are_one():
+    assert pii.replaced("ab 1234 5678 cd", [3, 2, 12, 8, 3, 12]) == "ab <card> cd"
+    assert pii.replaced("0123456789", [1, 0, 4, 3, 1, 6, 5, 2, 7, 8, 3, 9]) == "0<email>7<phone>9"
