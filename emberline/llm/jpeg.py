@@ -7,14 +7,15 @@ for the rest, so that the DC-only thumbnail has the first byte of each block as
 its pixel. A comment marker holds the payload's length.
 
 The reader knows nothing of that: it parses markers, Huffman-decodes the
-baseline scan of images with one to four components, sampling factors and
-restart intervals, all restart intervals of a batch of images in step, and
-returns coefficients, from which thumbnails are made.
+baseline scans, one or several, of images with one to four components, sampling
+factors and restart intervals, all restart intervals of a batch of images in
+step, and returns coefficients, from which thumbnails are made.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -155,33 +156,49 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return files
 
 
+@dataclass
+class Scan:
+    """One scan: where its data lie, its restart interval, MCUs across and down, and by component its number in the frame, sampling and tables."""
+
+    start: int
+    stop: int
+    restart: int
+    across: int
+    down: int
+    members: list[tuple[int, int, int, bytes, bytes]]
+
+
 @dataclass
 class Parsed:
-    """What the markers before a scan say."""
+    """What an image's markers say."""
 
     width: int = 0
     height: int = 0
-    restart: int = 0
     comment: bytes = b""
     quant: dict[int, np.ndarray] = field(default_factory=dict)
-    #: By component in scan order: horizontal and vertical sampling, quantiser, DC and AC table.
-    parts: list[tuple[int, int, int, bytes, bytes]] = field(default_factory=list)
-    scan: int = 0
+    #: By component of the frame: horizontal and vertical sampling, quantiser.
+    parts: list[tuple[int, int, int]] = field(default_factory=list)
+    scans: list[Scan] = field(default_factory=list)
 
-    @property
-    def across(self) -> int:
-        return -(-self.width // (8 * max(p[0] for p in self.parts)))
 
-    @property
-    def down(self) -> int:
-        return -(-self.height // (8 * max(p[1] for p in self.parts)))
+#: A marker that ends a scan's data: none of a stuffed byte, a restart marker or a fill byte.
+_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
 
 def parse(data: bytes) -> Parsed:
-    """The markers of a baseline JPEG up to its scan."""
+    """The markers of a baseline JPEG, up to the scan in which its last component comes."""
+    try:
+        return _parsed(data)
+    except (struct.error, IndexError, KeyError, ValueError) as e:
+        raise e if isinstance(e, JpegError) else JpegError(f"a short or broken segment: {e!r}") from e
+
+
+def _parsed(data: bytes) -> Parsed:
     if data[:2] != b"\xff\xd8":
         raise JpegError("no start of image")
-    out, at, frame, tables = Parsed(), 2, {}, {}
+    out, at, restart, tables = Parsed(), 2, 0, {}
+    number: dict[int, int] = {}
+    seen: set[int] = set()
     while True:
         while data[at : at + 2] == b"\xff\xff":
             at += 1
@@ -193,35 +210,62 @@ def parse(data: bytes) -> Parsed:
         if marker == 0xDB:
             while body:
                 wide = body[0] >> 4
-                out.quant[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else "u1").astype(np.int64)
+                steps = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else "u1").astype(np.int64)
+                if len(steps) < 64:
+                    raise JpegError("a short quantiser")
+                out.quant[body[0] & 15] = steps
                 body = body[65 + 64 * wide :]
         elif marker == 0xC4:
             while body:
                 k = 17 + sum(body[1:17])
+                if len(body) < k or sum(c << (16 - i) for i, c in enumerate(body[1:17], 1)) > 1 << 16:
+                    raise JpegError("a broken code table")
                 tables[body[0]] = body[1:k]
                 body = body[k:]
         elif marker == 0xDD:
-            out.restart = int.from_bytes(body[:2], "big")
+            restart = int.from_bytes(body[:2], "big")
         elif marker == 0xFE:
             out.comment = body
         elif marker == 0xC0:
-            _, out.height, out.width, count = struct.unpack(">BHHB", body[:6])
+            bits, out.height, out.width, count = struct.unpack(">BHHB", body[:6])
+            if bits != 8 or not out.height or not out.width or not 1 <= count <= 4:
+                raise JpegError("not an 8-bit frame of 1 to 4 components with width and height")
+            out.parts = []
             for i in range(count):
                 c, hv, q = body[6 + 3 * i : 9 + 3 * i]
-                frame[c] = (hv >> 4, hv & 15, q)
+                if not 1 <= hv >> 4 <= 4 or not 1 <= hv & 15 <= 4:
+                    raise JpegError("a sampling factor out of range")
+                number[c] = i
+                out.parts.append((hv >> 4, hv & 15, q) if count > 1 else (1, 1, q))
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise JpegError(f"not baseline: frame {marker:#x}")
         elif marker == 0xDA:
-            if body[0] != len(frame) or not frame:
-                raise JpegError("the scan must hold all components")
-            for i in range(body[0]):
-                c, t = body[1 + 2 * i], body[2 + 2 * i]
-                h, v, q = frame[c] if len(frame) > 1 else (1, 1, frame[c][2])
-                out.parts.append((h, v, q, tables[t >> 4], tables[16 | (t & 15)]))
-            out.scan = at
-            return out
+            stop = _MARKER.search(data, at)
+            scan = _scan(out, [(number[body[1 + 2 * i]], body[2 + 2 * i]) for i in range(body[0])], tables, restart, at, stop.start() if stop else len(data))
+            if seen.intersection(m[0] for m in scan.members) or not scan.members:
+                raise JpegError("a component comes twice, or none")
+            out.scans.append(scan)
+            seen.update(m[0] for m in scan.members)
+            if len(seen) == len(out.parts):
+                return out
+            at = scan.stop
         elif marker == 0xD9:
-            raise JpegError("no scan")
+            raise JpegError("a component has no scan")
+
+
+def _scan(p: Parsed, own: list[tuple[int, int]], tables: dict[int, bytes], restart: int, start: int, stop: int) -> Scan:
+    wide, high = max(x[0] for x in p.parts), max(x[1] for x in p.parts)
+    if len(own) == 1:  # one component: its own blocks, none beyond the image
+        i, t = own[0]
+        h, v, _ = p.parts[i]
+        across, down = -(-(-(-p.width * h // wide)) // 8), -(-(-(-p.height * v // high)) // 8)
+        members = [(i, 1, 1, tables[t >> 4], tables[16 | (t & 15)])]
+    else:
+        across, down = -(-p.width // (8 * wide)), -(-p.height // (8 * high))
+        members = [(i, *p.parts[i][:2], tables[t >> 4], tables[16 | (t & 15)]) for i, t in own]
+    if across * down * sum(h * v for _, h, v, *_ in members) * 2 > 8 * (stop - start):
+        raise JpegError("fewer than two bits a block")
+    return Scan(start, stop, restart, across, down, members)
 
 
 @functools.lru_cache(maxsize=64)
@@ -241,23 +285,34 @@ def _lookup(body: bytes) -> np.ndarray:
 def decode(files: list[bytes]) -> list[tuple[Parsed, list[np.ndarray]]]:
     """Markers and, by component, quantised coefficients (blocks down, blocks across, 64 in zigzag order) of each file."""
     parsed = [parse(f) for f in files]
-    if not parsed:
-        return []
-    plans: dict[tuple, list[int]] = {}
+    plans: dict[tuple, list[tuple[int, Scan]]] = {}
     for i, p in enumerate(parsed):
-        plans.setdefault(tuple((h, v, dc, ac) for h, v, _, dc, ac in p.parts), []).append(i)
-    out: list = [None] * len(files)
+        for scan in p.scans:
+            plans.setdefault(tuple(m[1:] for m in scan.members), []).append((i, scan))
+    out = [(p, [np.empty((0, 0, 64), np.int16)] * len(p.parts)) for p in parsed]
     for layout, own in plans.items():
-        for i, blocks in zip(own, _scans([files[i] for i in own], [parsed[i] for i in own], layout), strict=True):
-            out[i] = (parsed[i], blocks)
+        for (i, scan), blocks in zip(own, _scans([files[i] for i, _ in own], [scan for _, scan in own], layout), strict=True):
+            for m, x in zip(scan.members, blocks, strict=True):
+                out[i][1][m[0]] = x
     return out
 
 
-def _scans(files: list[bytes], parsed: list[Parsed], layout: tuple) -> list[list[np.ndarray]]:
-    """Decodes the scans of images with the same components and tables; each restart interval is a lane, and all lanes step together."""
+def decode_each(files: list[bytes]) -> list[tuple[Parsed, list[np.ndarray]] | JpegError]:
+    """decode(), with an error in the place of each file that can't be read."""
+    try:
+        return decode(files)
+    except JpegError as e:
+        if len(files) == 1:
+            return [e]
+        half = len(files) // 2
+        return decode_each(files[:half]) + decode_each(files[half:])
+
+
+def _scans(files: list[bytes], parsed: list[Scan], layout: tuple) -> list[list[np.ndarray]]:
+    """Decodes scans with the same sampling and tables; each restart interval is a lane, and all lanes step together."""
     unit = [(c, k) for c, (h, v, *_) in enumerate(layout) for k in range(h * v)]  # blocks of an MCU, by component
-    data = np.frombuffer(b"".join(f[p.scan :] + b"\xff\xd9" for f, p in zip(files, parsed, strict=True)), dtype=np.uint8)
-    base = np.cumsum([0, *(len(f) - p.scan + 2 for f, p in zip(files, parsed, strict=True))])
+    data = np.frombuffer(b"".join(f[p.start : p.stop] + b"\xff\xd9" for f, p in zip(files, parsed, strict=True)), dtype=np.uint8)
+    base = np.cumsum([0, *(p.stop - p.start + 2 for p in parsed)])
     after = np.r_[data[1:], np.uint8(0)]
     ff = data == 0xFF
     stuffed = ff & (after == 0)
@@ -351,9 +406,11 @@ def _scans(files: list[bytes], parsed: list[Parsed], layout: tuple) -> list[list
 
 def thumbnail(p: Parsed, blocks: list[np.ndarray]) -> np.ndarray:
     """The luminance of each 8x8 block from its DC coefficient alone, as bytes."""
-    step = int(p.quant[p.parts[0][2]][0])
-    mean = blocks[0][:, :, 0].astype(np.int64) * step
-    across, down = -(-p.width * p.parts[0][0] // (8 * max(x[0] for x in p.parts))), -(-p.height * p.parts[0][1] // (8 * max(x[1] for x in p.parts)))
+    h, v, q = p.parts[0]
+    if q not in p.quant:
+        raise JpegError("no quantiser")
+    mean = blocks[0][:, :, 0].astype(np.int64) * int(p.quant[q][0])
+    across, down = -(-p.width * h // (8 * max(x[0] for x in p.parts))), -(-p.height * v // (8 * max(x[1] for x in p.parts)))
     return np.clip((mean + 4 >> 3) + 128, 0, 255).astype(np.uint8)[:down, :across]
 
 
@@ -367,9 +424,10 @@ def difference_hash(thumb: np.ndarray) -> str:
 
 def payload(p: Parsed, blocks: list[np.ndarray]) -> bytes | None:
     """The payload that encode() stored, or None in other images."""
-    if not p.comment.startswith(b"payload "):
+    said = re.fullmatch(rb"payload ([0-9]{1,10})", p.comment)
+    if not said or int(said[1]) > blocks[0].size:
         return None
-    n = int(p.comment[8:])
+    n = int(said[1])
     return (blocks[0].reshape(-1)[:n] + 128).astype(np.uint8).tobytes()
 
 
@@ -382,7 +440,9 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media, a baseline JPEG that holds the row's text without loss.
 
     Null text counts as empty and is stored as 64 zero bytes. Every row gives a
-    row, repeated rows and null doc_ids too; other columns are ignored.
+    row, repeated rows and null doc_ids too; an empty table gives none. A very long
+    text is one image of up to 65,535 by 65,535 pixels, coded at once: some
+    hundred bytes of memory for each of its own. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,30 +454,37 @@ def store(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-READ = "width int, height int, thumb_width int, thumb_height int, thumbnail binary, thumb_hash string, payload binary"
+READ = "width int, height int, thumb_width int, thumb_height int, thumbnail binary, thumb_hash string, payload binary, error string"
 
 
 def read(media: DataFrame) -> DataFrame:
-    """The columns of media (one of them `media`, baseline JPEGs) and dimensions, DC-only thumbnail, its hash and the payload if there is one.
+    """The columns of media (one of them `media`, baseline JPEGs) and dimensions, DC-only thumbnail, its hash, the payload if there is one, and error.
 
-    Null media gives nulls. Bytes that are no baseline JPEG raise JpegError.
-    Columns of media named like a new one are replaced.
+    Null media gives nulls; bytes that can't be read as a baseline JPEG give
+    nulls and say why in error, and stop nothing else. Repeated rows stay; an
+    empty table gives no rows. Columns of media named like a new one are replaced.
     """
     names = [x.split()[0] for x in READ.split(", ")]
     kept = media.select(*[c for c in media.columns if c not in names])
     at = kept.columns.index("media")
 
-    def one(p: Parsed, blocks: list[np.ndarray]) -> tuple:
-        thumb = thumbnail(p, blocks)
+    def one(found: tuple[Parsed, list[np.ndarray]] | JpegError) -> tuple:
+        try:
+            if isinstance(found, JpegError):
+                raise found
+            p, blocks = found
+            thumb = thumbnail(p, blocks)
+        except JpegError as e:
+            return (*[None] * (len(names) - 1), str(e))
         mark = f"{difference_hash(thumb)}-{zlib.crc32(thumb.tobytes()):08x}"
-        return p.width, p.height, thumb.shape[1], thumb.shape[0], thumb.tobytes(), mark, payload(p, blocks)
+        return p.width, p.height, thumb.shape[1], thumb.shape[0], thumb.tobytes(), mark, payload(p, blocks), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for whole in batches for b in pieces_of(whole, "media", budget=BATCH)):
             files = batch.column(at).to_pylist()
-            real = iter([one(*x) for x in decode([f for f in files if f is not None])])
+            real = iter([one(x) for x in decode_each([f for f in files if f is not None])])
             rows = [(None,) * len(names) if f is None else next(real) for f in files]
-            kinds = [pa.int32()] * 4 + [pa.binary(), pa.string(), pa.binary()]
+            kinds = [pa.int32()] * 4 + [pa.binary(), pa.string(), pa.binary(), pa.string()]
             new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.record_batch([*batch.columns, *new], names=[*batch.schema.names, *names])
 

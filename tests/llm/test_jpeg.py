@@ -31,7 +31,8 @@ def test_round_trip():
 def plain_decode(f):
     """A bit-by-bit reading of a one-component file."""
     head = jpeg.parse(f)
-    _, _, _, dc, ac = head.parts[0]
+    (scan,) = head.scans
+    _, _, _, dc, ac = scan.members[0]
 
     def codes(body):
         out, code, at = {}, 0, 16
@@ -42,7 +43,7 @@ def plain_decode(f):
             code <<= 1
         return out
 
-    tables, data, at = (codes(dc), codes(ac)), f, head.scan
+    tables, data, at = (codes(dc), codes(ac)), f, scan.start
     out, pred, bits, have = [], 0, 0, 0
 
     def bit():
@@ -66,10 +67,10 @@ def plain_decode(f):
             v = v << 1 | bit()
         return v if not s or v >> (s - 1) else v - (1 << s) + 1
 
-    for m in range(head.across * head.down):
-        if head.restart and m and m % head.restart == 0:
+    for m in range(scan.across * scan.down):
+        if scan.restart and m and m % scan.restart == 0:
             have, pred = 0, 0
-            assert data[at] == 0xFF and data[at + 1] == 0xD0 + (m // head.restart - 1) % 8
+            assert data[at] == 0xFF and data[at + 1] == 0xD0 + (m // scan.restart - 1) % 8
             at += 2
         block = [0] * 64
         pred += extra(symbol(tables[0]))
@@ -123,6 +124,51 @@ def test_subsampled_colour():
     assert jpeg.thumbnail(head, blocks).shape == (2, 4)
 
 
+def test_several_scans():
+    """Each component of a 30x16 image in a scan of its own: blocks of the component alone, none of an MCU's padding."""
+    dc_body, code, size = jpeg._codes(dict.fromkeys(range(12), 4))
+    ac_body, ac_code, ac_size = jpeg._codes({0: 1, 1: 2})
+    rng = random.Random(2)
+    s = jpeg._segment
+    frame = s(0xC0, bytes([8, 0, 16, 0, 30, 3, 1, 0x22, 0, 2, 0x11, 1, 3, 0x11, 1]))
+    f = [b"\xff\xd8", s(0xDB, bytes([0] + [16] * 64 + [1] + [17] * 64)), frame, s(0xC4, b"\0" + dc_body + b"\x10" + ac_body)]
+    want = []
+    for c, blocks in ((1, 8), (3, 2), (2, 2)):
+        bits, pred, own = "", 0, []
+        for _ in range(blocks):
+            v = rng.randrange(-100, 100)
+            d, pred = v - pred, v
+            own.append(v)
+            n = abs(d).bit_length()
+            bits += format(int(code[n]), "04b") + (format(d if d > 0 else d + (1 << n) - 1, f"0{n}b") if n else "") + format(int(ac_code[0]), f"0{ac_size[0]}b")
+        bits += "1" * (-len(bits) % 8)
+        want.append(own)
+        f += [s(0xDA, bytes([1, c, 0, 0, 63, 0])), int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")]
+    (head, blocks), = jpeg.decode([b"".join([*f, b"\xff\xd9"])])
+    assert [x[:, :, 0].reshape(-1).tolist() for x in blocks] == [want[0], want[2], want[1]]
+    assert blocks[0].shape == (2, 4, 64) and jpeg.thumbnail(head, blocks).shape == (2, 4)
+    with pytest.raises(jpeg.JpegError):
+        jpeg.decode([b"".join([*f[:-2], b"\xff\xd9"])])
+
+
+def test_bad_images_stop_nothing(spark):
+    rng = random.Random(3)
+    good = jpeg.encode([rng.randbytes(6400), b"a" * 640])
+    colour = colour_file()[0]
+    files = [*good, colour, None, b"", b"GIF89a", b"\xff\xd8\xff\xc0\x00\x05\x08\x00", good[0][:700], colour[:40]]
+    for f in (good[0], colour):
+        for _ in range(150):  # bytes changed or cut out anywhere
+            x, i = bytearray(f), rng.randrange(len(f))
+            x[i : i + rng.randrange(3)] = rng.randbytes(rng.randrange(3))
+            files.append(bytes(x))
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "id int, media binary")
+    got = {r.id: r for r in jpeg.read(rows).collect()}
+    assert len(got) == len(files) and got[0].payload and got[1].payload and got[2].width == 30
+    assert got[3].error is None and got[3].width is None
+    assert all(got[i].error and got[i].thumbnail is None for i in range(4, 9))
+    assert all((r.error is None) != (r.width is None) for i, r in got.items() if i != 3)
+
+
 @pytest.mark.parametrize("bad", [b"", b"\xff\xd8", b"\xff\xd8\xff\xc2\x00\x0b\x08\x00\x08\x00\x08\x01\x01\x11\x00", b"GIF89a" + bytes(20)])
 def test_other_bytes_raise(bad):
     with pytest.raises(jpeg.JpegError):
