@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import cut, pieces_of, table, text_or_empty
 
 RADIUS = 3
 SHINGLE = 3
@@ -22,6 +22,8 @@ WIDE = 1 << 16
 FAN = 4
 #: Node pairs that are looked at in one step; bounds memory.
 CHUNK = 1 << 18
+#: A key with more rows than this, and than one in HUBS of all, meets its one partner by a broadcast of those partners, HUBS at most.
+HUB, HUBS = 1 << 16, 1 << 12
 
 U = np.uint64
 
@@ -44,16 +46,21 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, key (equal for equal doc_id and text) and fp (the fingerprint's 64 bits as a signed long) of every row; null text counts as empty."""
+    """doc_id, key (equal for equal doc_id and text), full (equal for equal rows) and fp (the fingerprint's 64 bits as a signed long) of every row; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(x.as_py()) for x in batch.column(2)], dtype=U).view(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "key", "fp"])
+        for batch in (b for whole in batches for b in pieces_of(whole)):
+            fps = np.array([fingerprint(x.as_py()) for x in batch.column(3)], dtype=U).view(np.int64)
+            yield pa.record_batch([*batch.columns[:3], pa.array(fps)], names=["doc_id", "key", "full", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(docs), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, full long, fp long")
+
 
-    doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text_or_empty()).alias("key"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, fp long")
+def _keys(docs: DataFrame):
+    """Hashes of doc_id and text, and of all columns that can be hashed."""
+    all_of = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()).alias("key"), F.xxhash64(F.lit(3), *all_of).alias("full")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -146,22 +153,25 @@ class GrayIndex:
             stack.append((level - 1, left[real], right[real]))
 
 
-def rooted(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest member of each of n nodes' components."""
+def rooted(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest member of each of n nodes' components. Links are merged one batch after the other, none is kept."""
     label = np.arange(n)
-    if not pairs:
-        return label
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    while True:
-        before = label.copy()
-        m = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, m)
-        np.minimum.at(label, b, m)
-        np.minimum.at(label, before[a], m)
-        np.minimum.at(label, before[b], m)
-        label = label[label]
-        if np.array_equal(before, label):
-            return label
+    for a, b in pairs:
+        a, b = label[a], label[b]
+        open_ = a != b
+        a, b = a[open_], b[open_]
+        while len(a):
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            np.minimum.at(label, high, low)
+            a, b = label[low], label[high]
+            open_ = a != b
+            a, b = a[open_], b[open_]
+        while True:
+            after = label[label]
+            if np.array_equal(after, label):
+                break
+            label = after
+    return label
 
 
 def _masks(radius: int, fixed: int = 0) -> list[int]:
@@ -212,7 +222,7 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, wide: int = WIDE) -> DataFr
             if not len(values):
                 return pa.record_batch([pa.array([], pa.int64())] * 2, names=["a", "b"])
             index = GrayIndex(group[several], values)
-            label = rooted(len(values), list(index.links(radius)))
+            label = rooted(len(values), index.links(radius))
             own = np.flatnonzero(label != np.arange(len(label)))
             leaf = index.leaves.view(np.int64)
             return pa.record_batch([pa.array(leaf[own]), pa.array(leaf[label[own]])], names=["a", "b"])
@@ -230,37 +240,52 @@ def near_edges(fps: DataFrame, radius: int = RADIUS, wide: int = WIDE) -> DataFr
     return spread.select("mask", "bits", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
+def _met(rows: DataFrame, partners: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
+    """rows joined to their one partner each (key, `count`: how many rows have it, and others).
+
+    Partners of very common keys are broadcast, of which there are HUBS at
+    most as each has over total / HUBS rows; no task gets all rows of such a key.
+    """
+    limit = max(HUB, total // HUBS)
+    hubs = F.broadcast(partners.where(F.col(count) > limit).drop(count))
+    common = rows.join(hubs, key)
+    rest = rows.join(hubs.select(key), key, "left_anti").join(partners.where(F.col(count) <= limit).drop(count), key)
+    return rest.unionByName(common)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the component's smallest node) for every node of edges (a, b).
 
     Large-star and small-star rounds of aggregates and joins, each round
     written to the shared folder; ends when a round changes no edge.
     """
-    spark = edges.sparkSession
+    signature = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    known = now.agg(*signature).first()
     while True:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = _met(both.where("v > u"), least, "u", 2 * known["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = _met(large, least, "u", known["n"])
         small = joined.select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         after = cut(small.where("u <> v").distinct(), "stars")
-        signature = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-        if after.agg(*signature).first() == now.agg(*signature).first():
+        then = after.agg(*signature).first()
+        if then == known:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).union(after.select("v", "v").distinct())
-        now = after
+        now, known = after, then
 
 
 def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, key (equal for rows of equal doc_id and text), fp, root (one for each group) and component_id of every row of docs (doc_id, text)."""
+    """doc_id, key (equal for rows of equal doc_id and text), full (equal for equal rows), fp, root (one for each group) and component_id of every row of docs (doc_id, text)."""
     prints = cut(fingerprints(docs), "fingerprints")
-    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     linked = components(near_edges(groups.select("fp"), radius))
-    rooted_groups = groups.join(linked, groups.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted_groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = cut(rooted_groups.join(smallest, "root").select("fp", "root", "component_id"), "components")
-    return prints.join(by_fp, "fp").select("doc_id", "key", "fp", "root", "component_id")
+    rooted_groups = groups.join(linked, groups.fp == linked.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted_groups.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    count = groups.agg(F.sum("n"), F.count("*")).first()
+    by_fp = cut(_met(rooted_groups, smallest, "root", count[1], "m"), "components")
+    return _met(prints, by_fp, "fp", count[0] or 0).select("doc_id", "key", "full", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -270,19 +295,28 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     smallest doc_id that can be reached. Equal fingerprints meet once, so
     groups of exact copies of any size cost one search. Null and empty texts
     have fingerprint 0 and link like others. Null doc_ids stay, and count for a
-    component_id only where a component has no other. Repeated rows stay.
+    component_id only where a component has no other. Repeated rows stay; an
+    empty table gives none. Very long texts are hashed whole, one at a time.
     """
     return grouped(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The row with the smallest doc_id of each group of near duplicates, with all its columns; of equal rows, one."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first")
-    chosen = cut(grouped(docs, radius).groupBy("root").agg(first).select(F.col("first.key").alias("key"), F.col("first.doc_id").alias("id")).distinct(), "chosen")
-    doc_id = F.col("doc_id").cast("long")
-    keyed = docs.withColumn("__id", doc_id).withColumn("__key", F.xxhash64(doc_id, text_or_empty()))
-    same = (keyed["__key"] == chosen.key) & keyed["__id"].eqNullSafe(chosen.id)
-    return keyed.join(chosen, same, "left_semi").dropDuplicates(["__id", "__key"]).select(docs.columns)
+    """The row with the smallest doc_id of each group of near duplicates, with all its columns.
+
+    Of rows with that doc_id, the one with the least hashes of its text and of
+    all its columns; of equal rows, one. Rows of a group without any doc_id
+    are ordered by these hashes as well. An empty table stays empty.
+    """
+    same = grouped(docs, radius).groupBy("root", "doc_id", "key", "full").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key", "full", "n")).alias("first")
+    chosen = cut(same.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__c_id"), F.col("first.key").alias("__key"), F.col("first.full").alias("__full"), F.col("first.n").alias("__n")), "chosen")
+    key, full = _keys(docs)
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", key).withColumn("__full", full)
+    kept = keyed.join(chosen, ["__key", "__full"]).where(F.col("__id").eqNullSafe(F.col("__c_id")))
+    # most are alone; only rows that repeat as a whole are brought together
+    again = kept.where("__n > 1").dropDuplicates(["__id", "__key", "__full"])
+    return kept.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns]).union(again.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -347,7 +347,10 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """text and toxic of at most `rows` labelled documents of each label outside the held-out fold, chosen by a hash of doc_id."""
+    """text and toxic of at most `rows` labelled documents of each label outside the held-out fold, chosen by a hash of doc_id.
+
+    Where several documents have one doc_id, the least of their texts stands for them.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     learn = own.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     chosen = None
@@ -355,7 +358,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
         some = learn.where(F.col("toxic") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = some if chosen is None else chosen.union(some)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text")  # 2 * rows rows at most
+    met = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return met.orderBy("doc_id", "toxic")  # 2 * rows rows at most
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:

@@ -91,6 +91,43 @@ def test_index_prunes_but_loses_nothing():
         assert {i: label[i] for i in own} == want
 
 
+def test_common_keys_meet_their_partners(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HUB", 3)
+    monkeypatch.setattr(simhash, "HUBS", 5)
+    rng = random.Random(4)
+    values = sorted({0} | {1 << i for i in range(64)} | {rng.getrandbits(63) for _ in range(50)})
+    want = plain_components(dict(enumerate(values)))
+    fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    rows = {r.node: r.root for r in simhash.components(simhash.near_edges(fps)).collect()}
+    assert len(set(rows.values())) == 1 and len(rows) == sum(r == want[0] for r in want.values())
+    df = docs(spark, [(i, "one text in all rows") for i in range(200)] + [(200 + i, f"another {i} of {i * 7} words") for i in range(50)])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert len(got) == 250 and {got[i] for i in range(200)} == {0}
+
+
+def test_a_full_part_takes_bounded_memory():
+    """All values of 14 bits, a part of finer masks in small: millions of links, of which none is kept."""
+    import tracemalloc
+
+    values = np.arange(1 << 14, dtype=np.uint64)
+    index = simhash.GrayIndex(np.zeros(len(values), dtype=np.int64), values)
+    tracemalloc.start()
+    label = simhash.rooted(len(values), index.links(3))
+    assert not label.any() and tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+
+
+def test_one_row_of_each_group(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "x y z"), (None, "x y z"), (5, None), (4, "")]
+    df = docs(spark, rows).withColumn("lang", F.when(F.col("doc_id") == 1, F.expr("string(rand())")))
+    df = spark.createDataFrame(df.collect(), df.schema).withColumn("__key", F.lit(1)).withColumn("n", F.create_map(F.lit("a"), F.lit(1))).drop("__key")
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "x y z"), (1, "a b c d"), (4, "")]
+    assert sorted(r.lang or "" for r in got) == sorted(r.lang or "" for r in simhash.one_of_each(df.repartition(3)).collect())
+
+
 def test_odd_rows(spark):
     df = docs(spark, [(5, None), (2, ""), (2, ""), (7, " \t"), (None, "one two"), (9, "ONE two"), (8, "x " * 20000)]).withColumnsRenamed({"lang": "fp", "source": "component_id"})
     rows = {(r.doc_id, r.fingerprint == "0" * 16, r.component_id) for r in simhash.near_duplicates(df).collect()}

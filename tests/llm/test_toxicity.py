@@ -123,3 +123,9 @@ def test_odd_rows(spark):
     assert tx.toxicity(docs(spark, []), none).count() == 0
     kept = tx.without_toxic(df, labels)
     assert kept.columns == df.columns
+
+
+def test_one_text_of_each_id_is_learnt_from(spark):
+    df = docs(spark, [(1, f"text {i}") for i in range(500)] + [(2, "b"), (None, "c")])
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert [(r.doc_id, r.toxic, r.text) for r in tx.training_rows(df, labels).collect()] == [(1, 1, "text 0"), (2, 0, "b")]
