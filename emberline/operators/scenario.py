@@ -12,6 +12,7 @@ from emberline.functions.text import closed_name
 from emberline.functions.times import DEFAULT_CURVE, FIRST_MEAN_S, TURNOUT_S, Curve
 from emberline.operators.spatial import crow, nearest
 from emberline.operators.weighted import score_first_engine
+from emberline.sources.tables import held
 
 #: The ten stations closed in 2014, at approximate places (latitude, longitude).
 CLOSED_2014 = {
@@ -39,7 +40,7 @@ def nearest_untaken(closed: DataFrame, stations: DataFrame) -> list[int]:
     closed sites; that many are ranked in Spark and taken on the driver.
     """
     n = closed.count()
-    sites = stations.select("station_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+    sites = held(stations.select("station_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")))
     ranked = nearest(closed, "at", sites, "station_id", F.round(crow(), 9), k=n)
     taken: list[int] = []
     for row in ranked.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("rank", "station_id"))).alias("near")).orderBy("at").collect():
@@ -57,8 +58,10 @@ def networks(stations: DataFrame, closed: DataFrame, removed: Sequence[int]) ->
 
 
 def network_scores(points: DataFrame, nets: DataFrame, curve: Curve = DEFAULT_CURVE) -> DataFrame:
-    """First-engine scores by network of the predicted attendance at points (incident_id, lat, lon)."""
-    km = points.crossJoin(F.broadcast(nets)).groupBy("incident_id", "network").agg(F.min(crow()).alias("km"))
+    """First-engine scores by network of the predicted attendance at points (incident_id, lat, lon); networks are few."""
+    names = [r.network for r in nets.select("network").distinct().orderBy("network").collect()]
+    each = held(points.withColumn("network", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"))))
+    km = nearest(each, ["incident_id", "network"], nets, "station_id", crow(), by="network")
     return score_first_engine(km.withColumn("response_s", F.round(curve.seconds(F.col("km")) + TURNOUT_S, 6)), ("network",))
 
 

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import geo, times
+from emberline.sources.tables import held
 
-#: Up to so many sites are sent to every task; beyond, sites and points meet by grid cell.
-SMALL = 500
+#: Up to so many sites meet every point; beyond, sites and points meet by cells of space.
+SMALL = 24
+#: Up to so many sites are sent to every task with their cells, some 30 rows each.
+SENT = 20_000
+#: Cells of this size have all of Earth's surface within their neighbours, in both ways of placing points.
+WHOLE_KM = 45_000.0
 
 
 def demand_weight(rows: DataFrame, weight: str | None = None, severity: str | None = None) -> DataFrame:
@@ -65,44 +74,66 @@ def travel_matrix(sites: DataFrame, cells: DataFrame, scorer: str = "kolesar", c
     return cells.select("cell_id", F.col("weight").alias("w"), "lon", "lat").crossJoin(own).select("site_id", "cell_id", "w", seconds.alias("drive_s"))
 
 
-def nearest(points: DataFrame, key: str, sites: DataFrame, site: str, distance: Column, k: int = 1, small: int | None = None) -> DataFrame:
-    """key, rank, site and km of the k nearest sites of each point; ties go to the smaller site.
+def on_sphere(lon: Column, lat: Column) -> list[Column]:
+    """Places in space, in km: straight lines between them are no longer than great circles, at any latitude and across the date line."""
+    lon, lat, r = F.radians(lon), F.radians(lat), F.lit(geo.RADIUS_PLAN_KM)
+    return [r * F.cos(lat) * F.cos(lon), r * F.cos(lat) * F.sin(lon), r * F.sin(lat)]
+
 
-    points have lat and lon, sites s_lat and s_lon. Few sites are sent to every
-    task, where each point keeps its best by a partial aggregate. With many,
-    both sides are dealt by grid cells of growing size; a point is settled where
-    its k-th distance is within the ring that its cell's neighbours cover.
+def nearest(points: DataFrame, key: str | Sequence[str], sites: DataFrame, site: str, distance: Column, k: int = 1, small: int | None = None, place: Callable[[Column, Column], Sequence[Column]] = on_sphere, by: str | None = None) -> DataFrame:
+    """key, rank, site and km of the k nearest sites of each point; ties go to the smaller site. Keys are unique.
+
+    points have lat and lon, sites s_lat and s_lon. With `by`, part of the key, points meet only
+    sites with their own value of that column. `place` puts both in a space
+    where they are no farther apart than `distance`. A few sites meet every
+    point. More, and both sides meet by cells of growing size, from a few sites a cell on: a
+    point is settled where its k-th distance is within its cell's neighbours.
+    No round pairs a point with more than the sites of these, and each round
+    has only the points that are left.
     """
-    sites = sites.select(site, "s_lat", "s_lon")
-    if sites.limit((SMALL if small is None else small) + 1).count() <= (SMALL if small is None else small):
-        return _best(points.crossJoin(F.broadcast(sites)), key, site, distance, k)
-    done = None
-    left, cell = points, 0.02
-    for _ in range(12):
-        lat_cell, lon_cell = cell, cell * 2
-        at = [F.floor(F.col("lat") / lat_cell).alias("__y"), F.floor(F.col("lon") / lon_cell).alias("__x")]
-        ring = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("d")
-        spread = sites.select("*", ring).select(site, "s_lat", "s_lon", (F.floor(F.col("s_lat") / lat_cell) + F.col("d.dy")).alias("__y"), (F.floor(F.col("s_lon") / lon_cell) + F.col("d.dx")).alias("__x"))
-        found = _best(left.select("*", *at).join(spread, ["__y", "__x"]), key, site, distance, k)
-        # km to the edge of the ring: a whole cell away at least, on either axis, up to 70 degrees of latitude
-        reach = 0.99 * min(lat_cell * geo.KM_PER_LAT, lon_cell * geo.KM_PER_LON * 0.34)
-        settled = found.groupBy(key).agg(F.max("km").alias("far"), F.count("*").alias("n")).where((F.col("far") <= reach) & (F.col("n") == k)).select(key)
-        part = found.join(settled, key, "left_semi")
+    keys = [key] if isinstance(key, str) else list(key)
+    own = [by] if by else []
+    sites = held(sites).select(site, *own, *[c for c in sites.columns if c not in (site, by)])
+    coordinates = place(F.col("s_lon"), F.col("s_lat"))
+    axes = range(len(coordinates))
+    n, *spans = sites.agg(F.count("*"), *[F.max(c) - F.min(c) for c in coordinates]).first()
+    both = [c for c in sites.columns if c in points.columns and c != by]
+    plain = sites.drop(*both)
+    if n <= (SMALL if small is None else small) or (small is None and n <= SENT and points.limit(SMALL + 1).count() <= SMALL):
+        return _best(points.join(F.broadcast(plain), own) if by else points.crossJoin(F.broadcast(plain)), keys, site, distance, k)
+    placed = sites.select("*", *[c.alias(f"__s{i}") for i, c in enumerate(coordinates)])
+    spans.sort(reverse=True)
+    cell = max(2 * math.sqrt(k * spans[0] * spans[1] / n), spans[0] / n, 0.01)
+    done, left = None, points
+    while True:
+        around = F.explode(F.array(*[F.array(*map(F.lit, d)) for d in itertools.product((-1, 0, 1), repeat=len(axes))])).alias("__d")
+        near = placed.select("*", around).withColumns({f"__c{i}": F.floor(F.col(f"__s{i}") / cell) + F.col("__d")[i] for i in axes}).drop("__d", *[f"__s{i}" for i in axes], *both)
+        if n <= SENT:
+            near = F.broadcast(near)
+        at = {f"__c{i}": F.floor(c / cell) for i, c in zip(axes, place(F.col("lon"), F.col("lat")), strict=True)}
+        found = held(_best(left.withColumns(at).join(near, [*at, *own]), keys, site, distance, k))
+        if cell > WHOLE_KM:
+            return found if done is None else done.unionByName(found)
+        if k == 1:
+            part = found.where(F.col("km") <= 0.999 * cell)
+        else:
+            # fewer than k sites in all are settled in the last round
+            sure = found.groupBy(*keys).agg(F.max("km").alias("far"), F.count("*").alias("n")).where((F.col("far") <= 0.999 * cell) & (F.col("n") == k)).select(*keys)
+            part = found.join(sure, keys, "left_semi")
         done = part if done is None else done.unionByName(part)
-        left = left.join(settled, key, "left_anti")
-        cell *= 4
-        if cell > 90 or left.isEmpty():
-            break
-    return done.unionByName(_best(left.crossJoin(sites), key, site, distance, k))
+        left = held(left.join(part.select(*keys).distinct(), keys, "left_anti"))
+        if left.isEmpty():
+            return done
+        cell = min(cell * 4, 1.01 * WHOLE_KM)
 
 
-def _best(pairs: DataFrame, key: str, site: str, distance: Column, k: int) -> DataFrame:
-    rows = pairs.select(key, site, distance.alias("km"))
+def _best(pairs: DataFrame, keys: Sequence[str], site: str, distance: Column, k: int) -> DataFrame:
+    rows = pairs.select(*keys, site, distance.alias("km"))
     if k == 1:
-        best = rows.groupBy(key).agg(F.min(F.struct("km", site)).alias("b"))
-        return best.select(key, F.lit(1).alias("rank"), F.col(f"b.{site}").alias(site), F.col("b.km").alias("km"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("km", site))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select(key, "rank", site, "km")
+        best = rows.groupBy(*keys).agg(F.min(F.struct("km", site)).alias("b"))
+        return best.select(*keys, F.lit(1).alias("rank"), F.col(f"b.{site}").alias(site), F.col("b.km").alias("km"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("km", site))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select(*keys, "rank", site, "km")
 
 
 def crow(radius: float = geo.RADIUS_TRIP_KM) -> Column:
@@ -118,16 +149,16 @@ def points_of(incidents: DataFrame, key: str = "incident_id") -> DataFrame:
 
 
 def snap_to_cells(incidents: DataFrame, cells: DataFrame) -> DataFrame:
-    """incident_id, cell_id and km of the nearest cell by flat distance at the cells' mean latitude.
-
-    Cells are few thousands at city scale and sent to every task if so; both
-    sides otherwise meet in the nested loop join that Spark plans.
-    """
-    lat0 = cells.agg(F.avg("lat").alias("lat0"))
-    sites = cells.select("cell_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    placed = points_of(incidents).crossJoin(F.broadcast(lat0))
+    """incident_id, cell_id and km of the nearest cell by flat distance at the cells' mean latitude."""
+    lat0 = F.broadcast(cells.agg(F.avg("lat").alias("lat0")))
+    sites = cells.select("cell_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).crossJoin(lat0)
+    placed = points_of(incidents).crossJoin(lat0)
     d2 = geo.flat_km2(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat"), F.col("lat0"))
-    best = nearest(placed, "incident_id", sites, "cell_id", F.sqrt(d2), small=20_000)
+
+    def flat(lon: Column, lat: Column) -> list[Column]:
+        return [lon * geo.KM_PER_LON * F.cos(F.radians("lat0")), lat * geo.KM_PER_LAT]
+
+    best = nearest(placed, "incident_id", sites, "cell_id", F.sqrt(d2), place=flat)
     return best.select("incident_id", "cell_id", "km")
 
 

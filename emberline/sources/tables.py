@@ -33,6 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: the lineage ends there, and losing an executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/held-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def csv(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType | None = None, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     """A CSV table with a header: strings unless a schema says otherwise, pruned to the wanted columns that exist, rows limited on demand."""
     reader = spark.read.option("header", True).option("nullValue", "").option("mode", "PERMISSIVE")

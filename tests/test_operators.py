@@ -115,6 +115,23 @@ def test_nearest_by_cells_equals_broadcast(spark):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cells.collect()))
 
 
+def test_nearest_anywhere_on_earth(spark):
+    """Near the poles, across the date line, far from all sites, and with fewer sites than asked for."""
+    rng = random.Random(5)
+    places = [(rng.uniform(-89.9, 89.9), rng.uniform(-180, 180)) for _ in range(80)] + [(89.5, 10.0), (89.6, -170.0), (-89.9, 0.0), (0.0, 179.99), (0.0, -179.99)]
+    pts = spark.createDataFrame([(i, a, o) for i, (a, o) in enumerate(places)], "id long, lat double, lon double")
+    at = [(rng.uniform(60, 89.9), rng.uniform(-180, 180)) for _ in range(20)] + [(0.0, -179.9), (0.01, 179.8)]
+    sites = spark.createDataFrame([(i, a, o, "ab"[i % 2]) for i, (a, o) in enumerate(at)], "site long, s_lat double, s_lon double, kind string")
+    for k in (1, 3, 30):
+        plain = spatial.nearest(pts, "id", sites, "site", spatial.crow(), k=k, small=100)
+        cells = spatial.nearest(pts, "id", sites, "site", spatial.crow(), k=k, small=0)
+        assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cells.collect()))
+    both = pts.withColumn("kind", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    want = sorted((r.id, kind, r.site, r.km) for kind in "ab" for r in spatial.nearest(pts, "id", sites.where(F.col("kind") == kind), "site", spatial.crow(), small=100).collect())
+    assert sorted((r.id, r.kind, r.site, r.km) for r in spatial.nearest(both, ["id", "kind"], sites, "site", spatial.crow(), small=0, by="kind").collect()) == want
+    assert spatial.nearest(pts, "id", sites.where("false"), "site", spatial.crow()).count() == 0
+
+
 def test_blur_keeps_all_incidents(spark):
     g = spark.createDataFrame([(0.0, 0.0, 1.0, 6, 5)], "x0 double, y0 double, px double, nx int, ny int")
     p = spark.createDataFrame([("all", 0, 0, 3), ("all", 4, 5, 1)], "layer string, row int, col int, n long")
