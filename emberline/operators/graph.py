@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from emberline.functions import geo
 from emberline.functions.text import ROAD_GROUPS, ROAD_TYPES, least_number, limit_kph, mean_number, point_kind, road_group, road_type
 from emberline.functions.times import is_rush
+from emberline.sources.tables import held
 
 # Fixed values of the fire-engine routing policy and of the segment speed model.
 CONTRAFLOW_MOST_M, CONTRAFLOW_S, BLOCKED = 80.0, 12.0, 1e12
@@ -113,27 +114,29 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, cost: str = "length", r
 
     Frontier relaxation: each round joins the nodes that got nearer to their
     edges and keeps the least distance by node; it ends when none gets nearer.
-    Rounds are checkpointed. Ties go to the smaller parent.
+    Rounds are written to the shared folder. Of several shortest ways in, the
+    parent is the smallest node (edges of no length only where there is no other).
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        from emberline.sources.tables import shared_folder
-
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    e = shortest_parallel(edges, cost).select("u", "v", F.col(cost).alias("c")).checkpoint()
-    known = origins.select(F.col("origin"), F.col("origin").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("parent")).distinct().checkpoint()
+    e = held(shortest_parallel(edges, cost).select("u", "v", F.col(cost).cast("double").alias("c")))
+    known = held(origins.select(F.col("origin"), F.col("origin").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("parent")).distinct())
     front = known
     for _ in range(rounds):
         step = front.join(e, front.node == e.u).select("origin", F.col("v").alias("node"), (F.col("dist") + F.col("c")).alias("dist"), F.col("u").alias("parent"))
         both = known.withColumn("old", F.lit(0)).unionByName(step.withColumn("old", F.lit(1)))
         # the least distance; of equal ones what is known, then the smaller parent
         best = both.groupBy("origin", "node").agg(F.min(F.struct("dist", "old", "parent")).alias("b"))
-        now = best.select("origin", "node", F.col("b.dist").alias("dist"), F.col("b.parent").alias("parent"), (F.col("b.old") == 1).alias("moved")).checkpoint()
+        now = held(best.select("origin", "node", F.col("b.dist").alias("dist"), F.col("b.parent").alias("parent"), (F.col("b.old") == 1).alias("moved")))
         front = now.where("moved").drop("moved")
         known = now.drop("moved")
         if front.isEmpty():
             break
-    return known
+    else:
+        raise RuntimeError(f"paths still get shorter after {rounds} rounds")
+    # of equally short ways in, the smallest node's, whatever round found it
+    into = known.select("origin", F.col("node").alias("u"), F.col("dist").alias("to_u")).join(e.where("c > 0"), "u").withColumn("through", F.col("to_u") + F.col("c"))
+    least = into.groupBy("origin", F.col("v").alias("node"), F.col("through").alias("dist")).agg(F.min("u").alias("first"))
+    joined = known.join(least, ["origin", "node", "dist"], "left")
+    return joined.select("origin", "node", "dist", F.when(F.col("node") != F.col("origin"), F.coalesce("first", "parent")).alias("parent"))
 
 
 def search_by_origin(edges: DataFrame, origins: DataFrame, cost: str = "length") -> DataFrame:
@@ -161,9 +164,12 @@ def search_by_origin(edges: DataFrame, origins: DataFrame, cost: str = "length")
                         continue
                     done.add(u)
                     for v, c in graph.get(u, ()):
-                        if d + c < dist.get(v, float("inf")):
+                        far = dist.get(v, float("inf"))
+                        if d + c < far:
                             dist[v], parent[v] = d + c, u
                             heapq.heappush(heap, (d + c, v))
+                        elif d + c == far and c > 0 and v != origin and u < parent[v]:
+                            parent[v] = u
                 nodes = list(dist)
                 yield pa.record_batch([pa.array([origin] * len(nodes), pa.int64()), pa.array(nodes, pa.int64()), pa.array([dist[n] for n in nodes]), pa.array([parent[n] for n in nodes], pa.int64())], names=["origin", "node", "dist", "parent"])
 
@@ -174,10 +180,10 @@ def tree_sums(paths: DataFrame, edges: DataFrame, values: Sequence[str], cost: s
     """origin, node and the sums of edge values along the path from the origin, by pointer doubling."""
     e = shortest_parallel(edges, cost).select(F.col("u").alias("parent"), F.col("v").alias("node"), *values)
     now = paths.select("origin", "node", "parent").join(e, ["parent", "node"], "left").select("origin", "node", F.col("parent").alias("up"), *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
-    now = now.checkpoint()
+    now = held(now)
     while not now.where("up IS NOT NULL").isEmpty():
         above = now.select("origin", F.col("node").alias("up"), F.col("up").alias("next"), *[F.col(v).alias(f"a_{v}") for v in values])
-        now = now.join(above, ["origin", "up"], "left").select("origin", "node", F.col("next").alias("up"), *[(F.col(v) + F.coalesce(f"a_{v}", F.lit(0.0))).alias(v) for v in values]).checkpoint()
+        now = held(now.join(above, ["origin", "up"], "left").select("origin", "node", F.col("next").alias("up"), *[(F.col(v) + F.coalesce(f"a_{v}", F.lit(0.0))).alias(v) for v in values]))
     return now.drop("up")
 
 
@@ -219,8 +225,15 @@ def turns(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reached(edges: DataFrame, start: int) -> DataFrame:
-    """node: all that can be reached from start."""
-    return shortest_paths(edges.select("u", "v", F.lit(1.0).alias("length")), edges.sparkSession.createDataFrame([(start,)], "origin long")).select("node")
+    """node: all that can be reached from start, breadth first; each round joins the nodes that are new alone."""
+    e = held(edges.select("u", "v").distinct())
+    known = front = edges.sparkSession.createDataFrame([(start,)], "node long")
+    while True:
+        step = front.join(e, front.node == e.u).select(F.col("v").alias("node")).distinct()
+        front = held(step.join(known, "node", "left_anti"))
+        if front.isEmpty():
+            return known
+        known = known.unionByName(front)
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
@@ -233,8 +246,8 @@ def largest_component(edges: DataFrame) -> DataFrame:
             return best
         pivot = nodes.agg(F.max(F.struct("d", (-F.col("node")).alias("n"))).alias("b")).first().b
         start = -pivot.n
-        own = reached(left, start).join(reached(left.select(F.col("v").alias("u"), F.col("u").alias("v")), start), "node").checkpoint()
+        own = held(reached(left, start).join(reached(left.select(F.col("v").alias("u"), F.col("u").alias("v")), start), "node"))
         n = own.count()
         if n > best_n:
             best, best_n = own, n
-        left = left.join(own.select(F.col("node").alias("u")), "u", "left_anti").join(own.select(F.col("node").alias("v")), "v", "left_anti").checkpoint()
+        left = held(left.join(own.select(F.col("node").alias("u")), "u", "left_anti").join(own.select(F.col("node").alias("v")), "v", "left_anti"))

@@ -88,16 +88,53 @@ def _funnel_steps() -> list[tuple[str, Column]]:
     ]
 
 
+def one_incident(incidents: DataFrame) -> DataFrame:
+    """One row an incident_id: the first by date, place and the other columns that can be ordered."""
+    order = [c for c in ("date_of_call", "hour_of_call", "dest_lat", "dest_lon", "station_ground", "deployed_from_station", "borough", "travel_seconds") if c in incidents.columns]
+    return first_by(incidents, ["incident_id"], [F.col(c).asc_nulls_last() for c in order])
+
+
+def places(stations: DataFrame, name: str, prefix: str) -> DataFrame:
+    """name, PREFIX_lat and PREFIX_lon of stations: one row a name, that with the least coordinates."""
+    first = F.min(F.struct("lat", "lon")).alias("p")
+    return stations.where("facilityname IS NOT NULL").groupBy(F.col("facilityname").alias(name)).agg(first).select(name, F.col("p.lat").alias(f"{prefix}_lat"), F.col("p.lon").alias(f"{prefix}_lon"))
+
+
+def fill_dates(rows: DataFrame, other: DataFrame, key: str, date: str = "date_of_call") -> DataFrame:
+    """rows whose missing dates come from another source (key, date); of several there, the earliest."""
+    second = other.groupBy(key).agg(F.min(date).alias("__date"))
+    return rows.join(second, key, "left").withColumn(date, F.coalesce(date, "__date")).drop("__date")
+
+
+def matched_features(names: DataFrame, features: DataFrame, overrides: DataFrame) -> DataFrame:
+    """name, feature, how and its lat and lon: the feature that an override names, or else one of equal normalised name.
+
+    features: element, feature_id, feature_name, operator, lat, lon; overrides:
+    name, element, feature_id. Of several, tagged ones of the brigade come first, then
+    the later element name ("way" before "node"), then the smaller id. Names
+    without a feature have how "missing".
+    """
+    own = features.withColumn("plain", plain_name(F.col("feature_name"))).withColumn("tagged", F.coalesce(F.col("operator").contains("London Fire"), F.lit(False)))
+    n = names.select("name").distinct().withColumn("plain", plain_name(F.col("name")))
+    told = n.drop("plain").join(overrides, "name").join(own, ["element", "feature_id"], "left").withColumn("how", F.lit("override"))
+    by_name = n.join(overrides.select("name").distinct(), "name", "left_anti").join(own, "plain", "left").withColumn("how", F.lit("name"))
+    columns = ["name", "element", "feature_id", "feature_name", "lat", "lon", "tagged", "how"]
+    both = told.select(columns).unionByName(by_name.select(columns))
+    best = first_by(both, ["name"], [F.col("lat").isNull(), F.col("tagged").desc(), F.col("element").desc(), "feature_id"])
+    there = F.col("lat").isNotNull()
+    return best.select("name", *[F.when(there, F.col(c)).alias(c) for c in ("element", "feature_id", "feature_name", "lat", "lon")], F.when(there, F.col("how")).otherwise("missing").alias("how"))
+
+
 def training_rows(mobilisations: DataFrame, incidents: DataFrame, stations: DataFrame) -> DataFrame:
     """Engine trips that left from a known station, with distances and times: mobilisations joined to incidents.
 
-    incidents need one row an incident_id; stations are few and unique by name.
+    Of incidents with one incident_id, and of stations with one name, the first
+    in an order of their columns counts, so that neither multiplies trips.
     """
     keep = mobilisations
     for _, step in _funnel_steps():
         keep = keep.where(step)
-    place = stations.select(F.col("facilityname").alias("deployed_from_station"), F.col("lat").alias("start_lat"), F.col("lon").alias("start_lon"))
-    joined = keep.join(incidents.drop("travel_seconds"), "incident_id").join(place, "deployed_from_station")
+    joined = keep.join(one_incident(incidents).drop("travel_seconds"), "incident_id").join(places(stations, "deployed_from_station", "start"), "deployed_from_station")
     km = geo.haversine_km(F.col("start_lon"), F.col("start_lat"), F.col("dest_lon"), F.col("dest_lat"), geo.RADIUS_TRIP_KM)
     rows = joined.withColumn("crow_km", km).where((F.col("crow_km") > 0) & (F.col("crow_km") <= MOST_KM))
     return rows.select(
@@ -109,8 +146,7 @@ def training_rows(mobilisations: DataFrame, incidents: DataFrame, stations: Data
 
 def funnel(mobilisations: DataFrame, incidents: DataFrame, stations: DataFrame) -> DataFrame:
     """How many mobilisations each step of training_rows() leaves, in one pass (step, n)."""
-    place = stations.select(F.col("facilityname").alias("deployed_from_station"), F.col("lat").alias("start_lat"), F.col("lon").alias("start_lon"))
-    joined = mobilisations.join(incidents.drop("travel_seconds"), "incident_id", "left").join(place, "deployed_from_station", "left")
+    joined = mobilisations.join(one_incident(incidents).drop("travel_seconds"), "incident_id", "left").join(places(stations, "deployed_from_station", "start"), "deployed_from_station", "left")
     km = geo.haversine_km(F.col("start_lon"), F.col("start_lat"), F.col("dest_lon"), F.col("dest_lat"), geo.RADIUS_TRIP_KM)
     steps = [("mobilisations", F.lit(True)), *_funnel_steps(), ("known_station", F.col("start_lat").isNotNull()), ("crow_km_0_15", (km > 0) & (km <= MOST_KM))]
     so_far, counts = F.lit(True), []
@@ -149,8 +185,8 @@ def own_station_pairs(incidents: DataFrame, stations: DataFrame) -> DataFrame:
 
 def trips_with_origin(incidents: DataFrame, stations: DataFrame, most_km: float = 25.0) -> DataFrame:
     """Incidents with the coordinates of the deployed station, or of the ground's where that is unknown, and drive_s."""
-    place = stations.select(F.col("facilityname").alias("start_station"), F.col("lat").alias("start_lat"), F.col("lon").alias("start_lon"))
-    known = stations.select(F.col("facilityname").alias("deployed_from_station"), F.lit(True).alias("known"))
+    place = places(stations, "start_station", "start")
+    known = stations.select(F.col("facilityname").alias("deployed_from_station"), F.lit(True).alias("known")).dropna().distinct()
     start = F.when(F.col("known"), F.col("deployed_from_station")).otherwise(F.col("station_ground"))
     rows = incidents.join(known, "deployed_from_station", "left").withColumn("start_station", start).drop("known").join(place, "start_station")
     km = geo.haversine_km(F.col("start_lon"), F.col("start_lat"), F.col("dest_lon"), F.col("dest_lat"), geo.RADIUS_TRIP_KM)

@@ -79,3 +79,21 @@ def hotspots(rows: DataFrame, cell_deg: float, top: int, days: float, of: str =
     best = cells.groupBy("gx", "gy").agg(F.count("*").alias("n"), F.percentile("travel_seconds", F.lit(0.5)).alias("median_attend_s"), F.mode(of, True).alias("common"))
     lead = best.orderBy(F.col("n").desc(), "gx", "gy").limit(top)
     return lead.select(F.row_number().over(Window.orderBy(F.col("n").desc(), "gx", "gy")).alias("rank"), "gx", "gy", "n", (F.col("n") / days).alias("per_day"), "common", "median_attend_s")
+
+
+def hexbin(rows: DataFrame, x, y, extent: tuple[float, float, float, float], across: int = 70) -> DataFrame:
+    """lattice, ix, iy, x, y, n and log_n of points counted on hexagons: each goes to the nearer of two offset lattices.
+
+    extent: least and most x, least and most y; points beyond the outer
+    hexagons are left out, null ones too.
+    """
+    x0, x1, y0, y1 = extent
+    down = int(across / math.sqrt(3))
+    sx, sy = (x1 - x0) / across, (y1 - y0) / down
+    p = rows.select(((x - x0) / sx).alias("u"), ((y - y0) / sy).alias("v")).dropna()
+    first = F.struct(F.lit(1).alias("lattice"), F.rint("u").alias("a"), F.rint("v").alias("b"))
+    second = F.struct(F.lit(2).alias("lattice"), (F.floor("u") + 0.5).alias("a"), (F.floor("v") + 0.5).alias("b"))
+    off = lambda c: F.pow(F.col("u") - c["a"], 2) + 3 * F.pow(F.col("v") - c["b"], 2)
+    near = p.select(F.when(off(first) < off(second), first).otherwise(second).alias("h")).select("h.*")
+    counted = near.where(F.col("a").between(0, across) & F.col("b").between(0, down)).groupBy("lattice", "a", "b").agg(F.count("*").alias("n"))
+    return counted.select("lattice", F.floor("a").cast("int").alias("ix"), F.floor("b").cast("int").alias("iy"), (F.col("a") * sx + x0).alias("x"), (F.col("b") * sy + y0).alias("y"), "n", F.log10(F.col("n") + 1).alias("log_n"))

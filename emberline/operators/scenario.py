@@ -141,3 +141,10 @@ def closed_matches(names: DataFrame, closed: DataFrame, cutoff: float = 0.85) ->
 
     rest = n.join(direct.select("name"), "name", "left_anti").mapInPandas(close, "name string, closed string, tier int")
     return direct.unionByName(rest)
+
+
+def presence(names: DataFrame, closed: DataFrame, cutoff: float = 0.85) -> DataFrame:
+    """name, listed and as_names of each closed site: the names of a present list that mean it, if any."""
+    hits = closed_matches(names, closed, cutoff).groupBy("closed").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    own = closed.select("at", F.col("name").alias("closed")).join(hits, "closed", "left")
+    return own.select("at", F.col("closed").alias("name"), F.col("names").isNotNull().alias("listed"), F.array_join("names", ", ").alias("as_names"))

@@ -128,3 +128,18 @@ def baselines(trips: DataFrame, train_median: float, road_kph: float) -> DataFra
         "curve_crow": times.clipped(times.DEFAULT_CURVE.seconds(F.col("crow_km")), *bounds),
         "curve_road": times.clipped(times.DEFAULT_CURVE.seconds(F.col("road_km")), *bounds),
     })
+
+
+def road_speed_kph(trips: DataFrame) -> DataFrame:
+    """One row: the speed that the sums of road distance and drive time give."""
+    return trips.agg((F.sum("road_km") / F.nullif(F.sum("drive_s"), F.lit(0.0)) * 3600).alias("kph"))
+
+
+def ground_centroids(rows: DataFrame) -> DataFrame:
+    """Median place of each station ground's incidents; null grounds dropped."""
+    return rows.where("station_ground IS NOT NULL").groupBy("station_ground").agg(median("dest_lat").alias("lat"), median("dest_lon").alias("lon"), F.count("*").alias("n"))
+
+
+def snap_quantiles(snapped: DataFrame, km: str = "km") -> DataFrame:
+    """Median and 95th percentile of the distances that points were moved to their cells."""
+    return snapped.agg(median(km).alias("p50_km"), median(km, 0.95).alias("p95_km"), F.count(km).alias("n"))
