@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -237,17 +238,72 @@ def reached(edges: DataFrame, start: int) -> DataFrame:
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
-    """node: the largest strongly connected component; forward and backward reach from the busiest node left, until the rest is smaller."""
-    left, best, best_n = edges.select("u", "v"), None, 0
+    """node: the largest strongly connected component; of equally large ones, that with the smallest node.
+
+    Graphs of up to SMALL_GRAPH edges are searched depth first on the driver,
+    as arrays of their ends. In larger ones, forward and backward reach from the
+    busiest node left are joined, until the rest is smaller.
+    """
+    ends = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct()
+    if ends.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
+        t = ends.toArrow()
+        found = _strong(t.column("u").to_numpy(), t.column("v").to_numpy())
+        return edges.sparkSession.createDataFrame(pa.table({"node": pa.array(found, pa.int64())}))
+    left, best, best_n = held(ends), None, (0, 0)
     while True:
         nodes = left.select(F.col("u").alias("node")).union(left.select("v")).groupBy("node").agg(F.count("*").alias("d"))
         total = nodes.count()
-        if total <= best_n:
-            return best
+        if total < best_n[0] or not total:
+            return ends.select(F.col("u").alias("node")).where("false") if best is None else best
         pivot = nodes.agg(F.max(F.struct("d", (-F.col("node")).alias("n"))).alias("b")).first().b
         start = -pivot.n
         own = held(reached(left, start).join(reached(left.select(F.col("v").alias("u"), F.col("u").alias("v")), start), "node"))
-        n = own.count()
-        if n > best_n:
-            best, best_n = own, n
+        n, least = own.agg(F.count("*"), F.min("node")).first()
+        if (n, -least) > best_n or best is None:
+            best, best_n = own, (n, -least)
         left = held(left.join(own.select(F.col("node").alias("u")), "u", "left_anti").join(own.select(F.col("node").alias("v")), "v", "left_anti"))
+
+
+def _strong(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Nodes of the largest strongly connected component, by one depth-first search with low links."""
+    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    order = np.argsort(a, kind="stable")
+    head, first = b[order].tolist(), np.searchsorted(a[order], np.arange(len(nodes) + 1)).tolist()
+    number, low, on = [-1] * len(nodes), [0] * len(nodes), [False] * len(nodes)
+    stack, best, count = [], (0, 0, []), 0
+    for root in range(len(nodes)):
+        if number[root] >= 0:
+            continue
+        work = [(root, first[root])]
+        while work:
+            i, e = work.pop()
+            if number[i] < 0:
+                number[i] = low[i] = count
+                count += 1
+                stack.append(i)
+                on[i] = True
+            deeper = False
+            while e < first[i + 1]:
+                j = head[e]
+                e += 1
+                if number[j] < 0:
+                    work += [(i, e), (j, first[j])]
+                    deeper = True
+                    break
+                if on[j]:
+                    low[i] = min(low[i], low[j])
+            if deeper:
+                continue
+            if low[i] == number[i]:
+                own = []
+                while True:
+                    j = stack.pop()
+                    on[j] = False
+                    own.append(j)
+                    if j == i:
+                        break
+                best = max(best, (len(own), -min(own), own))
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[i])
+    return np.sort(nodes[np.array(best[2], dtype=np.int64)])

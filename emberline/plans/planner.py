@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberline.functions.text import plain_name
 from emberline.functions.times import TURNOUT_S, attendance
 from emberline.operators import facility, fitting, prep, spatial, summaries, weighted
+from emberline.sources.tables import held
 
 MODES = ("redesign", "replace", "expand")
 
@@ -22,6 +23,8 @@ class Plan:
     opened: DataFrame
     closed: DataFrame
     summary: DataFrame
+    #: Of held-out incidents: median and 95th percentile of the way to their cells, and how many; None without any.
+    snap: DataFrame | None = None
 
 
 def turnout_table(sites: DataFrame, stations_turnout: DataFrame | None, default_s: float = TURNOUT_S) -> DataFrame:
@@ -68,18 +71,25 @@ def plan(incidents: DataFrame, stations: DataFrame, mode: str = "expand", k: int
     p = busy_table(sites, demand) if busy else None
     planned = facility.responses(times, choice.sites, p)
     current = facility.responses(times, existing, p)
-    out_cells = cells.join(planned.select("cell_id", "response_s", "assigned_site"), "cell_id").join(current.select("cell_id", F.col("response_s").alias("response_s_current")), "cell_id").withColumn("response_s_delta", F.col("response_s") - F.col("response_s_current")).withColumn("covered", F.col("response_s") <= threshold_s).withColumn("covered_current", F.col("response_s_current") <= threshold_s)
+    drive = times.select("cell_id", F.col("site_id").alias("assigned_site"), "drive_s")
+    out_cells = cells.join(planned.select("cell_id", "response_s", "assigned_site").join(drive, ["cell_id", "assigned_site"]), "cell_id").join(current.select("cell_id", F.col("response_s").alias("response_s_current")), "cell_id").withColumn("response_s_delta", F.col("response_s") - F.col("response_s_current")).withColumn("covered", F.col("response_s") <= threshold_s).withColumn("covered_current", F.col("response_s_current") <= threshold_s)
     rank = sites.sparkSession.createDataFrame([(s, i + 1) for i, s in enumerate(choice.sites)], "candidate_id long, plan_rank int")
     selected = sites.join(rank, "candidate_id").join(facility.assigned(times, choice.sites).withColumnRenamed("site_id", "candidate_id"), "candidate_id")
-    scores = None
-    for label, rows in (("plan", planned), ("current", current)):
-        one = weighted.posture_metrics(rows, threshold_s).crossJoin(weighted.score_first_engine(rows.withColumn("v", F.col("response_s")).select("v", "w"), value="v", weight="w")).select(F.lit(label).alias("label"), "*")
-        scores = one if scores is None else scores.unionByName(one)
+    anywhere = [r.site_id for r in facility.at_random(sites.select(F.col("candidate_id").alias("site_id")), len(choice.sites)).collect()]
+    by_chance = facility.responses(times, anywhere, p)
+
+    def scored(label: str, rows: DataFrame) -> DataFrame:
+        firsts = weighted.score_first_engine(rows.withColumn("v", F.col("response_s")).select("v", "w"), value="v", weight="w")
+        return weighted.posture_metrics(rows, threshold_s).crossJoin(firsts).select(F.lit(label).alias("label"), "*")
+
+    scores, snap = scored("plan", planned).unionByName(scored("current", current)).unionByName(scored("random", by_chance)), None
     if held_out is not None:
-        snapped = spatial.snap_to_cells(held_out, cells)
+        snapped = held(spatial.snap_to_cells(held_out, cells))
+        snap = summaries.snap_quantiles(snapped)
         for label, rows in (("held_out_plan", planned), ("held_out_current", current)):
-            seen = snapped.join(rows, "cell_id").select("response_s", F.lit(1.0).alias("w"))
-            one = weighted.posture_metrics(seen, threshold_s).crossJoin(weighted.score_first_engine(seen.withColumnRenamed("response_s", "v"), value="v", weight="w"))
-            scores = scores.unionByName(one.select(F.lit(label).alias("label"), "*"))
+            scores = scores.unionByName(scored(label, snapped.join(rows, "cell_id").select("cell_id", "response_s", F.lit(1.0).alias("w"))))
+        seen = held_out.where("travel_seconds IS NOT NULL").select(F.col("incident_id").alias("cell_id"), F.col("travel_seconds").cast("double").alias("response_s"), F.lit(1.0).alias("w"))
+        if not seen.isEmpty():
+            scores = scores.unionByName(scored("held_out_observed", seen))
     summary = scores.select(F.lit(mode).alias("mode"), F.lit(objective).alias("objective"), F.lit(choice.value).alias("value"), F.lit(choice.first_value).alias("first_value"), F.lit(len(choice.swaps)).alias("n_swaps"), F.lit(travel["source"]).alias("curve_source"), "*")
-    return Plan(sites, out_cells, selected, sites.where(~F.col("is_existing")).join(rank.select("candidate_id"), "candidate_id", "left_semi"), sites.where("is_existing").join(rank.select("candidate_id"), "candidate_id", "left_anti"), summary)
+    return Plan(sites, out_cells, selected, sites.where(~F.col("is_existing")).join(rank.select("candidate_id"), "candidate_id", "left_semi"), sites.where("is_existing").join(rank.select("candidate_id"), "candidate_id", "left_anti"), summary, snap)

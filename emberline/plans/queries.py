@@ -232,17 +232,6 @@ def alias_normalise(spark, d):
     return prep.with_aliases(raw).withColumn("travel_seconds", prep.number("travel_seconds"))
 
 
-@query("station_id:i back_km:d", ST, "SELECT station_id, 0 AS back_km FROM st")
-def bng_to_wgs84(spark, d):
-    """How far points on a grid of easting and northing land from a second projection of them by mercator, there and back."""
-    st = fx.stations(spark, d)
-    lon, lat = geo.bng_to_wgs84(F.lit(503000.0) + (F.col("station_id") * 613) % 55000, F.lit(156000.0) + (F.col("station_id") * 977) % 45000)
-    x, y = geo.mercator(F.col("lon"), F.col("lat"))
-    p = st.select("station_id", lon.alias("lon"), lat.alias("lat"))
-    blon, blat = geo.from_mercator(F.col("x"), F.col("y"))
-    return p.withColumn("x", x).withColumn("y", y).select("station_id", F.round(geo.haversine_km(F.col("lon"), F.col("lat"), blon, blat), 4).alias("back_km"))
-
-
 @query("name:s plain:s closed:s building:s titled:s", "n0 AS (SELECT n_name, concat('  ', n_name, '   Fire Station (Old) LFB ') AS name FROM nation)", r"""SELECT name, trim(regexp_replace(lower(trim(name)), '\s+', ' ', 'g')) AS plain,
   trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '[^a-z0-9 ]+', ' ', 'g'), '\b(fire|station|stn|lfb)\b', ' ', 'g'), '\s+', ' ', 'g')) AS closed,
   trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '\([^)]*\)', '', 'g'), '\b(fire|station|stn|community|lfb|london fire brigade)\b', '', 'g'), '[^a-z ]', '', 'g'), '\s+', ' ', 'g')) AS building,

@@ -82,7 +82,7 @@ def test_robust_curve(spark):
         fitting.fit_curve(spark.createDataFrame([(1.0, 70.0)], "km double, seconds double"))
 
 
-def test_paths_turns_and_components(spark):
+def test_paths_turns_and_components(spark, monkeypatch):
     rng = random.Random(7)
     rows = [(rng.randrange(9), rng.randrange(9), k, float(rng.randrange(1, 20))) for k in range(26)]
     e = spark.createDataFrame(rows, "u long, v long, key int, length double")
@@ -102,8 +102,11 @@ def test_paths_turns_and_components(spark):
     nodes = {x for r in rows for x in r[:2]}
     for n in nodes:
         groups.setdefault(frozenset(m for m in nodes if d[n, m] < math.inf and d[m, n] < math.inf), 0)
-    got = {r.node for r in graph.largest_component(e).collect()}
-    assert len(got) == max(map(len, groups))
+    want = max(groups, key=lambda g: (len(g), -min(g)))
+    assert {r.node for r in graph.largest_component(e).collect()} == want
+    monkeypatch.setattr(graph, "SMALL_GRAPH", 1)
+    assert {r.node for r in graph.largest_component(e).collect()} == want
+    assert graph.largest_component(e.where("false")).count() == 0
 
 
 def test_nearest_by_cells_equals_broadcast(spark):
