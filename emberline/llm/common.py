@@ -6,10 +6,13 @@ import atexit
 import itertools
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 _RUN = uuid.uuid4().hex[:12]
 _COUNT = itertools.count()
 _OWN_BASE: list[str] = []
+_FOLDERS: set[str] = set()
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +53,40 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
     The lineage ends there: losing an executor later costs no recomputation of
     df, and Spark knows the size of what it reads, so that joins are broadcast
-    only below spark.sql.autoBroadcastJoinThreshold.
+    only below spark.sql.autoBroadcastJoinThreshold. The table goes with forget(),
+    or with the process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{next(_COUNT):04d}-{name}"
+    folder = shared_dir(spark)
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, folder)
+    path = f"{folder}/{next(_COUNT):04d}-{name}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes the tables of cut() that nothing needs any longer: what was made of them is written itself."""
+    for df in tables:
+        path = _PATHS.pop(df, None) if df is not None else None
+        if path:
+            _delete(path)
+
+
+def _delete(path: str) -> None:
+    """Deletes a folder by Spark's own file systems; nothing where the JVM has gone already."""
+    gateway = SparkContext._gateway
+    if gateway is None:
+        return
+    jvm = gateway.jvm
+    try:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except (Py4JError, OSError):  # at the end of the process, what is left is left
+        return
 
 
 def text_or_empty(column: str = "text"):

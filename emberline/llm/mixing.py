@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table, text_or_empty
+from .common import WORD, cut, forget, table, text_or_empty
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -68,6 +68,7 @@ def tilts(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
         "tilts",
     )
     for _ in range(0, ROUNDS, STEPS):
+        last = state
         for _ in range(STEPS):
             power = F.exp(F.least(F.lit(700.0), F.col("tilt") * F.col("size") / F.col("scale")))
             mass = F.col("n") * F.col("size")
@@ -86,6 +87,7 @@ def tilts(sizes: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
             )
             state = at.select(*columns, "done").union(state.where("NOT solid").select(*columns, F.lit(True).alias("done")))
         state = cut(state, "tilts")
+        forget(last)
         open_ = state.where("NOT done")
         if open_.isEmpty():
             break
@@ -165,7 +167,8 @@ def solve(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
             F.max("bucket").alias("last"),
         )
         edge = F.col("edge") + width * F.coalesce("crossed", F.col("last") + 1, F.lit(0))
-        state = cut(after.select(*[c for c in state.columns if c not in ("need", "edge")], (F.col("need") - F.col("taken")).alias("need"), edge.alias("edge")), "thresholds")
+        last, state = state, cut(after.select(*[c for c in state.columns if c not in ("need", "edge")], (F.col("need") - F.col("taken")).alias("need"), edge.alias("edge")), "thresholds")
+        forget(last)
     # the last bucket is taken as well if that comes nearer
     last = _rated(sized, state, most, seed).where((F.col("key") >= F.col("edge")) & (F.col("key") < F.col("edge") + width))
     rest = last.groupBy("source").agg(F.sum("size").alias("rest")).withColumnRenamed("source", "of")

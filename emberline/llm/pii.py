@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pieces_of, table, text_or_empty
+from .common import cut, forget, pieces_of, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern is trusted from so many distinct known instances on, and this share of those that count.
@@ -227,8 +227,10 @@ def bootstrap(seen: DataFrame, rounds: int | None = None) -> DataFrame:
         fresh = cut(best.select("instance", (-F.col("b.rank")).alias("kind"), F.col("b.score").alias("score")), "found")
         if fresh.isEmpty():
             break
-        found = fresh if found is None else cut(found.union(fresh), "all-found")
+        last = (known, told, found, fresh if found is not None else None)
         known = cut(known.union(fresh.select("instance", "kind")), "known")
+        found = fresh if found is None else cut(found.union(fresh), "all-found")
+        forget(*last)
     return found if found is not None else known.select("instance", "kind", F.lit(0.0).alias("score")).where("false")
 
 

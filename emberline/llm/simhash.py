@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pieces_of, table, text_or_empty
+from .common import cut, forget, pieces_of, table, text_or_empty
 
 RADIUS = 3
 SHINGLE = 3
@@ -271,6 +271,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = joined.select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         after = cut(small.where("u <> v").distinct(), "stars")
         then = after.agg(*signature).first()
+        forget(now)
         if then == known:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).union(after.select("v", "v").distinct())
         now, known = after, then
