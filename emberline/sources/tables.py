@@ -7,11 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: list[str] = []
+_RUN = uuid.uuid4().hex[:12]
+_FOLDERS: set[str] = set()
 
 #: Reading order and types of the source tables.
 STATIONS = "facilityname STRING, lat DOUBLE, lon DOUBLE, borough STRING"
@@ -23,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a temporary folder of this process where a local session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return f"{base.rstrip('/')}/emberline-graph-{uuid.uuid4().hex[:8]}"
+        return f"{base.rstrip('/')}/emberline-tables-{_RUN}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
@@ -34,13 +38,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def held(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: the lineage ends there, and losing an executor costs no recomputation."""
+    """df written to the shared folder and read again: the lineage ends there, and losing an executor costs no recomputation. The folder goes with the process."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/held-{uuid.uuid4().hex[:12]}"
+    folder = shared_folder(spark)
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, folder)
+    path = f"{folder}/held-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(folder: str) -> None:
+    """Deletes a folder by Spark's own file systems, while the JVM is there."""
+    if SparkContext._gateway is not None:
+        jvm = SparkContext._gateway.jvm
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except (Py4JError, OSError):  # at the end of the process, what is left is left
+            return
+
+
 def csv(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType | None = None, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     """A CSV table with a header: strings unless a schema says otherwise, pruned to the wanted columns that exist, rows limited on demand."""
     reader = spark.read.option("header", True).option("nullValue", "").option("mode", "PERMISSIVE")
