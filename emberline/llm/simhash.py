@@ -245,7 +245,10 @@ def _met(rows: DataFrame, partners: DataFrame, key: str, total: int, count: str
 
     Partners of very common keys are broadcast, of which there are HUBS at
     most as each has over total / HUBS rows; no task gets all rows of such a key.
+    Of up to HUB rows in all, no key can have more.
     """
+    if total <= HUB:
+        return rows.join(partners.drop(count), key)
     limit = max(HUB, total // HUBS)
     hubs = F.broadcast(partners.where(F.col(count) > limit).drop(count))
     common = rows.join(hubs, key)
@@ -285,7 +288,7 @@ def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rooted_groups = groups.join(linked, groups.fp == linked.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted_groups.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
     count = groups.agg(F.sum("n"), F.count("*")).first()
-    by_fp = cut(_met(rooted_groups, smallest, "root", count[1], "m"), "components")
+    by_fp = cut(_met(rooted_groups, smallest, "root", count[1] or 0, "m"), "components")
     return _met(prints, by_fp, "fp", count[0] or 0).select("doc_id", "key", "full", "fp", "root", "component_id")
 
 
