@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from emberline.functions import geo, times
 from emberline.operators import facility, graph, prep, raster, roads, scenario, spatial, summaries, weighted
 from emberline.plans import queries as plans
-from emberline.plans.queries import GRID, HAV, INC, MOB, NEAR, ORACLES, QUERIES, ST, TRIPS, WHOLE, _score_sql, _shaped, _shaped_sql, query
+from emberline.plans.queries import GRID, HAV, INC, ORACLES, ORIGINS, ST, TRIPS, WHOLE, _score_sql, _shaped_sql, paths_sql, query
 from emberline.sources import demo
 from emberline.sources import fixtures as fx
 
@@ -53,16 +53,9 @@ def matched_features(spark, d):
     return prep.matched_features(st.select(F.col("facilityname").alias("name")), features, overrides)
 
 
-_CL = "cl(pos, name) AS (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(scenario.CLOSED_2014)) + ")"
-
-
-@query("site:i name:s listed:s as_names:s", ST + ", " + _CL + ", nm AS (SELECT CASE station_id % 4 WHEN 0 THEN facilityname WHEN 1 THEN concat(c.name, ' Fire Station') ELSE concat('Old ', c.name, ' (', CAST(station_id % 3 AS VARCHAR), ')') END AS name, c.name AS is_of, station_id % 4 AS kind FROM st JOIN cl c ON c.pos = station_id % 10 AND c.pos < 7)", "SELECT pos AS site, cl.name, count(nm.name) > 0 AS listed, string_agg(DISTINCT nm.name, ', ' ORDER BY nm.name) AS as_names FROM cl LEFT JOIN nm ON nm.is_of = cl.name AND nm.kind > 0 GROUP BY 1, 2")
+@query("site:i name:s listed:s as_names:s", plans._NAMES, "SELECT pos AS site, cl.name, count(nm.name) > 0 AS listed, string_agg(DISTINCT nm.name, ', ' ORDER BY nm.name) AS as_names FROM cl LEFT JOIN nm ON nm.is_of = cl.name AND nm.kind > 0 GROUP BY 1, 2")
 def closed_presence(spark, d):
-    closed = scenario.closed_sites(spark)
-    st = fx.stations(spark, d).join(F.broadcast(closed.select("at", F.col("name").alias("closed"))), (F.col("at") == F.col("station_id") % 10) & (F.col("at") < 7))
-    kind = F.col("station_id") % 4
-    names = st.select(F.when(kind == 0, F.col("facilityname")).when(kind == 1, F.concat("closed", F.lit(" Fire Station"))).otherwise(F.concat(F.lit("Old "), "closed", F.lit(" ("), (F.col("station_id") % 3).cast("string"), F.lit(")"))).alias("name"))
-    return scenario.presence(names, closed).withColumnRenamed("at", "site")
+    return scenario.presence(plans._closed_names(spark, d), scenario.closed_sites(spark)).withColumnRenamed("at", "site")
 
 
 # ---- pictures ----
@@ -170,29 +163,16 @@ def demo_city(spark, d):
 
 
 # ---- streets under trips ----
-ORIGINS = "SELECT CAST(p_partkey AS BIGINT) AS o FROM part WHERE p_partkey % 20 = 0"
-
-
-def _paths_sql(origins: str, edges: str, cost: str) -> str:
-    """Recursive SQL for the least cost from each origin to each node: a row is made anew only where it gets nearer."""
-    return f"""sp(origin, node, dist) USING KEY (origin, node) AS (SELECT o, o, CAST(0 AS DOUBLE) FROM ({origins})
-  UNION SELECT s.origin, e.v, min(s.dist + e.{cost}) FROM sp s JOIN {edges} e ON e.u = s.node LEFT JOIN recurring.sp k ON k.origin = s.origin AND k.node = e.v WHERE k.dist IS NULL OR s.dist + e.{cost} < k.dist GROUP BY 1, 2)"""
-
-
-_SP_ALL = f"WITH RECURSIVE {_paths_sql(ORIGINS, 'ed', 'length')} SELECT origin, node, dist, dist AS length FROM sp"
-for _name, _columns in (("shortest_paths_all", "origin:i node:i dist:d"), ("paths_by_origin_all", "origin:i node:i dist:d"), ("tree_sums_all", "origin:i node:i length:d")):
-    ORACLES[_name] = _shaped_sql(GR, _SP_ALL, _columns)
-
 ORACLES["largest_scc"] = _shaped_sql(GR, """WITH RECURSIVE pv AS (SELECT n FROM (SELECT u AS n FROM ed UNION ALL SELECT v FROM ed) GROUP BY n ORDER BY count(*) DESC, n LIMIT 1),
 fw(node) AS (SELECT n FROM pv UNION SELECT e.v FROM fw JOIN ed e ON e.u = fw.node), bw(node) AS (SELECT n FROM pv UNION SELECT e.u FROM bw JOIN ed e ON e.v = bw.node) SELECT node FROM fw JOIN bw USING (node)""", "node:i")
 
 _SUMS = {"len_total": "length", "major": "length * CAST(road_class = 'major' AS INT)", "residential": "length * CAST(road_class = 'residential' AS INT)", "ow": "length * CAST(oneway AS INT)", "slow": "length * CAST(coalesce(mph <= 20, false) AS INT)", "bus": "length * CAST(bl AS INT)", "br": "length * CAST(bt AS INT)", "lane": "coalesce(lanes * length, 0)", "tagged": "CASE WHEN lanes IS NULL THEN 0 ELSE length END", "j": "1", "ro": "CAST(rb AS INT)", "si": "CAST(v % 5 = 0 AS INT)"}
-_ROUTES = f"""WITH RECURSIVE {_paths_sql(ORIGINS, 'sf', 'length')},
+_ROUTES = f"""WITH RECURSIVE {paths_sql(ORIGINS, 'sf', 'length')},
 par AS (SELECT s.origin, e.v AS node, min(e.u) AS parent FROM sp s JOIN sf e ON e.u = s.node JOIN sp t ON t.origin = s.origin AND t.node = e.v AND t.dist = s.dist + e.length WHERE e.v <> s.origin GROUP BY 1, 2),
 tw AS (SELECT o AS origin, o AS node, CAST(NULL AS BIGINT) AS way, CAST(NULL AS INT) AS n_turns, {', '.join(f'CAST(0 AS DOUBLE) AS {k}' for k in _SUMS)} FROM ({ORIGINS})
   UNION ALL SELECT tw.origin, p.node, e.v - e.u, CAST(e.v - e.u <> tw.way AS INT), {', '.join(f'tw.{k} + {v}' for k, v in _SUMS.items())} FROM tw JOIN par p ON p.origin = tw.origin AND p.parent = tw.node JOIN sf e ON e.u = p.parent AND e.v = p.node)
 SELECT origin, node, n_turns, major / nullif(len_total, 0) AS share_major, residential / nullif(len_total, 0) AS share_residential, ow / nullif(len_total, 0) AS share_oneway, slow / nullif(len_total, 0) AS share_20mph, bus / nullif(len_total, 0) AS share_bus_lane, br / nullif(len_total, 0) AS share_bridge_tunnel, lane / nullif(tagged, 0) AS mean_lanes, j / nullif(len_total, 0) * 1000 AS junctions_per_km, ro / nullif(len_total, 0) * 1000 AS roundabouts_per_km, si / nullif(len_total, 0) * 1000 AS signals_per_km FROM tw"""
-ORACLES["route_ratios"] = _shaped_sql(plans._SE.replace(plans.ED, GR), _ROUTES, "origin:i node:i " + plans._RATIOS + " n_turns:i")
+ORACLES["route_ratios"] = _shaped_sql(plans._SE, _ROUTES, "origin:i node:i " + plans._RATIOS + " n_turns:i")
 
 _ND = ", nd AS (SELECT CAST(p_partkey AS BIGINT) AS node, CAST(51.30 AS DOUBLE) + floor(p_partkey / side) * (CAST(0.4 AS DOUBLE) / side) AS lat, CAST(-0.5 AS DOUBLE) + (p_partkey % side) * (CAST(0.8 AS DOUBLE) / side) AS lon FROM part CROSS JOIN gr)"
 
@@ -209,23 +189,23 @@ _BY_ROAD = TRIPS + ", " + GR + _ND + f""", sa AS (SELECT p.deployed_from_station
 sb AS (SELECT p.incident_id, arg_min(node, {_KM}) AS node, min({_KM}) * 1000 AS m FROM (SELECT DISTINCT incident_id, dest_lat AS lat, dest_lon AS lon FROM trips) p CROSS JOIN nd GROUP BY 1)"""
 
 
-@query("incident_id:i pump_order:i start_node:i dest_node:i crow_km:d road_km:d", _BY_ROAD, f"WITH RECURSIVE {_paths_sql('SELECT DISTINCT node AS o FROM sa', 'ed', 'length')} SELECT t.incident_id, t.pump_order, sa.node AS start_node, sb.node AS dest_node, t.crow_km, (dist + sa.m + sb.m) / 1000 AS road_km FROM trips t JOIN sa USING (deployed_from_station) JOIN sb ON sb.incident_id = t.incident_id JOIN sp ON sp.origin = sa.node AND sp.node = sb.node")
+@query("incident_id:i pump_order:i start_node:i dest_node:i crow_km:d road_km:d", _BY_ROAD, f"WITH RECURSIVE {paths_sql('SELECT DISTINCT node AS o FROM sa', 'ed', 'length')} SELECT t.incident_id, t.pump_order, sa.node AS start_node, sb.node AS dest_node, t.crow_km, (dist + sa.m + sb.m) / 1000 AS road_km FROM trips t JOIN sa USING (deployed_from_station) JOIN sb ON sb.incident_id = t.incident_id JOIN sp ON sp.origin = sa.node AND sp.node = sb.node")
 def training_rows_by_road(spark, d):
     return _by_road(spark, d)
 
 
 def _by_road(spark, d):
-    return roads.road_rows(plans._trips(spark, d), _nodes(spark, d), plans._features(spark, d, None))
+    return roads.road_rows(plans._trips(spark, d), _nodes(spark, d), plans._features(spark, d))
 
 
 _COSTED = f", ec AS (SELECT u, v, length, c AS cost_s FROM (SELECT *, {plans._COST} AS c FROM (SELECT *, CAST(coalesce(least(greatest(mph, 15), 70), 35) AS DOUBLE) AS k FROM se)) WHERE c < 1e11)"
 
 
-@query("origin:i node:i found:s cost_s:d", plans._SE.replace(plans.ED, GR) + _COSTED, f"WITH RECURSIVE {_paths_sql(ORIGINS, 'ec', 'cost_s')} SELECT a.o AS origin, b.o AS node, sp.dist IS NOT NULL AS found, sp.dist AS cost_s FROM ({ORIGINS}) a CROSS JOIN ({ORIGINS}) b LEFT JOIN sp ON sp.origin = a.o AND sp.node = b.o")
+@query("origin:i node:i found:s cost_s:d", plans._SE + _COSTED, f"WITH RECURSIVE {paths_sql(ORIGINS, 'ec', 'cost_s')} SELECT a.o AS origin, b.o AS node, sp.dist IS NOT NULL AS found, sp.dist AS cost_s FROM ({ORIGINS}) a CROSS JOIN ({ORIGINS}) b LEFT JOIN sp ON sp.origin = a.o AND sp.node = b.o")
 def engine_routes(spark, d):
     """Routes of a fire engine between all pairs of the grid's every twentieth node, and whether there is one."""
-    e = graph.engine_cost(plans._streets(spark, d, None).drop("highway").withColumnRenamed("hw", "highway")).where("cost_s < 1e11")
-    o = plans._origins(spark, d, None)
+    e = graph.engine_cost(plans._streets(spark, d).drop("highway").withColumnRenamed("hw", "highway")).where("cost_s < 1e11")
+    o = plans._origins(spark, d)
     pairs = o.crossJoin(o.withColumnRenamed("origin", "node"))
     return roads.route_table(e, pairs, "cost_s", ["length"]).withColumnRenamed("dist", "cost_s")
 
@@ -241,10 +221,10 @@ def reroute_fit(spark, d):
 
 def reroute_inputs(spark, d):
     """The street grid, and a trip from each node divisible by 20 to three others, at hours of the day."""
-    e = plans._streets(spark, d, None).drop("highway").withColumnRenamed("hw", "highway").withColumn("width", F.lit(None).cast("string"))
+    e = plans._streets(spark, d).drop("highway").withColumnRenamed("hw", "highway").withColumn("width", F.lit(None).cast("string"))
     n = fx.table(spark, d, "part").count()
     o = F.col("origin")
-    each = plans._origins(spark, d, None).withColumn("i", F.explode(F.array(*map(F.lit, range(3)))))
+    each = plans._origins(spark, d).withColumn("i", F.explode(F.array(*map(F.lit, range(3)))))
     node = F.pmod(o * 31 + F.col("i") * 977 + 7, F.lit(n))
     apart = F.abs(o - node).cast("double")
     return e, each.select((o * 3 + F.col("i")).alias("trip"), o, node.alias("node"), ((o + F.col("i")) % 24).cast("int").alias("hour"), (60 + apart * 0.4 + (o * 13 + F.col("i") * 7) % 90).alias("seconds"))

@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TRAIN, TEST = (1995, 1996, 1997, 1998, 1999), (2000,)
-INC, ST, MOB, ED = fx.INCIDENTS_SQL, fx.STATIONS_SQL, fx.MOBILISATIONS_SQL, fx.EDGES_SQL
+INC, ST, MOB, ED = fx.INCIDENTS_SQL, fx.STATIONS_SQL, fx.MOBILISATIONS_SQL, fx.ALL_EDGES_SQL
 
 
 #: Decimal places by kind, and what is added before rounding so that means of round numbers don't lie half way.
@@ -45,14 +45,10 @@ def _shaped_sql(ctes: str, body: str, columns: str) -> str:
     return (f"WITH {ctes} " if ctes else "") + f"SELECT {', '.join(out)} FROM ({body}) AS q"
 
 
-def query(columns: str, ctes: str = "", body: str | None = None, whole: str | None = None):
-    """Registers a query and its SQL; with whole, also NAME_all, which takes no side of the street grid, and whole as its SQL if it isn't empty."""
+def query(columns: str, ctes: str = "", body: str | None = None):
+    """Registers a query, and its SQL if there is some."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        if whole is not None:
-            QUERIES[f"{f.__name__}_all"] = lambda spark, sf_dir: _shaped(f(spark, sf_dir, None), columns)
-        if whole:
-            ORACLES[f"{f.__name__}_all"] = _shaped_sql(ctes.replace(ED, fx.ALL_EDGES_SQL), whole, columns)
         QUERIES[f.__name__] = lambda spark, sf_dir: _shaped(f(spark, sf_dir), columns)
         if body is not None:
             ORACLES[f.__name__] = _shaped_sql(ctes, body, columns)
@@ -85,9 +81,8 @@ GRID = INC + _grid_sql(2.0)
 CAND = GRID + """, cand AS (SELECT row_number() OVER (ORDER BY part, pos) - 1 AS candidate_id, * FROM (
   SELECT 0 AS part, station_id AS pos, facilityname AS site_name, 'existing_firehouse' AS layer, lat, lon FROM st
   UNION ALL SELECT 1, cell_id, concat('Demand cell ', CAST(cell_id + 1 AS VARCHAR)), 'demand_cell', lat, lon FROM cells WHERE cell_id < 20))"""
-#: A small instance for choosing sites: eight stations and four demand cells, and the heaviest sixty cells.
-SMALL = CAND + f""", ps AS (SELECT candidate_id AS site_id, lat AS s_lat, lon AS s_lon, layer FROM cand WHERE (layer = 'existing_firehouse' AND pos < 8) OR (layer = 'demand_cell' AND pos < 4)),
-tm AS (SELECT site_id, cell_id, weight AS w, greatest({fx.curve_sql(HAV('s_lon', 's_lat', 'c.lon', 'c.lat'))}, CAST(15 AS DOUBLE)) + 60 AS t FROM ps CROSS JOIN (SELECT * FROM cells WHERE cell_id < 60) c)"""
+#: Times from all candidates to all cells.
+WHOLE = CAND + f""", tm AS (SELECT candidate_id AS site_id, layer, cell_id, weight AS w, greatest({fx.curve_sql(HAV('s.lon', 's.lat', 'c.lon', 'c.lat'))}, CAST(15 AS DOUBLE)) + 60 AS t FROM cand s CROSS JOIN cells c)"""
 
 
 def _parts(spark, d):
@@ -103,20 +98,6 @@ def _cells(spark, d):
     return spatial.demand_grid(fx.incidents(spark, d), 2.0)
 
 
-def _times(spark, d):
-    """The small instance, held in memory: twelve sites and sixty cells."""
-    cells = _cells(spark, d)
-    sites = spatial.candidates(fx.stations(spark, d), cells, 20)
-    at = F.col("layer") == "existing_firehouse"
-    own = sites.where((at & (F.regexp_extract("site_name", r"(\d+)", 1).cast("int") < 8)) | (~at & (F.regexp_extract("site_name", r"(\d+)", 1).cast("int") <= 4)))
-    m = spatial.travel_matrix(own, cells.where("cell_id < 60"))
-    return m.select("site_id", "cell_id", "w", (F.col("drive_s") + 60.0).alias("t")).persist()
-
-
-#: The same over all stations, candidates and cells; without SQL where a join of swaps, sites and cells is too slow in it.
-WHOLE = CAND + f""", tm AS (SELECT candidate_id AS site_id, layer, cell_id, weight AS w, greatest({fx.curve_sql(HAV('s.lon', 's.lat', 'c.lon', 'c.lat'))}, CAST(15 AS DOUBLE)) + 60 AS t FROM cand s CROSS JOIN cells c)"""
-
-
 def _all_times(spark, d):
     """Times from every candidate to every cell, held in memory, and the existing sites."""
     cells = _cells(spark, d)
@@ -126,10 +107,6 @@ def _all_times(spark, d):
     return m.select("site_id", "cell_id", "w", (F.col("drive_s") + 60.0).alias("t")).persist(), existing
 
 
-def _existing(t: DataFrame) -> list[int]:
-    return sorted(r.site_id for r in t.select("site_id").distinct().collect())[:8]
-
-
 def _near(spark, d):
     st, inc = _parts(spark, d)
     return spatial.nearest(spatial.points_of(inc), "incident_id", spatial.sites_of(st), "site", spatial.crow())
@@ -367,18 +344,8 @@ def candidates(spark, d):
     return spatial.candidates(fx.stations(spark, d), _cells(spark, d), 20)
 
 
-@query("site_id:i cell_id:i drive_s:d crow_s:d", CAND, f"SELECT candidate_id AS site_id, cell_id, greatest({fx.curve_sql(HAV('c.lon', 'c.lat', 'x.lon', 'x.lat'))}, CAST(15 AS DOUBLE)) AS drive_s, 15 + {HAV('c.lon', 'c.lat', 'x.lon', 'x.lat')} * CAST(1.3 AS DOUBLE) / 28 * 3600 AS crow_s FROM cand c CROSS JOIN cells x WHERE x.cell_id < 50")
-def travel_matrix(spark, d):
-    cells = _cells(spark, d)
-    sites = spatial.candidates(fx.stations(spark, d), cells, 20)
-    some = cells.where("cell_id < 50")
-    crow = spatial.travel_matrix(sites, some, "crow").withColumnRenamed("drive_s", "crow_s").drop("w")
-    return spatial.travel_matrix(sites, some).join(crow, ["site_id", "cell_id"])
-
-
 @query("site_id:i cell_id:i drive_s:d crow_s:d", CAND, f"SELECT candidate_id AS site_id, cell_id, greatest({fx.curve_sql(HAV('c.lon', 'c.lat', 'x.lon', 'x.lat'))}, CAST(15 AS DOUBLE)) AS drive_s, 15 + {HAV('c.lon', 'c.lat', 'x.lon', 'x.lat')} * CAST(1.3 AS DOUBLE) / 28 * 3600 AS crow_s FROM cand c CROSS JOIN cells x")
-def travel_matrix_all(spark, d):
-    """travel_matrix() to all cells, not the heaviest fifty alone."""
+def travel_matrix(spark, d):
     cells = _cells(spark, d)
     sites = spatial.candidates(fx.stations(spark, d), cells, 20)
     crow = spatial.travel_matrix(sites, cells, "crow").withColumnRenamed("drive_s", "crow_s").drop("w")
@@ -421,18 +388,6 @@ def weighted_ecdf(spark, d):
 
 
 # ---- choosing sites ----
-def _sub(sites: str) -> str:
-    return f"SELECT cell_id, max(w) AS w, min(t) AS t FROM tm WHERE site_id IN ({sites}) GROUP BY cell_id"
-
-
-@query("cell_id:i response_s:d", SMALL, """SELECT cell_id, max(CASE WHEN r = 1 THEN (1 - p) * t END) + max(CASE WHEN r = 2 THEN t END) * max(CASE WHEN r = 1 THEN p END) AS response_s FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY t, site_id) AS r, CAST(site_id % 5 AS DOUBLE) / 10 AS p FROM tm WHERE site_id < 8) GROUP BY 1""")
-def busy_blend_response(spark, d):
-    t = _times(spark, d)
-    sites = [s for s in _existing(t)]
-    p = spark.range(100).select(F.col("id").alias("site_id"), ((F.col("id") % 5).cast("double") / 10).alias("busy_prob"))
-    return facility.responses(t, sites, p)
-
-
 def _greedy_sql(k: int, term: str, big: str) -> str:
     out, chosen = [], []
     for i in range(k):
@@ -453,95 +408,51 @@ _G3, _G3_BODY = _greedy_sql(3, "$", "")
 _C2, _C2_BODY = _greedy_sql(2, "CASE WHEN $ <= 480 THEN -1 ELSE 0 END", "")
 
 
-@query("step:i site_id:i", SMALL + _G3, _G3_BODY)
+@query("step:i site_id:i", WHOLE + _G3, _G3_BODY)
 def greedy_k3(spark, d):
-    return _steps(spark, facility.greedy(_times(spark, d), 3))
+    return _steps(spark, facility.greedy(_all_times(spark, d)[0], 3))
 
 
-@query("step:i site_id:i", SMALL + _C2, _C2_BODY)
+@query("step:i site_id:i", WHOLE + _C2, _C2_BODY)
 def coverage_greedy_k2(spark, d):
-    return _steps(spark, facility.greedy(_times(spark, d), 2, facility.COVERAGE))
+    return _steps(spark, facility.greedy(_all_times(spark, d)[0], 2, facility.COVERAGE))
 
 
-_SWAPS = SMALL + """, ex AS (SELECT DISTINCT site_id FROM tm WHERE site_id < 8), sw AS (SELECT o.site_id AS out_site, i.site_id AS in_site, sum(w * t) / sum(w) AS value FROM ex o CROSS JOIN (SELECT DISTINCT site_id FROM tm WHERE site_id >= 8) i
-  JOIN (SELECT a.out_site, a.in_site, tm.cell_id, max(w) AS w, min(t) AS t FROM (SELECT o.site_id AS out_site, i.site_id AS in_site, s.site_id AS site_id FROM ex o CROSS JOIN (SELECT DISTINCT site_id FROM tm WHERE site_id >= 8) i CROSS JOIN (SELECT DISTINCT site_id FROM tm) s WHERE s.site_id = i.site_id OR (s.site_id < 8 AND s.site_id <> o.site_id)) a JOIN tm USING (site_id) GROUP BY 1, 2, 3) x ON x.out_site = o.site_id AND x.in_site = i.site_id GROUP BY 1, 2)"""
+#: Of every cell the nearest existing site, its time and the next one's; and what each swap of an existing for another site gives.
+_SWAPS = WHOLE + """, wr AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY t, site_id) AS r FROM tm WHERE layer = 'existing_firehouse'),
+tn AS (SELECT cell_id, max(w) AS w, max(CASE WHEN r = 1 THEN site_id END) AS n1, max(CASE WHEN r = 1 THEN t END) AS d1, coalesce(max(CASE WHEN r = 2 THEN t END), CAST(1e12 AS DOUBLE)) AS d2 FROM wr GROUP BY cell_id),
+sw AS (SELECT o.site_id AS out_site, i.site_id AS in_site, round(sum(tn.w * least(i.t, CASE WHEN n1 = o.site_id THEN d2 ELSE d1 END)) / sum(tn.w), 9) AS value FROM (SELECT DISTINCT site_id FROM wr) o CROSS JOIN tn JOIN tm i ON i.cell_id = tn.cell_id AND i.layer <> 'existing_firehouse' GROUP BY 1, 2)"""
 
 
 @query("out_site:i in_site:i value:d", _SWAPS, "SELECT * FROM sw")
 def best_swap(spark, d):
-    t = _times(spark, d)
-    return facility.swap_values(t, _existing(t))
-
-
-@query("out_site:i in_site:i value:d", _SWAPS + ", now AS (SELECT sum(w * t) / sum(w) AS v FROM (" + _sub("SELECT site_id FROM ex") + "))", "SELECT * FROM (SELECT out_site, in_site, value FROM sw ORDER BY round(value, 9), out_site, in_site LIMIT 1) WHERE value < (SELECT v FROM now) - 1e-9")
-def replace_r1(spark, d):
-    t = _times(spark, d)
-    c = facility.replace(t, _existing(t), 1)
-    return spark.createDataFrame([(o, i, c.value) for o, i in c.swaps], "out_site long, in_site long, value double")
-
-
-_PAIRS = SMALL + """, ex AS (SELECT DISTINCT site_id FROM tm WHERE site_id < 8), nw AS (SELECT DISTINCT site_id FROM tm WHERE site_id >= 8),
-pv AS (SELECT a, b, sum(w * t) / sum(w) AS value FROM (SELECT p.a, p.b, cell_id, max(w) AS w, min(t) AS t FROM (SELECT x.site_id AS a, y.site_id AS b FROM nw x JOIN nw y ON x.site_id < y.site_id) p JOIN tm ON site_id IN (SELECT site_id FROM ex) OR site_id = a OR site_id = b GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
-
-
-@query("value:d", _PAIRS, "SELECT min(value) AS value FROM pv")
-def expand_m2(spark, d):
-    t = _times(spark, d)
-    c = facility.expand(t, _existing(t), 2)
-    return spark.createDataFrame([(c.value,)], "value double")
-
-
-@query("site_id:i assigned_demand:d assigned_share:d", SMALL, "SELECT s.site_id, coalesce(sum(w), 0) AS assigned_demand, coalesce(sum(w), 0) / (SELECT sum(w) FROM tm WHERE site_id = 0) AS assigned_share FROM (SELECT DISTINCT site_id FROM tm WHERE site_id < 8) s LEFT JOIN (SELECT cell_id, max(w) AS w, arg_min(site_id, t) AS site_id FROM tm WHERE site_id < 8 GROUP BY cell_id) c ON c.site_id = s.site_id GROUP BY 1")
-def assigned_demand(spark, d):
-    t = _times(spark, d)
-    return facility.assigned(t, _existing(t))
-
-
-@query("site_id:i", SMALL, "SELECT site_id FROM (SELECT DISTINCT site_id FROM tm) ORDER BY md5(concat('0:', CAST(site_id AS VARCHAR))) LIMIT 4")
-def random_baseline(spark, d):
-    return facility.at_random(_times(spark, d).select("site_id").distinct(), 4)
-
-
-# ---- the same on all stations, candidates and cells ----
-@query("step:i site_id:i", WHOLE + _G3, _G3_BODY)
-def greedy_k3_all(spark, d):
-    return _steps(spark, facility.greedy(_all_times(spark, d)[0], 3))
-
-
-@query("step:i site_id:i", WHOLE + _C2, _C2_BODY)
-def coverage_greedy_k2_all(spark, d):
-    return _steps(spark, facility.greedy(_all_times(spark, d)[0], 2, facility.COVERAGE))
-
-
-@query("out_site:i in_site:i value:d")
-def best_swap_all(spark, d):
     return facility.swap_values(*_all_times(spark, d))
 
 
-@query("out_site:i in_site:i value:d")
-def replace_r1_all(spark, d):
+@query("out_site:i in_site:i value:d", _SWAPS, "SELECT * FROM (SELECT out_site, in_site, value FROM sw ORDER BY round(value, 9), out_site, in_site LIMIT 1) WHERE value < (SELECT sum(w * d1) / sum(w) FROM tn) - 1e-9")
+def replace_r1(spark, d):
     c = facility.replace(*_all_times(spark, d), 1)
     return spark.createDataFrame([(o, i, c.value) for o, i in c.swaps], "out_site long, in_site long, value double")
 
 
-@query("value:d")
-def expand_m2_all(spark, d):
+@query("value:d", _SWAPS, "SELECT min(value) AS value FROM (SELECT sum(tn.w * least(d1, a.t, b.t)) / sum(tn.w) AS value FROM tm a JOIN tm b ON a.cell_id = b.cell_id AND a.site_id < b.site_id AND b.layer <> 'existing_firehouse' JOIN tn ON tn.cell_id = a.cell_id WHERE a.layer <> 'existing_firehouse' GROUP BY a.site_id, b.site_id)")
+def expand_m2(spark, d):
     c = facility.expand(*_all_times(spark, d), 2)
     return spark.createDataFrame([(c.value,)], "value double")
 
 
 @query("site_id:i assigned_demand:d assigned_share:d", WHOLE, "SELECT s.site_id, coalesce(sum(w), 0) AS assigned_demand, coalesce(sum(w), 0) / (SELECT sum(weight) FROM cells) AS assigned_share FROM (SELECT DISTINCT site_id FROM tm WHERE layer = 'existing_firehouse') s LEFT JOIN (SELECT cell_id, w, site_id FROM tm WHERE layer = 'existing_firehouse' QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY t, site_id) = 1) c ON c.site_id = s.site_id GROUP BY 1")
-def assigned_demand_all(spark, d):
+def assigned_demand(spark, d):
     return facility.assigned(*_all_times(spark, d))
 
 
 @query("site_id:i", CAND, "SELECT candidate_id AS site_id FROM cand ORDER BY md5(concat('0:', CAST(candidate_id AS VARCHAR))) LIMIT 4")
-def random_baseline_all(spark, d):
+def random_baseline(spark, d):
     return facility.at_random(_all_times(spark, d)[0].select("site_id").distinct(), 4)
 
 
 @query("cell_id:i response_s:d", WHOLE, """SELECT cell_id, max(CASE WHEN r = 1 THEN (1 - p) * t END) + max(CASE WHEN r = 2 THEN t END) * max(CASE WHEN r = 1 THEN p END) AS response_s FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY t, site_id) AS r, CAST(site_id % 5 AS DOUBLE) / 10 AS p FROM tm WHERE layer = 'existing_firehouse') GROUP BY 1""")
-def busy_blend_response_all(spark, d):
+def busy_blend_response(spark, d):
     t, sites = _all_times(spark, d)
     p = spark.range(len(sites)).select(F.col("id").alias("site_id"), ((F.col("id") % 5).cast("double") / 10).alias("busy_prob"))
     return facility.responses(t, sites, p)
@@ -592,17 +503,21 @@ def race_scenario(spark, d):
     return scenario.race(new, st, inc, (-0.2, 51.4, 0.1, 51.6))
 
 
-@query("name:s closed:s tier:i", "", "SELECT * FROM (VALUES ('Bow Fire Station', 'Bow', 1), ('Old Woolwich stn', 'Woolwich', 2), ('Knightbridge', 'Knightsbridge', 3), ('LFB Southwark', 'Southwark', 1), ('Clerkenwel', 'Clerkenwell', 3)) v(name, closed, tier)")
-def closed_name_match(spark, d):
-    names = spark.createDataFrame([(n,) for n in ("Bow Fire Station", "Old Woolwich stn", "Knightbridge", "LFB Southwark", "Bowes", "Elsewhere", "Clerkenwel", "", None)], "name string")
-    return scenario.closed_matches(names, scenario.closed_sites(spark))
+_CL = "cl(pos, name) AS (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(scenario.CLOSED_2014)) + ")"
+_NAMES = ST + ", " + _CL + ", nm AS (SELECT CASE station_id % 4 WHEN 0 THEN facilityname WHEN 1 THEN concat(c.name, ' Fire Station') ELSE concat('Old ', c.name, ' (', CAST(station_id % 3 AS VARCHAR), ')') END AS name, c.name AS is_of, station_id % 4 AS kind FROM st JOIN cl c ON c.pos = station_id % 10 AND c.pos < 7)"
 
 
-@query("name:s closed:s tier:i")
-def closed_name_match_all(spark, d):
-    """The names of a table, stations and parts, not a few literal ones."""
-    names = fx.stations(spark, d).select(F.col("facilityname").alias("name")).unionByName(fx.table(spark, d, "part").select(F.col("p_name").alias("name")))
-    return scenario.closed_matches(names, scenario.closed_sites(spark))
+def _closed_names(spark, d):
+    """Names of stations, some of which are those of closed sites in other words."""
+    closed = scenario.closed_sites(spark)
+    st = fx.stations(spark, d).join(F.broadcast(closed.select("at", F.col("name").alias("closed"))), (F.col("at") == F.col("station_id") % 10) & (F.col("at") < 7))
+    kind = F.col("station_id") % 4
+    return st.select(F.when(kind == 0, F.col("facilityname")).when(kind == 1, F.concat("closed", F.lit(" Fire Station"))).otherwise(F.concat(F.lit("Old "), "closed", F.lit(" ("), (F.col("station_id") % 3).cast("string"), F.lit(")"))).alias("name"))
+
+
+@query("name:s closed:s tier:i", _NAMES, "SELECT DISTINCT name, is_of AS closed, CASE kind WHEN 1 THEN 1 ELSE 2 END AS tier FROM nm WHERE kind > 0")
+def closed_name_match(spark, d):
+    return scenario.closed_matches(_closed_names(spark, d), scenario.closed_sites(spark))
 
 
 # ---- fitting ----
@@ -659,7 +574,7 @@ def bootstrap_ci(spark, d):
 
 
 # ---- streets ----
-def _streets(spark, d, side=12):
+def _streets(spark, d, side=None):
     """The street grid with the attributes that features and costs read."""
     e = fx.edges(spark, d, side)
     side = side or fx.grid_side(spark, d)[0]
@@ -671,7 +586,7 @@ def _streets(spark, d, side=12):
         (F.col("u") % 7 == 3).alias("contraflow"), (F.col("u") % 17 == 5).alias("busway"), (F.col("v") % 19 == 4).alias("noexit"))
 
 
-def _points(spark, d, side=12):
+def _points(spark, d, side=None):
     side, size = fx.grid_side(spark, d) if side is None else (side, side * side)
     n = spark.range(size).select(F.col("id").alias("n"))
     return n.select((F.lit(-0.1) + (F.col("n") % side) * 0.001).alias("lon"), (F.lit(51.5) + F.floor(F.col("n") / side) * 0.001).alias("lat"), F.when(F.col("n") % 5 == 0, "traffic_signals").when(F.col("n") % 5 == 1, "crossing").when(F.col("n") % 5 == 2, "stop").alias("highway"), F.lit(None).cast("string").alias("crossing"), F.when(F.col("n") % 5 == 3, "hump").when(F.col("n") % 5 == 4, "no").alias("traffic_calming"))
@@ -681,18 +596,18 @@ _SE = ED + """, se AS (SELECT u, v, length, oneway, (['primary', 'residential',
 sf AS (SELECT *, CASE hw WHEN 'trunk' THEN 'major' WHEN 'primary' THEN 'primary' WHEN 'secondary_link' THEN 'secondary' WHEN 'tertiary' THEN 'tertiary' WHEN 'residential' THEN 'residential' ELSE 'minor' END AS road_class, CASE WHEN v % 3 = 0 THEN 2.5 END AS lanes, u % 11 = 0 AS bt, v % 13 = 0 AS rb, (u * 1000 + v) % 2 = 0 AS bl FROM se)"""
 
 
-def _features(spark, d, side=12):
+def _features(spark, d, side=None):
     streets = _streets(spark, d, side)
     bus = streets.select(F.explode("osmid").alias("osmid")).where("osmid % 2 = 0").distinct()
     return graph.edge_features(streets, _points(spark, d, side), bus)
 
 
-_EF_BODY = """SELECT u, v, length, road_class, mph AS maxspeed_mph, lanes, bt AS bridge_tunnel, rb AS roundabout, bl AS bus_lane, CAST(v % 5 = 0 AS INT) AS signals, CAST(v % 5 = 3 AS INT) AS calming, CAST(v % 5 = 1 AS INT) AS crossing, CAST(v % 5 = 2 AS INT) AS give_way, CASE v - u WHEN 1 THEN 90 WHEN 12 THEN 0 WHEN -1 THEN 270 ELSE 180 END AS bearing_start FROM sf"""
+_EF_BODY = """SELECT u, v, length, road_class, mph AS maxspeed_mph, lanes, bt AS bridge_tunnel, rb AS roundabout, bl AS bus_lane, CAST(v % 5 = 0 AS INT) AS signals, CAST(v % 5 = 3 AS INT) AS calming, CAST(v % 5 = 1 AS INT) AS crossing, CAST(v % 5 = 2 AS INT) AS give_way, CASE v - u WHEN 1 THEN 90 WHEN (SELECT side FROM gr) THEN 0 WHEN -1 THEN 270 ELSE 180 END AS bearing_start FROM sf"""
 
 
-@query("u:i v:i length:d road_class:s maxspeed_mph:d lanes:d bridge_tunnel:s roundabout:s bus_lane:s signals:i calming:i crossing:i give_way:i bearing_start:d", _SE, _EF_BODY, whole=_EF_BODY.replace("WHEN 12 THEN", "WHEN (SELECT side FROM gr) THEN"))
-def edge_features(spark, d, side=12):
-    return _features(spark, d, side).withColumn("bearing_start", F.pmod(F.round("bearing_start", 3), F.lit(360.0)))
+@query("u:i v:i length:d road_class:s maxspeed_mph:d lanes:d bridge_tunnel:s roundabout:s bus_lane:s signals:i calming:i crossing:i give_way:i bearing_start:d", _SE, _EF_BODY)
+def edge_features(spark, d):
+    return _features(spark, d).withColumn("bearing_start", F.pmod(F.round("bearing_start", 3), F.lit(360.0)))
 
 
 _COST = """CASE WHEN u % 7 = 3 AND length > 80 THEN CAST(1e12 AS DOUBLE) WHEN u % 7 = 3 THEN length / 1000 / k * 3600 + 12 ELSE length / 1000 / k * 3600 END
@@ -702,45 +617,51 @@ _COST = """CASE WHEN u % 7 = 3 AND length > 80 THEN CAST(1e12 AS DOUBLE) WHEN u
 _EC_BODY = f"SELECT u, v, {_COST} AS cost_s FROM (SELECT *, CAST(coalesce(least(greatest(mph, 15), 70), 35) AS DOUBLE) AS k FROM se)"
 
 
-@query("u:i v:i cost_s:d", _SE, _EC_BODY, whole=_EC_BODY)
-def edge_cost_policy(spark, d, side=12):
-    return graph.engine_cost(_streets(spark, d, side).drop("highway").withColumnRenamed("hw", "highway"))
+@query("u:i v:i cost_s:d", _SE, _EC_BODY)
+def edge_cost_policy(spark, d):
+    return graph.engine_cost(_streets(spark, d).drop("highway").withColumnRenamed("hw", "highway"))
 
 
 _SS_BODY = "SELECT u, v, least(greatest(CAST(1.4 AS DOUBLE) * 3600 / CASE WHEN mph IS NOT NULL THEN mph * CAST(1.609344 AS DOUBLE) WHEN hw = 'trunk' THEN 96 WHEN hw IN ('primary', 'tertiary', 'secondary_link') THEN 48 ELSE 32 END, CAST(30 AS DOUBLE)), CAST(720 AS DOUBLE)) AS slowness FROM se"
 
 
-@query("u:i v:i slowness:d", _SE, _SS_BODY, whole=_SS_BODY)
-def segment_slowness(spark, d, side=12):
-    rows, cols, _ = graph.segment_features(_streets(spark, d, side).drop("highway").withColumnRenamed("hw", "highway").withColumn("width", F.lit(None).cast("string")), F.lit(8))
+@query("u:i v:i slowness:d", _SE, _SS_BODY)
+def segment_slowness(spark, d):
+    rows, cols, _ = graph.segment_features(_streets(spark, d).drop("highway").withColumnRenamed("hw", "highway").withColumn("width", F.lit(None).cast("string")), F.lit(8))
     return rows.withColumn("slowness", graph.slowness(cols, graph.prior_weights()))
 
 
-def _origins(spark, d, side=12):
-    if side is None:
-        return fx.table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").cast("long").alias("origin"))
-    return spark.createDataFrame([(0,), (77,), (143,)], "origin long")
+def _origins(spark, d):
+    """Every node whose number is divisible by 20."""
+    return fx.table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").cast("long").alias("origin"))
 
 
-_SP = ED + """, se2 AS (SELECT u, v, min(length) AS length FROM ed GROUP BY 1, 2)"""
-_SP_BODY = """WITH RECURSIVE sp(origin, node, dist, hop) AS (SELECT o, o, CAST(0 AS DOUBLE), 0 FROM (VALUES (CAST(0 AS BIGINT)), (CAST(77 AS BIGINT)), (CAST(143 AS BIGINT))) v(o)
-  UNION ALL SELECT origin, node, dist, hop FROM (SELECT origin, e.v AS node, min(dist + length) AS dist, max(hop) + 1 AS hop FROM sp JOIN se2 e ON e.u = sp.node WHERE hop < 60 GROUP BY 1, 2)) SELECT origin, node, min(dist) AS dist FROM sp GROUP BY 1, 2"""
+ORIGINS = "SELECT CAST(p_partkey AS BIGINT) AS o FROM part WHERE p_partkey % 20 = 0"
 
 
-@query("origin:i node:i dist:d", _SP, _SP_BODY, whole="")
-def shortest_paths(spark, d, side=12):
-    return graph.shortest_paths(fx.edges(spark, d, side), _origins(spark, d, side))
+def paths_sql(origins: str, edges: str, cost: str) -> str:
+    """Recursive SQL for the least cost from each origin to each node: a row is made anew only where it gets nearer."""
+    return f"""sp(origin, node, dist) USING KEY (origin, node) AS (SELECT o, o, CAST(0 AS DOUBLE) FROM ({origins})
+  UNION SELECT s.origin, e.v, min(s.dist + e.{cost}) FROM sp s JOIN {edges} e ON e.u = s.node LEFT JOIN recurring.sp k ON k.origin = s.origin AND k.node = e.v WHERE k.dist IS NULL OR s.dist + e.{cost} < k.dist GROUP BY 1, 2)"""
 
 
-@query("origin:i node:i dist:d", _SP, _SP_BODY, whole="")
-def paths_by_origin(spark, d, side=12):
-    return graph.search_by_origin(fx.edges(spark, d, side), _origins(spark, d, side))
+_SP_BODY = f"WITH RECURSIVE {paths_sql(ORIGINS, 'ed', 'length')} SELECT origin, node, dist, dist AS length FROM sp"
 
 
-@query("origin:i node:i length:d", _SP, _SP_BODY.replace("min(dist) AS dist FROM sp", "min(dist) AS length FROM sp"), whole="")
-def tree_sums(spark, d, side=12):
-    e = fx.edges(spark, d, side)
-    return graph.tree_sums(graph.shortest_paths(e, _origins(spark, d, side)), e, ["length"])
+@query("origin:i node:i dist:d", ED, _SP_BODY)
+def shortest_paths(spark, d):
+    return graph.shortest_paths(fx.edges(spark, d, None), _origins(spark, d))
+
+
+@query("origin:i node:i dist:d", ED, _SP_BODY)
+def paths_by_origin(spark, d):
+    return graph.search_by_origin(fx.edges(spark, d, None), _origins(spark, d))
+
+
+@query("origin:i node:i length:d", ED, _SP_BODY)
+def tree_sums(spark, d):
+    e = fx.edges(spark, d, None)
+    return graph.tree_sums(graph.search_by_origin(e, _origins(spark, d)), e, ["length"])
 
 
 _RATIOS = "share_major:d share_residential:d share_oneway:d share_20mph:d share_bus_lane:d share_bridge_tunnel:d mean_lanes:d junctions_per_km:d roundabouts_per_km:d signals_per_km:d"
@@ -749,15 +670,15 @@ _RATIOS = "share_major:d share_residential:d share_oneway:d share_20mph:d share_
 _ER_BODY = """SELECT u AS origin, v AS node, CAST(road_class = 'major' AS INT) AS share_major, CAST(road_class = 'residential' AS INT) AS share_residential, CAST(oneway AS INT) AS share_oneway, CAST(coalesce(mph <= 20, false) AS INT) AS share_20mph, CAST(bl AS INT) AS share_bus_lane, CAST(bt AS INT) AS share_bridge_tunnel, lanes AS mean_lanes, 1000 / length AS junctions_per_km, CAST(rb AS INT) * 1000 / length AS roundabouts_per_km, CAST(v % 5 = 0 AS INT) * 1000 / length AS signals_per_km FROM sf"""
 
 
-@query("origin:i node:i " + _RATIOS, _SE, _ER_BODY, whole=_ER_BODY)
-def edge_ratios(spark, d, side=12):
-    return graph.route_ratios(graph.route_values(_features(spark, d, side)).withColumnRenamed("u", "origin").withColumnRenamed("v", "node"))
+@query("origin:i node:i " + _RATIOS, _SE, _ER_BODY)
+def edge_ratios(spark, d):
+    return graph.route_ratios(graph.route_values(_features(spark, d)).withColumnRenamed("u", "origin").withColumnRenamed("v", "node"))
 
 
 @query("origin:i node:i " + _RATIOS + " n_turns:i")
 def route_ratios(spark, d):
     e = graph.route_values(_features(spark, d, None))
-    paths = graph.search_by_origin(e, _origins(spark, d, None)).persist()
+    paths = graph.search_by_origin(e, _origins(spark, d)).persist()
     bends = graph.turns(paths, e)
     with_turns = e.withColumn("n_turns", F.lit(0.0))
     sums = graph.tree_sums(paths, with_turns, graph.ROUTE_VALUES)

@@ -69,6 +69,19 @@ def test_weighted_quantiles(spark):
     assert s.share_within_10min == 1.0 and s.passes == 1
 
 
+def test_curves_on_the_driver_and_in_spark_agree(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    km = rng.uniform(0.2, 8, 200)
+    sec = np.where(km <= 2, 20 + 150 * np.sqrt(km), 110 + 60 * km) + rng.normal(0, 9, 200)
+    df = spark.createDataFrame(list(zip(km.tolist(), sec.tolist(), strict=True)), "km double, seconds double")
+    for robust in (False, True):
+        own = fitting.fit_curve(df, robust, rounds=4)
+        with monkeypatch.context() as m:
+            m.setattr(fitting, "LOCAL", 0)
+            dealt = fitting.fit_curve(df, robust, rounds=4)
+        assert (own.a, own.b, own.c, own.e, own.breakpoint_km) == pytest.approx((dealt.a, dealt.b, dealt.c, dealt.e, dealt.breakpoint_km), rel=1e-7)
+
+
 def test_robust_curve(spark):
     rng = np.random.default_rng(2)
     km = rng.uniform(0.2, 8, 150)
