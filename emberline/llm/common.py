@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but the ASCII space, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Whether Spark deletes a query's shuffle files at its end, and not at some later collection on the driver.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _RUN = uuid.uuid4().hex[:12]
 _COUNT = itertools.count()
 _OWN_BASE: list[str] = []
@@ -53,8 +55,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
     The lineage ends there: losing an executor later costs no recomputation of
     df, and Spark knows the size of what it reads, so that joins are broadcast
-    only below spark.sql.autoBroadcastJoinThreshold. The table goes with forget(),
-    or with the process.
+    only below spark.sql.autoBroadcastJoinThreshold. The shuffle files of the
+    write are deleted as it ends; the table goes with forget(), or with the process.
     """
     spark = df.sparkSession
     folder = shared_dir(spark)
@@ -62,7 +64,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         _FOLDERS.add(folder)
         atexit.register(_delete, folder)
     path = f"{folder}/{next(_COUNT):04d}-{name}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
