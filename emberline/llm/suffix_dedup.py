@@ -41,11 +41,11 @@ SPAN, GRAM = 100, 32
 #: Grams in a window, and so windows that may share an anchor.
 REACH = SPAN - GRAM + 1
 #: Bytes of text that are looked at together.
-BATCH = 2 << 20
+BATCH = 1 << 20
 #: Anchors with more segments than this have them cut into blocks of windows that are dealt by the bytes all windows of a block share.
 HOT, BLOCK = 256, 8
 #: Segments that are sorted together, unless one anchor has more.
-SORTED_TOGETHER = 20_000
+SORTED_TOGETHER = 6_000
 #: Bytes of a slice of a text, by which the bytes of segments and runs are fetched.
 SLICE = 1 << 16
 #: One text in so many is looked at to find very common anchors, which decides where their windows are dealt, never what is removed.
