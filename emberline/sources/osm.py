@@ -187,6 +187,46 @@ def bus_ways(ways: DataFrame) -> DataFrame:
     return ways.where(F.col("tags")["highway"].isNotNull() & F.exists(F.array(*on), lambda x: x)).select(F.col("way_id").alias("osmid"))
 
 
+def features(nodes: DataFrame, ways: DataFrame, box: tuple[float, float, float, float], key: str, value: str | None = None) -> DataFrame:
+    """element (node or way), osm_id, lon, lat and tags of what carries a tag within a box of west, south, east and north.
+
+    A node is in the box by its place, a way by any of its nodes; nodes missing
+    from the table are left out of a way, and a way with none gives nothing.
+    The point of a closed way lies inside it: midway on the widest stretch of a
+    line of latitude through it, that between the two nodes next to its middle.
+    The point of an open way is the inner node nearest to the line's centre, or
+    the nearer end where there is none. Relations are skipped. Of an element
+    that several files hold, one is taken.
+    """
+    west, south, east, north = box
+    within = lambda lon, lat: F.col(lon).between(west, east) & F.col(lat).between(south, north)
+    tag = F.col("tags")[key]
+    tagged = tag.isNotNull() if value is None else F.coalesce(tag == value, F.lit(False))
+    points = nodes.where(tagged & within("lon", "lat")).dropDuplicates(["node_id"]).select(F.lit("node").alias("element"), F.col("node_id").alias("osm_id"), "lon", "lat", "tags")
+    steps = ways.where(tagged).select("way_id", "tags", F.posexplode("refs").alias("at", "node_id"))
+    known = steps.join(nodes.select("node_id", F.col("lon").alias("x"), F.col("lat").alias("y")), "node_id").dropDuplicates(["way_id", "at"])
+    # a way has 2000 nodes at most, by the data's rules
+    line = known.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("at", "node_id", "x", "y"))).alias("line"), F.first("tags").alias("tags"), F.max(within("x", "y")).alias("near")).where("near")
+    n, at = F.size("line"), lambda i: F.col("line")[i]
+    hops = F.sequence(F.lit(1), n - 1)
+    ys = F.transform("line", lambda p: p["y"])
+    middle = (F.array_min(ys) + F.array_max(ys)) / 2
+    scan = (F.array_max(F.filter(ys, lambda y: y <= middle)) + F.array_min(F.filter(ys, lambda y: y > middle))) / 2
+    closed = (n > 3) & (at(0)["node_id"] == F.element_at("line", -1)["node_id"])
+    met = F.filter(hops, lambda i: (at(i - 1)["y"] > F.col("scan")) != (at(i)["y"] > F.col("scan")))
+    across = F.array_sort(F.transform(met, lambda i: at(i - 1)["x"] + (F.col("scan") - at(i - 1)["y"]) / (at(i)["y"] - at(i - 1)["y"]) * (at(i)["x"] - at(i - 1)["x"])))
+    spans = F.transform(F.filter(F.sequence(F.lit(0), F.size("across")), lambda i: (i % 2 == 1) & (i < F.size("across"))), lambda i: F.struct((F.col("across")[i] - F.col("across")[i - 1]).alias("width"), (-i).alias("first"), ((F.col("across")[i] + F.col("across")[i - 1]) / 2).alias("x")))
+    lengths = F.transform(hops, lambda i: F.sqrt(F.pow(at(i)["x"] - at(i - 1)["x"], 2) + F.pow(at(i)["y"] - at(i - 1)["y"], 2)))
+    centre = lambda c: F.aggregate(hops, F.lit(0.0), lambda t, i: t + F.col("lengths")[i - 1] * (at(i - 1)[c] + at(i)[c]) / 2) / F.nullif(F.aggregate("lengths", F.lit(0.0), lambda t, d: t + d), F.lit(0.0))
+    inner = F.when(n > 2, F.slice("line", F.lit(2), n - 2)).otherwise(F.col("line"))
+    off = F.transform(inner, lambda p: F.struct(F.coalesce(F.pow(p["x"] - F.col("cx"), 2) + F.pow(p["y"] - F.col("cy"), 2), F.lit(0.0)).alias("d"), p["at"].alias("at"), p["x"].alias("x"), p["y"].alias("y")))
+    rings = line.where(closed & scan.isNotNull()).withColumn("scan", scan).withColumn("across", across).withColumn("best", F.array_max(spans)).select("way_id", F.col("best.x").alias("lon"), F.col("scan").alias("lat"), "tags")
+    lone = line.where(n == 1).select("way_id", at(0)["x"].alias("lon"), at(0)["y"].alias("lat"), "tags")
+    lines = line.where((n > 1) & ~(closed & scan.isNotNull())).withColumn("lengths", lengths).withColumns({"cx": centre("x"), "cy": centre("y")}).withColumn("best", F.array_min(off)).select("way_id", F.col("best.x").alias("lon"), F.col("best.y").alias("lat"), "tags")
+    drawn = rings.unionByName(lines).unionByName(lone)
+    return points.unionByName(drawn.select(F.lit("way").alias("element"), F.col("way_id").alias("osm_id"), "lon", "lat", "tags"))
+
+
 def street_edges(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """Directed street edges of the drivable ways, as edge_features() takes them.
 

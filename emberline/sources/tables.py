@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JError
 from pyspark import SparkContext
@@ -88,6 +88,45 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return read("node", node).select(F.col("_id").alias("id"), pairs), read("edge", edge).select(F.col("_source").alias("source"), F.col("_target").alias("target"), pairs)
 
 
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Writes nodes (id, data) and edges (source, target, data) as one GraphML document, in a folder of its own.
+
+    All values are text, as graphml() reads them; those that are null are left
+    out. The format is a single document, so one task writes the sorted lines;
+    tables are the form for graphs too large for that.
+    """
+    def escaped(c):
+        for plain, mark in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(plain), F.lit(mark))
+        return c
+
+    def element(tag: str, names: dict[str, str]):
+        has = F.filter(F.map_entries("data"), lambda d: d["value"].isNotNull())
+        data = F.transform(has, lambda d: F.concat(F.lit('<data key="'), escaped(d["key"]), F.lit('">'), escaped(d["value"]), F.lit("</data>")))
+        attributes = [x for name, c in names.items() for x in (F.lit(f' {name}="'), escaped(F.col(c).cast("string")), F.lit('"'))]
+        return F.concat(F.lit(f"<{tag}"), *attributes, F.lit(">"), F.coalesce(F.array_join(data, ""), F.lit("")), F.lit(f"</{tag}>")).alias("line")
+
+    def keys(df: DataFrame, of: str) -> DataFrame:
+        k = escaped(F.col("k"))
+        named = df.select(F.explode(F.map_keys("data")).alias("k")).distinct()
+        return named.select(F.lit(1).alias("at"), F.concat(F.lit('<key id="'), k, F.lit(f'" for="{of}" attr.name="'), k, F.lit('" attr.type="string"/>')).alias("line"))
+
+    frame = nodes.sparkSession.createDataFrame([(0, '<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'), (2, '<graph edgedefault="directed">'), (5, "</graph>\n</graphml>")], "at int, line string")
+    lines = frame.unionByName(keys(nodes, "node")).unionByName(keys(edges, "edge"))
+    lines = lines.unionByName(nodes.select(F.lit(3).alias("at"), element("node", {"id": "id"}))).unionByName(edges.select(F.lit(4).alias("at"), element("edge", {"source": "source", "target": "target"})))
+    lines.repartition(1).sortWithinPartitions("at", "line").select("line").write.mode("overwrite").text(path)
+
+
+def graphml_once(spark: SparkSession, path: str, build: Callable[[], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """The graph at path; where there is none, or its writing never ended, that of build(), written there first."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at) or files.getFileStatus(at).isDirectory() and not files.exists(jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")):
+        write_graphml(*build(), path)
+    return graphml(spark, path)
+
+
 def excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
     """A workbook's sheet, read on the driver by pandas where an Excel engine is installed."""
     import pandas as pd

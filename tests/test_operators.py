@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -179,6 +180,27 @@ def test_guards_and_tracks(spark, tmp_path):
     assert nodes.first().data == {"d0": "51.5"} and edges.first().target == "2"
 
 
+def test_graphml_is_written_and_read_once(spark, tmp_path):
+    nodes = spark.createDataFrame([("1", {"x": "0.5", "name": 'a <b> & "c"'}), ("2", {"x": None}), ("3", None)], "id string, data map<string,string>")
+    edges = spark.createDataFrame([("1", "2", {"length": "80"}), ("1", "2", {"length": "90"}), ("2", "1", {})], "source string, target string, data map<string,string>")
+    path, built = str(tmp_path / "g"), []
+    make = lambda: built.append(1) or (nodes, edges)
+    for _ in range(2):
+        n, e = tables.graphml_once(spark, path, make)
+        assert {r.id: r.data or {} for r in n.collect()} == {"1": {"x": "0.5", "name": 'a <b> & "c"'}, "2": {}, "3": {}}
+        assert sorted((r.source, r.target, (r.data or {}).get("length")) for r in e.collect() if r.source == "1") == [("1", "2", "80"), ("1", "2", "90")] and e.count() == 3
+    assert built == [1]
+    part = next((tmp_path / "g").glob("part-*")).read_bytes()
+    root = ElementTree.fromstring(part)
+    space = "{http://graphml.graphdrawing.org/xmlns}"
+    assert [len(root.findall(f".//{space}{t}")) for t in ("key", "node", "edge")] == [3, 3, 3]
+    (tmp_path / "g" / "_SUCCESS").unlink()
+    tables.graphml_once(spark, path, make)
+    assert built == [1, 1]
+    tables.write_graphml(nodes.where("false"), edges.where("false"), str(tmp_path / "none"))
+    assert [df.count() for df in tables.graphml(spark, str(tmp_path / "none"))] == [0, 0]
+
+
 def test_stream_of_incidents(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:10:00", "A", "A"), ("2024-01-01 00:20:00", "A", "B"), ("2024-01-01 01:20:00", "A", "B"), ("2024-01-01 01:30:00", None, "B")], "ts string, station_ground string, deployed_from_station string").withColumn("ts", F.to_timestamp("ts"))
     rows.write.parquet(str(tmp_path / "in"))

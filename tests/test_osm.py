@@ -100,3 +100,18 @@ def test_no_streets(spark, extract):
     nodes, ways = osm.pbf(spark, extract)
     assert osm.street_edges(nodes, ways.where("way_id = 12")).count() == 0
     assert osm.street_edges(nodes.where("false"), ways).count() == 0
+
+
+def test_features_have_a_point_inside(spark):
+    tags = {"amenity": "fire_station", "name": "A"}
+    # a U, open to the north: its centre of mass is outside it
+    u = [(0, 0), (9, 0), (9, 6), (8, 6), (8, 2), (1, 2), (1, 6), (0, 6), (0, 0)]
+    places = {i: at for i, at in enumerate(u[:-1])} | {20: (50, 50), 21: (3, 3), 22: (0, 10), 23: (4, 10), 24: (10, 10), 25: (60, 60)}
+    nodes = spark.createDataFrame([(i, float(x), float(y), tags if i in (20, 21) else {}) for i, (x, y) in places.items()], osm.NODES)
+    ways = spark.createDataFrame([(1, [*range(8), 0], tags), (2, [22, 23, 24], tags), (3, [24, 25], tags), (4, [25, 20], tags), (5, [*range(8), 0], {"amenity": "school"}), (6, [24, 99], tags), (7, [99], tags), (8, [], None)], osm.WAYS)
+    box = (-1.0, -1.0, 11.0, 11.0)
+    got = {(r.element, r.osm_id): (r.lon, r.lat) for r in osm.features(nodes.union(nodes), ways, box, "amenity", "fire_station").collect()}
+    # the scan runs at 4, midway between the nodes at 2 and 6; both arms are as wide, the first counts
+    assert got == {("node", 21): (3.0, 3.0), ("way", 1): (0.5, 4.0), ("way", 2): (4.0, 10.0), ("way", 3): (10.0, 10.0), ("way", 6): (10.0, 10.0)}
+    assert osm.features(nodes, ways, box, "amenity").where("osm_id = 5").count() == 1
+    assert osm.features(nodes.where("false"), ways, box, "amenity").count() == 0
