@@ -236,3 +236,15 @@ def street_pace(spark, d):
     from emberline.operators import fitting
 
     return fitting.pace_regression(_by_road(spark, d), street=[f"share_{g}" for g in graph.ROAD_GROUPS if g != "residential"] + ["share_oneway", "share_20mph", "share_bus_lane", "share_bridge_tunnel", "junctions_per_km", "signals_per_km"])
+
+
+@query("dropped:s mae:d change:d")
+def street_ablation(spark, d):
+    """The error on held-out trips without each of ten groups of street features, and without all of them."""
+    from emberline.operators import ml
+    from emberline.sources.tables import held
+
+    rows = held(_by_road(spark, d))
+    train = rows.where("cal_year <= 1999")
+    columns = [*ml.FEATURES, *[c for g in ml.STREET_GROUPS.values() for c in g]]
+    return ml.ablation(held(ml.features(train, train)), ml.features(rows.where("cal_year = 2000"), train), ml.STREET_GROUPS, columns)

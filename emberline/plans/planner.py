@@ -54,13 +54,13 @@ def plan(incidents: DataFrame, stations: DataFrame, mode: str = "expand", k: int
         raise ValueError(f"unknown mode {mode!r}")
     near = spatial.drop_far(incidents, stations)
     demand, held_out = prep.year_split(near, list(demand_years), list(eval_years))
-    cells = spatial.demand_grid(demand, cell_km).persist()
-    sites = spatial.candidates(stations, cells, top_cells).persist()
+    cells = held(spatial.demand_grid(demand, cell_km))
+    sites = held(spatial.candidates(stations, cells, top_cells))
     pairs = prep.own_station_pairs(demand, stations)
     curve, travel = fitting.fit_drive_curve(pairs)
     turnout = turnout_table(sites, fitting.station_turnout(pairs, curve))
     matrix = spatial.travel_matrix(sites, cells, scorer, curve).join(F.broadcast(turnout), "site_id")
-    times = matrix.select("site_id", "cell_id", "w", "drive_s", attendance(F.col("drive_s"), F.col("turnout_s")).alias("t")).persist()
+    times = held(matrix.select("site_id", "cell_id", "w", "drive_s", attendance(F.col("drive_s"), F.col("turnout_s")).alias("t")))
     existing = [r.candidate_id for r in sites.where("is_existing").orderBy("candidate_id").collect()]
     if mode == "redesign":
         choice = facility.redesign(times, k, objective, threshold_s)
@@ -69,14 +69,15 @@ def plan(incidents: DataFrame, stations: DataFrame, mode: str = "expand", k: int
     else:
         choice = facility.expand(times, existing, k, objective, threshold_s)
     p = busy_table(sites, demand) if busy else None
-    planned = facility.responses(times, choice.sites, p)
-    current = facility.responses(times, existing, p)
+    p = held(p) if p is not None else None
+    planned = held(facility.responses(times, choice.sites, p))
+    current = held(facility.responses(times, existing, p))
     drive = times.select("cell_id", F.col("site_id").alias("assigned_site"), "drive_s")
     out_cells = cells.join(planned.select("cell_id", "response_s", "assigned_site").join(drive, ["cell_id", "assigned_site"]), "cell_id").join(current.select("cell_id", F.col("response_s").alias("response_s_current")), "cell_id").withColumn("response_s_delta", F.col("response_s") - F.col("response_s_current")).withColumn("covered", F.col("response_s") <= threshold_s).withColumn("covered_current", F.col("response_s_current") <= threshold_s)
     rank = sites.sparkSession.createDataFrame([(s, i + 1) for i, s in enumerate(choice.sites)], "candidate_id long, plan_rank int")
     selected = sites.join(rank, "candidate_id").join(facility.assigned(times, choice.sites).withColumnRenamed("site_id", "candidate_id"), "candidate_id")
     anywhere = [r.site_id for r in facility.at_random(sites.select(F.col("candidate_id").alias("site_id")), len(choice.sites)).collect()]
-    by_chance = facility.responses(times, anywhere, p)
+    by_chance = held(facility.responses(times, anywhere, p))
 
     def scored(label: str, rows: DataFrame) -> DataFrame:
         firsts = weighted.score_first_engine(rows.withColumn("v", F.col("response_s")).select("v", "w"), value="v", weight="w")

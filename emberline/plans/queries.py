@@ -15,6 +15,7 @@ from emberline.functions import geo, text, times
 from emberline.operators import facility, fitting, graph, ml, prep, raster, scenario, spatial, summaries, weighted
 from emberline.plans import planner
 from emberline.sources import fixtures as fx
+from emberline.sources.tables import held
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -745,7 +746,7 @@ def hotspots(spark, d):
 def _model_rows(spark, d):
     trips = _trips(spark, d)
     train = trips.where("cal_year <= 1999")
-    return ml.features(train, train).persist(), ml.features(trips.where("cal_year = 2000"), train).persist()
+    return held(ml.features(train, train)), held(ml.features(trips.where("cal_year = 2000"), train))
 
 
 @query("model:s mae:d")
@@ -767,3 +768,16 @@ def importance(spark, d):
     models = ml.fit_bag(train)
     keyed = test.withColumn("key", F.col("incident_id") * 100 + F.col("pump_order"))
     return ml.permutation_importance(models, keyed, "key")
+
+
+@query("feature:s mean_abs:d mean:d share:d")
+def shap_importance(spark, d):
+    """Shapley values of every held-out trip, by column."""
+    train, test = _model_rows(spark, d)
+    return ml.shap_importance(ml.fit_bag(train), test)
+
+
+@query("feature:s bin:i n:i value:d phi:d")
+def shap_dependence(spark, d):
+    train, test = _model_rows(spark, d)
+    return ml.dependence(ml.fit_bag(train), test)

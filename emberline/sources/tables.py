@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JError
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 _OWN: list[str] = []
 _RUN = uuid.uuid4().hex[:12]
 _FOLDERS: set[str] = set()
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 #: Reading order and types of the source tables.
 STATIONS = "facilityname STRING, lat DOUBLE, lon DOUBLE, borough STRING"
@@ -46,7 +48,17 @@ def held(df: DataFrame) -> DataFrame:
         atexit.register(_delete, folder)
     path = f"{folder}/held-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables of held() that nothing needs any longer: what was made of them is written itself."""
+    for df in tables:
+        path = _PATHS.pop(df, None) if df is not None else None
+        if path:
+            _delete(path)
 
 
 def _delete(folder: str) -> None:

@@ -161,7 +161,7 @@ def test_models_are_read_as_written(spark, tmp_path):
     rng = np.random.default_rng(1)
     x = rng.uniform(0, 10, (300, 2))
     rows = spark.createDataFrame([(float(a), float(b), float(30 * a + b)) for a, b in x], "a double, b double, drive_s double")
-    models = ml.fit_bag(rows, ["a", "b"], seeds=(1, 2), trees=3, depth=2)
+    models = ml.fit_bag(rows, ["a", "b"], seeds=(1, 2), growth=ml.Growth(trees=3, leaves=4))
     ml.save_bag(models, str(tmp_path / "m"), ["a", "b"], trained_on="1996 to 1999")
     again, about = ml.load_bag(spark, str(tmp_path / "m"))
     assert about == {"columns": ["a", "b"], "trained_on": "1996 to 1999"} and len(again) == 2
