@@ -18,6 +18,8 @@ from .common import pieces_of, table
 SIGMA = 1.5
 #: A line with more than this share of its characters in links is navigation.
 LINKED = 0.6
+#: A form or an unclosed part that holds this share of a page's text that isn't linked doesn't mark it.
+UNMARKS = 0.7
 #: A container holds the article if it has this share of the content lines' characters.
 HOLDS = 0.8
 
@@ -28,6 +30,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 NEVER = frozenset("head title script style noscript template nav footer aside form button select textarea input iframe object svg canvas dialog menu audio video map datalist".split())
+#: Elements that may be around a whole page, by design or because nothing ended them.
+WRAPPERS = frozenset("form nav aside header menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td body html".split())
@@ -47,6 +51,8 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login paywall "
     "comment comments commentlist respond replies disqus share sharing social hidden".split()
 )
+#: Those of them that mark what readers wrote, wherever they stand.
+COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
 #: Words that mark it only where the clusters agree.
 DOUBTFUL = frozenset("discussion follow form legal copyright overlay popular search skip trending".split())
 #: Words that say nothing beside a mark: a name made of marks and of these marks what isn't the article, whatever the clusters say.
@@ -62,7 +68,7 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PLAIN, DOUBT, OUT = 0, 1, 2
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     """One block of a page: its text, the tags in it, its link characters, and the innermost container around it."""
 
@@ -74,7 +80,9 @@ class Line:
     doubt: int = -1  # containers that had opened before the innermost doubtful element
     heading: bool = False
     paragraph: bool = False
-    listed: bool = False
+    item_of: int = -1  # the innermost list
+    aside: int = 0  # characters in inline elements that words mark
+    held_by: int = -1  # the outermost element that marks it other than by words
     text: str = ""
 
 
@@ -95,7 +103,11 @@ def _named(value: str, in_article: bool) -> int:
 
 
 def _said(name: str, attrs: list[tuple[str, str | None]], in_article: bool) -> tuple[int, bool]:
-    """What an element says about its text, and whether by the words of its class or id alone."""
+    """What an element says about its text, and whether by the words of its class or id alone.
+
+    Ids of headings and paragraphs say nothing, as they are made of the text;
+    those of an article's sections may be, unless they name comments.
+    """
     if name in NEVER or (name == "header" and not in_article):
         return OUT, False
     words = PLAIN
@@ -103,11 +115,16 @@ def _said(name: str, attrs: list[tuple[str, str | None]], in_article: bool) -> t
         if (key == "role" and value and value.lower() in ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true"):
             return OUT, False
         if key in ("class", "id") and value and name not in ("html", "body", "main", "article"):
-            words = max(words, _named(value, in_article))
+            own = _named(value, in_article)
+            if key == "id" and (name in HEADINGS or name == "p"):
+                own = PLAIN
+            elif key == "id" and name == "section" and in_article and not COMMENTS.intersection(w.lower() for w in _WORDS.findall(value)):
+                own = min(own, DOUBT)
+            words = max(words, own)
     return (words if words == OUT or name in BLOCK else PLAIN), True
 
 
-@dataclass
+@dataclass(slots=True)
 class Open:
     """An open element."""
 
@@ -115,6 +132,8 @@ class Open:
     said: int
     words: bool
     container: int
+    number: int = -1
+    aside: bool = False
 
 
 class Lines(HTMLParser):
@@ -125,11 +144,13 @@ class Lines(HTMLParser):
     table. All searches among open elements go by index, so that time is linear in
     the page however deep it nests.
 
-    With cancel, an article or main element undoes the marks that words of
-    class or id gave to the elements around it.
+    With cancel, an article or main element undoes the marks of the elements
+    around it, but for those that hide. The elements whose numbers are in free
+    mark nothing. An inline element that words mark is left out only where it is
+    a line of its own.
     """
 
-    def __init__(self, cancel: bool = False) -> None:
+    def __init__(self, cancel: bool = False, free: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.kinds: list[str] = []  # of containers, by number
@@ -143,14 +164,17 @@ class Lines(HTMLParser):
         self.doubts: list[tuple[int, int]] = []  # places of doubtful elements, and containers that had opened before
         self.said = [0, 0, 0]
         self.now = Line()
-        self.cancel = cancel
-
-    def _count(self, *names: str) -> int:
-        return sum(len(self.places.get(n, ())) for n in names)
+        self.cancel, self.free = cancel, free
+        self.seen = 0  # elements so far
+        self.names: dict[int, str] = {}  # of elements that mark other than by words, by number
+        self.lists: list[int] = []  # numbers of open lists
+        self.n_aside = 0  # open inline elements that words mark
+        self.holding: list[int] = []  # places of elements that mark other than by words
 
     def _close_line(self) -> None:
         now = self.now
         now.text = " ".join("".join(now.parts).split())
+        now.out |= 0 < now.aside == len("".join(now.text.split()))
         if now.text:
             self.lines.append(now)
             tags = 0
@@ -174,18 +198,28 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self._close_line()
         self.now.tags += 1
+        if tag == "body":
+            self.now.tags = 1  # those of the head belong to no line
         self._imply(tag)
         if tag in VOID:
             return
-        in_article = self._count("article", "main") > 0
+        in_article = bool(self.places.get("article") or self.places.get("main"))
         said, words = _said(tag, attrs, in_article)
+        self.seen += 1
+        if self.seen in self.free:
+            said = PLAIN
+        aside = said == OUT and words and tag not in BLOCK
+        if aside:
+            said = PLAIN
         if self.cancel and tag in ("article", "main") and not in_article:
-            for i in self.by_words:
+            hides = [i for i in self.holding if self.open[i].number < 0]
+            for i in [*self.by_words, *(i for i in self.holding if self.open[i].number >= 0)]:
                 self.said[self.open[i].said] -= 1
                 self.open[i].said = PLAIN
                 self.said[PLAIN] += 1
             self.by_words.clear()
             self.doubts.clear()
+            self.holding = hides
         at, number = len(self.open), -1
         if said == DOUBT:
             self.doubts.append((at, len(self.kinds)))
@@ -194,7 +228,16 @@ class Lines(HTMLParser):
             self.kinds.append(tag)
             self.parent.append(self.holders[-1] if self.holders else -1)
             self.holders.append(number)
-        self.open.append(Open(tag, said, words, number))
+        self.open.append(Open(tag, said, words, number, self.seen, aside))
+        if aside:
+            self.n_aside += 1
+        if said == OUT and not words:
+            if any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs):
+                self.open[at].number = -1
+            self.holding.append(at)
+            self.names[self.seen] = tag
+        if tag in LISTS:
+            self.lists.append(self.seen)
         self.places.setdefault(tag, []).append(at)
         self.said[said] += 1
         if tag in BLOCK:
@@ -218,6 +261,12 @@ class Lines(HTMLParser):
             self.by_words.pop()
         if self.doubts and self.doubts[-1][0] == at:
             self.doubts.pop()
+        if self.holding and self.holding[-1] == at:
+            self.holding.pop()
+        if x.name in LISTS:
+            self.lists.pop()
+        if x.aside:
+            self.n_aside -= 1
 
     def _pop_from(self, at: int) -> None:
         """Ends the element at this place and all that are in it."""
@@ -262,7 +311,8 @@ class Lines(HTMLParser):
             self.now.inside = self.holders[-1] if self.holders else -1
             self.now.out, self.now.doubt = out, self.doubts[-1][1] if self.doubts else -1
             self.now.heading = any(x in HEADINGS for x in near)
-            self.now.listed = self._count("li", *LISTS) > 0
+            self.now.item_of = self.lists[-1] if self.lists else -1
+            self.now.held_by = self.open[self.holding[0]].number if self.holding else -1
             self.now.paragraph = "p" in near
         elif data.strip() and not out and self.now.out:
             self._close_line()  # text after a marked inline element
@@ -273,6 +323,8 @@ class Lines(HTMLParser):
                 return  # a marked inline element within a line
             self.now.out = True
         self.now.parts.append(data)
+        if self.n_aside:
+            self.now.aside += len("".join(data.split()))
         if self.places.get("a"):
             self.now.linked += len(data.strip())
 
@@ -305,16 +357,35 @@ def threshold(x: np.ndarray) -> float:
 
 
 def _parsed(html: str) -> tuple[Lines, list[Line]]:
-    parser = Lines()
-    parser.feed(html)
-    lines = parser.finish()
+    """The page's lines; marks around its articles, or around nearly all of its text, are undone."""
+
+    def read(**how) -> tuple[Lines, list[Line]]:
+        parser = Lines(**how)
+        parser.feed(html)
+        return parser, parser.finish()
+
+    parser, lines = read()
     if "article" in parser.kinds or "main" in parser.kinds:
         held = _within(parser, {k for k, kind in enumerate(parser.kinds) if kind in ("article", "main")})
-        if not any(not x.out and x.inside >= 0 and held[x.inside] for x in lines):
-            # the articles are all marked: by a word of what is around them, perhaps
-            parser = Lines(cancel=True)
-            parser.feed(html)
-            lines = parser.finish()
+        inside = [x for x in lines if x.inside >= 0 and held[x.inside]]
+        if any(not x.out for x in inside):
+            return parser, lines
+        if inside:  # the articles are all marked: by what is around them, perhaps
+            again = read(cancel=True)
+            if any(not x.out and x.inside >= 0 and held[x.inside] for x in again[1]):
+                return again
+    free: frozenset[int] = frozenset()
+    for _ in range(3):  # a form around the whole page, or a menu that was never closed
+        plain = [x for x in lines if x.linked <= LINKED * len(x.text)]
+        by: dict[int, int] = {}
+        for x in plain:
+            if x.held_by >= 0:
+                by[x.held_by] = by.get(x.held_by, 0) + len(x.text)
+        most = max(by, key=by.__getitem__, default=-1)
+        if most < 0 or by[most] < UNMARKS * sum(len(x.text) for x in plain) or parser.names.get(most) not in WRAPPERS:
+            break
+        free |= {most}
+        parser, lines = read(free=free)
     return parser, lines
 
 
@@ -332,9 +403,10 @@ def main_text(html: str) -> str:
     The clusters of smoothed text-to-tag ratios give the content lines; the
     innermost container that holds them is the region, or without one the lines
     from the first to the last of them. Of the region all blocks are taken but
-    for those that an element, a role or an unmistakable class or id marks. Blocks with
-    a doubtful name, and lists of links outside an article element, are left out only if
-    they aren't content lines either.
+    for those that an element, a role or an unmistakable class or id marks. Outside
+    article and main elements, blocks with a doubtful name and lists of links are left
+    out too if they aren't content lines either. Articles side by side are all taken. A
+    form around the whole page, or a menu that nothing closed, marks nothing.
     """
     if not html:
         return ""
@@ -367,12 +439,19 @@ def main_text(html: str) -> str:
     named = [k for k, w in enumerate(weight) if w and parser.kinds[k] in ("article", "main") and w >= 0.5 * total]
     held = [k for k, w in enumerate(weight) if w >= HOLDS * total and parser.kinds[k] not in ("body", "html")]
     doubt = np.array([x.doubt for x in lines])
-    menu = linked & np.array([x.listed or not x.paragraph for x in lines]) & ~high
+    items: dict[int, list[bool]] = {}
+    for x, link in zip(lines, linked.tolist(), strict=True):
+        items.setdefault(x.item_of, []).append(link)
+    menus = {k: len(v) > 1 and 2 * sum(v) > len(v) for k, v in items.items()}
+    menu = linked & ~high & np.array([menus[x.item_of] if x.item_of >= 0 else not x.paragraph for x in lines])
     if named or held:
         at = max(named or held)  # the innermost
-        region = _within(parser, {at})
+        parts = {at}
+        if parser.kinds[at] == "article":  # an article may come in parts, side by side
+            parts |= {k for k, w in enumerate(weight) if w and parser.kinds[k] == "article" and parser.parent[k] == parser.parent[at]}
+        region = _within(parser, parts)
         inside = np.array([x.inside >= 0 and region[x.inside] for x in lines])
-        taken = inside & ~out & ~((doubt > at) & ~high) & ~(menu & (not named))
+        taken = inside & ~out if named else inside & ~out & ~((doubt > at) & ~high) & ~menu
     else:
         # no container: from the first content line, with the headings before it, to the last, with the paragraphs that go on from it
         at = np.flatnonzero(content)

@@ -106,3 +106,60 @@ def test_unclosed_tags_take_linear_time(open_tag):
     began = time.perf_counter()
     html_text.main_text(page(open_tag * 80_000 + "word " * 10))
     assert time.perf_counter() - began < 8
+
+
+HEAD = "<nav><a href=/>Home</a><a href=/b>Blog</a></nav>"
+
+
+@pytest.mark.parametrize("body", [
+    "<form id=aspnetForm>" + HEAD + "<article>{p}</article><footer>{l}</footer></form>",
+    "<form id=aspnetForm><div class=page>" + HEAD + "<div class=story>{p}</div><div class=sidebar>{l}</div></div></form>",
+    "<form>" + HEAD + "<main>{p}</main></form><footer>{l}</footer>",
+    "<nav><a href=/>Home</a><article>{p}</article>",
+    "<header><h1>Site</h1><article>{p}</article>",
+    "<nav><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul><div class=story>{p}</div>",
+    "<div class=sidebar><form><article>{p}</article></form></div>",
+])
+def test_wrapping_forms_and_unclosed_menus_keep_the_article(body):
+    assert html_text.main_text(page(body.replace("{p}", BODY).replace("{l}", LONG))).split("\n") == TEXTS
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div class=story>{}</div>"])
+@pytest.mark.parametrize("slug", ["comments", "navigation", "social-sharing", "advertising", "related"])
+def test_headings_with_slug_ids_stay(wrap, slug):
+    text = html_text.main_text(page(HEAD + wrap.replace("{}", f"<h2 id={slug}>Heading</h2>{BODY}<h3 id={slug}-2>Next</h3><p>{LONG}</p>")))
+    assert text.split("\n") == ["Heading", *TEXTS, "Next", LONG.strip()]
+
+
+def test_sections_named_by_their_headings_stay_but_comments_go():
+    inner = f"<section id=navigation><h2>Navigation</h2>{BODY}</section><section id=sharing><p>Short.</p></section><section id=comments><p>{LONG}</p></section><div id=navigation><p>{LONG}</p></div>"
+    assert html_text.main_text(page(f"<article>{inner}</article>")).split("\n") == ["Navigation", *TEXTS, "Short."]
+
+
+@pytest.mark.parametrize("short", ["<p id=share-prices>Up.</p>", "<p class=hidden-gems-text>Up.</p>", "<p id=comments>Up.</p>", "<div class=popular-science>Up.</div>"])
+def test_short_doubtful_blocks_of_an_article_stay(short):
+    assert html_text.main_text(page(f"<article>{BODY}{short}<div>x</div></article>")).split("\n") == [*TEXTS, "Up.", "x"]
+
+
+def test_marked_words_within_a_sentence_stay():
+    text = html_text.main_text(page(f"<article>{BODY}<p>He sold his <span class=share>last part</span> today.</p><p><span class=ad>Buy now</span></p><p><b class=promo>Buy</b> <i class=ad>now</i></p></article>"))
+    assert text.split("\n") == [*TEXTS, "He sold his last part today."]
+
+
+def test_articles_side_by_side_are_one():
+    body = f"<main><article>{BODY}</article><article><h2>Part two</h2><p>{LONG}</p></article><div class=comments><article><p>{LONG}</p></article></div></main>"
+    assert html_text.main_text(page(body)).split("\n") == [*TEXTS, "Part two", LONG.strip()]
+    assert html_text.main_text(page(body.replace("main", "div"))).split("\n") == [*TEXTS, "Part two", LONG.strip()]
+
+
+def test_lines_of_bare_pages():
+    assert html_text.main_text(page(f"{LONG}<br>Short.<br>{LONG}")).split("\n") == [LONG.strip(), "Short.", LONG.strip()]
+    body = f"<div class=story>{BODY}<ul><li><a href=1>One link</a></ul><ul><li>Plain<li><a href=2>Linked</a><li>Plain two</ul></div>"
+    assert html_text.main_text(page(HEAD + body)).split("\n") == [*TEXTS, "One link", "Plain", "Linked", "Plain two"]
+
+
+def test_what_hides_or_holds_little_stays_out():
+    assert html_text.main_text(page(f"<div hidden><form><article>{BODY}</article></form></div>")) == ""
+    assert html_text.main_text(page(f"<form><p>{LONG}</p></form><div>{BODY}</div>")).split("\n") == TEXTS
+    assert html_text.main_text(page(f"<nav>{BODY}</nav><article><p>Short one.</p></article>")) == "Short one."
+    assert html_text.main_text(page(f"<footer><p>{LONG}</p></footer>")) == ""
