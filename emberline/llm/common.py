@@ -33,14 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """A folder of this process in the one that driver and executors share: spark.checkpoint.dir. It goes with the process.
 
     Where the session names none (tests in one JVM), a temporary folder of this
     process stands in for it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return f"{base.rstrip('/')}/emberline-{_RUN}"
+        folder = f"{base.rstrip('/')}/emberline-{_RUN}"
+        if folder not in _FOLDERS:
+            _FOLDERS.add(folder)
+            atexit.register(_delete, folder)
+        return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_BASE:
@@ -59,11 +63,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     write are deleted as it ends; the table goes with forget(), or with the process.
     """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if folder not in _FOLDERS:
-        _FOLDERS.add(folder)
-        atexit.register(_delete, folder)
-    path = f"{folder}/{next(_COUNT):04d}-{name}"
+    path = f"{shared_dir(spark)}/{next(_COUNT):04d}-{name}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -96,6 +96,16 @@ def _delete(path: str) -> None:
         return
 
 
+def named(c: str):
+    """The column of just this name, dots and all."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame):
+    """All columns of df as one, so that no working column can have the name of one of them."""
+    return F.struct(*map(named, df.columns))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

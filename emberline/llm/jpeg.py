@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_of, table, text_or_empty
+from .common import named, pieces_of, table, text_or_empty
 
 #: Blocks between restart markers.
 RESTART = 8
@@ -465,8 +465,9 @@ def read(media: DataFrame) -> DataFrame:
     empty table gives no rows. Columns of media named like a new one are replaced.
     """
     names = [x.split()[0] for x in READ.split(", ")]
-    kept = media.select(*[c for c in media.columns if c not in names])
-    at = kept.columns.index("media")
+    own = [c for c in media.columns if c not in names]
+    kept = media.select(*[named(c).alias(f"c{i}") for i, c in enumerate(own)])
+    at = own.index("media")
 
     def one(found: tuple[Parsed, list[np.ndarray]] | JpegError) -> tuple:
         try:
@@ -480,7 +481,7 @@ def read(media: DataFrame) -> DataFrame:
         return p.width, p.height, thumb.shape[1], thumb.shape[0], thumb.tobytes(), mark, payload(p, blocks), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b for whole in batches for b in pieces_of(whole, "media", budget=BATCH)):
+        for batch in (b for whole in batches for b in pieces_of(whole, f"c{at}", budget=BATCH)):
             files = batch.column(at).to_pylist()
             real = iter([one(x) for x in decode_each([f for f in files if f is not None])])
             rows = [(None,) * len(names) if f is None else next(real) for f in files]
@@ -488,7 +489,7 @@ def read(media: DataFrame) -> DataFrame:
             new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.record_batch([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    return kept.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + [READ]))
+    return kept.mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields] + [READ])).toDF(*own, *names)
 
 
 def op2_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

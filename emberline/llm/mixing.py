@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, forget, table, text_or_empty
+from .common import WORD, cut, forget, table, text_or_empty, whole_row
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -210,7 +210,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     rows = cut(docs.select("source", _size().alias("size"), _same().alias("same")), "rows")
     repeated = _repeated(rows)
     state = solve(cut(_numbered(rows, repeated), "sizes"), weights, most, seed)
-    own = _numbered(docs.select(F.struct(*docs.columns).alias("__row"), "source", "text", _same().alias("same")), repeated).withColumn("size", _size()).drop("text")
+    own = _numbered(docs.select(whole_row(docs).alias("__row"), "source", "text", _same().alias("same")), repeated).withColumn("size", _size()).drop("text")
     rated = _rated(own, state, most, seed).withColumn("copies", _copies()).where("copies > 0")
     return rated.select("__row", F.explode(F.sequence(F.lit(1), "copies"))).select("__row.*")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, forget, pieces_of, table, text_or_empty
+from .common import cut, forget, pieces_of, table, text_or_empty, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern is trusted from so many distinct known instances on, and this share of those that count.
@@ -300,9 +300,10 @@ def masked(docs: DataFrame) -> DataFrame:
 
     spans = F.array_sort(F.concat("base", "extra"))
     flat = F.flatten(F.transform(spans, lambda x: F.array(x["start"], x["kind"], x["end"])))
-    found = personal_data(docs).select(F.col("key").alias("__key"), F.col("alt").alias("__alt"), flat.alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__key", "__alt"])
-    key, alt = _keys()
-    joined = docs.withColumn("__key", key).withColumn("__alt", alt).join(found, ["__key", "__alt"], "left")
-    hit = F.col("__spans").isNotNull()
-    out = joined.withColumn("__new", without(F.when(hit, F.col("text")), "__spans")).withColumn("__text", F.when(hit, F.col("__new")).otherwise(F.col("text")))
-    return out.select(*[F.col("__text").alias("text") if c == "text" else F.length("__text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    found = personal_data(docs).select("key", "alt", flat.alias("spans")).where(F.size("spans") > 0).dropDuplicates(["key", "alt"])
+    joined = docs.select(whole_row(docs).alias("row"), "text", *_keys()).join(found, ["key", "alt"], "left")
+    hit = F.col("spans").isNotNull()
+    new = joined.withColumn("new", without(F.when(hit, F.col("text")), "spans"))
+    out = new.select("row", F.when(hit, F.col("new")).otherwise(F.col("text")).alias("text"))
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

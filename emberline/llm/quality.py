@@ -114,7 +114,9 @@ def repetition(docs: DataFrame, limits: dict[int, float] | None = None, line_lim
     base_failed or where a share of characters passes its limit.
 
     Null and empty texts have no words and fail the base rule. Repeated rows
-    and null doc_ids are measured like any other; other columns are ignored.
+    and null doc_ids are measured like any other; an empty table gives no rows;
+    other columns are ignored. A text is measured whole, with some hundred bytes of
+    memory for each of its words.
     """
     limits = dict(NGRAM_LIMITS if limits is None else limits)
     schema = SCHEMA.partition(", dup_5gram")[0] + "".join(f", dup_{n}gram_chars long" for n in limits)

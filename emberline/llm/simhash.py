@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, forget, pieces_of, table, text_or_empty
+from .common import cut, forget, named, pieces_of, table, text_or_empty, whole_row
 
 RADIUS = 3
 SHINGLE = 3
@@ -58,8 +58,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _keys(docs: DataFrame):
-    """Hashes of doc_id and text, and of all columns that can be hashed."""
-    all_of = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    """Hashes of doc_id and text, and of all columns that can be hashed, with which of them are null."""
+    hashed = [named(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    all_of = [x for c in hashed for x in (c.isNull(), c)]
     return F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()).alias("key"), F.xxhash64(F.lit(3), *all_of).alias("full")
 
 
@@ -314,13 +315,12 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     same = grouped(docs, radius).groupBy("root", "doc_id", "key", "full").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key", "full", "n")).alias("first")
-    chosen = cut(same.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__c_id"), F.col("first.key").alias("__key"), F.col("first.full").alias("__full"), F.col("first.n").alias("__n")), "chosen")
-    key, full = _keys(docs)
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", key).withColumn("__full", full)
-    kept = keyed.join(chosen, ["__key", "__full"]).where(F.col("__id").eqNullSafe(F.col("__c_id")))
+    chosen = cut(same.groupBy("root").agg(first).select(F.col("first.doc_id").alias("chosen_id"), "first.key", "first.full", "first.n"), "chosen")
+    keyed = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), *_keys(docs))
+    kept = keyed.join(chosen, ["key", "full"]).where(F.col("id").eqNullSafe(F.col("chosen_id")))
     # most are alone; only rows that repeat as a whole are brought together
-    again = kept.where("__n > 1").dropDuplicates(["__id", "__key", "__full"])
-    return kept.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns]).union(again.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    again = kept.where("n > 1").dropDuplicates(["id", "key", "full"])
+    return kept.where("n = 1").select("row.*").union(again.select("row.*"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

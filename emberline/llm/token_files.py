@@ -121,6 +121,8 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     The rows are written as flat token files to the shared folder, and counted
     by scanning these. Null and empty texts have 0 tokens; null doc_ids and
     repeated rows stay; an empty table gives no rows; other columns are ignored.
+    Very long texts are encoded in slices and span several blocks. The files go
+    with the process, as the result is read from them.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"

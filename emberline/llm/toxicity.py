@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import byte_words, pieces_of, table, text_or_empty
+from .common import byte_words, named, pieces_of, table, text_or_empty
 
 #: Words of a window, and from one window's start to the next: each word is in two windows.
 WINDOW, STRIDE = 32, 16
@@ -376,28 +377,33 @@ def score(docs: DataFrame, model: Model, kept: list[str] | None = None, into: st
     and so all the same low score. Null doc_ids and repeated rows stay.
     """
     kept = kept or ["doc_id"]
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: VOCABULARY and CHAR_ROWS rows
+    scored = _scored(docs, model, kept)
+    return scored.toDF(*kept, into)
+
 
+def _scored(docs: DataFrame, model: Model, kept: list[str]) -> DataFrame:
+    """The columns kept under the names c0, c1, and so on, and score."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: VOCABULARY and CHAR_ROWS rows
     at = kept.index("text") if "text" in kept else len(kept)
-    name = f"__{at}"
+    name = f"c{at}"
+    rows = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(kept)], *([] if at < len(kept) else [text_or_empty().alias(name)]))
+    schema = T.StructType(rows.schema.fields[: len(kept)]).add("score", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
         for batch in (b for whole in batches for b in pieces_of(whole, name)):
             texts = [x.as_py() or "" for x in batch.column(at)]
-            yield pa.record_batch([*batch.columns[: len(kept)], pa.array(scorer(texts))], names=[*batch.schema.names[: len(kept)], "__score"])
+            yield pa.record_batch([*batch.columns[: len(kept)], pa.array(scorer(texts))], names=schema.names)
 
-    rows = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(kept)], *([] if at < len(kept) else [text_or_empty().alias(name)]))
-    schema = ", ".join(f"__{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)) + ", __score double"
-    out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(kept)], F.col("__score").alias(into))
+    return rows.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from a score of 0.5 on) of every row of docs.
 
     labels (doc_id, toxic) are read for the training sample alone; rows with
-    null or other labels aren't used. Without any labels all scores are low.
+    null or other labels aren't used. Without any labels all scores are low. An
+    empty table gives no rows.
     """
     scored = score(docs.withColumn("doc_id", F.col("doc_id").cast("long")), fit(docs, labels, rows))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
@@ -406,7 +412,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
 def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of docs, with all their columns, that score under 0.5."""
-    return score(docs, fit(docs, labels, rows), kept=docs.columns, into="__toxic").where("__toxic < 0.5").select(docs.columns)
+    return _scored(docs, fit(docs, labels, rows), docs.columns).where("score < 0.5").drop("score").toDF(*docs.columns)
 
 
 def op5_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from emberline.llm import mixing, packing, pii, simhash, toxicity, word_bpe
 from tests.llm.helpers import docs
@@ -74,3 +76,30 @@ def test_odd_rows(spark):
     assert again.columns == df.columns
     for f in (simhash.one_of_each, pii.masked, mixing.mixed, packing.pack):
         assert f(df.limit(0)).count() == 0
+
+
+CLASHING = ["a.b", "__key", "__full", "__id", "__alt", "__row", "__score", "__toxic", "__spans", "row", "key", "full", "id", "score", "spans", "new", "size", "rate", "copies", "nth", "same", "c0", "a`b"]
+
+
+def test_no_column_of_the_table_is_lost_or_overwritten(spark):
+    rows = [(i, f"word{i} " * 30 + "x@y.org") for i in range(6)] + [(7, None), (8, "plain " * 5)]
+    df = docs(spark, rows)
+    for c in CLASHING:
+        df = df.withColumn(c, F.lit(f"own {c}"))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    own = lambda d: sorted(tuple(r[len(docs(spark, []).columns):]) for r in d.collect())
+    want = [tuple(f"own {c}" for c in CLASHING)]
+    for f in (lambda d: toxicity.without_toxic(d, none), simhash.one_of_each, pii.masked, mixing.mixed):
+        out = f(df)
+        assert out.columns == df.columns
+        assert set(own(out)) == set(want)
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
+    assert {r.doc_id: r.text for r in pii.masked(df).collect()}[3] == "word3 " * 30 + "<email>"
+
+
+def test_rows_with_swapped_nulls_are_told_apart(spark):
+    schema = docs(spark, []).schema
+    two = [(1, "a b c d", "en", None, None), (1, "a b c d", None, "en", None)]
+    kept = [simhash.one_of_each(spark.createDataFrame(rows, schema)).collect() for rows in (two, two[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
+    assert mixing.mixed(spark.createDataFrame(two, schema)).columns == schema.names
