@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from emberline.functions import geo
 from emberline.functions.text import ROAD_GROUPS, ROAD_TYPES, least_number, limit_kph, mean_number, point_kind, road_group, road_type
 from emberline.functions.times import is_rush
-from emberline.sources.tables import held
+from emberline.operators import routing
+from emberline.sources.tables import forget, held
 
 # Fixed values of the fire-engine routing policy and of the segment speed model.
 CONTRAFLOW_MOST_M, CONTRAFLOW_S, BLOCKED = 80.0, 12.0, 1e12
@@ -110,34 +111,13 @@ def slowness(cols: Sequence[Column], weights: Sequence[float]) -> Column:
     return F.least(F.greatest(raw, F.lit(3600.0 / SPEED_KPH[1])), F.lit(3600.0 / SPEED_KPH[0]))
 
 
-def shortest_paths(edges: DataFrame, origins: DataFrame, cost: str = "length", rounds: int = 10_000) -> DataFrame:
-    """origin, node, dist and parent of the shortest path from each origin to each node it reaches.
+def shortest_paths(edges: DataFrame, origins: DataFrame, cost: str = "length") -> DataFrame:
+    """origin, node, dist and parent of the shortest path from each origin to each node it reaches, in graphs of any size.
 
-    Frontier relaxation: each round joins the nodes that got nearer to their
-    edges and keeps the least distance by node; it ends when none gets nearer.
-    Rounds are written to the shared folder. Of several shortest ways in, the
+    Searched region by region (routing.paths_by_region). Of several shortest ways in, the
     parent is the smallest node (edges of no length only where there is no other).
     """
-    e = held(shortest_parallel(edges, cost).select("u", "v", F.col(cost).cast("double").alias("c")))
-    known = held(origins.select(F.col("origin"), F.col("origin").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("parent")).distinct())
-    front = known
-    for _ in range(rounds):
-        step = front.join(e, front.node == e.u).select("origin", F.col("v").alias("node"), (F.col("dist") + F.col("c")).alias("dist"), F.col("u").alias("parent"))
-        both = known.withColumn("old", F.lit(0)).unionByName(step.withColumn("old", F.lit(1)))
-        # the least distance; of equal ones what is known, then the smaller parent
-        best = both.groupBy("origin", "node").agg(F.min(F.struct("dist", "old", "parent")).alias("b"))
-        now = held(best.select("origin", "node", F.col("b.dist").alias("dist"), F.col("b.parent").alias("parent"), (F.col("b.old") == 1).alias("moved")))
-        front = now.where("moved").drop("moved")
-        known = now.drop("moved")
-        if front.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"paths still get shorter after {rounds} rounds")
-    # of equally short ways in, the smallest node's, whatever round found it
-    into = known.select("origin", F.col("node").alias("u"), F.col("dist").alias("to_u")).join(e.where("c > 0"), "u").withColumn("through", F.col("to_u") + F.col("c"))
-    least = into.groupBy("origin", F.col("v").alias("node"), F.col("through").alias("dist")).agg(F.min("u").alias("first"))
-    joined = known.join(least, ["origin", "node", "dist"], "left")
-    return joined.select("origin", "node", "dist", F.when(F.col("node") != F.col("origin"), F.coalesce("first", "parent")).alias("parent"))
+    return routing.paths_by_region(shortest_parallel(edges, cost).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col(cost).cast("double").alias("c")), origins)
 
 
 def search_by_origin(edges: DataFrame, origins: DataFrame, cost: str = "length") -> DataFrame:
@@ -177,14 +157,24 @@ def search_by_origin(edges: DataFrame, origins: DataFrame, cost: str = "length")
     return origins.select(F.col("origin").cast("long")).distinct().mapInArrow(run, "origin long, node long, dist double, parent long")
 
 
-def tree_sums(paths: DataFrame, edges: DataFrame, values: Sequence[str], cost: str = "length") -> DataFrame:
-    """origin, node and the sums of edge values along the path from the origin, by pointer doubling."""
+def tree_sums(paths: DataFrame, edges: DataFrame, values: Sequence[str], cost: str = "length", at_nodes: DataFrame | None = None) -> DataFrame:
+    """origin, node and the sums of edge values along the path from the origin, by pointer doubling.
+
+    at_nodes (origin, node, and columns) adds values that depend on the origin,
+    such as turns before a node. A pair that has come to its origin is not joined again.
+    """
     e = shortest_parallel(edges, cost).select(F.col("u").alias("parent"), F.col("v").alias("node"), *values)
-    now = paths.select("origin", "node", "parent").join(e, ["parent", "node"], "left").select("origin", "node", F.col("parent").alias("up"), *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
-    now = held(now)
+    own = paths.select("origin", "node", "parent").join(e, ["parent", "node"], "left")
+    names = list(values)
+    if at_nodes is not None:
+        own = own.join(at_nodes, ["origin", "node"], "left")
+        names += [c for c in at_nodes.columns if c not in ("origin", "node")]
+    now = held(own.select("origin", "node", F.col("parent").alias("up"), *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in names]))
     while not now.where("up IS NOT NULL").isEmpty():
-        above = now.select("origin", F.col("node").alias("up"), F.col("up").alias("next"), *[F.col(v).alias(f"a_{v}") for v in values])
-        now = held(now.join(above, ["origin", "up"], "left").select("origin", "node", F.col("next").alias("up"), *[(F.col(v) + F.coalesce(f"a_{v}", F.lit(0.0))).alias(v) for v in values]))
+        above = now.select("origin", F.col("node").alias("up"), F.col("up").alias("next"), *[F.col(v).alias(f"a_{v}") for v in names])
+        further = now.where("up IS NOT NULL").join(above, ["origin", "up"]).select("origin", "node", F.col("next").alias("up"), *[(F.col(v) + F.col(f"a_{v}")).alias(v) for v in names])
+        last, now = now, held(now.where("up IS NULL").unionByName(further))
+        forget(last)
     return now.drop("up")
 
 
@@ -214,9 +204,9 @@ def route_ratios(sums: DataFrame) -> DataFrame:
     )
 
 
-def turns(paths: DataFrame, edges: DataFrame) -> DataFrame:
+def turns(paths: DataFrame, edges: DataFrame, cost: str = "length") -> DataFrame:
     """origin, node, n_turns and n_sharp_turns (over 45 and 120 degrees) at the junction before the last edge."""
-    e = shortest_parallel(edges).select("u", "v", "bearing_start", "bearing_end")
+    e = shortest_parallel(edges, cost).select("u", "v", "bearing_start", "bearing_end")
     p = paths.select("origin", "node", "parent")
     up = p.select("origin", F.col("node").alias("parent"), F.col("parent").alias("grand"))
     last = e.select(F.col("u").alias("parent"), F.col("v").alias("node"), "bearing_start")
