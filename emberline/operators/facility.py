@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +27,31 @@ def _term(objective: str, threshold_s: float):
     raise ValueError(f"unknown objective {objective!r}")
 
 
+def _sites(times: DataFrame, chosen: Sequence[int], name: str = "site_id") -> DataFrame:
+    """The chosen sites as a table: a plan's choice, so that it may be sent to every task."""
+    return F.broadcast(times.sparkSession.createDataFrame(pa.table({name: pa.array([int(s) for s in chosen], pa.int64())})))
+
+
+def _of(times: DataFrame, chosen: Sequence[int]) -> DataFrame:
+    return times.join(_sites(times, chosen), "site_id", "left_semi")
+
+
+def _but(times: DataFrame, chosen: Sequence[int]) -> DataFrame:
+    return times.join(_sites(times, chosen), "site_id", "left_anti")
+
+
 def two_nearest(times: DataFrame, chosen: Sequence[int]) -> DataFrame:
     """cell_id, w, n1, d1 and d2: the nearest chosen site, its time and the next one's (FAR without one)."""
-    pairs = times.where(F.col("site_id").isin(*chosen)).groupBy("cell_id").agg(F.max("w").alias("w"), F.min(F.struct("t", "site_id")).alias("a"))
+    own = _of(times, chosen)
+    pairs = own.groupBy("cell_id").agg(F.max("w").alias("w"), F.min(F.struct("t", "site_id")).alias("a"))
     first = pairs.select("cell_id", "w", F.col("a.site_id").alias("n1"), F.col("a.t").alias("d1"))
-    rest = times.where(F.col("site_id").isin(*chosen)).join(first.select("cell_id", "n1"), "cell_id").where("site_id <> n1").groupBy("cell_id").agg(F.min("t").alias("d2"))
+    rest = own.join(first.select("cell_id", "n1"), "cell_id").where("site_id <> n1").groupBy("cell_id").agg(F.min("t").alias("d2"))
     return first.join(rest, "cell_id", "left").withColumn("d2", F.coalesce("d2", F.lit(FAR)))
 
 
 def objective_value(times: DataFrame, chosen: Sequence[int], objective: str = RESPONSE, threshold_s: float = 480.0) -> float:
     term = _term(objective, threshold_s)
-    best = times.where(F.col("site_id").isin(*chosen)).groupBy("cell_id").agg(F.max("w").alias("w"), F.min("t").alias("t"))
+    best = _of(times, chosen).groupBy("cell_id").agg(F.max("w").alias("w"), F.min("t").alias("t"))
     row = best.agg((F.sum(F.col("w") * term(F.col("t"))) / F.greatest(F.sum("w"), F.lit(1e-9))).alias("v")).first()
     return float(row.v)
 
@@ -44,8 +59,8 @@ def objective_value(times: DataFrame, chosen: Sequence[int], objective: str = RE
 def gains(times: DataFrame, chosen: Sequence[int], objective: str = RESPONSE, threshold_s: float = 480.0) -> DataFrame:
     """site_id and the weighted sum if that site were added to the chosen ones."""
     term = _term(objective, threshold_s)
-    best: DataFrame = times.where(F.col("site_id").isin(*chosen)).groupBy("cell_id").agg(F.min("t").alias("best")) if chosen else None
-    rows = times.where(~F.col("site_id").isin(*chosen)) if chosen else times
+    best: DataFrame = _of(times, chosen).groupBy("cell_id").agg(F.min("t").alias("best")) if chosen else None
+    rows = _but(times, chosen) if chosen else times
     t: Column = F.col("t")
     if best is not None:
         rows, t = rows.join(best, "cell_id"), F.least("t", "best")
@@ -72,14 +87,12 @@ def swap_values(times: DataFrame, chosen: Sequence[int], objective: str = RESPON
     """
     term = _term(objective, threshold_s)
     near = two_nearest(times, chosen)
-    rows = times.where(~F.col("site_id").isin(*chosen)).select("site_id", "cell_id", "t").join(near, "cell_id")
+    rows = _but(times, chosen).select("site_id", "cell_id", "t").join(near, "cell_id")
     added = F.col("w") * term(F.least("d1", "t"))
     moved = F.col("w") * (term(F.least("d2", "t")) - term(F.least("d1", "t")))
     by = rows.groupBy("site_id", "n1").agg(F.sum(added).alias("base"), F.sum(moved).alias("change"), F.sum("w").alias("weight"))
     whole = by.groupBy("site_id").agg(F.sum("base").alias("base"), F.sum("weight").alias("weight"))
-    spark = times.sparkSession
-    out = spark.createDataFrame([(int(s),) for s in (chosen if outs is None else outs)], "out_site long")
-    pairs = whole.crossJoin(F.broadcast(out)).join(by.select("site_id", F.col("n1").alias("out_site"), "change"), ["site_id", "out_site"], "left")
+    pairs = whole.crossJoin(_sites(times, chosen if outs is None else outs, "out_site")).join(by.select("site_id", F.col("n1").alias("out_site"), "change"), ["site_id", "out_site"], "left")
     value = (F.col("base") + F.coalesce("change", F.lit(0.0))) / F.greatest("weight", F.lit(1e-9))
     return pairs.select("out_site", F.col("site_id").alias("in_site"), F.round(value, 9).alias("value"))
 
@@ -93,21 +106,32 @@ class Choice:
 
 
 def improve(times: DataFrame, chosen: Sequence[int], objective: str = RESPONSE, threshold_s: float = 480.0, locked: Sequence[int] = (), rounds: int = 8) -> Choice:
-    """Goes through the places again and again and makes each place's best swap at once if it gains over 1e-9."""
+    """Goes through the places again and again and makes each place's best swap at once if it gains over 1e-9.
+
+    One pass scores the best swap of every place that isn't locked. Places
+    before the first one that gains would be left as they are, so that one is swapped and
+    the rest are scored anew: a job for each swap that is made, and one that finds none.
+    The driver sees a row for each place.
+    """
     sites = list(chosen)
     now = first = objective_value(times, sites, objective, threshold_s)
-    swaps = []
-    for _ in range(rounds):
-        better = False
-        for place, out in enumerate(list(sites)):
-            if out in locked:
-                continue
-            row = swap_values(times, sites, objective, threshold_s, outs=[out]).agg(F.min(F.struct("value", "in_site")).alias("b")).first()
-            if row.b is not None and row.b.value < now - 1e-9:
-                sites[place], now, better = row.b.in_site, row.b.value, True
-                swaps.append((out, row.b.in_site))
-        if not better:
+    fixed = set(locked)
+    places = [p for p, s in enumerate(sites) if s not in fixed]
+    swaps: list[tuple[int, int]] = []
+    at, turn = 0, 0  # the place that is looked at next, and the round it is in
+    while places and turn < rounds:
+        outs = [sites[p] for p in places]
+        best = {r.out_site: r.b for r in swap_values(times, sites, objective, threshold_s, outs).groupBy("out_site").agg(F.min(F.struct("value", "in_site")).alias("b")).collect()}
+        gaining = [i for i, p in enumerate(places) if sites[p] in best and best[sites[p]].value < now - 1e-9]
+        found = next((i for i in gaining if i >= at), None)
+        if found is None:  # the rest of this round gains nothing; the next begins with the first place
+            turn += 1
+            found = gaining[0] if gaining and turn < rounds else None
+        if found is None:
             break
+        place, b = places[found], best[sites[places[found]]]
+        swaps.append((sites[place], b.in_site))
+        sites[place], now, at = b.in_site, b.value, found + 1
     return Choice(sites, now, first, swaps)
 
 
@@ -129,7 +153,7 @@ def replace(times: DataFrame, existing: Sequence[int], moves: int, objective: st
     now = first = objective_value(times, sites, objective, threshold_s)
     swaps = []
     for _ in range(moves):
-        options = swap_values(times, sites, objective, threshold_s, outs=left).where(~F.col("in_site").isin(*existing))
+        options = swap_values(times, sites, objective, threshold_s, outs=left).join(_sites(times, existing, "in_site"), "in_site", "left_anti")
         row = options.agg(F.min(F.struct("value", "out_site", "in_site")).alias("b")).first()
         if row.b is None or row.b.value >= now - 1e-9:
             break

@@ -53,6 +53,33 @@ def test_planners(spark):
         facility.greedy(df, 1, "fame")
 
 
+@pytest.mark.parametrize(("seed", "coverage", "locked"), [(5, False, ()), (6, True, ()), (7, False, (1,))])
+def test_interchange_makes_the_swaps_of_a_walk_through_the_places(spark, monkeypatch, seed, coverage, locked):
+    df, value = times_table(spark, 9, 20, seed)
+    objective = facility.COVERAGE if coverage else facility.RESPONSE
+    sites, swaps, better = [0, 1, 2], [], True
+    now = value(sites, coverage)
+    while better:
+        better = False
+        for place in range(3):
+            if sites[place] in locked:
+                continue
+            options = [(round(value([*sites[:place], i, *sites[place + 1 :]], coverage), 9), i) for i in range(9) if i not in sites]
+            if min(options)[0] < now - 1e-9:
+                swaps.append((sites[place], min(options)[1]))
+                now, sites[place] = min(options)
+                better = True
+    passes, one = [], facility.swap_values
+    monkeypatch.setattr(facility, "swap_values", lambda *a: passes.append(1) or one(*a))
+    got = facility.improve(df, [0, 1, 2], objective, locked=locked)
+    assert (got.swaps, got.sites) == (swaps, sites) and got.value == pytest.approx(now)
+    assert swaps and len(passes) == len(swaps) + 1
+    passes.clear()
+    none = facility.improve(df, [0, 1, 2], objective, rounds=0)
+    assert none.sites == [0, 1, 2] and not none.swaps and not passes
+    assert facility.improve(df, [0, 1, 2], objective, locked=(0, 1, 2)).swaps == []
+
+
 def test_weighted_quantiles(spark):
     rng = random.Random(1)
     rows = [(float(rng.randrange(300, 320)), float(rng.randrange(0, 5))) for _ in range(60)] + [(360.0, 2.0), (600.0, 1.0)]
