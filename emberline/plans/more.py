@@ -7,11 +7,12 @@ import math
 from pyspark.sql import functions as F
 
 from emberline.functions import geo, times
-from emberline.operators import facility, graph, prep, raster, roads, scenario, spatial, summaries, weighted
+from emberline.operators import facility, fitting, graph, ml, prep, raster, roads, scenario, spatial, summaries, weighted
 from emberline.plans import queries as plans
 from emberline.plans.queries import GRID, HAV, INC, ORACLES, ORIGINS, ST, TRIPS, WHOLE, _score_sql, _shaped_sql, paths_sql, query
 from emberline.sources import demo
 from emberline.sources import fixtures as fx
+from emberline.sources.tables import held
 
 GR = fx.ALL_EDGES_SQL
 
@@ -230,20 +231,25 @@ def reroute_inputs(spark, d):
     return e, each.select((o * 3 + F.col("i")).alias("trip"), o, node.alias("node"), ((o + F.col("i")) % 24).cast("int").alias("hour"), (60 + apart * 0.4 + (o * 13 + F.col("i") * 7) % 90).alias("seconds"))
 
 
+#: Street features of the pace regression; residential roads are the reference.
+STREET = [f"share_{g}" for g in graph.ROAD_GROUPS if g != "residential"] + ["share_oneway", "share_20mph", "share_bus_lane", "share_bridge_tunnel", "junctions_per_km", "signals_per_km"]
+
+
 @query("name:s coefficient:d")
 def street_pace(spark, d):
     """The pace regression on street features, residential roads as the reference."""
-    from emberline.operators import fitting
+    return fitting.pace_regression(held(_by_road(spark, d)), street=STREET)
 
-    return fitting.pace_regression(_by_road(spark, d), street=[f"share_{g}" for g in graph.ROAD_GROUPS if g != "residential"] + ["share_oneway", "share_20mph", "share_bus_lane", "share_bridge_tunnel", "junctions_per_km", "signals_per_km"])
+
+@query("name:s coefficient:d low:d high:d sd:d")
+def street_effects(spark, d):
+    """What a standard deviation of each street feature adds to the pace, with its interval over resamples."""
+    return fitting.street_effects(held(_by_road(spark, d)), STREET)
 
 
 @query("dropped:s mae:d change:d")
 def street_ablation(spark, d):
     """The error on held-out trips without each of ten groups of street features, and without all of them."""
-    from emberline.operators import ml
-    from emberline.sources.tables import held
-
     rows = held(_by_road(spark, d))
     train = rows.where("cal_year <= 1999")
     columns = [*ml.FEATURES, *[c for g in ml.STREET_GROUPS.values() for c in g]]

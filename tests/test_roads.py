@@ -174,7 +174,7 @@ def test_street_pace_finds_the_effect(spark):
     s, n = rng.uniform(0, 1, 500), rng.integers(0, 24, 500)
     rows = spark.createDataFrame([(i, 1, int(n[i]), int(i % 2), float(1 + i % 7), float((100 + 30 * s[i]) * (1 + i % 7)), float(s[i])) for i in range(500)], "incident_id long, pump_order int, hour_of_call int, busy_flag int, road_km double, drive_s double, share_major double")
     got = {r.name: r.coefficient for r in fitting.pace_regression(rows, ["share_major"]).collect()}
-    assert got["share_major"] == pytest.approx(30 * s.std(), rel=1e-6) and abs(got["log_km"]) < 1e-6
+    assert got["share_major"] == pytest.approx(30 * s.std(ddof=1), rel=1e-6) and abs(got["log_km"]) < 1e-6
 
 
 def test_plan_tells_of_its_held_out_checks(spark):
