@@ -231,6 +231,45 @@ def reroute_inputs(spark, d):
     return e, each.select((o * 3 + F.col("i")).alias("trip"), o, node.alias("node"), ((o + F.col("i")) % 24).cast("int").alias("hour"), (60 + apart * 0.4 + (o * 13 + F.col("i") * 7) % 90).alias("seconds"))
 
 
+def od_inputs(spark, d):
+    """The street grid, and a trip from each node divisible by 20 to three others over 300 m away, with the time of the curve over the straight km; a fifth are held out."""
+    e, trips = reroute_inputs(spark, d)
+    n = _nodes(spark, d)
+    a, b = n.select(F.col("node").alias("origin"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")), n.select("node", "lat", "lon")
+    km = geo.haversine_km(F.col("a_lon"), F.col("a_lat"), F.col("lon"), F.col("lat"))
+    placed = trips.join(a, "origin").join(b, "node").withColumn("crow", km).where("crow >= 0.3")
+    return e, placed.select("trip", "origin", "node", "hour", times.DEFAULT_CURVE.seconds(F.col("crow")).alias("seconds"), ((F.floor(F.col("origin") / 20) + F.col("trip") % 3) % 5 == 0).alias("test"))
+
+
+#: Weights whose errors are checked: the prior's, and some by hand.
+_BY_HAND = {"intercept": 5.0, "limit_s_per_km": 1.2, "rush": 9.0}
+_LIMIT = "CASE WHEN mph IS NOT NULL THEN mph * CAST(1.609344 AS DOUBLE) WHEN hw = 'trunk' THEN 96 WHEN hw IN ('primary', 'tertiary', 'secondary_link') THEN 48 ELSE 32 END"
+_OD = plans._SE + _ND + f""", ew AS (SELECT u, v, length, length / 1000 AS km, length / 1000 * 3600 / ({_LIMIT}) AS lim FROM se),
+od AS (SELECT o AS origin, CAST((o * 31 + i * 977 + 7) % (SELECT count(*) FROM part) AS BIGINT) AS node, (o + i) % 24 AS hour, (o // 20 + i) % 5 = 0 AS test FROM ({ORIGINS}) CROSS JOIN (VALUES (0), (1), (2)) w(i)),
+oc AS (SELECT od.*, {HAV('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS crow FROM od JOIN nd a ON a.node = od.origin JOIN nd b ON b.node = od.node),
+os AS (SELECT *, {fx.curve_sql('crow')} AS seconds FROM oc WHERE crow >= 0.3 AND origin <> node)"""
+_OD_BODY = f"""WITH RECURSIVE {paths_sql(ORIGINS, 'ew', 'length')},
+par AS (SELECT s.origin, e.v AS node, min(e.u) AS parent FROM sp s JOIN ew e ON e.u = s.node JOIN sp t ON t.origin = s.origin AND t.node = e.v AND t.dist = s.dist + e.length WHERE e.v <> s.origin GROUP BY 1, 2),
+tw AS (SELECT o AS origin, o AS node, CAST(0 AS DOUBLE) AS km, CAST(0 AS DOUBLE) AS lim FROM ({ORIGINS}) UNION ALL SELECT tw.origin, p.node, tw.km + e.km, tw.lim + e.lim FROM tw JOIN par p ON p.origin = tw.origin AND p.parent = tw.node JOIN ew e ON e.u = p.parent AND e.v = p.node),
+er AS (SELECT abs(1.4 * lim - seconds) AS p, abs(5 * km + CAST(1.2 AS DOUBLE) * lim + 9 * km * CAST(hour BETWEEN 7 AND 9 OR hour BETWEEN 16 AND 19 AS INT) - seconds) AS h FROM os JOIN tw USING (origin, node) WHERE test)
+SELECT 'prior' AS model, count(*) AS n, avg(p) AS mae FROM er UNION ALL SELECT 'by_hand', count(*), avg(h) FROM er"""
+
+
+@query("model:s n:i mae:d", _OD, _OD_BODY)
+def od_route_errors(spark, d):
+    """What given weights miss held-out trips by, on their shortest routes."""
+    e, trips = od_inputs(spark, d)
+    rows, columns, names = roads.trip_columns(e, trips.where("test"))
+    return roads.route_errors(rows, columns, {"prior": graph.prior_weights(), "by_hand": [_BY_HAND.get(n, 0.0) for n in names]})
+
+
+@query("model:s n:i mae:d")
+def od_sampling_check(spark, d):
+    """The prior's error and the fitted weights' on held-out trips."""
+    e, trips = od_inputs(spark, d)
+    return roads.sampling_check(e, trips, F.col("test"))
+
+
 #: Street features of the pace regression; residential roads are the reference.
 STREET = [f"share_{g}" for g in graph.ROAD_GROUPS if g != "residential"] + ["share_oneway", "share_20mph", "share_bus_lane", "share_bridge_tunnel", "junctions_per_km", "signals_per_km"]
 

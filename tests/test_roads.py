@@ -125,6 +125,47 @@ def test_fit_and_sampling_check(spark):
     assert roads.reroute_fit(e, df.where("false"))[1] == [{"trips": 0, "changed": 0, "mae": None}]
 
 
+def test_sampling_check_equals_a_plain_fit(spark):
+    """Both errors on held-out trips equal those of a dense fit over routes found by relaxation."""
+    e = grid(spark)
+    trips = spark.createDataFrame([(i, (i * 37) % 144, (i * 61 + 5) % 144, i % 24, 60.0 + (i * 29) % 400) for i in range(200)] + [(900, 3, 3, 1, 9.0), (901, 3, 999, 1, 9.0)], "trip long, origin long, node long, hour int, seconds double")
+    got = {r.model: (r.n, r.mae) for r in roads.sampling_check(e, trips, F.col("trip") % 5 == 0).collect()}
+    rows, cols, _ = graph.segment_features(e, F.lit(0))
+    edges = {(r.u, r.v): r for r in rows.select("u", "v", "length", F.array(*[c.cast("double") for c in cols]).alias("x")).collect()}
+    out = {}
+    for u, v in edges:
+        out.setdefault(u, []).append(v)
+    x, y, test = [], [], []
+    for t in trips.where("origin <> node").collect():
+        dist, todo = {t.origin: 0.0}, [t.origin]
+        while todo:
+            u = todo.pop(0)
+            for v in out.get(u, ()):
+                if dist[u] + edges[u, v].length < dist.get(v, math.inf):
+                    dist[v] = dist[u] + edges[u, v].length
+                    todo.append(v)
+        if t.node not in dist:
+            continue
+        sums, at = np.zeros(len(cols)), t.node
+        while at != t.origin:
+            u = min(u for u in out[at] if at in out[u] and dist[u] + edges[u, at].length == dist[at])  # the grid is two-way
+            sums += edges[u, at].length / 1000 * np.array(edges[u, at].x)
+            at = u
+        km, a = sums[0], 2 * math.pi * t.hour / 24
+        sums[-3:] = km * (7 <= t.hour <= 9 or 16 <= t.hour <= 19), km * math.sin(a), km * math.cos(a)
+        x.append(sums)
+        y.append(t.seconds)
+        test.append(t.trip % 5 == 0)
+    x, y, test, prior = np.array(x), np.array(y), np.array(test), np.array(graph.prior_weights())
+    a = x[~test].T @ x[~test]
+    c = 1e-3 * (~test).sum() * (np.trace(a) / (~test).sum() + 1e-9) / len(prior)
+    w = np.linalg.solve(a + c * np.eye(len(prior)), x[~test].T @ y[~test] + c * prior)
+    for name, weights in (("prior", prior), ("fitted", w)):
+        assert got[name] == (test.sum(), pytest.approx(np.abs(x[test] @ weights - y[test]).mean(), rel=1e-6))
+    assert len(y) == 200 - sum(i * 37 % 144 == (i * 61 + 5) % 144 for i in range(200)) and got["fitted"][1] != got["prior"][1]
+    assert [tuple(r) for r in roads.sampling_check(e, trips, F.lit(False)).orderBy("model").collect()] == [("fitted", 0, None), ("prior", 0, None)]
+
+
 def test_times_of_the_models_own_are_found_again(spark):
     """Trips whose times the model made itself leave its weights where they are."""
     e = grid(spark)
