@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import geo
+from emberline.operators.quantiles import exact_quantiles
 
 # Ground pixel and padding in metres, blur in pixels, readout block, hotspot cell.
 PIXEL_M, PAD_M, SIGMA_PX, BLOCK_PX = 25.0, 2000.0, 3.6, 20
@@ -55,14 +56,14 @@ def blur(pixels: DataFrame, g: DataFrame, sigma: float = SIGMA_PX) -> DataFrame:
     return now.select("layer", "row", "col", "v")
 
 
-def density(pixels: DataFrame, g: DataFrame, years: float, pixel_m: float = PIXEL_M) -> DataFrame:
+def density(pixels: DataFrame, g: DataFrame, years: float, pixel_m: float = PIXEL_M, sigma: float = SIGMA_PX) -> DataFrame:
     """Incidents a square km and year."""
-    return blur(pixels, g).withColumn("v", F.col("v") / ((pixel_m / 1000) ** 2) / years)
+    return blur(pixels, g, sigma).withColumn("v", F.col("v") / ((pixel_m / 1000) ** 2) / years)
 
 
 def ticks(dense: DataFrame, decades: float = 2.0) -> DataFrame:
     """layer and five colour-scale values below the 99.9th percentile of its positive pixels."""
-    top = dense.where("v > 0").groupBy("layer").agg(F.percentile("v", F.lit(0.999)).alias("top"))
+    top = exact_quantiles(dense.where("v > 0"), "layer", "v", [0.999]).withColumnRenamed("value", "top")
     return top.select("layer", F.transform(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))), lambda f: F.col("top") / (10**decades) * F.pow(F.lit(10.0), f * decades)).alias("ticks"))
 
 

@@ -40,6 +40,11 @@ def group_means(rows: DataFrame, key: str, value: str, least: int) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg(value).alias("mean_s"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def largest_groups(rows: DataFrame, key: str, value: str, top: int = 8) -> DataFrame:
+    """Size, nulls of value counted, and median of value of the largest groups; null keys dropped, ties to the first in order."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), median(value).alias("median_s")).orderBy(F.col("n").desc(), key).limit(top)
+
+
 def delay_shares(mobilisations: DataFrame, least: float = 0.001) -> DataFrame:
     """Share of all mobilisations held up for each reason, of `least` or more."""
     total = mobilisations.agg(F.count("*").alias("total"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from emberline.functions import geo, times
 from emberline.operators import facility, fitting, graph, ml, prep, raster, roads, scenario, spatial, summaries, weighted
+from emberline.operators.quantiles import exact_quantiles
+from emberline.plans import planner
 from emberline.plans import queries as plans
 from emberline.plans.queries import GRID, HAV, INC, ORACLES, ORIGINS, ST, TRIPS, WHOLE, _score_sql, _shaped_sql, paths_sql, query
 from emberline.sources import demo
@@ -36,6 +38,42 @@ def fill_dates(spark, d):
     return prep.fill_dates(rows, other, "incident_id")
 
 
+@query("borough:s n:i median_s:d", INC, "SELECT borough, count(*) AS n, quantile_cont(travel_seconds, 0.5) AS median_s FROM inc WHERE borough IS NOT NULL GROUP BY 1 ORDER BY n DESC, borough LIMIT 8")
+def borough_top(spark, d):
+    return summaries.largest_groups(fx.incidents(spark, d), "borough", "travel_seconds")
+
+
+_OUTER = (0.01, 0.025, 0.95, 0.975, 0.99, 0.999)
+
+
+@query("incident_group:s q:d value:d", INC, " UNION ALL ".join(f"SELECT incident_group, {q} AS q, quantile_cont(travel_seconds, {q}) AS value FROM inc WHERE travel_seconds IS NOT NULL GROUP BY 1" for q in _OUTER))
+def outer_percentiles(spark, d):
+    return exact_quantiles(fx.incidents(spark, d), "incident_group", "travel_seconds", _OUTER)
+
+
+# ---- turnout ----
+_GIVEN = {" STATION 0 ": 95.0, "station   1": 400.0, "Station 2": -5.0, "Nowhere": 10.0}
+_TURNOUT = plans._OWN + ", " + plans.CAND.removeprefix(INC).lstrip(", ") + f""", tp AS (SELECT station, least(greatest(60 + quantile_cont(observed_s - 60 - {fx.curve_sql('km')}, 0.5), CAST(30 AS DOUBLE)), CAST(180 AS DOUBLE)) AS s FROM oq GROUP BY 1 HAVING count(*) >= 20),
+tg(station, s) AS (VALUES ('station 0', 95), ('station 1', 400), ('station 2', -5)),
+tv AS (SELECT candidate_id AS site_id, part = 0 AS old, part = 0 AND coalesce(g.s, p.s) IS NOT NULL AS own, least(greatest(CASE WHEN part = 0 THEN coalesce(g.s, p.s, 60) ELSE 60 END, 0), 300) AS turnout_s FROM cand LEFT JOIN tg g ON g.station = lower(site_name) LEFT JOIN tp p ON p.station = lower(site_name))"""
+
+
+def _turnouts(spark, d):
+    st, inc = plans._parts(spark, d)
+    return spatial.candidates(st, plans._cells(spark, d), 20), fitting.station_turnout(prep.own_station_pairs(inc, st))
+
+
+@query("site_id:i turnout_s:d", _TURNOUT, "SELECT site_id, turnout_s FROM tv")
+def turnout_vector(spark, d):
+    """Every candidate's turnout: what is given for some stations, else their estimates, else the default."""
+    return planner.turnout_table(*_turnouts(spark, d), given=_GIVEN)
+
+
+@query("source:s default_s:d n_existing_with_prior:i existing_min_s:d existing_median_s:d existing_max_s:d", _TURNOUT, "SELECT 'mapping+estimated' AS source, 60 AS default_s, count(*) FILTER (own) AS n_existing_with_prior, min(turnout_s) AS existing_min_s, quantile_cont(turnout_s, 0.5) AS existing_median_s, max(turnout_s) AS existing_max_s FROM tv WHERE old")
+def turnout_report(spark, d):
+    return planner.turnout_report(*_turnouts(spark, d), given=_GIVEN)
+
+
 # ---- matching ----
 _FEATURES = ST + """, fe AS (SELECT CASE WHEN k = 0 THEN 'node' ELSE 'way' END AS element, station_id * 10 + k AS feature_id, concat('  ', upper(facilityname), ' ') AS feature_name, CASE WHEN (station_id + k) % 3 = 0 THEN 'London Fire Brigade' WHEN station_id % 4 = 0 THEN 'Other' END AS operator, lat + k * CAST(0.001 AS DOUBLE) AS lat, lon AS lon
   FROM st CROSS JOIN (VALUES (0), (1), (2)) v(k) WHERE (station_id + k) % 5 <> 0 AND station_id % 6 <> 5),
@@ -70,6 +108,19 @@ def hexbin(spark, d):
     return raster.hexbin(plans._trips(spark, d), F.col("road_km"), F.col("drive_s") / 60, (0.0, 10.0, 0.0, 20.0))
 
 
+_FINE = plans.raster_sql(int(raster.PIXEL_M))
+_FINE_BLUR = plans.blur_sql(_FINE, raster.SIGMA_PX, "true") + """, tk AS (SELECT layer, quantile_cont(v / 0.000625 / 7, CAST(0.999 AS DOUBLE)) AS top FROM b2 WHERE v > 0 GROUP BY 1)"""
+
+
+@query("layer:s i:i tick:d", _FINE_BLUR, "SELECT layer, i, top / 100 * pow(CAST(10 AS DOUBLE), i / 2.0) AS tick FROM tk CROSS JOIN range(5) r(i)")
+def colour_ticks(spark, d):
+    """The colour scale of every layer's density at the default pixel and blur."""
+    pts = fx.incidents(spark, d).dropna(subset=["dest_lat"]).select(F.col("dest_lat").alias("lat"), F.col("dest_lon").alias("lon"), "incident_group")
+    g = held(raster.grid(pts))
+    dense = raster.density(raster.counts(pts, g, "incident_group"), g, 7.0)
+    return raster.ticks(dense).select("layer", F.posexplode("ticks").alias("i", "tick"))
+
+
 # ---- held-out checks ----
 @query("p50_km:d p95_km:d n:i", GRID + ", l0 AS (SELECT avg(lat) AS lat0 FROM cells), sn AS (SELECT incident_id, min(sqrt(pow((c.lon - dest_lon) * 111.32 * cos(radians(lat0)), 2) + pow((c.lat - dest_lat) * 110.574, 2))) AS km FROM inc CROSS JOIN cells c CROSS JOIN l0 WHERE dest_lat IS NOT NULL AND cal_year = 2000 GROUP BY 1)", "SELECT quantile_cont(km, 0.5) AS p50_km, quantile_cont(km, 0.95) AS p95_km, count(*) AS n FROM sn")
 def held_out_snap(spark, d):

@@ -701,12 +701,17 @@ def segment_fit(spark, d):
 
 
 # ---- raster ----
-_RG = INC + """, mp AS (SELECT *, CAST(6378137 AS DOUBLE) * radians(dest_lon) AS x, CAST(6378137 AS DOUBLE) * ln(tan(pi() / 4 + radians(dest_lat) / 2)) AS y FROM inc WHERE dest_lat IS NOT NULL),
+def raster_sql(pixel_m: int) -> str:
+    """Pixels and their counts by layer."""
+    return INC + f""", mp AS (SELECT *, CAST(6378137 AS DOUBLE) * radians(dest_lon) AS x, CAST(6378137 AS DOUBLE) * ln(tan(pi() / 4 + radians(dest_lat) / 2)) AS y FROM inc WHERE dest_lat IS NOT NULL),
 k0 AS (SELECT round(1 / cos(radians(degrees(2 * atan(exp(avg(y) / 6378137)) - pi() / 2))), 9) AS k, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS e FROM mp),
-rg AS (SELECT a - 2000 * k AS x0, c - 2000 * k AS y0, 400 * k AS px, CAST(ceil((b - a + 4000 * k) / (400 * k)) AS INT) AS nx, CAST(ceil((e - c + 4000 * k) / (400 * k)) AS INT) AS ny FROM k0),
+rg AS (SELECT a - 2000 * k AS x0, c - 2000 * k AS y0, {pixel_m} * k AS px, CAST(ceil((b - a + 4000 * k) / ({pixel_m} * k)) AS INT) AS nx, CAST(ceil((e - c + 4000 * k) / ({pixel_m} * k)) AS INT) AS ny FROM k0),
 rc AS (SELECT layer, ny - 1 - least(CAST(floor((y - y0) / px) AS INT), ny - 1) AS row, least(CAST(floor((x - x0) / px) AS INT), nx - 1) AS col, count(*) AS n FROM (SELECT 'all' AS layer, x, y FROM mp UNION ALL SELECT incident_group, x, y FROM mp) CROSS JOIN rg GROUP BY 1, 2, 3)"""
 
 
+_RG = raster_sql(400)
+
+
 def _raster(spark, d):
     pts = fx.incidents(spark, d).dropna(subset=["dest_lat"]).select(F.col("dest_lat").alias("lat"), F.col("dest_lon").alias("lon"), "incident_group")
     g = raster.grid(pts, 400.0)
@@ -718,12 +723,18 @@ def density_counts(spark, d):
     return _raster(spark, d)[0]
 
 
-_KERNEL = ", ".join(f"({i - len(raster.kernel(1.0)) // 2}, CAST({w!r} AS DOUBLE))" for i, w in enumerate(raster.kernel(1.0)))
-_BLUR = _RG + f""", kn(dd, g) AS (VALUES {_KERNEL}),
-b1 AS (SELECT layer, CASE WHEN ((row + dd) % (2 * ny) + 2 * ny) % (2 * ny) >= ny THEN 2 * ny - 1 - ((row + dd) % (2 * ny) + 2 * ny) % (2 * ny) ELSE ((row + dd) % (2 * ny) + 2 * ny) % (2 * ny) END AS row, col, sum(n * g) AS v FROM rc CROSS JOIN kn CROSS JOIN rg WHERE layer = 'all' GROUP BY 1, 2, 3),
+def blur_sql(counted: str, sigma: float, of: str) -> str:
+    """Layers that meet a condition, blurred along both axes."""
+    weights = raster.kernel(sigma)
+    kernel = ", ".join(f"({i - len(weights) // 2}, CAST({w!r} AS DOUBLE))" for i, w in enumerate(weights))
+    return counted + f""", kn(dd, g) AS (VALUES {kernel}),
+b1 AS (SELECT layer, CASE WHEN ((row + dd) % (2 * ny) + 2 * ny) % (2 * ny) >= ny THEN 2 * ny - 1 - ((row + dd) % (2 * ny) + 2 * ny) % (2 * ny) ELSE ((row + dd) % (2 * ny) + 2 * ny) % (2 * ny) END AS row, col, sum(n * g) AS v FROM rc CROSS JOIN kn CROSS JOIN rg WHERE {of} GROUP BY 1, 2, 3),
 b2 AS (SELECT layer, row, CASE WHEN ((col + dd) % (2 * nx) + 2 * nx) % (2 * nx) >= nx THEN 2 * nx - 1 - ((col + dd) % (2 * nx) + 2 * nx) % (2 * nx) ELSE ((col + dd) % (2 * nx) + 2 * nx) % (2 * nx) END AS col, sum(v * g) AS v FROM b1 CROSS JOIN kn CROSS JOIN rg GROUP BY 1, 2, 3)"""
 
 
+_BLUR = blur_sql(_RG, 1.0, "layer = 'all'")
+
+
 @query("layer:s row:i col:i v:d", _BLUR, "SELECT * FROM b2")
 def density_blur(spark, d):
     pixels, g = _raster(spark, d)

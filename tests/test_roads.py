@@ -218,6 +218,26 @@ def test_street_pace_finds_the_effect(spark):
     assert got["share_major"] == pytest.approx(30 * s.std(ddof=1), rel=1e-6) and abs(got["log_km"]) < 1e-6
 
 
+def test_turnout_by_number_mapping_and_estimate(spark):
+    sites = spark.createDataFrame([(0, "A  b", True), (1, "C", True), (2, "D", True), (3, "Demand cell 1", False)], "candidate_id long, site_name string, is_existing boolean")
+    own = spark.createDataFrame([("c", 90.0, 30), ("d", 70.0, 30), ("demand cell 1", 99.0, 30)], "station string, turnout_s double, n long")
+
+    def got(*a, **kw):
+        return [r.turnout_s for r in planner.turnout_table(sites, *a, **kw).orderBy("site_id").collect()]
+
+    assert got(None) == [60.0] * 4 and got(None, given=400.0) == [400.0] * 4  # a number stands as it is
+    assert got(own) == [60.0, 90.0, 70.0, 60.0]
+    given = {" a B": 500.0, "C": -1.0, "c ": 40.0, "Demand cell 1": 1.0}
+    assert got(own, given=given) == [300.0, 40.0, 70.0, 60.0]
+    assert got(None, given=given, default_s=80.0) == [300.0, 40.0, 80.0, 80.0]
+    report = planner.turnout_report(sites, own, given=given).first()
+    assert tuple(report) == ("mapping+estimated", 60.0, 3, 40.0, 70.0, 300.0)
+    assert tuple(planner.turnout_report(sites, None).first()) == ("default", 60.0, 0, 60.0, 60.0, 60.0)
+    assert tuple(planner.turnout_report(sites, own, given=75).first()) == ("scalar", 75.0, 0, 75.0, 75.0, 75.0)
+    assert tuple(planner.turnout_report(sites.where("NOT is_existing"), own).first()) == ("estimated_station_prior", 60.0, 0, 60.0, 60.0, 60.0)
+    assert planner.turnout_table(sites.where("false"), own, given=given).count() == 0
+
+
 def test_plan_tells_of_its_held_out_checks(spark):
     from emberline.sources import demo
 
