@@ -7,7 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from emberline.functions import geo, times
-from emberline.operators import facility, fitting, graph, ml, prep, raster, roads, scenario, spatial, summaries, weighted
+from emberline.functions.text import least_number
+from emberline.operators import chains, facility, fitting, graph, ml, prep, raster, roads, scenario, spatial, summaries, weighted
 from emberline.operators.quantiles import exact_quantiles
 from emberline.plans import planner
 from emberline.plans import queries as plans
@@ -226,6 +227,21 @@ tw AS (SELECT o AS origin, o AS node, CAST(NULL AS BIGINT) AS way, CAST(NULL AS
 SELECT origin, node, n_turns, major / nullif(len_total, 0) AS share_major, residential / nullif(len_total, 0) AS share_residential, ow / nullif(len_total, 0) AS share_oneway, slow / nullif(len_total, 0) AS share_20mph, bus / nullif(len_total, 0) AS share_bus_lane, br / nullif(len_total, 0) AS share_bridge_tunnel, lane / nullif(tagged, 0) AS mean_lanes, j / nullif(len_total, 0) * 1000 AS junctions_per_km, ro / nullif(len_total, 0) * 1000 AS roundabouts_per_km, si / nullif(len_total, 0) * 1000 AS signals_per_km FROM tw"""
 ORACLES["route_ratios"] = _shaped_sql(plans._SE, _ROUTES, "origin:i node:i " + plans._RATIOS + " n_turns:i")
 
+_LEFT = plans._SE + """, k AS (SELECT * FROM se WHERE (least(u, v) * 7 + abs(u - v)) % 10 < 6),
+pn AS (SELECT node FROM (SELECT u AS node, v AS other, 1 AS o FROM k UNION ALL SELECT v, u, 0 FROM k) GROUP BY node HAVING count(DISTINCT other) = 2 AND sum(o) * 2 = count(*) AND (sum(o) = 1 OR (sum(o) = 2 AND count(DISTINCT CASE WHEN o = 1 THEN other END) = 2 AND count(DISTINCT CASE WHEN o = 0 THEN other END) = 2)))"""
+_CHAINS = """WITH RECURSIVE w AS (SELECT u AS hu, v AS hv, u, v, hw, mph, length, 1 AS n FROM k WHERE u NOT IN (SELECT node FROM pn)
+  UNION ALL SELECT hu, hv, k.u, k.v, k.hw, k.mph, w.length + k.length, n + 1 FROM w JOIN pn ON pn.node = w.v JOIN k ON k.u = w.v AND k.v <> w.u)
+SELECT hu AS u, arg_max(v, n) AS v, max(n) AS n_parts, max(length) AS length, count(DISTINCT hw) AS n_types, min(mph) AS mph FROM w GROUP BY hu, hv
+UNION ALL SELECT u, v, 1, length, 1, mph FROM k WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.u = k.u AND w.v = k.v)"""
+
+
+@query("u:i v:i n_parts:i length:d n_types:i mph:i", _LEFT, _CHAINS)
+def joined_streets(spark, d):
+    """The streets of the grid with six of ten blocks left, chains joined."""
+    left = plans._streets(spark, d).withColumn("width", F.lit(None).cast("string")).where((F.least("u", "v") * 7 + F.abs(F.col("u") - F.col("v"))) % 10 < 6)
+    return chains.joined(left).select("u", "v", "n_parts", "length", F.size("highway").alias("n_types"), least_number(F.col("maxspeed")).alias("mph"))
+
+
 _ND = ", nd AS (SELECT CAST(p_partkey AS BIGINT) AS node, CAST(51.30 AS DOUBLE) + floor(p_partkey / side) * (CAST(0.4 AS DOUBLE) / side) AS lat, CAST(-0.5 AS DOUBLE) + (p_partkey % side) * (CAST(0.8 AS DOUBLE) / side) AS lon FROM part CROSS JOIN gr)"
 
 

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import geo
+from emberline.operators.chains import joined
 from emberline.operators.graph import drivable
+from emberline.sources import ranges
 
 NODES = "node_id long, lon double, lat double, tags map<string,string>"
 WAYS = "way_id long, refs array<long>, tags map<string,string>"
@@ -81,16 +83,17 @@ def _long(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _blobs(raw: bytes) -> Iterator[bytes]:
-    """The data blobs of a file, still compressed."""
+def _blobs(file: pa.NativeFile) -> Iterator[tuple[int, int]]:
+    """Place and size of the data blobs of a file; their bytes are passed over."""
     at = 0
-    while at < len(raw):
-        (size,) = struct.unpack_from(">I", raw, at)
-        head = _message(raw[at + 4 : at + 4 + size])
+    while len(prefix := file.read(4)) == 4:
+        (size,) = struct.unpack(">I", prefix)
+        head = _message(file.read(size))
         at += 4 + size
         if head[1][0] == b"OSMData":
-            yield raw[at : at + head[3][0]]
+            yield at, head[3][0]
         at += head[3][0]
+        file.seek(at)
 
 
 def _unpacked(blob: bytes) -> dict[int, list]:
@@ -154,24 +157,25 @@ def _decoded(blocks: DataFrame, decode, schema: str) -> DataFrame:
 
 
 def pbf(spark: SparkSession, path: str, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node_id, lon, lat, tags) and ways (way_id, refs, tags) of PBF files under 2 GB each, such as a region's extract.
+    """Nodes (node_id, lon, lat, tags) and ways (way_id, refs, tags) of PBF files of any size.
 
-    Spark reads the files, so any path that it can open will do. One task a
-    file walks over the blocks' headers; the blocks, up to 32 MB each by the
-    format's rules, are dealt to `tasks` tasks (the session's shuffle
-    partitions unless given), which unpack and decode one at a time. Relations
-    and metadata are skipped.
+    One task a file reads the headers of its blocks and passes over the rest;
+    the places of the blocks, up to 32 MB each by the format's rules, are dealt
+    to `tasks` tasks (the session's shuffle partitions unless given), which read,
+    unpack and decode one at a time. Relations and metadata are skipped. Tasks
+    open the files themselves (ranges.opened), so executors must reach them.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0):
-                for blob in _blobs(raw.as_py()):
-                    yield pa.record_batch([pa.array([blob], pa.binary())], names=["block"])
+            for uri in batch.column(0).to_pylist():
+                with ranges.opened(uri) as file:
+                    found = list(_blobs(file))  # a place and a size a block
+                yield pa.record_batch([pa.array([uri] * len(found), pa.string()), pa.array([a for a, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["file", "at", "size"])
 
-    files = spark.read.format("binaryFile").load(path).select("content")
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = files.mapInArrow(run, "block binary").repartition(tasks)
+    places = ranges.listed(spark, path).select("file").mapInArrow(index, "file string, at long, size long").repartition(tasks)
+    blocks = ranges.read(places).select("data")
     return _decoded(blocks, _nodes, NODES), _decoded(blocks, _ways, WAYS)
 
 
@@ -227,11 +231,12 @@ def features(nodes: DataFrame, ways: DataFrame, box: tuple[float, float, float,
     return points.unionByName(drawn.select(F.lit("way").alias("element"), F.col("way_id").alias("osm_id"), "lon", "lat", "tags"))
 
 
-def street_edges(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+def street_edges(nodes: DataFrame, ways: DataFrame, join: bool = True) -> DataFrame:
     """Directed street edges of the drivable ways, as edge_features() takes them.
 
     Ways are cut where drivable ways meet or a way meets itself, and at their
-    ends; where two ways merely go on in each other, both keep their edge.
+    ends; those that merely go on in each other are joined then (chains.joined)
+    unless `join` is false.
     One-way streets (oneway yes, true or 1) and roundabouts have the edge
     forward, those of -1 or reverse backward, all others one each way. length
     is in metres along the line; key numbers the edges between two nodes.
@@ -261,4 +266,5 @@ def street_edges(nodes: DataFrame, ways: DataFrame) -> DataFrame:
         length.alias("length"), F.array("highway").alias("highway"), "oneway", "maxspeed", "lanes", "width", "bridge", "tunnel", "junction", F.array("way_id").alias("osmid"), geometry.alias("geometry"),
     )
     key = (F.row_number().over(Window.partitionBy("u", "v").orderBy("way_id", "from", "reverse")) - 1).alias("key")
-    return drawn.select("u", "v", key, *[c for c in drawn.columns if c not in ("u", "v", "reverse", "from", "way_id")])
+    cut = drawn.select("u", "v", key, *[c for c in drawn.columns if c not in ("u", "v", "reverse", "from", "way_id")])
+    return joined(cut).drop("n_parts") if join else cut

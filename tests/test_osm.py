@@ -115,3 +115,22 @@ def test_features_have_a_point_inside(spark):
     assert got == {("node", 21): (3.0, 3.0), ("way", 1): (0.5, 4.0), ("way", 2): (4.0, 10.0), ("way", 3): (10.0, 10.0), ("way", 6): (10.0, 10.0)}
     assert osm.features(nodes, ways, box, "amenity").where("osm_id = 5").count() == 1
     assert osm.features(nodes.where("false"), ways, box, "amenity").count() == 0
+
+
+def test_ways_that_go_on_in_each_other_are_one_edge(spark):
+    nodes = spark.createDataFrame([(i, -0.1, 51.5 + i / 1000, {}) for i in range(6)], osm.NODES)
+    ways = spark.createDataFrame([(1, [0, 1, 2], {"highway": "primary", "maxspeed": "30 mph"}), (2, [2, 3], {"highway": "primary", "maxspeed": "20 mph"}), (3, [5, 4, 3], {"highway": "residential"})], osm.WAYS)
+    got = {(r.u, r.v): r for r in osm.street_edges(nodes, ways).collect()}
+    assert set(got) == {(0, 5), (5, 0)} and osm.street_edges(nodes, ways, join=False).count() == 6
+    assert (got[0, 5].osmid, got[5, 0].highway, got[0, 5].maxspeed) == ([1, 2, 3], ["residential", "primary"], "30 mph;20 mph")
+    assert [round(p.y, 3) for p in got[5, 0].geometry] == [51.505, 51.504, 51.503, 51.502, 51.501, 51.5]
+    assert got[0, 5].length == pytest.approx(555.97, abs=0.05)
+
+
+def test_reads_several_files_in_ranges(spark, extract, tmp_path):
+    import shutil
+
+    for name in ("a b.pbf", "c%20d.pbf"):
+        shutil.copy(extract, tmp_path / name)
+    nodes, ways = osm.pbf(spark, str(tmp_path), tasks=3)
+    assert (nodes.count(), ways.count()) == (12, 8)
