@@ -11,11 +11,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberline.sources import ranges
+
 from . import word_bpe
 from .common import shared_dir, table, text_or_empty
 
 #: Tokens of a block; a block is what one step of the scan reads.
 BLOCK = 1 << 15
+#: Blocks of a flat file that follow each other in a task.
+RUN_OF_BLOCKS = 64
 #: <|endoftext|> of the word-level vocabulary.
 END = 49407
 
@@ -69,10 +73,17 @@ def read_stream(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def flat_blocks(spark: SparkSession, path: str, block: int = BLOCK, width: int = 2) -> DataFrame:
-    """Blocks (file, block, data) of plain binary token files of under 2 GB each; file is the path."""
+    """Blocks (file, block, data) of plain binary token files of any size; file is the path.
+
+    Blocks are dealt to the session's shuffle partitions by their place, and
+    read by the tasks (ranges.opened), one at a time. A file's last block may be
+    shorter; empty files have none.
+    """
     size = block * width
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / size))).alias("block"))
-    return files.select("file", "block", F.substring(F.col("content"), (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("data")).where(F.octet_length("data") > 0)
+    files = ranges.listed(spark, path).where("length > 0")
+    places = files.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"))
+    dealt = places.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", F.floor(F.col("block") / RUN_OF_BLOCKS))
+    return ranges.read(dealt.select("file", "block", (F.col("block") * size).alias("at"), F.lit(size).cast("long").alias("size"))).select("file", "block", "data")
 
 
 def scan_blocks(blocks: DataFrame, end_id: int = END, dtype: str = "<u2") -> DataFrame:
@@ -121,7 +132,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     The rows are written as flat token files to the shared folder, and counted
     by scanning these. Null and empty texts have 0 tokens; null doc_ids and
     repeated rows stay; an empty table gives no rows; other columns are ignored.
-    Very long texts are encoded in slices and span several blocks. The files go
+    Very long texts are encoded in slices and span several blocks; what is held of one is its ids, two bytes each. The files go
     with the process, as the result is read from them.
     """
     spark = docs.sparkSession

@@ -50,3 +50,15 @@ def test_odd_rows(spark):
     rows = sorted((r.doc_id or 0, r.n_tokens) for r in token_files.token_counts(df).collect())
     assert rows == [(0, 2), (1, 0), (1, 0), (3, 100_000), (4, 0)]
     assert token_files.token_counts(docs(spark, [])).count() == 0
+
+
+def test_sparse_file_above_two_gigabytes(spark, tmp_path):
+    path, size = tmp_path / "large.bin", (1 << 31) + 10
+    with open(path, "wb") as f:  # holes take no disk
+        f.truncate(size)
+        for place in (0, 7, 1 << 20, (1 << 30) + 3):
+            f.seek(2 * place)
+            f.write(np.array([9], "<u2").tobytes())
+    blocks = token_files.flat_blocks(spark, str(path), block=1 << 22)
+    got = sorted((r.ordinal, r.start, r.n_tokens) for r in token_files.scan_blocks(blocks, end_id=9).collect())
+    assert got == [(0, 0, 0), (1, 1, 6), (2, 8, (1 << 20) - 8), (3, (1 << 20) + 1, (1 << 30) + 2 - (1 << 20)), (4, (1 << 30) + 4, 1)]
