@@ -157,6 +157,27 @@ def search_by_origin(edges: DataFrame, origins: DataFrame, cost: str = "length")
     return origins.select(F.col("origin").cast("long")).distinct().mapInArrow(run, "origin long, node long, dist double, parent long")
 
 
+def path_nodes(paths: DataFrame, pairs: DataFrame) -> DataFrame:
+    """origin, dest, node and dist of every node on the path of each pair (origin, dest), both ends among them; nothing where there is no path.
+
+    paths as from shortest_paths(). Nodes known to be on a path bring those as
+    many steps before them as are known, so that a path takes as many rounds as
+    its length has binary digits.
+    """
+    up = held(paths.where("parent IS NOT NULL").select("origin", "node", F.col("parent").alias("up")))
+    on = held(pairs.distinct().join(paths.select("origin", F.col("node").alias("dest")), ["origin", "dest"], "left_semi").select("origin", "dest", F.col("dest").alias("node")))
+    while True:
+        more = held(on.join(up, ["origin", "node"]).select("origin", "dest", F.col("up").alias("node")))
+        if more.isEmpty():
+            break
+        further = held(up.join(up.select("origin", F.col("node").alias("up"), F.col("up").alias("next")), ["origin", "up"]).select("origin", "node", F.col("next").alias("up")))
+        both = held(on.unionByName(more))
+        forget(on, more, up)
+        on, up = both, further
+    forget(more, up)
+    return on.join(paths.select("origin", "node", "dist"), ["origin", "node"]).select("origin", "dest", "node", "dist")
+
+
 def tree_sums(paths: DataFrame, edges: DataFrame, values: Sequence[str], cost: str = "length", at_nodes: DataFrame | None = None) -> DataFrame:
     """origin, node and the sums of edge values along the path from the origin, by pointer doubling.
 

@@ -101,18 +101,52 @@ def race(opened: DataFrame, stations: DataFrame, incidents: DataFrame, box: tupl
     return best.select("new_id", "old_id", (-F.col("b.i")).alias("incident_id"), F.col("b.gain").alias("gain"), (-F.col("b.near")).alias("d_new"))
 
 
-def track(steps: DataFrame, by: str, total: str, points: int = 240) -> DataFrame:
-    """Positions at even instants along tracks (by, seq, seconds, x, y), times scaled to a total; linear between the ends of steps."""
-    run = Window.partitionBy(by).orderBy("seq")
-    timed = steps.withColumn("t1", F.sum("seconds").over(run)).withColumn("all", F.sum("seconds").over(Window.partitionBy(by)))
-    timed = timed.withColumn("t1", F.col("t1") * F.col(total) / F.nullif("all", F.lit(0.0))).withColumn("t0", F.coalesce(F.lag("t1").over(run), F.lit(0.0))).withColumn("x0", F.lag("x").over(run)).withColumn("y0", F.lag("y").over(run))
-    instants = steps.sparkSession.range(points).select(F.col("id").cast("int").alias("i"))
-    at = F.col("i") * F.col(total) / (points - 1)
-    rows = timed.crossJoin(F.broadcast(instants)).withColumn("at", at).where(((F.col("at") > F.col("t0")) & (F.col("at") <= F.col("t1") + 1e-9)) | ((F.col("i") == 0) & (F.col("t0") == 0)))
-    share = F.coalesce((F.col("at") - F.col("t0")) / F.nullif(F.col("t1") - F.col("t0"), F.lit(0.0)), F.lit(1.0))
-    x = F.coalesce(F.col("x0") + share * (F.col("x") - F.col("x0")), F.col("x"))
-    y = F.coalesce(F.col("y0") + share * (F.col("y") - F.col("y0")), F.col("y"))
-    return rows.groupBy(by, "i").agg(F.min(F.struct("seq", F.col("at").alias("t"), x.alias("x"), y.alias("y"))).alias("p")).select(by, "i", "p.t", "p.x", "p.y")
+def track(steps: DataFrame, by: str | Sequence[str], total: str, points: int = 240) -> DataFrame:
+    """by, i, t, x and y: positions at even instants along tracks of steps (by, seq, seconds, x, y and the total, one for each track).
+
+    The first step of a track is where it starts; each further one takes its
+    seconds (null and negative ones: 0) to come to its x and y. Times are scaled
+    to the total, positions are linear between steps. Each step yields the
+    instants that it covers, so that no step meets all instants. Instants that
+    no step covers (none takes time) stay before the last step; a track of one
+    step has one row, at 0. Tracks without a total give no rows.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    run, whole = Window.partitionBy(*keys).orderBy("seq"), Window.partitionBy(*keys)
+    timed = steps.where(F.col(total).isNotNull()).select(*keys, "seq", "x", "y", F.col(total).alias("__total"), F.greatest(F.coalesce("seconds", F.lit(0.0)), F.lit(0.0)).alias("__s")).withColumn("__n", F.row_number().over(run)).withColumn("__last", F.count("*").over(whole))
+    timed = timed.withColumn("__s", F.when(F.col("__n") > 1, F.col("__s")).otherwise(0.0)).withColumn("__at", F.sum("__s").over(run)).withColumn("__share", F.coalesce(F.col("__at") / F.nullif(F.sum("__s").over(whole), F.lit(0.0)), F.lit(0.0)))
+    upto = F.when(F.col("__n") == 1, F.when(F.col("__last") == 1, 0).otherwise(-1)).when(F.col("__n") == F.col("__last"), points - 1).otherwise(F.floor(F.col("__share") * (points - 1) + 1e-9)).cast("int")
+    before = timed.withColumn("__upto", upto).withColumns({c: F.lag(of).over(run) for c, of in (("__share0", "__share"), ("__x0", "x"), ("__y0", "y"), ("__upto0", "__upto"))})
+    first = F.coalesce(F.col("__upto0") + 1, F.lit(0))
+    # a step that no instant falls into has an end before its first
+    each = before.where(F.col("__upto") >= first).withColumn("i", F.explode(F.sequence(first, F.col("__upto")))).withColumn("t", F.col("i") * F.col("__total") / max(points - 1, 1))
+    share = F.coalesce((F.col("i") / max(points - 1, 1) - F.col("__share0")) / F.nullif(F.col("__share") - F.col("__share0"), F.lit(0.0)), F.lit(0.0))
+    between = lambda c: F.coalesce(F.col(f"__{c}0") + share * (F.col(c) - F.col(f"__{c}0")), F.col(c))
+    return each.select(*keys, "i", "t", between("x").alias("x"), between("y").alias("y"))
+
+
+def race_tracks(races: DataFrame, places: DataFrame, edges: DataFrame, nodes: DataFrame, cost: str = "cost_s", curve: Curve = DEFAULT_CURVE, points: int = 240) -> DataFrame:
+    """new_id, engine, i, t, lat, lon and attend_s: where both engines of each race are on their way over the streets.
+
+    places: new_id, engine, lat, lon, dest_lat, dest_lon and crow_km of an engine's
+    start and the incident. Each engine takes the cheapest route between the
+    nodes (node, lat, lon) nearest to both; its time is predicted from the
+    straight distance, turnout included, and spread over the route by cost. An
+    engine without a route has no rows.
+    """
+    from emberline.operators import graph, roads
+
+    own = held(places.join(races.select("new_id").distinct(), "new_id", "left_semi").withColumn("attend_s", curve.seconds(F.col("crow_km")) + TURNOUT_S))
+    starts = roads.snapped(own.select(F.struct("new_id", "engine").alias("k"), "lat", "lon"), "k", nodes).select("k.*", F.col("node").alias("origin"))
+    ends = roads.snapped(own.select("new_id", F.col("dest_lat").alias("lat"), F.col("dest_lon").alias("lon")).distinct(), "new_id", nodes).select("new_id", F.col("node").alias("dest"))
+    way = held(starts.join(ends, "new_id"))
+    paths = held(graph.search_by_origin(edges, way.select("origin").distinct(), cost))
+    along = graph.path_nodes(paths, way.select("origin", "dest").distinct()).join(nodes.select("node", F.col("lon").alias("x"), F.col("lat").alias("y")), "node")
+    by = ["new_id", "engine"]
+    run = Window.partitionBy(*by).orderBy("dist", "node")
+    steps = way.join(along, ["origin", "dest"]).join(own.select(*by, "attend_s"), by).withColumn("seq", F.row_number().over(run)).withColumn("seconds", F.col("dist") - F.lag("dist").over(run))
+    out = track(steps.select(*by, "seq", "seconds", "x", "y", "attend_s"), by, "attend_s", points)
+    return out.join(own.select(*by, "attend_s"), by).select(*by, "i", "t", F.col("y").alias("lat"), F.col("x").alias("lon"), "attend_s")
 
 
 def closed_matches(names: DataFrame, closed: DataFrame, cutoff: float = 0.85) -> DataFrame:

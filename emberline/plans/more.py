@@ -278,6 +278,35 @@ def engine_routes(spark, d):
     return roads.route_table(e, pairs, "cost_s", ["length"]).withColumnRenamed("dist", "cost_s")
 
 
+_TRACKS = plans._RACE + f", rc AS ({plans._RACE_BODY}), " + plans._SE + _ND + f""", cs AS (SELECT u, v, oneway, c FROM (SELECT *, {plans._COST} AS c FROM (SELECT *, CAST(coalesce(least(greatest(mph, 15), 70), 35) AS DOUBLE) AS k FROM se)) WHERE c < 1e11),
+ec AS (SELECT u, v, c AS cost_s FROM cs UNION ALL SELECT v, u, c + 12 FROM cs WHERE oneway),
+pl AS (SELECT rc.new_id, 'new' AS engine, n_lat AS lat, n_lon AS lon, rc.d_new AS crow FROM rc JOIN ol USING (new_id) UNION ALL SELECT rc.new_id, 'old', o_lat, o_lon, rc.d_new + rc.gain FROM rc JOIN ol USING (new_id)),
+sa AS (SELECT new_id, engine, arg_min(node, {HAV('p.lon', 'p.lat', 'nd.lon', 'nd.lat', 6371.0088)}) AS node FROM pl p CROSS JOIN nd GROUP BY 1, 2),
+sb AS (SELECT new_id, arg_min(node, {HAV('i.dest_lon', 'i.dest_lat', 'nd.lon', 'nd.lat', 6371.0088)}) AS node FROM rc JOIN inc i USING (incident_id) CROSS JOIN nd GROUP BY 1)"""
+_TRACK_ROWS = f"""WITH RECURSIVE {paths_sql('SELECT DISTINCT node AS o FROM sa', 'ec', 'cost_s')},
+par AS (SELECT s.origin, e.v AS node, min(e.u) AS parent FROM sp s JOIN ec e ON e.u = s.node JOIN sp t ON t.origin = s.origin AND t.node = e.v AND t.dist = s.dist + e.cost_s WHERE e.v <> s.origin GROUP BY 1, 2),
+back AS (SELECT sa.new_id, engine, origin, sp.node FROM sa JOIN sb USING (new_id) JOIN sp ON sp.origin = sa.node AND sp.node = sb.node UNION ALL SELECT new_id, engine, b.origin, par.parent FROM back b JOIN par ON par.origin = b.origin AND par.node = b.node),
+sq AS (SELECT b.new_id, engine, lat, lon, row_number() OVER w AS seq, count(*) OVER (PARTITION BY b.new_id, engine) AS n, dist / nullif(max(dist) OVER (PARTITION BY b.new_id, engine), 0) AS share FROM back b JOIN sp ON sp.origin = b.origin AND sp.node = b.node JOIN nd ON nd.node = b.node WINDOW w AS (PARTITION BY b.new_id, engine ORDER BY dist, b.node)),
+tk AS (SELECT new_id, engine, i, min(CASE WHEN seq = n OR (seq > 1 AND share * 239 + 1e-9 >= i) THEN seq END) AS seq FROM sq CROSS JOIN range(240) r(i) WHERE n > 1 OR i = 0 GROUP BY 1, 2, 3),
+ps AS (SELECT tk.new_id, tk.engine, tk.i, coalesce((i / CAST(239 AS DOUBLE) - a.share) / nullif(b.share - a.share, 0), 0) AS f, a.lat AS y0, a.lon AS x0, b.lat AS y, b.lon AS x FROM tk JOIN sq b ON b.new_id = tk.new_id AND b.engine = tk.engine AND b.seq = tk.seq LEFT JOIN sq a ON a.new_id = tk.new_id AND a.engine = tk.engine AND a.seq = tk.seq - 1)
+SELECT new_id, engine, i, i * attend_s / 239 AS t, coalesce(y0 + f * (y - y0), y) AS lat, coalesce(x0 + f * (x - x0), x) AS lon, attend_s FROM ps JOIN (SELECT new_id, engine, {fx.curve_sql('crow')} + 60 AS attend_s FROM pl) USING (new_id, engine)"""
+
+
+@query("new_id:i engine:s i:i t:d lat:d lon:d attend_s:d", _TRACKS, _TRACK_ROWS)
+def race_tracks(spark, d):
+    """Where both engines of each race are at 240 instants, over streets that an engine may take against their direction."""
+    st, inc = plans._parts(spark, d)
+    new = scenario.closed_sites(spark).select(F.col("at").alias("new_id"), "lat", "lon")
+    races = held(scenario.race(new, st, inc, (-0.2, 51.4, 0.1, 51.6)))
+    old = st.select(F.col("station_id").alias("old_id"), "lat", "lon")
+    km = {"new": F.col("d_new"), "old": F.col("d_new") + F.col("gain")}
+    at = [races.join(sites, on).select("new_id", F.lit(engine).alias("engine"), "lat", "lon", "incident_id", km[engine].alias("crow_km")) for engine, sites, on in (("new", new, "new_id"), ("old", old, "old_id"))]
+    places = at[0].unionByName(at[1]).join(inc.select("incident_id", "dest_lat", "dest_lon"), "incident_id")
+    e = graph.engine_cost(plans._streets(spark, d).drop("highway").withColumnRenamed("hw", "highway")).where("cost_s < 1e11").select("u", "v", "oneway", "cost_s")
+    against = e.where("oneway").select(F.col("v").alias("u"), F.col("u").alias("v"), (F.col("cost_s") + 12).alias("cost_s"))
+    return scenario.race_tracks(races, places, e.select("u", "v", "cost_s").unionByName(against), _nodes(spark, d), points=240)
+
+
 @query("name:s weight:d")
 def reroute_fit(spark, d):
     """The speed model fitted to trips on the street grid: routes and weights in turn, observed times from a slower prior."""

@@ -494,10 +494,14 @@ def restore_ranking(spark, d):
     return scenario.restore_ranking(_points_2000(spark, d), fx.stations(spark, d), scenario.closed_sites(spark))
 
 
-@query("new_id:i old_id:i incident_id:i gain:d d_new:d", INC + ", " + _CLOSED + f""", nw AS (SELECT pos AS new_id, lat AS n_lat, lon AS n_lon FROM cl WHERE lon BETWEEN -0.2 AND 0.1 AND lat BETWEEN 51.4 AND 51.6),
+_RACE = INC + ", " + _CLOSED + f""", nw AS (SELECT pos AS new_id, lat AS n_lat, lon AS n_lon FROM cl WHERE lon BETWEEN -0.2 AND 0.1 AND lat BETWEEN 51.4 AND 51.6),
 ol AS (SELECT new_id, n_lat, n_lon, station_id AS old_id, lat AS o_lat, lon AS o_lon FROM (SELECT *, round({HAV('n_lon', 'n_lat', 'lon', 'lat')}, 9) AS km, row_number() OVER (PARTITION BY new_id ORDER BY round({HAV('n_lon', 'n_lat', 'lon', 'lat')}, 9), station_id) AS r FROM nw CROSS JOIN st
   WHERE lon BETWEEN -0.22 AND 0.12 AND lat BETWEEN 51.38 AND 51.62 AND round({HAV('n_lon', 'n_lat', 'lon', 'lat')}, 9) > 0.6 AND round({HAV('n_lon', 'n_lat', 'lon', 'lat')}, 9) < 3.5) WHERE r = 1),
-rw AS (SELECT new_id, old_id, incident_id, round({HAV('n_lon', 'n_lat', 'dest_lon', 'dest_lat')}, 9) AS d_new, round(round({HAV('o_lon', 'o_lat', 'dest_lon', 'dest_lat')}, 9) - round({HAV('n_lon', 'n_lat', 'dest_lon', 'dest_lat')}, 9), 9) AS gain FROM inc CROSS JOIN ol WHERE dest_lon BETWEEN -0.2 AND 0.1 AND dest_lat BETWEEN 51.4 AND 51.6)""", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY gain DESC, d_new, incident_id) AS r FROM rw WHERE d_new < 1.8 AND gain > 0.35) WHERE r = 1")
+rw AS (SELECT new_id, old_id, incident_id, round({HAV('n_lon', 'n_lat', 'dest_lon', 'dest_lat')}, 9) AS d_new, round(round({HAV('o_lon', 'o_lat', 'dest_lon', 'dest_lat')}, 9) - round({HAV('n_lon', 'n_lat', 'dest_lon', 'dest_lat')}, 9), 9) AS gain FROM inc CROSS JOIN ol WHERE dest_lon BETWEEN -0.2 AND 0.1 AND dest_lat BETWEEN 51.4 AND 51.6)"""
+_RACE_BODY = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY gain DESC, d_new, incident_id) AS r FROM rw WHERE d_new < 1.8 AND gain > 0.35) WHERE r = 1"
+
+
+@query("new_id:i old_id:i incident_id:i gain:d d_new:d", _RACE, _RACE_BODY)
 def race_scenario(spark, d):
     st, inc = _parts(spark, d)
     new = scenario.closed_sites(spark).select(F.col("at").alias("new_id"), "lat", "lon")
