@@ -751,8 +751,15 @@ def block_readout(spark, d):
     return raster.blocks(pixels, g, 7.0, 4)
 
 
-# without SQL here: DuckDB 2.0 fails on it with an internal error that ends its connection; a test counts in Python
-@query("rank:i gx:i gy:i n:i common:i median_attend_s:d")
+_HOT = INC + """, hp AS (SELECT CAST(floor(dest_lon / CAST(0.02 AS DOUBLE)) AS BIGINT) AS gx, CAST(floor(dest_lat / CAST(0.02 AS DOUBLE)) AS BIGINT) AS gy, hour_of_call AS h, travel_seconds AS s FROM inc WHERE dest_lat IS NOT NULL),
+hn AS (SELECT gx, gy, count(*) AS n FROM hp GROUP BY 1, 2), ht AS (SELECT *, row_number() OVER (ORDER BY n DESC, gx, gy) AS rank FROM hn),
+hh AS (SELECT gx, gy, h, row_number() OVER (PARTITION BY gx, gy ORDER BY count(*) DESC, h) AS r FROM hp WHERE h IS NOT NULL GROUP BY 1, 2, 3),
+hs AS (SELECT gx, gy, s, row_number() OVER (PARTITION BY gx, gy ORDER BY s) AS r, count(*) OVER (PARTITION BY gx, gy) AS k FROM hp WHERE s IS NOT NULL),
+hm AS (SELECT gx, gy, avg(s) AS median_attend_s FROM hs WHERE r IN ((k + 1) // 2, k // 2 + 1) GROUP BY 1, 2)"""
+
+
+# median and mode by rows in their order, as another form of this SQL ended in an internal error of DuckDB 2.0
+@query("rank:i gx:i gy:i n:i common:i median_attend_s:d", _HOT, "SELECT ht.rank, ht.gx, ht.gy, ht.n, hh.h AS common, hm.median_attend_s FROM ht LEFT JOIN hh ON hh.gx = ht.gx AND hh.gy = ht.gy AND hh.r = 1 LEFT JOIN hm ON hm.gx = ht.gx AND hm.gy = ht.gy WHERE ht.rank <= 10")
 def hotspots(spark, d):
     return raster.hotspots(fx.incidents(spark, d).dropna(subset=["dest_lat"]), 0.02, 10, 2404.0, "hour_of_call")
 

@@ -8,7 +8,7 @@ from emberline.plans import queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: A selection that goes through every operator module; the driver runs all of them.
-CHOSEN = ["nearest_attendance_score", "planner_rows", "training_funnel", "borough_code", "name_normalise", "numbers_from_text", "busy_by_station", "quantile_bins", "demand_grid", "candidates", "posture_metrics", "coverage_greedy_k2", "best_swap", "replace_r1", "restore_ranking", "closed_name_match", "kolesar_grid_ols", "edge_features", "edge_cost_policy", "paths_by_origin", "density_blur", "borough_top", "outer_percentiles", "turnout_vector", "turnout_report", "od_route_errors", "joined_streets", "race_tracks"]
+CHOSEN = ["nearest_attendance_score", "planner_rows", "training_funnel", "borough_code", "name_normalise", "numbers_from_text", "busy_by_station", "quantile_bins", "demand_grid", "candidates", "posture_metrics", "coverage_greedy_k2", "best_swap", "replace_r1", "restore_ranking", "closed_name_match", "kolesar_grid_ols", "edge_features", "edge_cost_policy", "paths_by_origin", "density_blur", "borough_top", "outer_percentiles", "turnout_vector", "turnout_report", "od_route_errors", "joined_streets", "race_tracks", "hotspots"]
 
 
 @pytest.fixture(scope="module")
