@@ -100,12 +100,12 @@ def _cells(spark, d):
 
 
 def _all_times(spark, d):
-    """Times from every candidate to every cell, held in memory, and the existing sites."""
+    """Times from every candidate to every cell, as a written table, and the existing sites."""
     cells = _cells(spark, d)
-    sites = spatial.candidates(fx.stations(spark, d), cells, 20).persist()
+    sites = held(spatial.candidates(fx.stations(spark, d), cells, 20))
     m = spatial.travel_matrix(sites, cells)
     existing = [r.candidate_id for r in sites.where("is_existing").orderBy("candidate_id").collect()]
-    return m.select("site_id", "cell_id", "w", (F.col("drive_s") + 60.0).alias("t")).persist(), existing
+    return held(m.select("site_id", "cell_id", "w", (F.col("drive_s") + 60.0).alias("t"))), existing
 
 
 def _near(spark, d):
@@ -683,7 +683,7 @@ def edge_ratios(spark, d):
 @query("origin:i node:i " + _RATIOS + " n_turns:i")
 def route_ratios(spark, d):
     e = graph.route_values(_features(spark, d, None))
-    paths = graph.search_by_origin(e, _origins(spark, d)).persist()
+    paths = held(graph.search_by_origin(e, _origins(spark, d)))
     bends = graph.turns(paths, e)
     with_turns = e.withColumn("n_turns", F.lit(0.0))
     sums = graph.tree_sums(paths, with_turns, graph.ROUTE_VALUES)
