@@ -41,7 +41,7 @@ def nearest_untaken(closed: DataFrame, stations: DataFrame) -> list[int]:
     """
     n = closed.count()
     sites = held(stations.select("station_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")))
-    ranked = nearest(closed, "at", sites, "station_id", F.round(crow(), 9), k=n)
+    ranked = nearest(closed, "at", sites, "station_id", lambda *ends: F.round(crow()(*ends), 9), k=n)
     taken: list[int] = []
     for row in ranked.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("rank", "station_id"))).alias("near")).orderBy("at").collect():
         taken.append(next(x.station_id for x in row.near if x.station_id not in taken))
@@ -72,7 +72,7 @@ def restore_ranking(points: DataFrame, stations: DataFrame, closed: DataFrame, c
     each = points.join(base, "incident_id").crossJoin(F.broadcast(closed.select("at", "name", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))))
     before = F.round(curve.seconds(F.col("base_km")) + TURNOUT_S, 6)
     after = F.round(curve.seconds(F.least("base_km", "d")) + TURNOUT_S, 6)
-    rows = each.withColumn("d", crow()).select("name", before.alias("b"), after.alias("a")).withColumn("saved", F.col("b") - F.col("a"))
+    rows = each.withColumn("d", crow()(*map(F.col, ("lon", "lat", "s_lon", "s_lat")))).select("name", before.alias("b"), after.alias("a")).withColumn("saved", F.col("b") - F.col("a"))
     helped = F.col("saved") > 1e-6
     out = rows.groupBy("name").agg(
         F.avg("saved").alias("mean_seconds_saved"), (F.sum("saved") * scale / 3600).alias("total_hours_saved"), (F.avg(helped.cast("double")) * 100).alias("incidents_improved_pct"),

@@ -138,3 +138,20 @@ def test_models_have_their_operators_defaults(spark, sf, monkeypatch):
     by = {name: (args, kw) for name, args, kw in seen}
     assert by["fit_bag"] == ((), {}) and by["bootstrap"] == ((), {}) and by["permutation_importance"][0][1:] == ("key",)
     assert {c for g in by["ablation"][0][1].values() for c in g} == set(plans.ml.FEATURES) and not by["ablation"][1]
+
+
+def test_sites_at_one_place_meet_points_once(spark, monkeypatch):
+    """Of many sites at few places the smallest at each is met, whatever their number."""
+    from emberline.operators import spatial
+
+    tables = []
+    monkeypatch.setattr(spatial, "held", lambda df: tables.append(df.localCheckpoint()) or tables[-1])
+    sites = spark.range(600).selectExpr("600 - id AS site", "51.0 + id % 30 / 100 AS s_lat", "id % 30 / 50 AS s_lon")
+    pts = spark.range(200).selectExpr("id", "51.0 + (id * 7 % 31) / 103 AS lat", "(id * 11 % 37) / 61 AS lon")
+    for k in (1, 3):
+        tables.clear()
+        cells = spatial.nearest(pts, "id", sites, "site", spatial.crow(), k=k, small=0)
+        plain = spatial.nearest(pts, "id", sites, "site", spatial.crow(), k=k, small=1000)
+        assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, plain.collect()))
+        assert tables[0].count() == 30 * k
+        assert all(t.count() <= 200 for t in tables[1:-1])  # a row a point, never a pair
