@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberline.functions import geo
 from emberline.functions.text import closed_name
 from emberline.functions.times import DEFAULT_CURVE, FIRST_MEAN_S, TURNOUT_S, Curve
+from emberline.operators.quantiles import exact_quantiles
 from emberline.operators.spatial import crow, nearest
 from emberline.operators.weighted import score_first_engine
 from emberline.sources.tables import held
@@ -72,16 +73,18 @@ def restore_ranking(points: DataFrame, stations: DataFrame, closed: DataFrame, c
     each = points.join(base, "incident_id").crossJoin(F.broadcast(closed.select("at", "name", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))))
     before = F.round(curve.seconds(F.col("base_km")) + TURNOUT_S, 6)
     after = F.round(curve.seconds(F.least("base_km", "d")) + TURNOUT_S, 6)
-    rows = each.withColumn("d", crow()(*map(F.col, ("lon", "lat", "s_lon", "s_lat")))).select("name", before.alias("b"), after.alias("a")).withColumn("saved", F.col("b") - F.col("a"))
+    apart = held(each.select("name", "base_km", crow()(*map(F.col, ("lon", "lat", "s_lon", "s_lat"))).alias("d")))  # else each use of a column works distances out anew
+    rows = apart.select("name", before.alias("b"), after.alias("a")).withColumn("saved", F.col("b") - F.col("a"))
     helped = F.col("saved") > 1e-6
     out = rows.groupBy("name").agg(
         F.avg("saved").alias("mean_seconds_saved"), (F.sum("saved") * scale / 3600).alias("total_hours_saved"), (F.avg(helped.cast("double")) * 100).alias("incidents_improved_pct"),
-        F.coalesce(F.avg(F.when(helped, F.col("saved"))), F.lit(0.0)).alias("mean_saved_when_improved_s"), F.percentile("a", F.lit(0.9)).alias("p90_s_after"),
+        F.coalesce(F.avg(F.when(helped, F.col("saved"))), F.lit(0.0)).alias("mean_saved_when_improved_s"),
         ((F.avg((F.col("a") <= FIRST_MEAN_S).cast("double")) - F.avg((F.col("b") <= FIRST_MEAN_S).cast("double"))) * 100).alias("within_6min_gain_pp"),
     )
     near = nearest(closed, "name", sites, "site", crow()).select("name", F.col("km").alias("nearest_current_station_km"))
     rank = F.row_number().over(Window.orderBy(F.round("mean_seconds_saved", 6).desc(), "name"))
-    return out.join(near, "name").withColumn("rank", rank)
+    late = exact_quantiles(rows, "name", "a", [0.9]).select("name", F.col("value").alias("p90_s_after"))
+    return out.join(late, "name", "left").join(near, "name").withColumn("rank", rank)
 
 
 def race(opened: DataFrame, stations: DataFrame, incidents: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:

@@ -155,3 +155,13 @@ def test_sites_at_one_place_meet_points_once(spark, monkeypatch):
         assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, plain.collect()))
         assert tables[0].count() == 30 * k
         assert all(t.count() <= 200 for t in tables[1:-1])  # a row a point, never a pair
+
+
+def test_late_share_of_restored_sites_by_narrowing(spark, sf, monkeypatch):
+    """No task holds all values of a site for its percentile."""
+    from emberline.operators import scenario
+
+    asked, true = [], scenario.exact_quantiles
+    monkeypatch.setattr(scenario, "exact_quantiles", lambda *a: asked.append(a[1:]) or true(*a), raising=True)
+    plans.QUERIES["restore_ranking"](spark, sf).collect()
+    assert asked == [("name", "a", [0.9])]
