@@ -165,3 +165,8 @@ def test_late_share_of_restored_sites_by_narrowing(spark, sf, monkeypatch):
     monkeypatch.setattr(scenario, "exact_quantiles", lambda *a: asked.append(a[1:]) or true(*a), raising=True)
     plans.QUERIES["restore_ranking"](spark, sf).collect()
     assert asked == [("name", "a", [0.9])]
+
+
+def test_pairs_of_stations_are_dealt_to_tasks(spark, sf):
+    """One small file of stations is no single task's work."""
+    assert plans.QUERIES["haversine_pairs"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
