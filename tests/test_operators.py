@@ -243,3 +243,16 @@ def test_exact_samples_and_funnels(spark):
     assert len(a) == 17 and a == sorted(r.k for r in prep.sample_exactly(rows.repartition(5), "k", 17).collect())
     ranks = summaries.with_rank(rows.select("k", (F.col("k") % 7).cast("double").alias("v")), "v", "k", parts=4)
     assert [r.rank for r in ranks.orderBy("v", "k").collect()] == list(range(1, 101))
+
+
+def test_plain_curve_counts_each_pair_once(spark, monkeypatch):
+    """Without weights no pair is made anew for each breakpoint, and quantiles hold no group whole."""
+    rng = np.random.default_rng(6)
+    km = rng.uniform(0.2, 8, 300)
+    df = spark.createDataFrame(list(zip(km.tolist(), (50 + 70 * km + rng.normal(0, 9, 300)).tolist(), strict=True)), "km double, seconds double")
+    own = fitting.fit_curve(df, robust=False)
+    monkeypatch.setattr(fitting, "LOCAL", 0)
+    monkeypatch.setattr(fitting, "_fit_segments", None)
+    monkeypatch.setattr(fitting.F, "percentile", None)
+    dealt = fitting.fit_curve(df, robust=False)
+    assert (own.a, own.b, own.c, own.e, own.breakpoint_km) == pytest.approx((dealt.a, dealt.b, dealt.c, dealt.e, dealt.breakpoint_km), rel=1e-7)
