@@ -34,6 +34,8 @@ SPEED_KPH = (5.0, 120.0)
 POINT_KINDS = ("signals", "calming", "crossing", "give_way")
 #: Graphs of so many edges are sent to every task for per-origin searches.
 SMALL_GRAPH = 2_000_000
+#: Edges of a range of node numbers, about, that one task searches for strongly connected parts.
+RANGE_EDGES = 200_000
 
 
 def drivable(df: DataFrame, highway: str = "highway", rules: dict[str, str] | None = None) -> DataFrame:
@@ -252,14 +254,29 @@ def largest_component(edges: DataFrame) -> DataFrame:
     """node: the largest strongly connected component; of equally large ones, that with the smallest node.
 
     Graphs of up to SMALL_GRAPH edges are searched depth first on the driver,
-    as arrays of their ends. In larger ones, forward and backward reach from the
+    as arrays of their ends. Larger ones are contracted first: what is strongly
+    connected among neighbouring numbers becomes one node, in a task for each
+    range of them, as long as that takes a tenth of the edges away. If the graph is still
+    larger then, forward and backward reach from the
     busiest node left are joined, until the rest is smaller.
     """
     ends = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct()
     if ends.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
-        t = ends.toArrow()
-        found = _strong(t.column("u").to_numpy(), t.column("v").to_numpy())
-        return edges.sparkSession.createDataFrame(pa.table({"node": pa.array(found, pa.int64())}))
+        return _largest_in_memory(ends, None)
+    every = ends = held(ends)
+    n, names = ends.count(), None  # names: node, top (the least node of the part that it is in)
+    while n > SMALL_GRAPH:
+        own = held(_tops_by_range(ends, n))
+        names = own if names is None else held(names.join(own.select(F.col("node").alias("top"), F.col("top").alias("__to")), "top", "left").select("node", F.coalesce("__to", "top").alias("top")))
+        a, b = own.select(F.col("node").alias("u"), F.col("top").alias("a")), own.select(F.col("node").alias("v"), F.col("top").alias("b"))
+        ends = held(ends.join(a, "u").join(b, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        last, n = n, ends.count()
+        if n > last * 0.9:
+            break
+    if n <= SMALL_GRAPH:
+        tops = _largest_in_memory(ends, names).withColumnRenamed("node", "top")
+        return names.join(tops, "top", "left_semi").select("node")
+    ends = every
     left, best, best_n = held(ends), None, (0, 0)
     while True:
         nodes = left.select(F.col("u").alias("node")).union(left.select("v")).groupBy("node").agg(F.count("*").alias("d"))
@@ -275,14 +292,50 @@ def largest_component(edges: DataFrame) -> DataFrame:
         left = held(left.join(own.select(F.col("node").alias("u")), "u", "left_anti").join(own.select(F.col("node").alias("v")), "v", "left_anti"))
 
 
-def _strong(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Nodes of the largest strongly connected component, by one depth-first search with low links."""
+def _largest_in_memory(ends: DataFrame, names: DataFrame | None) -> DataFrame:
+    """node: the largest component of a small graph; of one whose nodes stand for others (names), by the number of these."""
+    t = ends.toArrow()  # SMALL_GRAPH rows at most
+    u, v, size = t.column("u").to_numpy(), t.column("v").to_numpy(), {}
+    if names is not None:
+        sizes = names.groupBy("top").agg(F.count("*").alias("n"))
+        met = ends.select(F.col("u").alias("top")).union(ends.select("v")).distinct()
+        # of nodes without an edge left only the largest counts, the smallest of equal ones
+        alone = sizes.join(met, "top", "left_anti").agg(F.max(F.struct("n", (-F.col("top")).alias("least"))).alias("b")).select((-F.col("b.least")).alias("top"), "b.n").where("top IS NOT NULL")
+        w = sizes.join(met, "top", "left_semi").where("n > 1").unionByName(alone).toArrow()
+        size = dict(zip(w.column("top").to_pylist(), w.column("n").to_pylist(), strict=True))
+        lone = np.array([x.top for x in alone.collect()], dtype=np.int64)
+        u, v = np.concatenate([u, lone]), np.concatenate([v, lone])
+    parts = _strong_parts(u, v)
+    best = max(parts, key=lambda p: (sum(size.get(x, 1) for x in p), -min(p)), default=[])
+    return ends.sparkSession.createDataFrame(pa.table({"node": pa.array(sorted(best), pa.int64())}))
+
+
+def _tops_by_range(ends: DataFrame, n: int) -> DataFrame:
+    """node and top: the least node of the strongly connected part that it is in by edges within its range of numbers; ranges have about RANGE_EDGES edges."""
+    low, high = ends.agg(F.min(F.least("u", "v")), F.max(F.greatest("u", "v"))).first()
+    width = max(1, (high - low + 1) * RANGE_EDGES // max(n, 1))
+    at = lambda c: F.floor((F.col(c) - low) / width)
+
+    def run(rows: pa.Table) -> pa.Table:
+        u, v = rows.column("u").to_numpy(), rows.column("v").to_numpy()
+        parts = _strong_parts(u, v)
+        node = np.array([x for p in parts for x in p], dtype=np.int64)
+        return pa.table({"node": node, "top": np.repeat(np.array([min(p) for p in parts], dtype=np.int64), [len(p) for p in parts])})
+
+    # an edge to another range names its own end alone
+    inner = F.when(at("u") == at("v"), F.col("v")).otherwise(F.col("u"))
+    rows = ends.select(at("u").alias("range"), "u", inner.alias("v")).unionByName(ends.where(at("u") != at("v")).select(at("v").alias("range"), F.col("v").alias("u"), "v"))
+    return rows.distinct().groupBy("range").applyInArrow(run, "node long, top long")
+
+
+def _strong_parts(u: np.ndarray, v: np.ndarray) -> list[list[int]]:
+    """Nodes of each strongly connected component, by one depth-first search with low links."""
     nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = flat[: len(u)], flat[len(u) :]
     order = np.argsort(a, kind="stable")
     head, first = b[order].tolist(), np.searchsorted(a[order], np.arange(len(nodes) + 1)).tolist()
     number, low, on = [-1] * len(nodes), [0] * len(nodes), [False] * len(nodes)
-    stack, best, count = [], (0, 0, []), 0
+    stack, parts, count = [], [], 0
     for root in range(len(nodes)):
         if number[root] >= 0:
             continue
@@ -314,7 +367,7 @@ def _strong(u: np.ndarray, v: np.ndarray) -> np.ndarray:
                     own.append(j)
                     if j == i:
                         break
-                best = max(best, (len(own), -min(own), own))
+                parts.append(nodes[own].tolist())
             if work:
                 low[work[-1][0]] = min(low[work[-1][0]], low[i])
-    return np.sort(nodes[np.array(best[2], dtype=np.int64)])
+    return parts

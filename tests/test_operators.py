@@ -256,3 +256,20 @@ def test_plain_curve_counts_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(fitting.F, "percentile", None)
     dealt = fitting.fit_curve(df, robust=False)
     assert (own.a, own.b, own.c, own.e, own.breakpoint_km) == pytest.approx((dealt.a, dealt.b, dealt.c, dealt.e, dealt.breakpoint_km), rel=1e-7)
+
+
+def test_largest_component_by_contraction(spark, monkeypatch):
+    """Two-way streets shrink by ranges of numbers, so that no search goes on step by step."""
+    rng = random.Random(8)
+    e = [(a * 40 + b, a * 40 + b + s) for a in range(8) for b in range(39) for s in (1,)] + [(i, i + 40) for i in range(280) if i % 3]
+    e += [(v, u) for u, v in e if rng.random() < 0.8] + [(1000, 1001), (1001, 1000), (5000, 5001)]
+    df = spark.createDataFrame(e, "u long, v long")
+    want = sorted(r.node for r in graph.largest_component(df).collect())
+    monkeypatch.setattr(graph, "SMALL_GRAPH", 300)
+    monkeypatch.setattr(graph, "RANGE_EDGES", 60)
+    monkeypatch.setattr(graph, "reached", None)
+    assert sorted(r.node for r in graph.largest_component(df).collect()) == want
+    two = spark.createDataFrame([(i, (i + 1) % 50) for i in range(50)] + [(100 + i, 100 + (i + 1) % 60) for i in range(60)] + [(0, 100)], "u long, v long")
+    monkeypatch.setattr(graph, "SMALL_GRAPH", 8)
+    monkeypatch.setattr(graph, "RANGE_EDGES", 80)
+    assert len(want) > 200 and graph.largest_component(two).count() == 60
