@@ -86,6 +86,36 @@ def test_routes_against_a_plain_search(spark, monkeypatch):
         assert not r.found or r.x == pytest.approx(got[p].x)
 
 
+@pytest.mark.parametrize("small", [1, 30])
+def test_routes_around_groups_of_origins(spark, monkeypatch, small):
+    """Each group's part of a graph that no task holds whole gives the routes of the whole graph, far pairs and places that mislead among them."""
+    rng = random.Random(small)
+    rows, place = [], []
+    for i in range(14):
+        for j in range(14):
+            place.append((i * 14 + j, 51.0 + i * 0.01, j * 0.01) if rng.random() < 0.9 else (i * 14 + j, 51.0 + rng.random(), rng.random()))
+            for a, b in ((i + 1, j), (i, j + 1)):
+                if a < 14 and b < 14:
+                    u, v = i * 14 + j, a * 14 + b
+                    own = (0, float(rng.randrange(1, 9)), rng.random(), rng.uniform(0, 360), rng.uniform(0, 360))
+                    rows += [(u, v, *own)] if (i + j) % 5 == 0 or rng.random() < 0.1 else [(u, v, *own), (v, u, *own)]
+    e = spark.createDataFrame(rows, SCHEMA)
+    pairs = [(rng.randrange(196), rng.randrange(196)) for _ in range(300)] + [(3, 3), (500, 500), (500, 2), (2, 500)]
+    asked, places = spark.createDataFrame(pairs, "origin long, node long"), spark.createDataFrame(place[:190], "node long, lat double, lon double")
+    want = {(r.origin, r.node): r for r in roads.route_table(e, asked, values=["x"], bearings=True).collect()}
+    monkeypatch.setattr(graph, "SMALL_GRAPH", small)
+    monkeypatch.setattr(roads, "GROUPS", 5)
+    monkeypatch.setattr(graph, "shortest_paths", None)  # no distances from an origin to all nodes
+    ranked = {r.node: r["rank"] for r in graph.ranks(e).collect()}
+    assert all(ranked[r[0]] <= ranked[r[1]] for r in rows)
+    got = {(r.origin, r.node): r for r in roads.route_table(e, asked, values=["x"], bearings=True, places=places).collect()}
+    assert got.keys() == want.keys() and 0 < sum(r.found for r in want.values()) < len(want)
+    for p, r in got.items():
+        w = want[p]
+        assert (r.found, r.dist, r.n_turns, r.n_sharp_turns) == (w.found, w.dist, w.n_turns, w.n_sharp_turns)
+        assert r.x == (None if w.x is None else pytest.approx(w.x))
+
+
 def grid(spark, side=12):
     """The small street grid of the survey's sampling check: kinds, limits and lanes drawn at random, both ways open."""
     rng = random.Random(0)
