@@ -123,6 +123,21 @@ def test_robust_curve(spark):
         fitting.fit_curve(spark.createDataFrame([(1.0, 70.0)], "km double, seconds double"))
 
 
+def test_robust_curve_of_many_pairs(spark, monkeypatch):
+    """Fitted by tasks, the curve is that of numpy, without a row for each pair and breakpoint."""
+    rng = np.random.default_rng(4)
+    km = np.round(rng.uniform(0.2, 8, 701), 2)
+    sec = np.where(km <= 2, 20 + 150 * np.sqrt(km), 110 + 60 * km) + np.round(rng.normal(0, 2, 701))
+    sec[::15] += 5000
+    df = spark.createDataFrame(list(zip(km.tolist(), sec.tolist(), strict=True)), "km double, seconds double")
+    own = fitting.fit_curve(df, rounds=5)
+    monkeypatch.setattr(fitting, "LOCAL", 0)
+    monkeypatch.setattr(fitting, "MEDIAN_BUCKETS", 7)
+    monkeypatch.setattr(fitting, "_fit_segments", None)
+    dealt = fitting.fit_curve(df.repartition(5), rounds=5)
+    assert (own.a, own.b, own.c, own.e, own.breakpoint_km) == pytest.approx((dealt.a, dealt.b, dealt.c, dealt.e, dealt.breakpoint_km), rel=1e-7)
+
+
 def test_paths_turns_and_components(spark, monkeypatch):
     rng = random.Random(7)
     rows = [(rng.randrange(9), rng.randrange(9), k, float(rng.randrange(1, 20))) for k in range(26)]
