@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from emberline.operators import graph, roads
+from emberline.operators import graph, roads, routing, search
 
 
 def some_edges(n, m, seed, whole):
@@ -40,3 +40,22 @@ def test_origins_are_dealt_to_all_cores_and_sums_come_with_the_search(spark):
     want = {(r.origin, r.node): (r.dist, r.parent) for r in paths.collect()}
     assert {(r.origin, r.node): (r.dist, r.parent) for r in got.collect()} == want
     assert all(r.length == r.dist for r in got.collect())
+
+
+def test_small_graphs_are_not_cut_into_regions(spark, monkeypatch):
+    u, v, cost = some_edges(40, 150, 5, True)
+    e = spark.createDataFrame(list(zip(u.tolist(), v.tolist(), cost.tolist(), strict=True)), "u long, v long, length double")
+    origins = spark.createDataFrame([(0,), (9,), (30,), (1,)], "origin long")
+    want = sorted(map(tuple, routing.paths_by_region(e.withColumnRenamed("length", "c"), origins).collect()), key=repr)
+    monkeypatch.setattr(routing, "paths_by_region", None)  # rounds of joins over pairs of origins and entries
+    assert sorted(map(tuple, graph.shortest_paths(e, origins).collect()), key=repr) == want
+
+
+def test_ways_in_by_slices_equal_those_of_all_places(monkeypatch):
+    u, v, cost = some_edges(60, 200, 3, True)
+    net = search.Net(u, v, cost)
+    dist = net.distances(np.arange(7))
+    places = np.flatnonzero(np.isfinite(dist))
+    want = net.ways_in(dist, places)
+    monkeypatch.setattr(search, "WAYS", 5)
+    assert net.ways_in(dist, places).tolist() == want.tolist()
