@@ -137,14 +137,18 @@ def race_tracks(races: DataFrame, places: DataFrame, edges: DataFrame, nodes: Da
     straight distance, turnout included, and spread over the route by cost. An
     engine without a route has no rows.
     """
-    from emberline.operators import graph, roads
+    from emberline.operators import roads
 
     own = held(places.join(races.select("new_id").distinct(), "new_id", "left_semi").withColumn("attend_s", curve.seconds(F.col("crow_km")) + TURNOUT_S))
     starts = roads.snapped(own.select(F.struct("new_id", "engine").alias("k"), "lat", "lon"), "k", nodes).select("k.*", F.col("node").alias("origin"))
     ends = roads.snapped(own.select("new_id", F.col("dest_lat").alias("lat"), F.col("dest_lon").alias("lon")).distinct(), "new_id", nodes).select("new_id", F.col("node").alias("dest"))
     way = held(starts.join(ends, "new_id"))
-    paths = held(graph.search_by_origin(edges, way.select("origin").distinct(), cost))
-    along = graph.path_nodes(paths, way.select("origin", "dest").distinct()).join(nodes.select("node", F.col("lon").alias("x"), F.col("lat").alias("y")), "node")
+    pairs = way.select("origin", F.col("dest").alias("node")).distinct()
+    edges = held(edges.select("u", "v", cost))
+    routes = roads.route_table(edges, pairs.where("origin <> node"), cost, places=nodes, ways=True).where("found").select("origin", "node", *roads.WAY)
+    still = pairs.where("origin = node").select("origin", "node", F.array("origin").alias("way"), F.array(F.lit(0.0)).alias("way_cost"))
+    each = routes.unionByName(still).select("origin", F.col("node").alias("dest"), F.explode(F.arrays_zip(*roads.WAY)).alias("s"))
+    along = held(each.select("origin", "dest", F.col("s.way").alias("node"), F.col("s.way_cost").alias("dist"))).join(nodes.select("node", F.col("lon").alias("x"), F.col("lat").alias("y")), "node")
     by = ["new_id", "engine"]
     run = Window.partitionBy(*by).orderBy("dist", "node")
     steps = way.join(along, ["origin", "dest"]).join(own.select(*by, "attend_s"), by).withColumn("seq", F.row_number().over(run)).withColumn("seconds", F.col("dist") - F.lag("dist").over(run))
