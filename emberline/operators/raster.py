@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import geo
@@ -12,6 +14,8 @@ from emberline.operators.quantiles import exact_quantiles
 
 # Ground pixel and padding in metres, blur in pixels, readout block, hotspot cell.
 PIXEL_M, PAD_M, SIGMA_PX, BLOCK_PX = 25.0, 2000.0, 3.6, 20
+#: Side of the tiles that a raster is blurred by, in pixels.
+TILE_PX = 256
 
 
 def grid(points: DataFrame, pixel_m: float = PIXEL_M, pad_m: float = PAD_M) -> DataFrame:
@@ -42,18 +46,45 @@ def kernel(sigma: float = SIGMA_PX) -> list[float]:
 
 
 def blur(pixels: DataFrame, g: DataFrame, sigma: float = SIGMA_PX) -> DataFrame:
-    """layer, row, col and v: both axes blurred in turn, what passes an edge mirrored back in."""
-    weights = kernel(sigma)
+    """layer, row, col and v: both axes blurred in turn, what passes an edge mirrored back in.
+
+    Pixels go to square tiles, those near a side to the next tiles too, and their mirror
+    images beyond an edge with them; a task blurs a tile as an array. Pixels that nothing reaches are left out.
+    """
+    weights = np.array(kernel(sigma))
     reach = len(weights) // 2
-    spread = F.explode(F.array(*[F.struct(F.lit(i - reach).alias("d"), F.lit(w).alias("g")) for i, w in enumerate(weights)])).alias("s")
-    now = pixels.select("layer", "row", "col", F.col("n").cast("double").alias("v")).crossJoin(F.broadcast(g.select("nx", "ny")))
-    for axis, size in (("row", "ny"), ("col", "nx")):
-        at = F.col(axis) + F.col("s.d")
-        # mirrored at the edges, where a pixel counts twice
-        m = F.pmod(at, F.col(size) * 2)
-        back = F.when(m >= F.col(size), F.col(size) * 2 - 1 - m).otherwise(m)
-        now = now.select("*", spread).withColumn(axis, back).withColumn("v", F.col("v") * F.col("s.g")).groupBy("layer", "row", "col", "nx", "ny").agg(F.sum("v").alias("v"))
-    return now.select("layer", "row", "col", "v")
+    side = max(TILE_PX, reach)
+
+    def images(at: str, size: str) -> Column:
+        """Where a pixel counts along an axis: itself, and its images within reach of the raster."""
+        turns = F.sequence(-F.ceil(reach / (2 * F.col(size))) - 1, F.ceil(reach / (2 * F.col(size))) + 1)
+        every = F.flatten(F.transform(turns, lambda k: F.array(F.col(at) + 2 * k * F.col(size), 2 * k * F.col(size) - 1 - F.col(at))))
+        return F.filter(every, lambda p: (p >= -reach) & (p < F.col(size) + reach))
+
+    def tiles(at: str, size: str) -> Column:
+        return F.sequence(F.greatest(F.floor((F.col(at) - reach) / side), F.lit(0)), F.least(F.floor((F.col(at) + reach) / side), F.floor((F.col(size) - 1) / side)))
+
+    own = pixels.select("layer", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("n").cast("double").alias("n")).crossJoin(F.broadcast(g.select("nx", "ny")))
+    for at, size in (("row", "ny"), ("col", "nx")):
+        inner = (F.col(at) >= reach) & (F.col(at) < F.col(size) - reach)
+        own = own.withColumn(at, F.explode(F.when(inner, F.array(at)).otherwise(images(at, size)))).withColumn(f"t_{at}", F.explode(tiles(at, size)))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        layer, top, left = key[0], key[1].as_py() * side, key[2].as_py() * side
+        height, width = min(side, rows.column("ny")[0].as_py() - top), min(side, rows.column("nx")[0].as_py() - left)
+        now = np.zeros((height + 2 * reach, width + 2 * reach))
+        np.add.at(now, (rows.column("row").to_numpy() - top + reach, rows.column("col").to_numpy() - left + reach), rows.column("n").to_numpy())
+        down = np.zeros((height, now.shape[1]))
+        for i, w in enumerate(weights):
+            down += w * now[i : i + height]
+        out = np.zeros((height, width))
+        for i, w in enumerate(weights):
+            out += w * down[:, i : i + width]
+        row, col = np.nonzero(out)
+        return pa.table({"layer": pa.array([layer.as_py()] * len(row), layer.type), "row": (row + top).astype(np.int32), "col": (col + left).astype(np.int32), "v": out[row, col]})
+
+    kind = pixels.schema["layer"].dataType.simpleString()
+    return own.select("layer", "t_row", "t_col", "row", "col", "n", "nx", "ny").groupBy("layer", "t_row", "t_col").applyInArrow(run, f"layer {kind}, row int, col int, v double")
 
 
 def density(pixels: DataFrame, g: DataFrame, years: float, pixel_m: float = PIXEL_M, sigma: float = SIGMA_PX) -> DataFrame:
