@@ -2,7 +2,9 @@
 
 `times` is a table (site_id, cell_id, w, t): seconds from each candidate to each
 demand cell. Sums over cells are rounded to 6 places before they are compared,
-so that the order of additions can't decide; ties go to the smaller site.
+so that the order of additions can't decide; ties go to the smaller site. What is
+told of each cell is written before it meets `times`, so that it is sent to every task
+where it is small and `times`, a row for each pair of a site and a cell, isn't shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.sources.tables import forget, held
+
 RESPONSE, COVERAGE = "response_time", "coverage"
 FAR = 1e12
 
@@ -44,7 +48,7 @@ def two_nearest(times: DataFrame, chosen: Sequence[int]) -> DataFrame:
     """cell_id, w, n1, d1 and d2: the nearest chosen site, its time and the next one's (FAR without one)."""
     own = _of(times, chosen)
     pairs = own.groupBy("cell_id").agg(F.max("w").alias("w"), F.min(F.struct("t", "site_id")).alias("a"))
-    first = pairs.select("cell_id", "w", F.col("a.site_id").alias("n1"), F.col("a.t").alias("d1"))
+    first = held(pairs.select("cell_id", "w", F.col("a.site_id").alias("n1"), F.col("a.t").alias("d1")))
     rest = own.join(first.select("cell_id", "n1"), "cell_id").where("site_id <> n1").groupBy("cell_id").agg(F.min("t").alias("d2"))
     return first.join(rest, "cell_id", "left").withColumn("d2", F.coalesce("d2", F.lit(FAR)))
 
@@ -58,8 +62,17 @@ def objective_value(times: DataFrame, chosen: Sequence[int], objective: str = RE
 
 def gains(times: DataFrame, chosen: Sequence[int], objective: str = RESPONSE, threshold_s: float = 480.0) -> DataFrame:
     """site_id and the weighted sum if that site were added to the chosen ones."""
+    return _gains(times, chosen, _best(times, chosen) if chosen else None, objective, threshold_s)
+
+
+def _best(times: DataFrame, chosen: Sequence[int], so_far: DataFrame | None = None) -> DataFrame:
+    """cell_id and the least time of the chosen sites, and of those whose best is known so far."""
+    rows = _of(times, chosen).select("cell_id", F.col("t").alias("best"))
+    return held((rows if so_far is None else rows.unionByName(so_far)).groupBy("cell_id").agg(F.min("best").alias("best")))
+
+
+def _gains(times: DataFrame, chosen: Sequence[int], best: DataFrame | None, objective: str, threshold_s: float) -> DataFrame:
     term = _term(objective, threshold_s)
-    best: DataFrame = _of(times, chosen).groupBy("cell_id").agg(F.min("t").alias("best")) if chosen else None
     rows = _but(times, chosen) if chosen else times
     t: Column = F.col("t")
     if best is not None:
@@ -70,11 +83,15 @@ def gains(times: DataFrame, chosen: Sequence[int], objective: str = RESPONSE, th
 def greedy(times: DataFrame, k: int, objective: str = RESPONSE, threshold_s: float = 480.0, start: Sequence[int] = ()) -> list[int]:
     """Adds the site that lowers the sum most, up to k sites. One small job a step; the driver sees one row of each."""
     chosen = list(start)
+    best = _best(times, chosen) if chosen and len(chosen) < k else None
     while len(chosen) < k:
-        row = gains(times, chosen, objective, threshold_s).agg(F.min(F.struct("cost", "site_id")).alias("b")).first()
+        row = _gains(times, chosen, best, objective, threshold_s).agg(F.min(F.struct("cost", "site_id")).alias("b")).first()
         if row is None or row.b is None:
             break
         chosen.append(row.b.site_id)
+        if len(chosen) < k:
+            last, best = best, _best(times, chosen[-1:], best)
+            forget(last)
     return chosen
 
 
@@ -86,7 +103,7 @@ def swap_values(times: DataFrame, chosen: Sequence[int], objective: str = RESPON
     least(d1, t) to least(d2, t). Both are sums by (in, nearest site).
     """
     term = _term(objective, threshold_s)
-    near = two_nearest(times, chosen)
+    near = held(two_nearest(times, chosen))
     rows = _but(times, chosen).select("site_id", "cell_id", "t").join(near, "cell_id")
     added = F.col("w") * term(F.least("d1", "t"))
     moved = F.col("w") * (term(F.least("d2", "t")) - term(F.least("d1", "t")))
