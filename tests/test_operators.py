@@ -138,6 +138,21 @@ def test_robust_curve_of_many_pairs(spark, monkeypatch):
     assert (own.a, own.b, own.c, own.e, own.breakpoint_km) == pytest.approx((dealt.a, dealt.b, dealt.c, dealt.e, dealt.breakpoint_km), rel=1e-7)
 
 
+def test_medians_of_many_pairs_looked_for_in_wrong_places(spark, monkeypatch):
+    """Wherever the search begins and however few values are taken, medians of segments are exact, in a bounded number of passes."""
+    rng = np.random.default_rng(6)
+    km = np.sort(np.round(rng.uniform(0.2, 8, 900), 2))
+    z = 100 * km + np.round(rng.normal(0, 40, 900)) + 3000 * (rng.random(900) < 0.1)
+    df = spark.createDataFrame(list(zip(km.tolist(), z.tolist(), strict=True)), "km double, seconds double").repartition(3)
+    breaks, lines = [1.0, 5.0], np.array([[0.0, 90.0], [5.0, 99.0], [10.0, 150.0], [0.0, 101.0]])
+    rs = [r for _, _, _, r in fitting._residuals(km, z, breaks, lines)]
+    n, middle = np.array([len(r) for r in rs]), np.array([np.median(r) for r in rs])
+    monkeypatch.setattr(fitting, "FEW", 5)
+    for pilot in ((np.zeros(0), np.zeros(0)), (km[::2], z[::2]), (km, z + 500)):
+        assert fitting._segment_medians(df, breaks, lines, None, n, pilot).tolist() == middle.tolist()
+        assert fitting._segment_medians(df, breaks, lines, middle, n, pilot).tolist() == [np.median(np.abs(r - m)) for r, m in zip(rs, middle, strict=True)]
+
+
 def test_paths_turns_and_components(spark, monkeypatch):
     rng = random.Random(7)
     rows = [(rng.randrange(9), rng.randrange(9), k, float(rng.randrange(1, 20))) for k in range(26)]
