@@ -153,6 +153,15 @@ def test_medians_of_many_pairs_looked_for_in_wrong_places(spark, monkeypatch):
         assert fitting._segment_medians(df, breaks, lines, middle, n, pilot).tolist() == [np.median(np.abs(r - m)) for r, m in zip(rs, middle, strict=True)]
 
 
+def test_drive_curve_is_fitted_to_all_pairs(spark, monkeypatch):
+    """No pair of over 50,000 is left out."""
+    pairs = spark.range(60_000).selectExpr("id AS incident_id", "0.1 + id % 997 / 100 AS crow_km", "100 + id % 997 + id % 13 AS observed_s")
+    seen = []
+    monkeypatch.setattr(fitting, "fit_curve", lambda p: seen.append(p.count()))
+    _, about = fitting.fit_drive_curve(pairs)
+    assert seen == [60_000] and about["n_pairs"] == 60_000
+
+
 def test_paths_turns_and_components(spark, monkeypatch):
     rng = random.Random(7)
     rows = [(rng.randrange(9), rng.randrange(9), k, float(rng.randrange(1, 20))) for k in range(26)]
